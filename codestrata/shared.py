@@ -58,7 +58,7 @@ def latest(df: DataFrame, key: str, order: list, columns: list[str]) -> DataFram
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Hints a broadcast only where the optimizer's size estimate is under ``limit``."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(size.toString()) <= limit else df
+    return F.broadcast(df) if int(str(size)) <= limit else df
 
 
 _shipped: set[str] = set()

@@ -25,8 +25,9 @@ from codestrata.shared import keep, latest
 
 #: Numbers of a vector; vectors of a shard; vectors sampled for each centre; rounds of fitting; shards that a vector queries.
 WIDTH, SHARD, PER_CENTRE, ROUNDS, PROBES = 128, 4096, 64, 8, 2
-#: Most centres that one broadcast table of centres has (4 MB); more are not needed below SHARD * CENTRES vectors, larger shards are cut.
-CENTRES = 8192
+#: Most centres: their table (2 MB) is broadcast and their sample (PER_CENTRE vectors each, 128 MB) is fitted on the
+#: driver, whatever the number of vectors; beyond SHARD * CENTRES vectors shards are cut into parts.
+CENTRES = 4096
 #: Edges of a vertex, width of the beam when building and searching, vertices expanded at once, relaxation of the pruning.
 DEGREE, BUILD_BEAM, BEAM, EXPAND, ALPHA = 24, 24, 24, 8, 1.02
 #: Vertices joined by brute force at first, entry points of a search, queries searched together.

@@ -38,6 +38,7 @@ class Engine:
 
     @cached_property
     def files(self) -> DataFrame:
+        self.spark.catalog.refreshByPath(self.root)  # an earlier analysis may have cached the same tree
         found = sources.scan_directory(self.spark, self.root, self.threshold, self.respect_gitignore, self.max_depth, self.languages, self.ignore)
         return (git.restrict_to(found, self.diff) if self.diff is not None else found).persist()
 

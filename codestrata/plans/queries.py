@@ -531,6 +531,11 @@ def project_json(spark: SparkSession, d: str) -> DataFrame:
     return reports.project_json(newest_files(spark, d), distinct_markers(spark, d), distinct_symbols(spark, d), table(spark, d, "modules"), table(spark, d, "edges"))
 
 
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream; a pattern as path serves a single file as well as a folder."""
+    return spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+
+
 def _checkpoint(spark: SparkSession, name: str) -> str:
     import uuid
 
@@ -539,15 +544,13 @@ def _checkpoint(spark: SparkSession, name: str) -> str:
 
 @query("SELECT CAST(user_id AS VARCHAR) AS session_id, event_type AS tool_name, count(*) AS call_count, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS total_tokens_out FROM events GROUP BY 1, 2")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{d}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    events = _event_stream(spark, d)
     told = events.select(F.col("ts").cast("timestamp").alias("timestamp"), F.col("user_id").cast("string").alias("session_id"), F.col("event_type").alias("tool_name"), F.floor("value").cast("bigint").alias("tokens_out"))
     return watch.collected(watch.session_totals(told), "stream_sessions", _checkpoint(spark, "sessions"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
-    path = f"{d}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    events = _event_stream(spark, d)
     counts = watch.windowed_counts(events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type"), "ts", "event_type", "1 hour")
     return watch.collected(counts, "stream_windows", _checkpoint(spark, "windows")).withColumn("start", F.col("start").cast("timestamp_ntz"))

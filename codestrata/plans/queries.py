@@ -54,10 +54,17 @@ _OWNERS = "owners AS (SELECT DISTINCT slug, relative_path FROM (SELECT slug, unn
 _MARKS = "marks AS (SELECT DISTINCT kind, content, source_file, line_number, priority FROM markers)"
 
 
-def newest_files(spark: SparkSession, d: str) -> DataFrame:
-    """The newest version of each path, as files are meant by every query here."""
-    columns = ["repo", "extension", "language", "size_bytes", "line_count", "is_large", "content", "mtime"]
-    return latest(table(spark, d, "files").where("relative_path IS NOT NULL"), "relative_path", ["mtime", "scanned_at"], columns)
+def newest_files(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The newest version of each path, as files are meant by every query here, with the columns that are asked for.
+
+    Only these are read and shuffled: a column inside an aggregated row can't be pruned later.
+    """
+    return newest_of(table(spark, d, "files"), *columns)
+
+
+def newest_of(files: DataFrame, *columns: str) -> DataFrame:
+    """The newest row of each path; what can be computed of a row is computed before, so that texts aren't shuffled."""
+    return latest(files.where("relative_path IS NOT NULL"), "relative_path", ["mtime", "scanned_at"], list(columns) or ["mtime"])
 
 
 def module_owners(spark: SparkSession, d: str) -> DataFrame:
@@ -133,8 +140,11 @@ s AS (SELECT *, list_filter(ls, lambda x: trim(x) <> '') AS full_lines FROM l)
 SELECT relative_path, CAST(len(ls) AS BIGINT) AS line_count, strlen(content)::BIGINT AS size_bytes,
   CASE WHEN len(full_lines) = 0 THEN false ELSE list_sum(list_transform(full_lines, lambda x: strlen(x))) // len(full_lines) > 200 END AS minified FROM s""")
 def line_stats(spark: SparkSession, d: str) -> DataFrame:
-    f = newest_files(spark, d)
-    return f.select("relative_path", T.line_count("content").alias("line_count"), F.octet_length("content").cast("bigint").alias("size_bytes"), T.is_minified("content").alias("minified"))
+    f = table(spark, d, "files").select(
+        "relative_path", "mtime", "scanned_at", T.line_count("content").alias("line_count"), F.octet_length("content").cast("bigint").alias("size_bytes"),
+        T.is_minified("content").alias("minified"),
+    )
+    return newest_of(f, "line_count", "size_bytes", "minified")
 
 
 _LANGUAGE_SQL = "CASE lower(nullif(regexp_extract(relative_path, '[^/]\\.([^./]+)$', 1), '')) " + " ".join(f"WHEN '{e}' THEN '{x}'" for e, x in schemas.LANGUAGE_BY_EXTENSION.items()) + " ELSE 'Unknown' END"
@@ -142,8 +152,8 @@ _LANGUAGE_SQL = "CASE lower(nullif(regexp_extract(relative_path, '[^/]\\.([^./]+
 
 @query(f"WITH {_NEWEST} SELECT relative_path, nullif(regexp_extract(relative_path, '[^/]\\.([^./]+)$', 1), '') AS extension, {_LANGUAGE_SQL} AS language, strlen(content)::BIGINT AS size_bytes FROM newest")
 def file_entries(spark: SparkSession, d: str) -> DataFrame:
-    f = sources.file_entries(newest_files(spark, d).select("relative_path", "content", "mtime"))
-    return f.select("relative_path", "extension", "language", "size_bytes")
+    f = sources.file_entries(table(spark, d, "files").select("relative_path", "content", "mtime")).drop("content")
+    return latest(f.where("relative_path IS NOT NULL"), "relative_path", ["mtime"], ["extension", "language", "size_bytes"])
 
 
 @query(f"""WITH {_NEWEST} SELECT relative_path, {_DIR.format('relative_path')} AS dir, translate(relative_path, '/\\', '--') AS slug,
@@ -202,7 +212,7 @@ def window_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def symbol_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunk_by_symbols(newest_files(spark, d), distinct_symbols(spark, d)).select("id", "file_path", "start_line", "end_line", "hash", "chunk_type")
+    return chunking.chunk_by_symbols(newest_files(spark, d, "content"), distinct_symbols(spark, d)).select("id", "file_path", "start_line", "end_line", "hash", "chunk_type")
 
 
 def _markers_sql() -> str:
@@ -222,7 +232,7 @@ SELECT CASE keyword {kinds} ELSE 'BusinessRule' END AS kind, content, source_fil
 
 @query(_markers_sql())
 def extracted_markers(spark: SparkSession, d: str) -> DataFrame:
-    return markers.extract_markers(newest_files(spark, d)).select("kind", "content", "source_file", "line_number", "pass")
+    return markers.extract_markers(newest_files(spark, d, "content")).select("kind", "content", "source_file", "line_number", "pass")
 
 
 _CATEGORY = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in schemas.MARKER_KINDS.items()) + " END"
@@ -341,7 +351,7 @@ h AS (SELECT dst AS relative_path FROM edges WHERE dst IS NOT NULL GROUP BY 1 HA
 SELECT slug, count(*) AS file_count, CAST(coalesce(sum(w), 0) AS BIGINT) AS warning_count, CAST(coalesce(sum(m.h), 0) AS BIGINT) AS high_count, CAST(coalesce(sum(c), 0) AS BIGINT) AS symbol_count,
   bool_or(h.relative_path IS NOT NULL) AS is_hub FROM owners o LEFT JOIN m USING (relative_path) LEFT JOIN s USING (relative_path) LEFT JOIN h USING (relative_path) GROUP BY slug""")
 def module_rollup(spark: SparkSession, d: str) -> DataFrame:
-    large = newest_files(spark, d).where("line_count > 100").select("relative_path")
+    large = newest_files(spark, d, "line_count").where("line_count > 100").select("relative_path")
     return rollups.module_rollup(module_owners(spark, d), distinct_markers(spark, d), distinct_symbols(spark, d), graph.hub_files(table(spark, d, "edges")), large)
 
 
@@ -358,12 +368,12 @@ def prefix_warning_join(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_NEWEST}, {_MARKS} SELECT (SELECT count(*) FROM newest) AS total_files, (SELECT count_if(is_large) FROM newest) AS large_files, (SELECT count(*) FROM marks) AS total_markers,
   (SELECT count_if(priority = 'High') FROM marks) AS high_markers, (SELECT count(*) FROM modules) AS total_modules""")
 def project_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return rollups.project_rollup(newest_files(spark, d), distinct_markers(spark, d), table(spark, d, "modules"))
+    return rollups.project_rollup(newest_files(spark, d, "is_large"), distinct_markers(spark, d), table(spark, d, "modules"))
 
 
 @query(f"WITH {_NEWEST} SELECT language, count(*) AS n FROM newest WHERE len(string_split(relative_path, '/')) <= 5 GROUP BY 1 ORDER BY n DESC, language LIMIT 3")
 def language_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return rollups.language_histogram(newest_files(spark, d))
+    return rollups.language_histogram(newest_files(spark, d, "language"))
 
 
 @query("SELECT file_path, count(*) FILTER (visibility = 'Public') AS public_symbols FROM (SELECT DISTINCT file_path, kind, name, signature, line_range, visibility, doc_comment FROM symbols) GROUP BY 1")
@@ -374,7 +384,7 @@ def public_symbols(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_NEWEST}, s AS (SELECT file_path, count(*) FILTER (visibility = 'Public') AS public_symbols FROM (SELECT DISTINCT file_path, kind, name, signature, line_range, visibility, doc_comment FROM symbols) GROUP BY 1)
 SELECT relative_path, line_count, coalesce(public_symbols, 0) AS public_symbols FROM newest LEFT JOIN s ON file_path = relative_path WHERE line_count >= 300 OR coalesce(public_symbols, 0) >= 10""")
 def complex_files(spark: SparkSession, d: str) -> DataFrame:
-    return sources.complex_files(newest_files(spark, d), distinct_symbols(spark, d), 300, 10)
+    return sources.complex_files(newest_files(spark, d, "line_count"), distinct_symbols(spark, d), 300, 10)
 
 
 @query(f"WITH {_NEWEST} SELECT {_DIR.format('relative_path')} AS dir, count(*) AS n FROM newest GROUP BY 1")
@@ -388,14 +398,14 @@ _OLDEST = "oldest AS (SELECT relative_path, min(mtime) AS mtime FROM files WHERE
 
 @query(f"WITH {_NEWEST}, {_OWNERS} {_STATES.format('newest').replace('epoch(mtime)', 'floor(epoch(mtime))')}")
 def module_states(spark: SparkSession, d: str) -> DataFrame:
-    return incremental.module_states(module_owners(spark, d), newest_files(spark, d))
+    return incremental.module_states(module_owners(spark, d), newest_files(spark, d, "mtime"))
 
 
 def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Module states of the oldest versions before 2025, and of the newest versions."""
     old = table(spark, d, "files").where("relative_path IS NOT NULL").groupBy("relative_path").agg(F.min("mtime").alias("mtime")).where("mtime < TIMESTAMP '2025-01-01'")
     owners = module_owners(spark, d)
-    return incremental.module_states(owners, old), incremental.module_states(owners, newest_files(spark, d))
+    return incremental.module_states(owners, old), incremental.module_states(owners, newest_files(spark, d, "mtime"))
 
 
 @query(f"""WITH {_NEWEST}, {_OWNERS}, {_OLDEST}, a AS ({_STATES.format('oldest').replace('epoch(mtime)', 'floor(epoch(mtime))')}), b AS ({_STATES.format('newest').replace('epoch(mtime)', 'floor(epoch(mtime))')})
@@ -413,9 +423,9 @@ def check_result(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_NEWEST}, k AS (SELECT relative_path, substr(sha256(arg_min(content, mtime)), 1, 16) AS hash FROM files WHERE relative_path IS NOT NULL GROUP BY 1)
 SELECT relative_path, substr(sha256(content), 1, 16) AS hash FROM newest n WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.relative_path = n.relative_path AND k.hash = substr(sha256(n.content), 1, 16))""")
 def index_cdc(spark: SparkSession, d: str) -> DataFrame:
-    known = table(spark, d, "files").where("relative_path IS NOT NULL").groupBy("relative_path").agg(F.min_by("content", "mtime").alias("content"))
-    documents = known.select(F.col("relative_path").alias("path"), T.content_hash("content").alias("hash"))
-    return changed_files(newest_files(spark, d).select("relative_path", T.content_hash("content").alias("hash")), documents)
+    hashed = table(spark, d, "files").where("relative_path IS NOT NULL").select("relative_path", "mtime", "scanned_at", T.content_hash("content").alias("hash"))
+    documents = hashed.groupBy(F.col("relative_path").alias("path")).agg(F.min_by("hash", "mtime").alias("hash"))
+    return changed_files(newest_of(hashed, "hash"), documents)
 
 
 @query("SELECT DISTINCT dst AS path FROM edges WHERE dst IS NOT NULL AND dst NOT IN (SELECT relative_path FROM files WHERE relative_path IS NOT NULL)")
@@ -479,7 +489,7 @@ _LETTER = "CASE language WHEN 'Rust' THEN 'A' WHEN 'Go' THEN 'D' ELSE 'M' END"
 @query(f"""WITH {_NEWEST} SELECT relative_path AS path, CASE {_LETTER} WHEN 'A' THEN 'Added' WHEN 'D' THEN 'Deleted' ELSE 'Modified' END AS status,
   coalesce(line_count, 0) AS additions, CASE WHEN line_count IS NULL THEN 0 ELSE 1 END AS deletions FROM newest""")
 def diff_stat_join(spark: SparkSession, d: str) -> DataFrame:
-    f = newest_files(spark, d)
+    f = newest_files(spark, d, "language", "line_count")
     numbers = f.where("line_count IS NOT NULL").select(F.concat_ws("\t", F.col("line_count").cast("string"), F.lit("1"), "relative_path").alias("value"))
     return git.diff_stats(numbers, f.select(F.concat_ws("\t", F.expr(_LETTER), "relative_path").alias("value")))
 
@@ -492,19 +502,19 @@ def diff_restriction(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def extracted_symbols(spark: SparkSession, d: str) -> DataFrame:
-    f = newest_files(spark, d).withColumn("language", T.language(T.extension("relative_path")))
+    f = newest_files(spark, d, "content").withColumn("language", T.language(T.extension("relative_path")))
     rows = extract_symbols(f)
     return rows.select("file_path", "kind", "name", "signature", F.col("line_range.start").alias("start_line"), F.col("line_range.end").alias("end_line"), "visibility", "ord")
 
 
 @query()
 def extracted_imports(spark: SparkSession, d: str) -> DataFrame:
-    f = newest_files(spark, d).withColumn("language", T.language(T.extension("relative_path")))
+    f = newest_files(spark, d, "content").withColumn("language", T.language(T.extension("relative_path")))
     return graph.import_edges(extract_imports(f))
 
 
 def _parts(spark: SparkSession, d: str) -> DataFrame:
-    f, owners = newest_files(spark, d), module_owners(spark, d)
+    f, owners = newest_files(spark, d, "line_count"), module_owners(spark, d)
     large = f.where("line_count > 100")
     every = reports.outlines(distinct_symbols(spark, d), owners, large).unionByName(reports.module_memories(distinct_markers(spark, d), owners))
     return every.unionByName(reports.module_imports(table(spark, d, "edges"), owners))
@@ -512,7 +522,7 @@ def _parts(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def module_documents(spark: SparkSession, d: str) -> DataFrame:
-    return reports.module_documents(table(spark, d, "modules"), newest_files(spark, d), _parts(spark, d))
+    return reports.module_documents(table(spark, d, "modules"), newest_files(spark, d, "line_count", "language"), _parts(spark, d))
 
 
 @query()
@@ -523,12 +533,12 @@ def index_document(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def file_documents(spark: SparkSession, d: str) -> DataFrame:
-    return reports.file_documents(newest_files(spark, d), distinct_symbols(spark, d), distinct_markers(spark, d))
+    return reports.file_documents(newest_files(spark, d, "language", "line_count"), distinct_symbols(spark, d), distinct_markers(spark, d))
 
 
 @query()
 def project_json(spark: SparkSession, d: str) -> DataFrame:
-    return reports.project_json(newest_files(spark, d), distinct_markers(spark, d), distinct_symbols(spark, d), table(spark, d, "modules"), table(spark, d, "edges"))
+    return reports.project_json(newest_files(spark, d, "is_large", "line_count"), distinct_markers(spark, d), distinct_symbols(spark, d), table(spark, d, "modules"), table(spark, d, "edges"))
 
 
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -554,3 +564,70 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     events = _event_stream(spark, d)
     counts = watch.windowed_counts(events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type"), "ts", "event_type", "1 hour")
     return watch.collected(counts, "stream_windows", _checkpoint(spark, "windows")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(f"WITH {_NEWEST}, {_OWNERS} SELECT slug, relative_path, line_count, language FROM newest JOIN owners USING (relative_path)")
+def files_of_modules(spark: SparkSession, d: str) -> DataFrame:
+    return newest_files(spark, d, "line_count", "language").join(module_owners(spark, d), "relative_path").select("slug", "relative_path", "line_count", "language")
+
+
+@query(f"""WITH {_NEWEST} SELECT DISTINCT n.relative_path, s.name, s.kind, s.line_range.start AS start_line FROM newest n JOIN symbols s ON s.file_path = n.relative_path WHERE n.is_large""")
+def large_file_symbols(spark: SparkSession, d: str) -> DataFrame:
+    large = newest_files(spark, d, "is_large").where("is_large").select("relative_path")
+    s = table(spark, d, "symbols").select(F.col("file_path").alias("relative_path"), "name", "kind", F.col("line_range.start").alias("start_line"))
+    return large.join(s, "relative_path").distinct()
+
+
+@query(f"WITH {_OWNERS} SELECT dst, importers, slug FROM (SELECT dst, count(*) AS importers FROM edges WHERE dst IS NOT NULL GROUP BY dst HAVING count(*) >= 3) JOIN owners ON relative_path = dst")
+def hub_modules(spark: SparkSession, d: str) -> DataFrame:
+    hubs = graph.hub_files(table(spark, d, "edges"))
+    return hubs.join(module_owners(spark, d).withColumnRenamed("relative_path", "dst"), "dst").select("dst", "importers", "slug")
+
+
+@query(f"""WITH {_NEWEST}, m AS (SELECT DISTINCT path FROM modules), f AS (SELECT relative_path, {_DIR.format('relative_path')} AS dir FROM newest)
+SELECT relative_path, coalesce(arg_max(path, length(path)), '') AS path FROM f LEFT JOIN m ON dir = path OR (path <> '' AND starts_with(dir, path || '/')) GROUP BY 1""")
+def direct_files(spark: SparkSession, d: str) -> DataFrame:
+    return modules.direct_files(newest_files(spark, d), table(spark, d, "modules").select("path").distinct())
+
+
+@query(f"WITH {_OWNERS}, {_MARKS} SELECT slug, count(*) AS n FROM marks JOIN owners ON relative_path = source_file WHERE priority = 'High' GROUP BY 1")
+def warned_modules(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.warned_modules(module_owners(spark, d), distinct_markers(spark, d))
+
+
+@query("""SELECT doc_id, substr(text, 1, 200) AS preview, CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS params, strlen(text) BETWEEN 1 AND 499 AS inline,
+  strlen(text) // 4 AS tokens FROM documents WHERE text IS NOT NULL""")
+def previews(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").where("text IS NOT NULL")
+    return t.select("doc_id", T.preview("text").alias("preview"), T.params_preview("text").alias("params"), T.is_inline("text").alias("inline"), T.token_estimate("text").alias("tokens"))
+
+
+@query("SELECT doc_id, regexp_replace(text, '\\A(?:(?:[#\\[][^\\n]*)?(?:\\n|\\z))+', '') AS body FROM documents WHERE text IS NOT NULL")
+def stripped_headers(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", T.strip_navigation("text").alias("body"))
+
+
+@query()
+def bpe_tokens(spark: SparkSession, d: str) -> DataFrame:
+    from codestrata.functions.tokens import token_count
+
+    t = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", T.token_estimate("text").alias("estimate"), token_count(F.col("text")).alias("tokens"))
+    return t
+
+
+@query(f"""WITH {_NEWEST} SELECT relative_path FROM newest WHERE lower({_LANGUAGE_SQL}) IN ('rust', 'python') AND NOT contains(relative_path, '/gen/')
+  AND NOT regexp_matches(relative_path, '(?:^|/)\\.[^/]') AND len(string_split(relative_path, '/')) <= 6""")
+def scan_filters(spark: SparkSession, d: str) -> DataFrame:
+    f, p = newest_files(spark, d), F.col("relative_path")
+    return f.where(sources.included(p, ["Rust", "Python"], ["*/gen/*"]) & ~p.rlike(r"(?:^|/)\.[^/]") & (F.size(F.split(p, "/")) <= 6)).select("relative_path")
+
+
+@query()
+def output_file_count(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.output_files(_parts(spark, d))
+
+
+@query()
+def search_documents(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return reports.search_json(search.text_search(rows, WORDS, 20).select("id", "score", T.cli_preview("content").alias("preview")))

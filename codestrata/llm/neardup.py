@@ -58,7 +58,7 @@ def superminhash(elements: np.ndarray, owner: np.ndarray, n: int, positions: int
     for j in range(positions):
         if not len(rows):
             break
-        h = mix(elements[rows] + np.uint64(j + 1) * _GOLDEN)
+        h = mix(elements[rows] + np.uint64((j + 1) * int(_GOLDEN) & (1 << 64) - 1))
         k = j + (h >> np.uint64(40)) % np.uint64(positions - j)
         k = k.astype(np.int64)
         here, there = permutation[rows, j].copy(), permutation[rows, k]
@@ -70,8 +70,19 @@ def superminhash(elements: np.ndarray, owner: np.ndarray, n: int, positions: int
     return signature
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    """Hashes of 48 bits as six bytes each."""
+    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def shingle_hashes(words: list[str], size: int, seen: dict[str, int]) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the sequences of ``size`` successive words."""
+    """Sorted distinct 48-bit hashes of the sequences of ``size`` successive words."""
     ids = []
     for w in words:
         h = seen.get(w)
@@ -86,7 +97,7 @@ def shingle_hashes(words: list[str], size: int, seen: dict[str, int]) -> np.ndar
     out = np.zeros(len(a) - size + 1, dtype=np.uint64)
     for i in range(size):
         out = mix(out * np.uint64(3) + a[i : len(a) - size + 1 + i] + np.uint64(i))
-    return np.unique(out)
+    return np.unique(out & np.uint64((1 << 48) - 1))
 
 
 def _digest(word: str) -> bytes:
@@ -101,22 +112,21 @@ def _sets(size: int):  # noqa: ANN202
         for b in batches:
             words = [_WORD.findall(t.lower()) if t else [] for t in b["code"]]
             sets = [shingle_hashes(w, size, seen) for w in words]
-            keys = [_digest("s" + s.tobytes().hex()) if len(s) else _digest("w" + " ".join(w)) if w else None for s, w in zip(sets, words, strict=True)]
+            keys = [_digest("s" + packed(s).hex()) if len(s) else _digest("w" + " ".join(w)) if w else None for s, w in zip(sets, words, strict=True)]
             yield pd.DataFrame({
                 "id": b["id"], "updated_at": b["updated_at"], "version": b["version"],
-                "class": [int.from_bytes(k, "little", signed=True) if k else None for k in keys], "shingles": [s.view(np.int64) for s in sets],
+                "class": [int.from_bytes(k, "little", signed=True) if k else None for k in keys], "shingles": [packed(s) for s in sets],
             }).astype({"class": "Int64"})
 
     return rows
 
 
-def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(class, bands array<bigint>, signature binary); a position keeps the low 8 bits of its value's hash."""
+def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(class, signature binary): two bytes of the hash of each position's value."""
     for b in batches:
-        out_class, out_bands, out_signature = [], [], []
+        out = []
         for a in range(0, len(b), 256):
-            part = b.iloc[a : a + 256]
-            sets = [np.asarray(s, dtype=np.int64).view(np.uint64) for s in part["shingles"]]
+            sets = [unpacked(s) for s in b["shingles"].iloc[a : a + 256]]
             signature = np.full((len(sets), POSITIONS), np.float32(POSITIONS), dtype=np.float32)
             flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
             owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -126,24 +136,28 @@ def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 slice_signature = superminhash(flat[c : c + 65_536], part_owner, int(last - first) + 1)
                 signature[first : last + 1] = np.minimum(signature[first : last + 1], slice_signature)
             bits = mix(signature.view(np.uint32).astype(np.uint64) + _GOLDEN)
-            bands = np.zeros((len(sets), BANDS), dtype=np.uint64)
-            for r in range(ROWS):
-                bands = mix(bands + bits[:, r::ROWS] + np.uint64(r))
-            bands = mix(bands + np.arange(BANDS, dtype=np.uint64) * _GOLDEN)
-            out_class += list(part["class"])
-            out_bands += list(bands.view(np.int64))
-            out_signature += [s.tobytes() for s in (bits & np.uint64(255)).astype(np.uint8)]
-        yield pd.DataFrame({"class": out_class, "bands": out_bands, "signature": out_signature})
+            out += [s.tobytes() for s in (bits & np.uint64(65_535)).astype("<u2")]
+        yield pd.DataFrame({"class": b["class"], "signature": out})
+
+
+def bands(signed: DataFrame) -> DataFrame:
+    """(class, band): the bands of each signature; a band is its number and the bytes of its rows."""
+    number = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("n")
+    rows = F.substring("signature", F.col("n") * (2 * ROWS) + 1, F.lit(2 * ROWS))
+    return signed.select("class", "signature", number).select("class", F.xxhash64("n", rows).alias("band"))
 
 
 def shingle_classes(chunks: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """(membership (id, class), classes (class, shingles)): current records by equal shingle sets, both stored."""
+    """(membership (id, class), sets (class, shingles)): current records by equal shingle sets, and the sets of all rows.
+
+    The sets are stored once, by map tasks; only (id, time, class) is shuffled to choose the current rows. Sets
+    of outdated rows and repeated sets stay in the second table: whoever reads it takes one set of a class.
+    """
     rows = chunks.where("id IS NOT NULL").select("id", "updated_at", code_of().alias("code"))
     rows = rows.select("id", "updated_at", "code", F.xxhash64("code").alias("version"))
-    sets = rows.mapInPandas(_sets(size), "id string, updated_at timestamp, version bigint, class bigint, shingles array<bigint>")
-    current = keep(latest(sets, "id", ["updated_at", "version"], ["class", "shingles"]).where("class IS NOT NULL"), "sets")
-    classes = keep(current.where(F.size("shingles") > 0).groupBy("class").agg(F.first("shingles").alias("shingles")), "classes")
-    return current.select("id", "class"), classes
+    sets = keep(rows.mapInPandas(_sets(size), "id string, updated_at timestamp, version bigint, class bigint, shingles binary"), "sets")
+    current = latest(sets.drop("shingles"), "id", ["updated_at", "version"], ["class"]).where("class IS NOT NULL")
+    return keep(current, "members"), sets.where("class IS NOT NULL AND octet_length(shingles) > 0").select("class", "shingles")
 
 
 def _agreeing(threshold: float):  # noqa: ANN202
@@ -154,8 +168,8 @@ def _agreeing(threshold: float):  # noqa: ANN202
         for b in batches:
             left, right = [], []
             for xs, xsig, ys, ysig in zip(b["left"], b["left_signatures"], b["right"], b["right_signatures"], strict=True):
-                x = np.frombuffer(b"".join(xsig), dtype=np.uint8).reshape(len(xs), POSITIONS)
-                y = np.frombuffer(b"".join(ysig), dtype=np.uint8).reshape(len(ys), POSITIONS)
+                x = np.frombuffer(b"".join(xsig), dtype="<u2").reshape(len(xs), POSITIONS)
+                y = np.frombuffer(b"".join(ysig), dtype="<u2").reshape(len(ys), POSITIONS)
                 xs, ys = np.asarray(xs), np.asarray(ys)
                 for i in range(len(xs)):
                     for j in np.flatnonzero((y == x[i]).mean(axis=1) >= least):
@@ -167,7 +181,12 @@ def _agreeing(threshold: float):  # noqa: ANN202
     return pairs
 
 
-def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
+def one_of_each(sets: DataFrame) -> DataFrame:
+    """One set of each class; copies are dropped before the shuffle."""
+    return sets.groupBy("class").agg(F.first("shingles").alias("shingles"))
+
+
+def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity): every pair of classes, a < b, whose shingle sets have at least the similarity.
 
     Buckets of at most BUCKET_BLOCK classes are compared as they are: their signatures are looked up once,
@@ -175,15 +194,15 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
     blocks are compared by signature in their own tasks, so no task sees more than two blocks and only
     agreeing pairs leave it. Signatures never travel with the bands.
     """
-    signed = keep(classes.mapInPandas(_bands, "class bigint, bands array<bigint>, signature binary"), "signatures")
-    banded = signed.select("class", F.explode("bands").alias("band"))
+    signed = keep(one_of_each(sets).mapInPandas(_signatures, "class bigint, signature binary"), "signatures")
+    banded = bands(signed)
     sizes = banded.groupBy("band").count().where("count > 1")
     meeting = keep(banded.join(sizes, "band"), "bands")
     small = meeting.where(F.col("count") <= BUCKET_BLOCK).groupBy("band").agg(F.sort_array(F.collect_list("class")).alias("members"))
     members = small.select(F.explode(F.expr("transform(members, (x, i) -> struct(x AS a, slice(members, i + 2, size(members)) AS others))")).alias("m"))
     proposed = members.select("m.a", F.explode("m.others").alias("b")).distinct()
     proposed = proposed.unionByName(_large_buckets(meeting.where(F.col("count") > BUCKET_BLOCK), signed, threshold)).distinct()
-    return verified(proposed, classes, signed, threshold)
+    return verified(proposed, sets, signed, threshold)
 
 
 def _large_buckets(meeting: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
@@ -197,21 +216,22 @@ def _large_buckets(meeting: DataFrame, signed: DataFrame, threshold: float) -> D
     return left.join(right, ["band", "other"]).drop("band", "other").mapInPandas(_agreeing(threshold), "a bigint, b bigint")
 
 
-def verified(proposed: DataFrame, classes: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+def verified(proposed: DataFrame, sets: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     """Proposed pairs of classes whose signatures agree roughly and whose shingle sets have the similarity exactly."""
     least = threshold - 4 * (threshold * (1 - threshold) / POSITIONS) ** 0.5
 
     def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                x = np.frombuffer(b"".join(b["sa"]), dtype=np.uint8).reshape(len(b), POSITIONS)
-                y = np.frombuffer(b"".join(b["sb"]), dtype=np.uint8).reshape(len(b), POSITIONS)
+                x = np.frombuffer(b"".join(b["sa"]), dtype="<u2").reshape(len(b), POSITIONS)
+                y = np.frombuffer(b"".join(b["sb"]), dtype="<u2").reshape(len(b), POSITIONS)
                 yield b.loc[(x == y).mean(axis=1) >= least, ["a", "b"]]
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(b["xa"], b["xb"], strict=True)]
-            both = [len(x) + len(y) for x, y in zip(b["xa"], b["xb"], strict=True)]
+            sets = [(unpacked(x), unpacked(y)) for x, y in zip(b["xa"], b["xb"], strict=True)]
+            common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in sets]
+            both = [len(x) + len(y) for x, y in sets]
             similarity = np.array([c / (n - c) for c, n in zip(common, both, strict=True)])
             keep_rows = [c * (1 + threshold) >= threshold * n - 1e-9 for c, n in zip(common, both, strict=True)]
             yield pd.DataFrame({"a": b["a"], "b": b["b"], "similarity": similarity})[np.array(keep_rows, dtype=bool)]
@@ -219,8 +239,10 @@ def verified(proposed: DataFrame, classes: DataFrame, signed: DataFrame, thresho
     signatures = signed.select("class", "signature")
     signs = proposed.join(signatures.toDF("a", "sa"), "a").join(signatures.toDF("b", "sb"), "b")
     near = keep(signs.mapInPandas(agree, "a bigint, b bigint"), "near")
-    sets = near.join(classes.toDF("a", "xa"), "a").join(classes.toDF("b", "xb"), "b")
-    return sets.mapInPandas(exact, "a bigint, b bigint, similarity double")
+    wanted = near.select(F.col("a").alias("class")).unionByName(near.select(F.col("b").alias("class"))).distinct()
+    held = one_of_each(sets.join(wanted, "class", "left_semi"))
+    both = near.join(held.toDF("a", "xa"), "a").join(held.toDF("b", "xb"), "b")
+    return both.mapInPandas(exact, "a bigint, b bigint, similarity double")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -247,10 +269,12 @@ def components(pairs: DataFrame) -> DataFrame:
 def near_duplicates(chunks: DataFrame, threshold: float = 0.8, size: int = 5) -> tuple[DataFrame, DataFrame]:
     """(membership (id, class), links (a, b, similarity)) of all current records.
 
-    Copies share a class; links are between classes; together they hold every pair of similar records.
+    Copies share a class; links are between classes of current records; together they hold every pair of similar records.
     """
-    members, classes = shingle_classes(chunks, size)
-    return members, similar_classes(classes, threshold)
+    members, sets = shingle_classes(chunks, size)
+    held = members.select("class").distinct()
+    links = similar_classes(sets, threshold).join(held.toDF("a"), "a", "left_semi").join(held.toDF("b"), "b", "left_semi")
+    return members, links
 
 
 def duplicate_groups(chunks: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:

@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from codestrata.shared import keep, latest
 
 #: Numbers of a vector; vectors of a shard; vectors sampled for each centre; rounds of fitting; shards that a vector queries.
-WIDTH, SHARD, PER_CENTRE, ROUNDS, PROBES = 128, 4096, 64, 8, 2
+WIDTH, SHARD, PER_CENTRE, ROUNDS, PROBES = 128, 2048, 64, 8, 2
 #: Most centres: their table (2 MB) is broadcast and their sample (PER_CENTRE vectors each, 128 MB) is fitted on the
 #: driver, whatever the number of vectors; beyond SHARD * CENTRES vectors shards are cut into parts.
 CENTRES = 4096
 #: Edges of a vertex, width of the beam when building and searching, vertices expanded at once, relaxation of the pruning.
-DEGREE, BUILD_BEAM, BEAM, EXPAND, ALPHA = 24, 24, 24, 8, 1.02
+DEGREE, BUILD_BEAM, BEAM, EXPAND, ALPHA = 24, 24, 40, 8, 1.02
 #: Vertices joined by brute force at first, entry points of a search, queries searched together.
 SEED_SIZE, ENTRIES, BATCH = 256, 1024, 1024
 
@@ -124,7 +124,7 @@ class VectorGraph:
         entries = self.entries[self.entries < n]
         first = queries @ self.x[entries].T
         width = min(beam, len(entries))
-        order = np.argsort(-first, axis=1)[:, :width]
+        order = np.argpartition(-first, width - 1, axis=1)[:, :width]
         ids = np.full((m, beam), -1, dtype=np.int32)
         sims = np.full((m, beam), -np.inf, dtype=np.float32)
         ids[:, :width], sims[:, :width] = entries[order], np.take_along_axis(first, order, axis=1)
@@ -271,14 +271,14 @@ def nearest_vectors(units: DataFrame, k: int = 5, shard: int = SHARD, probes: in
     """(id, other, rank, similarity): the k most similar other vectors that the searches find for every vector.
 
     ``units`` is a stored table of unit_vectors. One shuffle brings each shard together, by (shard, part): a
-    shard that holds more than twice SHARD vectors, as a hot cluster does, is cut into random parts that are
+    shard that holds more than 5/4 of SHARD vectors, as a hot cluster does, is cut into random parts that are
     all queried. A second, of k answers a shard and vector, keeps the best.
     """
     n = units.count()
     centres = fit_centres(units, n, shard)
     placed = placements(units, centres, probes)
     sizes = placements(units.select("id", "unit"), centres, 1).groupBy("shard").count()
-    parts = {r.shard: -(-r["count"] // (2 * shard)) for r in sizes.collect()}  # one row a centre, CENTRES at most
+    parts = {r.shard: -(-4 * r["count"] // (5 * shard)) for r in sizes.collect()}  # one row a centre, CENTRES at most
     cut = F.create_map(*[F.lit(v) for kv in parts.items() for v in kv]) if any(v > 1 for v in parts.values()) else None
     count = F.coalesce(cut[F.col("shard")], F.lit(1)) if cut is not None else F.lit(1)
     own = F.pmod(F.xxhash64("id"), count).cast("int")

@@ -116,7 +116,7 @@ class Winnower:
         self.weights = np.array([pow(int(power), K - i, 1 << 64) for i in range(K)], dtype=np.uint64)
 
     def tokens(self, text: str, lexer: str) -> np.ndarray:
-        bare = FAMILIES[lexer].sub(lambda m: " " if m.lastgroup == "comment" else ' "" ' if m.lastgroup == "string" else m[0], text)
+        bare = FAMILIES[lexer].sub(lambda m: " " if m.lastgroup == "comment" else m[0], text)
         seen, out = self.seen, []
         for t in _TOKEN.findall(bare):
             h = seen.get(t)

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Successive words that make a leak; BM25 parameters; postings of a block; groups of items by the score they need; items of one index (larger sets are indexed in parts).
 RUN, K1, B, BLOCK, GROUPS, ITEMS = 12, 1.2, 0.75, 16, 12, 20_000
+#: Bytes of item texts that one index, and so one broadcast, holds besides its last item.
+ITEM_BYTES = 8 << 20
 #: What a word that a group doesn't hold counts in an upper bound.
 ABSENT = -1e4
 _WORD = re.compile(r"[^\W_]+")
@@ -176,16 +178,17 @@ def leaked_items(documents: DataFrame, items: DataFrame, run: int = RUN) -> Data
     """(doc_id, item_id, n_words): every document with every item it leaks and the longest shared run.
 
     Map-only over the documents. The items are a held-out set that doesn't grow with the corpus; they are
-    indexed ``ITEMS`` at a time, so that what is broadcast stays bounded, and each part is one pass.
+    indexed ``ITEMS`` or ``ITEM_BYTES`` at a time, so that what is broadcast stays bounded, and each part is one pass.
     """
     spark = documents.sparkSession
     rows = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct().orderBy("item_id", "text")
-    parts, part = [], []
+    parts, part, size = [], [], 0
     for r in rows.toLocalIterator():
         part.append((r.item_id, r.text))
-        if len(part) == ITEMS:
+        size += len(r.text)
+        if len(part) == ITEMS or size >= ITEM_BYTES:
             parts.append(part)
-            part = []
+            part, size = [], 0
     texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL AND text <> ''").select("doc_id", "text")
     found = []
     for part in [*parts, part] if part or not parts else parts:

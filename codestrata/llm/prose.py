@@ -26,8 +26,8 @@ from codestrata.shared import latest
 
 #: The languages that are told apart; the first is the default.
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "vi", "ru", "zh", "ja")
-#: Labelled documents of each language that the classifier is fitted on, at most.
-PER_LANGUAGE = 200
+#: Labelled documents of each language that the classifier is fitted on, at most, and the bytes of one at most.
+PER_LANGUAGE, SAMPLE_BYTES = 200, 32_768
 #: Hash buckets of the n-grams, lengths of the n-grams, words (or CJK letters) that prose has at least.
 BUCKETS, NGRAMS, MIN_WORDS, MIN_CJK = 1 << 16, (1, 2, 3, 4), 4, 6
 #: How much likelier, in nats, another language must be than English.
@@ -112,12 +112,12 @@ class LanguageModel:
 
 
 def labelled_sample(documents: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """At most ``per_language`` documents of each language, chosen by hash: a bounded sample for fitting a model.
+    """At most ``per_language`` documents of at most SAMPLE_BYTES of each language, chosen by hash, for fitting a model.
 
     The rank filter is pushed below the shuffle, so each task sends at most that many rows of a language.
     """
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rows = documents.where(F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull()).withColumn("_n", F.row_number().over(order))
+    rows = documents.where(F.col("lang").isin(*LANGUAGES) & (F.octet_length("text") <= SAMPLE_BYTES)).withColumn("_n", F.row_number().over(order))
     return [(r.lang, r.text) for r in rows.where(F.col("_n") <= per_language).select("lang", "text").collect()]
 
 

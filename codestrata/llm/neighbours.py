@@ -25,6 +25,8 @@ from codestrata.shared import keep, latest
 
 #: Numbers of a vector; vectors of a shard; vectors sampled for each centre; rounds of fitting; shards that a vector queries.
 WIDTH, SHARD, PER_CENTRE, ROUNDS, PROBES = 128, 2048, 64, 8, 2
+#: Shards of more than HOT times SHARD vectors are cut into parts.
+HOT = 4
 #: Most centres: their table (2 MB) is broadcast and their sample (PER_CENTRE vectors each, 128 MB) is fitted on the
 #: driver, whatever the number of vectors; beyond SHARD * CENTRES vectors shards are cut into parts.
 CENTRES = 4096
@@ -240,29 +242,24 @@ def placements(units: DataFrame, centres: np.ndarray, probes: int = PROBES) -> D
     return units.mapInPandas(rows, "id string, unit binary, shard int, home boolean")
 
 
-def _answers(k: int, beam: int):  # noqa: ANN202
+def _answers(k: int, beam: int, shard: int):  # noqa: ANN202
     def rows(pdf: pd.DataFrame) -> pd.DataFrame:
         home = pdf["home"].to_numpy(dtype=bool)
         x = np.frombuffer(b"".join(pdf["unit"]), dtype=np.float32).reshape(len(pdf), -1)
         order = np.argsort(pdf["id"].to_numpy()[home].astype(str), kind="stable")
-        members, names = x[home][order], pdf["id"].to_numpy()[home][order]
-        empty = pd.DataFrame({"id": [], "other": [], "similarity": []}).astype({"id": str, "other": str, "similarity": float})
+        members, names, asking = x[home][order], pdf["id"].to_numpy()[home][order], pdf["id"].to_numpy()
         if not len(members):
-            return empty
+            return pd.DataFrame({"id": [], "found": []})
         shuffled = np.random.default_rng(0).permutation(len(members))
-        members, names = np.ascontiguousarray(members[shuffled]), names[shuffled]
-        graph = VectorGraph(members)
-        out = []
-        asking = pdf["id"].to_numpy()
-        for a in range(0, len(x), BATCH):
-            ids, sims = graph.search(np.ascontiguousarray(x[a : a + BATCH]), beam)
-            ids, sims = ids[:, : k + 1], sims[:, : k + 1]
-            found = pd.DataFrame({
-                "id": np.repeat(asking[a : a + BATCH], ids.shape[1]), "other": names[np.maximum(ids, 0)].ravel(),
-                "similarity": sims.ravel().astype(np.float64),
-            })
-            out.append(found[(ids.ravel() >= 0) & (found["id"] != found["other"])])
-        return pd.concat(out) if out else empty
+        found: list[list[dict]] = [[] for _ in range(len(x))]
+        for part in np.array_split(shuffled, -(-4 * len(members) // (5 * shard))):
+            graph, own = VectorGraph(np.ascontiguousarray(members[part])), names[part]
+            for a in range(0, len(x), BATCH):
+                ids, sims = graph.search(np.ascontiguousarray(x[a : a + BATCH]), beam)
+                for i, (row, values) in enumerate(zip(ids[:, : k + 1].tolist(), sims[:, : k + 1].tolist(), strict=True), a):
+                    found[i] += [{"far": -v, "other": own[j]} for j, v in zip(row, values, strict=True) if j >= 0 and own[j] != asking[i]]
+        best = [sorted(f, key=lambda n: (n["far"], n["other"]))[:k] for f in found]
+        return pd.DataFrame({"id": asking, "found": best})
 
     return rows
 
@@ -270,24 +267,25 @@ def _answers(k: int, beam: int):  # noqa: ANN202
 def nearest_vectors(units: DataFrame, k: int = 5, shard: int = SHARD, probes: int = PROBES, beam: int = BEAM) -> DataFrame:
     """(id, other, rank, similarity): the k most similar other vectors that the searches find for every vector.
 
-    ``units`` is a stored table of unit_vectors. One shuffle brings each shard together, by (shard, part): a
-    shard that holds more than 5/4 of SHARD vectors, as a hot cluster does, is cut into random parts that are
-    all queried. A second, of k answers a shard and vector, keeps the best.
+    ``units`` is a stored table of unit_vectors. One shuffle brings each shard together; inside its task a shard
+    of more than 5/4 of SHARD vectors becomes several graphs that are all queried. A shard of more than HOT times
+    SHARD, as a hot cluster makes it, is cut into random parts, which are tasks of their own and all queried. A
+    second shuffle, of k answers a shard and vector, keeps the best.
     """
     n = units.count()
     centres = fit_centres(units, n, shard)
     placed = placements(units, centres, probes)
     sizes = placements(units.select("id", "unit"), centres, 1).groupBy("shard").count()
-    parts = {r.shard: -(-4 * r["count"] // (5 * shard)) for r in sizes.collect()}  # one row a centre, CENTRES at most
+    parts = {r.shard: -(-r["count"] // (HOT * shard)) for r in sizes.collect()}  # one row a centre, CENTRES at most
     cut = F.create_map(*[F.lit(v) for kv in parts.items() for v in kv]) if any(v > 1 for v in parts.values()) else None
     count = F.coalesce(cut[F.col("shard")], F.lit(1)) if cut is not None else F.lit(1)
     own = F.pmod(F.xxhash64("id"), count).cast("int")
     placed = placed.withColumn("part", F.explode(F.sequence(F.lit(0), count.cast("int") - 1)))
     placed = placed.withColumn("home", F.col("home") & (F.col("part") == own))
-    found = placed.groupBy("shard", "part").applyInPandas(_answers(k, beam), "id string, other string, similarity double")
-    best = F.slice(F.sort_array(F.collect_set(F.struct((-F.col("similarity")).alias("far"), "other"))), 1, k)
+    found = placed.groupBy("shard", "part").applyInPandas(_answers(k, beam, shard), "id string, found array<struct<far:float,other:string>>")
+    best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k)
     answers = found.groupBy("id").agg(best.alias("best")).select("id", F.posexplode("best").alias("rank", "b"))
-    return answers.select("id", F.col("b.other").alias("other"), (F.col("rank") + 1).alias("rank"), (-F.col("b.far")).alias("similarity"))
+    return answers.select("id", F.col("b.other").alias("other"), (F.col("rank") + 1).alias("rank"), (-F.col("b.far")).cast("double").alias("similarity"))
 
 
 def similar_pairs(neighbours: DataFrame, least: float) -> DataFrame:

@@ -3,7 +3,8 @@
 Four independent findings are made of each file from its own path and content,
 and one from the whole collection: the file's normalized token stream is
 fingerprinted by winnowing, and a file whose fingerprints mostly recur in many
-other repositories is a vendored copy.
+other repositories is a vendored copy. A table of literals has no token stream
+that could tell copies apart, so files found to be data have no fingerprints.
 
 Nulls, empty and very long texts: a null or empty content has no finding from
 content; a null path is dropped (it can't be listed); of several versions of a
@@ -116,7 +117,7 @@ class Winnower:
         self.weights = np.array([pow(int(power), K - i, 1 << 64) for i in range(K)], dtype=np.uint64)
 
     def tokens(self, text: str, lexer: str) -> np.ndarray:
-        bare = FAMILIES[lexer].sub(lambda m: " " if m.lastgroup == "comment" else m[0], text)
+        bare = FAMILIES[lexer].sub(lambda m: " " if m.lastgroup == "comment" else ' "" ' if m.lastgroup == "string" else m[0], text)
         seen, out = self.seen, []
         for t in _TOKEN.findall(bare):
             h = seen.get(t)
@@ -146,10 +147,11 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     winnow = Winnower()
     for b in batches:
         texts = [t or "" for t in b["content"]]
+        found = [own_findings(p, t) for p, t in zip(b["relative_path"], texts, strict=True)]
         yield pd.DataFrame({
             "relative_path": b["relative_path"], "repo": b["repo"], "mtime": b["mtime"], "scanned_at": b["scanned_at"],
-            "found": [own_findings(p, t) for p, t in zip(b["relative_path"], texts, strict=True)],
-            "prints": [winnow(t, family(lang, p)) for lang, p, t in zip(b["language"], b["relative_path"], texts, strict=True)],
+            "found": found,
+            "prints": [winnow("" if "data" in f else t, family(lang, p)) for lang, p, t, f in zip(b["language"], b["relative_path"], texts, found, strict=True)],
         })
 
 

@@ -177,5 +177,5 @@ def test_query(spark: SparkSession, name: str) -> None:
         con = duckdb.connect()
         for p in Path(DATA).glob("*.parquet"):
             con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
-        want = con.execute(oracle_sql()[name]).fetch_arrow_table()
+        want = con.execute(oracle_sql()[name]).to_arrow_table()
         assert rows == sorted(tuple(str(r[c]) for c in sorted(got.columns)) for r in want.to_pylist())

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import credentials, functions, leakage, mixing, neardup, neighbours, origin, prose, splitting
+from codestrata.llm import credentials, encodings, functions, leakage, mixing, neardup, neighbours, origin, prose, splitting
 from codestrata.llm.queries import oracle_sql, queries
 
 DATA = "/root/testdata/sf0.001"
@@ -144,6 +144,16 @@ def test_splitting_of_table(spark: SparkSession) -> None:
     assert splitting.pieces_of(splitting.oversized_chunks(rows.limit(0), config)).count() == 0
 
 
+def test_garbled_documents_of_the_sample(spark: SparkSession) -> None:
+    words = "разборщик проверяет размер буфера очередь задач ждёт ответа функция отклоняет пути вне проекта хотя описании сказано иначе служба читает настройки перед запуском".split()
+    rng = np.random.default_rng(3)
+    right = [" ".join(words[i] for i in rng.integers(0, len(words), 12)).capitalize() + "." for _ in range(120)]
+    bad = [t.encode("cp1251").decode("cp1252") for t in right[:6]]
+    documents = spark.createDataFrame([(i, "ru", t) for i, t in enumerate(right[6:] + bad)], "doc_id bigint, lang string, text string")
+    got = {r.doc_id: (r.repaired, r.chains) for r in encodings.repaired_texts(documents, encodings.fitted(documents)).collect()}
+    assert got == {114 + i: (t, ["sloppy-1252:cp1251"]) for i, t in enumerate(right[:6])}
+
+
 def test_mixture(spark: SparkSession) -> None:
     docs = [(i, "big", f"text number {i} of the large source") for i in range(200)] + [(1000 + i, " Small ", f"small text {i}") for i in range(10)] + [(2000, None, "nowhere"), (2001, "odd", "unlisted"), (2002, "big", None), (2003, "big", ""), (2004, "small", "small text 0")]
     documents = spark.createDataFrame(docs, "doc_id bigint, source string, text string")

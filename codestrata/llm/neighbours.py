@@ -4,8 +4,9 @@ Vectors are placed in shards by the nearest of a set of centres (fitted on a
 bounded sample; shards that are over a size are cut at random). Each shard is a
 robust-pruned directed graph: vectors are inserted in growing batches, greedy
 beam searches over the graph so far propose neighbours, and relaxed distance
-pruning keeps few, diverse edges. Every vector then queries the shards of its
-nearest centres by beam search, and the best of all answers are kept.
+pruning keeps few, diverse edges. Every vector then queries by beam search all
+shards whose centre is almost as similar to it as the nearest one, however many
+they are, and the best of all answers are kept.
 
 A vector is usable if it has the right length, all its numbers are finite and
 not all are zero; others take no part. Only the current row of an id counts.
@@ -23,8 +24,11 @@ from pyspark.sql import functions as F
 
 from codestrata.shared import keep, latest
 
-#: Numbers of a vector; vectors of a shard; vectors sampled for each centre; rounds of fitting; shards that a vector queries.
-WIDTH, SHARD, PER_CENTRE, ROUNDS, PROBES = 128, 2048, 64, 8, 2
+#: Numbers of a vector; vectors of a shard; vectors sampled for each centre; rounds of fitting.
+WIDTH, SHARD, PER_CENTRE, ROUNDS = 128, 2048, 64, 8
+#: A vector queries the shards whose centre's cosine is at most so much less than the nearest centre's: few where it
+#: lies deep in a cluster of its own shard, many where centres are sparse or a cluster is spread over many shards.
+MARGIN = 0.2
 #: Shards of more than HOT times SHARD vectors are cut into parts.
 HOT = 4
 #: Most centres: their table (2 MB) is broadcast and their sample (PER_CENTRE vectors each, 128 MB) is fitted on the
@@ -222,22 +226,24 @@ def fit_centres(units: DataFrame, n: int, shard: int = SHARD, seed: int = 0) ->
     return centres.astype(np.float32)
 
 
-def placements(units: DataFrame, centres: np.ndarray, probes: int = PROBES) -> DataFrame:
-    """(id, unit, shard, home): each vector in the shards of its nearest centres; ``home`` marks the nearest."""
+def placements(units: DataFrame, centres: np.ndarray, margin: float = MARGIN) -> DataFrame:
+    """(id, unit, shard, home): each vector in the shards of all centres within the margin; ``home`` marks the nearest."""
     shared = units.sparkSession.sparkContext.broadcast(centres)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = shared.value
-        k = min(probes, len(c))
         for b in batches:
             if not len(b):
                 continue
             x = np.frombuffer(b"".join(b["unit"]), dtype=np.float32).reshape(len(b), -1)
-            near = np.argsort(-(x @ c.T), axis=1)[:, :k]
-            yield pd.DataFrame({
-                "id": np.repeat(b["id"].to_numpy(), k), "unit": np.repeat(b["unit"].to_numpy(), k),
-                "shard": near.ravel().astype(np.int32), "home": np.tile(np.arange(k) == 0, len(b)),
-            })
+            ids, raw = b["id"].to_numpy(), b["unit"].to_numpy()
+            for a in range(0, len(x), 1024):
+                sims = x[a : a + 1024] @ c.T
+                nearest = sims.argmax(axis=1)
+                row, shard = np.nonzero(sims >= sims.max(axis=1, keepdims=True) - margin)
+                for i in range(0, len(row), 16_384):
+                    r, s = row[i : i + 16_384], shard[i : i + 16_384]
+                    yield pd.DataFrame({"id": ids[a + r], "unit": raw[a + r], "shard": s.astype(np.int32), "home": nearest[r] == s})
 
     return units.mapInPandas(rows, "id string, unit binary, shard int, home boolean")
 
@@ -264,7 +270,7 @@ def _answers(k: int, beam: int, shard: int):  # noqa: ANN202
     return rows
 
 
-def nearest_vectors(units: DataFrame, k: int = 5, shard: int = SHARD, probes: int = PROBES, beam: int = BEAM) -> DataFrame:
+def nearest_vectors(units: DataFrame, k: int = 5, shard: int = SHARD, margin: float = MARGIN, beam: int = BEAM) -> DataFrame:
     """(id, other, rank, similarity): the k most similar other vectors that the searches find for every vector.
 
     ``units`` is a stored table of unit_vectors. One shuffle brings each shard together; inside its task a shard
@@ -274,8 +280,8 @@ def nearest_vectors(units: DataFrame, k: int = 5, shard: int = SHARD, probes: in
     """
     n = units.count()
     centres = fit_centres(units, n, shard)
-    placed = placements(units, centres, probes)
-    sizes = placements(units.select("id", "unit"), centres, 1).groupBy("shard").count()
+    placed = placements(units, centres, margin)
+    sizes = placements(units.select("id", "unit"), centres, 0.0).where("home").groupBy("shard").count()
     parts = {r.shard: -(-r["count"] // (HOT * shard)) for r in sizes.collect()}  # one row a centre, CENTRES at most
     cut = F.create_map(*[F.lit(v) for kv in parts.items() for v in kv]) if any(v > 1 for v in parts.values()) else None
     count = F.coalesce(cut[F.col("shard")], F.lit(1)) if cut is not None else F.lit(1)

@@ -92,6 +92,20 @@ def test_vectors(spark: SparkSession) -> None:
     assert neighbours.nearest_vectors(neighbours.unit_vectors(chunks(spark, bad)), 5).count() == 0
 
 
+def test_recall_where_clusters_are_spread_over_shards(spark: SparkSession) -> None:
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(4, 128)).repeat(300, axis=0) + rng.normal(size=(1200, 128))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    names = [f"v{i:04}" for i in range(len(x))]
+    units = neighbours.unit_vectors(chunks(spark, [(n, "x", T1, v.tolist()) for n, v in zip(names, x, strict=True)]))
+    found: dict[str, set[str]] = {}
+    for r in neighbours.nearest_vectors(units, 5, shard=64).collect():
+        found.setdefault(r.id, set()).add(r.other)
+    sims = x @ x.T
+    np.fill_diagonal(sims, -2)
+    assert np.mean([len({names[j] for j in np.argsort(-sims[i])[:5]} & found[n]) / 5 for i, n in enumerate(names)]) > 0.9
+
+
 def test_graph_recall_in_a_large_shard() -> None:
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(40, 128))

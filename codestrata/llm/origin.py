@@ -2,8 +2,10 @@
 
 Four independent findings are made of each file from its own path and content,
 and one from the whole collection: the file's normalized token stream is
-fingerprinted by winnowing, and a file whose fingerprints mostly recur in many
-other repositories is a vendored copy. A table of literals has no token stream
+fingerprinted by winnowing. A file is a vendored copy if its fingerprints mostly
+recur in many repositories, or if a few other repositories each hold one file
+with mostly the same fingerprints: those of idioms and shared functions recur
+too, but not together and in files of the same extent. A table of literals has no token stream
 that could tell copies apart, so files found to be data have no fingerprints.
 
 Nulls, empty and very long texts: a null or empty content has no finding from
@@ -25,9 +27,9 @@ from pyspark.sql import functions as F
 from codestrata.llm.codelex import FAMILIES, family
 from codestrata.shared import keep, latest
 
-#: Winnowing: tokens of a fingerprint, fingerprints of a window, share of a file that must recur, and in how many
-#: repositories besides its own.
-K, WINDOW, SHARE, REPOS = 16, 12, 0.8, 12
+#: Winnowing: tokens of a fingerprint, fingerprints of a window, share of a file that must recur; a fingerprint of more
+#: than REPOS repositories is common by itself, others count where COPIES other repositories hold them in one file each.
+K, WINDOW, SHARE, REPOS, COPIES = 16, 12, 0.8, 12, 2
 
 #: Folders that hold other people's packages, and output of tools.
 VENDOR_DIRS = {"vendor", "third_party", "third-party", "deps", "external", "extern", "pods", "node_modules", "bower_components"}
@@ -155,12 +157,28 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         })
 
 
-def file_origins(files: DataFrame, share: float = SHARE, repos: int = REPOS) -> DataFrame:
+def copied_files(recurring: DataFrame, sizes: DataFrame, share: float, repos: int, copies: int) -> DataFrame:
+    """(relative_path): files that at least ``copies`` other repositories hold too, apart from fingerprints of more than ``repos``.
+
+    ``recurring`` has the fingerprints of more than one repository, ``sizes`` each file's count of fingerprints and
+    of common ones. Only files of which the share recurs anywhere are compared: each copy of a file is such.
+    """
+    rare = recurring.where(F.col("count") <= repos)
+    n_rare = rare.groupBy("relative_path").agg(F.count("*").alias("n_rare"))
+    alike = sizes.join(n_rare, "relative_path").withColumn("own", F.col("size") - F.col("common")).where(F.col("n_rare") >= F.lit(share) * F.col("own"))
+    a = rare.join(alike.select("relative_path", "own"), "relative_path").select("print", "repo", "relative_path", "own")
+    b = a.select("print", F.col("repo").alias("other_repo"), F.col("relative_path").alias("other"), F.col("own").alias("other_own"))
+    both = a.join(b, "print").where("repo != other_repo").groupBy("relative_path", "own", "other", "other_repo", "other_own").count()
+    same = both.where(F.col("count") >= F.lit(share) * F.greatest("own", "other_own"))
+    return same.groupBy("relative_path").agg(F.countDistinct("other_repo").alias("n")).where(F.col("n") >= copies).select("relative_path")
+
+
+def file_origins(files: DataFrame, share: float = SHARE, repos: int = REPOS, copies: int = COPIES) -> DataFrame:
     """(relative_path, repo, found array<string>, recurring double): one row per path; ``found`` is empty for hand-written files.
 
     Shuffles one row of fingerprints per file, then (fingerprint, repository)
-    pairs after a partial distinct; only fingerprints that recur in enough
-    repositories are joined back, and AQE broadcasts them if they are few.
+    pairs after a partial distinct; only fingerprints that recur in another
+    repository are joined back, and files are compared by those only.
     """
     rows = files.where("relative_path IS NOT NULL").select(
         "relative_path", F.coalesce("repo", F.element_at(F.split("relative_path", "/"), 1)).alias("repo"), "language", "content", "mtime", "scanned_at"
@@ -169,10 +187,14 @@ def file_origins(files: DataFrame, share: float = SHARE, repos: int = REPOS) ->
     newest = latest(rows.mapInPandas(_rows, schema), "relative_path", ["mtime", "scanned_at"], ["repo", "found", "prints"])
     newest = keep(newest, "origin")
     prints = newest.select("relative_path", "repo", F.explode("prints").alias("print"))
-    common = prints.select("print", "repo").distinct().groupBy("print").count().where(F.col("count") > repos).select("print")
-    shared = prints.join(common, "print").groupBy("relative_path").agg(F.count("*").alias("n"))
+    counts = prints.select("print", "repo").distinct().groupBy("print").count().where("count > 1")
+    again = keep(prints.join(counts, "print"), "recurring")
+    common = again.where(F.col("count") > repos).groupBy("relative_path").agg(F.count("*").alias("n"))
+    sizes = newest.select("relative_path", F.size("prints").alias("size")).join(common, "relative_path", "left")
+    sizes = sizes.select("relative_path", "size", F.coalesce("n", F.lit(0)).alias("common"))
+    copied = copied_files(again, sizes, share, repos, copies).withColumn("copied", F.lit(True))
     recurring = F.coalesce(F.col("n") / F.size("prints"), F.lit(0.0))
-    copied = F.when(recurring >= share, F.array(F.lit("vendored"))).otherwise(F.array().cast("array<string>"))
-    return newest.join(shared, "relative_path", "left").select(
-        "relative_path", "repo", F.array_union("found", copied).alias("found"), recurring.alias("recurring")
+    vendored = F.when((recurring >= share) | F.col("copied"), F.array(F.lit("vendored"))).otherwise(F.array().cast("array<string>"))
+    return newest.join(common, "relative_path", "left").join(copied, "relative_path", "left").select(
+        "relative_path", "repo", F.array_union("found", vendored).alias("found"), recurring.alias("recurring")
     )

@@ -129,6 +129,17 @@ def test_origins_of_table(spark: SparkSession) -> None:
     assert origin.file_origins(files.limit(0)).count() == 0
 
 
+def test_copies_in_a_few_repositories(spark: SparkSession) -> None:
+    def code(name: str, n: int = 80) -> str:
+        return " ".join(f"{name}_{i} ( v{i} ) ;" for i in range(n))
+
+    rows = [(f"r{k}", f"r{k}/src/a.js", f"{code('call')} {code(f'own{k}', 4)}") for k in range(3)]  # a package, changed a little
+    rows += [("p0", "p0/src/b.js", code("pair")), ("p1", "p1/src/b.js", code("pair"))]  # two only: neither is known to be the copy
+    rows += [(f"s{k}", f"s{k}/src/c.js", f"{code('part', 40)} {code(f'rest{k}')}") for k in range(4)] + [("s9", "s9/src/c.js", code("part", 40))]  # a shared function
+    files = spark.createDataFrame([(*r, "JavaScript", T1, T1) for r in rows], "repo string, relative_path string, content string, language string, mtime timestamp, scanned_at timestamp")
+    assert {r.relative_path for r in origin.file_origins(files).where("size(found) > 0").collect()} == {f"r{k}/src/a.js" for k in range(3)}
+
+
 def test_documented_functions(spark: SparkSession) -> None:
     schema = "file_path string, kind string, name string, signature string, line_range struct<start:int,end:int>, doc_comment string"
     doc = "/// Reads every entry of the old table."

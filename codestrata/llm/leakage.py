@@ -102,6 +102,20 @@ class Postings:
                 c[0] = postings[c[1]][0]
 
 
+def moving_sums(values: np.ndarray, run: int) -> np.ndarray:
+    """The sum of every ``run`` successive rows, from sums of 1, 2, 4 and so on rows, so that rounding doesn't grow with their number."""
+    n = len(values) - run + 1
+    total, at, width = np.zeros((n, *values.shape[1:])), 0, 1
+    while True:
+        if run & width:
+            total += values[at : at + n]
+            at += width
+        if at == run:
+            return total
+        values = values[:-width] + values[width:]
+        width *= 2
+
+
 class ItemIndex:
     """The items, what score each must reach, and their postings in groups of similar need."""
 
@@ -146,9 +160,7 @@ class ItemIndex:
         if len(w) < self.run or not self.groups:
             return out
         unknown = len(self.terms)
-        sums = np.cumsum(self.most[[self.terms.get(t, unknown) for t in w]], axis=0)
-        bounds = sums[self.run - 1 :].copy()
-        bounds[1:] -= sums[: -self.run]
+        bounds = moving_sums(self.most[[self.terms.get(t, unknown) for t in w]], self.run)
         reach = bounds >= self.thresholds - 1e-6
         for a in np.unique(np.flatnonzero(reach.any(axis=1)) // self.run) * self.run:
             window = w[a : a + 2 * self.run - 1]

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -166,6 +167,15 @@ def test_leaks_equal_brute_force() -> None:
     assert hits > 20 and index.leaks(None) == {} and leakage.ItemIndex([]).leaks("a b") == {}
 
 
+def test_leak_in_a_very_long_text() -> None:
+    items = [(k, " ".join(f"w{k}q{i}" for i in range(12))) for k in range(20)]
+    text = "x " * 1_000_000 + " ; y ".join(t for _, t in items)
+    assert set(leakage.ItemIndex(items).leaks(text)) == set(range(20))
+    values = np.random.default_rng(0).normal(size=(50, 3))
+    for run in (1, 5, 12, 50):
+        assert np.allclose(leakage.moving_sums(values, run), [values[a : a + run].sum(axis=0) for a in range(51 - run)])
+
+
 TEXTS = ["Der Parser prüft die Größe des Puffers.", "“fast” — or two… ≥ 3 → b", "La próxima ejecución comprueba el tamaño del búfer.", "Этот шаг читает записи из настроек."]
 
 

@@ -39,6 +39,9 @@ ISSUERS = re.compile(
     r"|xox[abprs]-[0-9]{6,}-[A-Za-z0-9-]{10,}|(?:sk|rk)_live_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_\-]{20,}|AIza[\w\-]{35}|npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{30,}"
     r"|eyJ[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]{8,})"
 )
+_PREFIX = re.compile(r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|(?:sk|rk)_live_|sk-|AIza|npm_|hf_|eyJ)")
+#: What stands in the place of an issued secret.
+_FILLED = re.compile(r"EXAMPLE|(?i:placeholder|your[-_]|example[-_]|[-_]example)|([A-Za-z0-9*])\1{7}")
 KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 URL = re.compile(r"[a-z][a-z0-9+.\-]*://[^\s:/@'\"`]*:([^\s@/'\"`]+)@[\w\[]", re.I)
 CONNECTION = re.compile(r"(?:^|[;\s\"'])(?:Password|Pwd|AccountKey|SharedAccessKey|SharedSecretValue)\s*=\s*([^;\"']+)", re.I)
@@ -96,9 +99,17 @@ def entropy(text: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(text).values()) if n else 0.0
 
 
+def sham(value: str) -> bool:
+    """Whether a value has an issuer's format only: one that manuals show, or filled up with few letters."""
+    body = _PREFIX.sub("", value)
+    return bool(_FILLED.search(body) or _PLACEHOLDER.match(body)) or len(set(body)) < 6 or body[:12] in _SEQUENCE
+
+
 def placeholder(value: str) -> bool:
     """Whether a value stands for a secret, refers to one or can't be one."""
     v = value.strip()
+    if ISSUERS.fullmatch(v) and sham(v):
+        return True
     return (
         len(v) < 6 or bool(_PLACEHOLDER.match(v)) or bool(_UUID.match(v)) or "${" in v or "{{" in v or len(set(v)) < 4
         or v[:12] in _SEQUENCE or v.startswith(("data:", "http://", "https://", "/", "./"))
@@ -116,7 +127,7 @@ def secret_value(value: str) -> bool:
 
 def _in_literal(value: str) -> list[str]:
     """Secrets inside a string literal whose name says nothing: URLs, connection strings, headers and commands."""
-    found = [m[0] for m in ISSUERS.finditer(value)]
+    found = [m[0] for m in ISSUERS.finditer(value) if not placeholder(m[0])]
     for m in URL.finditer(value):
         if not (placeholder(m[1]) or re.fullmatch(r"\{\w*\}|\$\w+|<\w+>|\*+|:\w+|%s", m[1])):
             found.append(m[1])
@@ -143,7 +154,7 @@ def credentials_of(text: str, candidate_lines: list[int]) -> list[tuple[int, str
             if body:
                 found.append((n + 1, body))
                 continue
-        hits += [m[0] for m in ISSUERS.finditer(line)]
+        hits += [m[0] for m in ISSUERS.finditer(line) if not placeholder(m[0])]
         for m in _STRING.finditer(line):
             hits += _in_literal(m[2])
         if " --" in line:

@@ -55,16 +55,18 @@ def included(path: Column, languages: list[str] | None = None, ignore: list[str]
 
 def scan_directory(
     spark: SparkSession, root: str, threshold: int = schemas.LARGE_LINES, respect_gitignore: bool = True, max_depth: int | None = None, languages: list[str] | None = None,
-    ignore: list[str] | None = None, max_bytes: int = 64 << 20,
+    ignore: list[str] | None = None, max_bytes: int | None = None,
 ) -> DataFrame:
     """The source files below a folder, with content.
 
     Only known extensions are listed, so other files are never read. Hidden paths, ignored paths and binary
-    and minified files are left out; files that aren't UTF-8 are in ``quarantine``. Files over ``max_bytes`` are
-    skipped by their listed length, before their content is read.
+    and minified files are left out; files that aren't UTF-8 are in ``quarantine``. Files over ``max_bytes``,
+    if it is given, are skipped by their listed length, before their content is read.
     """
     glob = "*.{" + ",".join(f"{e},{e.upper()}" for e in sorted(schemas.LANGUAGE_BY_EXTENSION)) + "}"
-    raw = raw_files(spark, root, glob).where(F.col("length") <= max_bytes)
+    raw = raw_files(spark, root, glob)
+    if max_bytes is not None:
+        raw = raw.where(F.col("length") <= max_bytes)
     path = F.col("relative_path")
     keep = ~path.rlike(r"(?:^|/)\.[^/]") & included(path, languages, ignore)
     if max_depth is not None:

@@ -41,6 +41,13 @@ def test_scan(spark: SparkSession, tree: Path) -> None:
     assert [r.relative_path for r in files.quarantine(spark, str(tree)).collect()] == ["bad.py"]
 
 
+def test_scan_of_a_large_file(spark: SparkSession, tmp_path: Path) -> None:
+    lines = (64 << 20) // 32 + 1
+    (tmp_path / "large.py").write_text("value = compute(value, 1234567)\n" * lines)
+    assert [r.line_count for r in files.scan_directory(spark, str(tmp_path)).select("line_count").collect()] == [lines]
+    assert files.scan_directory(spark, str(tmp_path), max_bytes=64 << 20).count() == 0
+
+
 def test_engine(spark: SparkSession, tree: Path, tmp_path: Path) -> None:
     e, out = Engine(spark, str(tree)), str(tmp_path / "out")
     document = json.loads(e.to_json())

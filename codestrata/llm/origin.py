@@ -1,12 +1,17 @@
 """Problem 1: generated, minified, vendored and data files among source files.
 
-Four independent findings are made of each file from its own path and content,
-and one from the whole collection: the file's normalized token stream is
-fingerprinted by winnowing. A file is a vendored copy if its fingerprints mostly
-recur in many repositories, or if a few other repositories each hold one file
-with mostly the same fingerprints: those of idioms and shared functions recur
-too, but not together and in files of the same extent. A table of literals has no token stream
-that could tell copies apart, so files found to be data have no fingerprints.
+Generated, minified, bundled and data files, and files in folders for other
+people's packages, are found from a file's own path and content. Copies are
+found from the whole collection, by winnowing two normalized token streams:
+
+* the code, in which strings and numbers are alike. A file is a copy if its
+  fingerprints mostly recur in many repositories, or if a few other repositories
+  each hold one file with mostly the same fingerprints: those of idioms and
+  shared functions recur too, but not together and in files of the same extent.
+* the lines of the first comment that name a version or revision, in which
+  versions, and the words that they belong to, are alike. What a packager writes
+  at the head of a copied file says the same in unrelated repositories, whatever
+  it says and whatever is copied; a repository's own notice names no version.
 
 Nulls, empty and very long texts: a null or empty content has no finding from
 content; a null path is dropped (it can't be listed); of several versions of a
@@ -27,9 +32,11 @@ from pyspark.sql import functions as F
 from codestrata.llm.codelex import FAMILIES, family
 from codestrata.shared import keep, latest
 
-#: Winnowing: tokens of a fingerprint, fingerprints of a window, share of a file that must recur; a fingerprint of more
-#: than REPOS repositories is common by itself, others count where COPIES other repositories hold them in one file each.
+#: Winnowing of code: tokens of a fingerprint, fingerprints of a window, share of a file that must recur; a fingerprint of
+#: more than REPOS repositories is common by itself, others count where COPIES other repositories hold them in one file each.
 K, WINDOW, SHARE, REPOS, COPIES = 16, 12, 0.8, 12, 2
+#: Winnowing of head lines: words of a fingerprint (each is kept), repositories that must hold it, share that must recur.
+HEAD_K, HEAD_REPOS, HEAD_SHARE = 3, 3, 0.5
 
 #: Folders that hold other people's packages, and output of tools.
 VENDOR_DIRS = {"vendor", "third_party", "third-party", "deps", "external", "extern", "pods", "node_modules", "bower_components"}
@@ -41,18 +48,17 @@ TOOL_NAME = re.compile(
     re.I,
 )
 BUNDLE_NAME = re.compile(r"(?:[._]min\.(?:[mc]?js|css|jsx?)|\.bundle\.(?:[mc]?js|css))$", re.I)
-#: How the first comment of a generated file, and of a copied package, begins.
+#: How the first comment of a generated file begins.
 TOOL_HEADER = re.compile(
     r"(?:@generated\b|<auto-?generated|(?:this (?:file|code|module|source) (?:was|is|has been) )?(?:auto(?:matically)?|machine)[- ]?"
     r"(?:generated|written|produced)\b(?!\s+stub)|code generated\b|generated (?:by|from|with|using)\b"
     r"|(?:please )?do not (?:edit|modify)\b|source: \S+\.(?:proto|idl|grammar|tmpl|schema\.json)$)",
     re.I,
 )
-COPY_HEADER = re.compile(
-    r"(?:(?:bundled|vendored|copied|taken) from \S+@?v?\d|imported from the upstream\b|[\w./-]+ v?\d+\.\d+(?:\.\d+)?, released under the terms\b"
-    r"|!? ?[\w./-]+ v\d+(?:\.\d+)+ \| )",
-    re.I,
-)
+#: A version of at least two numbers, or a revision.
+VERSION = re.compile(r"(?<![\w.])v?\d+(?:\.\d+)+\b|(?<![\w.])(?=[0-9a-f]*\d)[0-9a-f]{7,40}\b")
+#: Versions of licences, which every repository's own notice may name.
+LICENCE = re.compile(r"\blicen[cs]es?\W+(?:version\W+)?v?\d+(?:\.\d+)*|\b(?:[al]?gpl|mpl|apache|cc)\W*v?\d+(?:\.\d+)*", re.I)
 _MARKS = re.compile(r"^(?:/\*+!?|\*+/?|//+!?|#+!?|--|;+|<!--|\"\"\"|''')\s*|\s*(?:\*/|-->)$")
 _DATA = re.compile(
     r"0x[0-9a-f]+[uUlL]*\s*,?\s*|-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?[fFuUlL]*\s*,\s*|\"[A-Za-z0-9+/=\\x]{40,}\"\s*[,+]?\s*"
@@ -103,60 +109,99 @@ def own_findings(path: str, text: str) -> list[str]:
         found.append("generated")
     if BUNDLE_NAME.search(name) or minified(text):
         found.append("minified")
-    if any(x in VENDOR_DIRS for x in folders) or any(COPY_HEADER.match(x) for x in head):
+    if any(x in VENDOR_DIRS for x in folders):
         found.append("vendored")
     if data_blob(text):
         found.append("data")
     return found
 
 
+def _hash(word: str) -> int:
+    raw = word.encode("utf-8", "surrogatepass")
+    return (zlib.crc32(raw) << 32 | zlib.adler32(raw[::-1] + b"~")) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+
+
+def grams(tokens: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of every ``k`` successive tokens."""
+    out = np.zeros(max(0, len(tokens) - k + 1), dtype=np.uint64)
+    for i in range(k):
+        out += tokens[i : i + len(out)] * np.uint64(pow(0x9E3779B97F4A7C15, k - i, 1 << 64))
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out
+
+
+def head_words(line: str) -> list[str]:
+    """The words of a head line that names a version or revision, each of these as ``#``; none of other lines.
+
+    The word directly before a version, and wherever else it stands, is ``@``: it names what the version is of.
+    """
+    line = LICENCE.sub(" ", line.lower())
+    if not VERSION.search(line):
+        return []
+    words = re.findall(r"[^\W_]+|#", VERSION.sub(" # ", line))
+    named = {a for a, b in zip(words, words[1:], strict=False) if b == "#"} - {"revision", "version", "commit", "#"}
+    return ["@" if w in named else w for w in words]
+
+
 class Winnower:
     """Fingerprints of token streams; token hashes are kept between files."""
 
     def __init__(self) -> None:
         self.seen: dict[str, int] = {}
-        power = np.uint64(0x9E3779B97F4A7C15)
-        self.weights = np.array([pow(int(power), K - i, 1 << 64) for i in range(K)], dtype=np.uint64)
 
-    def tokens(self, text: str, lexer: str) -> np.ndarray:
+    def tokens(self, text: str, lexer: str) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, whether it is an identifier) of the tokens of code; strings are alike, so are numbers."""
         bare = FAMILIES[lexer].sub(lambda m: " " if m.lastgroup == "comment" else ' "" ' if m.lastgroup == "string" else m[0], text)
-        seen, out = self.seen, []
+        seen, out, named = self.seen, [], []
         for t in _TOKEN.findall(bare):
+            if t[0].isdigit():
+                t = "0"
             h = seen.get(t)
             if h is None:
-                raw = t.encode("utf-8", "surrogatepass")
-                h = (zlib.crc32(raw) << 32 | zlib.adler32(raw[::-1] + b"~")) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+                h = _hash(t)
                 if len(seen) < 500_000:
                     seen[t] = h
             out.append(h)
-        return np.array(out, dtype=np.uint64)
+            named.append(t[0].isalpha() or t[0] == "_")
+        return np.array(out, dtype=np.uint64), np.array(named, dtype=bool)
 
     def __call__(self, text: str, lexer: str) -> np.ndarray:
-        t = self.tokens(text, lexer)
+        """Fingerprints of code; grams of literals and marks alone tell nothing and are none."""
+        t, named = self.tokens(text, lexer)
         if len(t) < K:
             return np.empty(0, dtype=np.int64)
-        grams = np.zeros(len(t) - K + 1, dtype=np.uint64)
-        for i in range(K):
-            grams += t[i : len(t) - K + 1 + i] * self.weights[i]
-        grams ^= grams >> np.uint64(29)
-        grams *= np.uint64(0xBF58476D1CE4E5B9)
-        if len(grams) > WINDOW:
-            grams = np.lib.stride_tricks.sliding_window_view(grams, WINDOW).min(axis=1)
-        return np.unique(grams).astype(np.int64)
+        found = grams(t, K)[np.lib.stride_tricks.sliding_window_view(named, K).any(axis=1)]
+        if len(found) > WINDOW:
+            found = np.lib.stride_tricks.sliding_window_view(found, WINDOW).min(axis=1)
+        return np.unique(found).astype(np.int64)
+
+    def heads(self, text: str) -> np.ndarray:
+        """Fingerprints of the head lines that name a version."""
+        out = [grams(np.array([_hash(w) for w in words], dtype=np.uint64), HEAD_K) for words in map(head_words, head_comment(text)) if words]
+        return np.unique(np.concatenate(out)).astype(np.int64) if out else np.empty(0, dtype=np.int64)
 
 
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     winnow = Winnower()
     for b in batches:
         texts = [t or "" for t in b["content"]]
-        found = [own_findings(p, t) for p, t in zip(b["relative_path"], texts, strict=True)]
         yield pd.DataFrame({
             "relative_path": b["relative_path"], "repo": b["repo"], "mtime": b["mtime"], "scanned_at": b["scanned_at"],
-            "found": found,
-            "prints": [winnow("" if "data" in f else t, family(lang, p)) for lang, p, t, f in zip(b["language"], b["relative_path"], texts, found, strict=True)],
+            "found": [own_findings(p, t) for p, t in zip(b["relative_path"], texts, strict=True)],
+            "prints": [winnow(t, family(lang, p)) for lang, p, t in zip(b["language"], b["relative_path"], texts, strict=True)],
+            "heads": [winnow.heads(t) for t in texts],
         })
 
 
+def copied_heads(newest: DataFrame, share: float = HEAD_SHARE, repos: int = HEAD_REPOS) -> DataFrame:
+    """(relative_path, head_recurring): files of whose head fingerprints at least the share recurs in enough repositories."""
+    heads = newest.where("size(heads) > 0").select("relative_path", "repo", F.size("heads").alias("size"), F.explode("heads").alias("print"))
+    spread = heads.select("print", "repo").distinct().groupBy("print").count().where(F.col("count") >= repos).select("print")
+    met = heads.join(spread, "print").groupBy("relative_path").agg((F.count("*") / F.first("size")).alias("head_recurring"))
+    return met.where(F.col("head_recurring") >= share)
+
+
 def copied_files(recurring: DataFrame, sizes: DataFrame, share: float, repos: int, copies: int) -> DataFrame:
     """(relative_path): files that at least ``copies`` other repositories hold too, apart from fingerprints of more than ``repos``.
 
@@ -174,8 +219,10 @@ def copied_files(recurring: DataFrame, sizes: DataFrame, share: float, repos: in
 
 
 def file_origins(files: DataFrame, share: float = SHARE, repos: int = REPOS, copies: int = COPIES) -> DataFrame:
-    """(relative_path, repo, found array<string>, recurring double): one row per path; ``found`` is empty for hand-written files.
+    """(relative_path, repo, found array<string>, recurring double, head_recurring double): one row per path.
 
+    ``found`` is empty for hand-written files. ``recurring`` is the share of the code's fingerprints that more than
+    ``repos`` repositories hold; ``head_recurring`` that of the head's that recur, 0 where it is under the least share.
     Shuffles one row of fingerprints per file, then (fingerprint, repository)
     pairs after a partial distinct; only fingerprints that recur in another
     repository are joined back, and files are compared by those only.
@@ -183,8 +230,8 @@ def file_origins(files: DataFrame, share: float = SHARE, repos: int = REPOS, cop
     rows = files.where("relative_path IS NOT NULL").select(
         "relative_path", F.coalesce("repo", F.element_at(F.split("relative_path", "/"), 1)).alias("repo"), "language", "content", "mtime", "scanned_at"
     )
-    schema = "relative_path string, repo string, mtime timestamp, scanned_at timestamp, found array<string>, prints array<bigint>"
-    newest = latest(rows.mapInPandas(_rows, schema), "relative_path", ["mtime", "scanned_at"], ["repo", "found", "prints"])
+    schema = "relative_path string, repo string, mtime timestamp, scanned_at timestamp, found array<string>, prints array<bigint>, heads array<bigint>"
+    newest = latest(rows.mapInPandas(_rows, schema), "relative_path", ["mtime", "scanned_at"], ["repo", "found", "prints", "heads"])
     newest = keep(newest, "origin")
     prints = newest.select("relative_path", "repo", F.explode("prints").alias("print"))
     counts = prints.select("print", "repo").distinct().groupBy("print").count().where("count > 1")
@@ -193,8 +240,8 @@ def file_origins(files: DataFrame, share: float = SHARE, repos: int = REPOS, cop
     sizes = newest.select("relative_path", F.size("prints").alias("size")).join(common, "relative_path", "left")
     sizes = sizes.select("relative_path", "size", F.coalesce("n", F.lit(0)).alias("common"))
     copied = copied_files(again, sizes, share, repos, copies).withColumn("copied", F.lit(True))
-    recurring = F.coalesce(F.col("n") / F.size("prints"), F.lit(0.0))
-    vendored = F.when((recurring >= share) | F.col("copied"), F.array(F.lit("vendored"))).otherwise(F.array().cast("array<string>"))
-    return newest.join(common, "relative_path", "left").join(copied, "relative_path", "left").select(
-        "relative_path", "repo", F.array_union("found", vendored).alias("found"), recurring.alias("recurring")
-    )
+    recurring = F.when(F.size("prints") > 0, F.coalesce("n", F.lit(0)) / F.size("prints")).otherwise(0.0)
+    in_head = F.coalesce("head_recurring", F.lit(0.0))
+    vendored = F.when((recurring >= share) | F.col("copied") | (in_head > 0), F.array(F.lit("vendored"))).otherwise(F.array().cast("array<string>"))
+    met = newest.join(common, "relative_path", "left").join(copied, "relative_path", "left").join(copied_heads(newest), "relative_path", "left")
+    return met.select("relative_path", "repo", F.array_union("found", vendored).alias("found"), recurring.alias("recurring"), in_head.alias("head_recurring"))

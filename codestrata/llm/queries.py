@@ -22,7 +22,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_origins(spark: SparkSession, d: str) -> DataFrame:
     found = origin.file_origins(table(spark, d, "files"))
-    return found.select("relative_path", "repo", F.concat_ws(",", "found").alias("found"), F.round("recurring", 6).alias("recurring"))
+    return found.select("relative_path", "repo", F.concat_ws(",", "found").alias("found"), F.round("recurring", 6).alias("recurring"), F.round("head_recurring", 6).alias("head_recurring"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -140,6 +140,14 @@ def test_copies_in_a_few_repositories(spark: SparkSession) -> None:
     assert {r.relative_path for r in origin.file_origins(files).where("size(found) > 0").collect()} == {f"r{k}/src/a.js" for k in range(3)}
 
 
+def test_copies_by_what_packagers_write(spark: SparkSession) -> None:
+    rows = [(f"r{k}", f"r{k}/src/a.js", f"// Copied out of lib{k} 1.{k}.0 by the packager\nf{k}()") for k in range(3)]
+    rows += [(f"r{k}", f"r{k}/src/b.js", f"// Licensed under the Apache License, Version 2.0\ng{k}()") for k in range(4)]
+    rows += [("r0", "r0/src/c.js", "// speaks version 3.1 of the wire format\nh()"), ("r0", "r0/src/d.js", ""), ("r1", "r1/src/d.js", None)]
+    files = spark.createDataFrame([(*r, "JavaScript", T1, T1) for r in rows], "repo string, relative_path string, content string, language string, mtime timestamp, scanned_at timestamp")
+    assert {r.relative_path for r in origin.file_origins(files).where("size(found) > 0").collect()} == {f"r{k}/src/a.js" for k in range(3)}
+
+
 def test_documented_functions(spark: SparkSession) -> None:
     schema = "file_path string, kind string, name string, signature string, line_range struct<start:int,end:int>, doc_comment string"
     doc = "/// Reads every entry of the old table."

@@ -37,7 +37,6 @@ def test_blocks_and_comments() -> None:
         ("r/generators/a.py", "x = 1", []),
         ("r/src/vendors/a.py", "x = 1", []),
         ("r/vendor/x/a.py", "x = 1", ["vendored"]),
-        ("r/src/a.js", "// bundled from x@1.2.3 - do not patch here, send changes upstream\nf()", ["vendored"]),
         ("r/src/a.js", "// Copyright the R contributors\n// Licensed under the terms in LICENSE.\nf()", []),
         ("r/src/a.js", "var a=b.c||{};!function(d){d.e=1}(f);" * 20, ["minified"]),
         ("r/src/a.js", "const s = '" + "word " * 300 + "';\nf();\n", []),
@@ -57,6 +56,19 @@ def test_winnowing_finds_copies_through_layout() -> None:
     a, b = winnow(" ".join(words), "c"), winnow("// comment\n" + "\n  ".join(words), "c")
     assert len(a) and set(a) == set(b)
     assert not set(a) & set(winnow(" ".join(reversed(words)), "c")) and len(winnow("a b", "c")) == 0
+    assert len(winnow("1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12", "c")) == 0 and len(winnow("", "c")) == 0
+
+
+@pytest.mark.parametrize(
+    ("line", "words"),
+    [
+        ("Copied out of libfoo 1.2.3, see NOTICE.libfoo", ["copied", "out", "of", "@", "#", "see", "notice", "@"]),
+        ("taken from the bar tree at revision 0a1b2c3d", ["taken", "from", "the", "bar", "tree", "at", "revision", "#"]),
+        ("Licensed under the Apache License, Version 2.0", []), ("Copyright 2020 the authors", []), ("", []),
+    ],
+)
+def test_head_words(line: str, words: list[str]) -> None:
+    assert origin.head_words(line) == words
 
 
 @pytest.mark.parametrize(

@@ -144,34 +144,34 @@ def head_words(line: str) -> list[str]:
     return ["@" if w in named else w for w in words]
 
 
+class TokenHashes(dict):
+    """Hashes of tokens, odd ones of identifiers; numbers are alike. The first 500,000 tokens are remembered."""
+
+    def __missing__(self, token: str) -> int:
+        h = _hash("0" if token[0].isdigit() else token) & ~1 | (token[0].isalpha() or token[0] == "_")
+        if len(self) < 500_000:
+            self[token] = h
+        return h
+
+
 class Winnower:
     """Fingerprints of token streams; token hashes are kept between files."""
 
     def __init__(self) -> None:
-        self.seen: dict[str, int] = {}
+        self.hashes = TokenHashes()
 
-    def tokens(self, text: str, lexer: str) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes, whether it is an identifier) of the tokens of code; strings are alike, so are numbers."""
+    def tokens(self, text: str, lexer: str) -> np.ndarray:
+        """Hashes of the tokens of code, without comments; strings are alike, so are numbers."""
         bare = FAMILIES[lexer].sub(lambda m: " " if m.lastgroup == "comment" else ' "" ' if m.lastgroup == "string" else m[0], text)
-        seen, out, named = self.seen, [], []
-        for t in _TOKEN.findall(bare):
-            if t[0].isdigit():
-                t = "0"
-            h = seen.get(t)
-            if h is None:
-                h = _hash(t)
-                if len(seen) < 500_000:
-                    seen[t] = h
-            out.append(h)
-            named.append(t[0].isalpha() or t[0] == "_")
-        return np.array(out, dtype=np.uint64), np.array(named, dtype=bool)
+        return np.array(list(map(self.hashes.__getitem__, _TOKEN.findall(bare))), dtype=np.uint64)
 
     def __call__(self, text: str, lexer: str) -> np.ndarray:
         """Fingerprints of code; grams of literals and marks alone tell nothing and are none."""
-        t, named = self.tokens(text, lexer)
+        t = self.tokens(text, lexer)
         if len(t) < K:
             return np.empty(0, dtype=np.int64)
-        found = grams(t, K)[np.lib.stride_tricks.sliding_window_view(named, K).any(axis=1)]
+        named = np.cumsum(np.concatenate([[0], (t & np.uint64(1)).astype(np.int64)]))
+        found = grams(t, K)[named[K:] > named[:-K]]
         if len(found) > WINDOW:
             found = np.lib.stride_tricks.sliding_window_view(found, WINDOW).min(axis=1)
         return np.unique(found).astype(np.int64)

@@ -1,12 +1,16 @@
 """Problem 7: the most similar vectors of every vector.
 
-Vectors are placed in shards by the nearest of a set of centres (fitted on a
-bounded sample; shards that are over a size are cut at random). Each shard is a
-robust-pruned directed graph: vectors are inserted in growing batches, greedy
-beam searches over the graph so far propose neighbours, and relaxed distance
-pruning keeps few, diverse edges. Every vector then queries by beam search all
-shards whose centre is almost as similar to it as the nearest one, however many
-they are, and the best of all answers are kept.
+Vectors are placed in cells by the nearest of a set of centres; a cell that is
+too large is cut into cells of its own, with centres fitted in a task on a
+bounded sample of it, level by level, so that cells stay of one size however
+many vectors there are. Each cell is a shard: a robust-pruned directed graph, in
+which vectors are inserted in growing batches, greedy beam searches over the
+graph so far propose neighbours, and relaxed distance pruning keeps few, diverse
+edges. Every vector then queries by beam search the cells whose centre is almost
+as similar to it as the nearest one, and the best of all answers are kept.
+
+Vectors that more than k ids share are each other's answers; the k smallest of
+these ids stand for all in the graphs, so a group of copies costs k vertices.
 
 A vector is usable if it has the right length, all its numbers are finite and
 not all are zero; others take no part. Only the current row of an id counts.
@@ -19,25 +23,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.shared import keep, latest
+from codestrata.shared import broadcast_if_small, keep, latest
 
-#: Numbers of a vector; vectors of a shard; vectors sampled for each centre; rounds of fitting.
+#: Numbers of a vector; vectors of a cell; vectors sampled for each centre; rounds of fitting.
 WIDTH, SHARD, PER_CENTRE, ROUNDS = 128, 2048, 64, 8
-#: A vector queries the shards whose centre's cosine is at most so much less than the nearest centre's: few where it
-#: lies deep in a cluster of its own shard, many where centres are sparse or a cluster is spread over many shards.
-MARGIN = 0.2
-#: Shards of more than HOT times SHARD vectors are cut into parts.
-HOT = 4
-#: Most centres: their table (2 MB) is broadcast and their sample (PER_CENTRE vectors each, 128 MB) is fitted on the
-#: driver, whatever the number of vectors; beyond SHARD * CENTRES vectors shards are cut into parts.
-CENTRES = 4096
+#: Cells that one cell is cut into at most (their centres are 128 KB, their sample 8 MB), and how often at most.
+BRANCH, LEVELS = 256, 8
+#: Cells of more than HOT times SHARD vectors are cut; one that can't be (LEVELS are used up) becomes parts, which all its queries visit.
+HOT = 2
+#: A vector queries the cells whose centre's cosine is at most MARGIN less than the nearest centre's, and PROBES at most:
+#: few where it lies deep in a cluster of its own, more where centres are sparse or a cluster is spread over many cells.
+#: Below the first level a vector goes on from a cell that isn't its nearest to SIDE_PROBES cells of it at most.
+MARGIN, PROBES, SIDE_PROBES = 0.25, 8, 4
+#: Queries of a task: more of one cell are slices, each with a copy of the cell.
+QUERIES = 8192
 #: Edges of a vertex, width of the beam when building and searching, vertices expanded at once, relaxation of the pruning.
-DEGREE, BUILD_BEAM, BEAM, EXPAND, ALPHA = 24, 24, 40, 8, 1.02
+DEGREE, BUILD_BEAM, BEAM, EXPAND, ALPHA = 32, 40, 64, 8, 1.02
 #: Vertices joined by brute force at first, entry points of a search, queries searched together.
-SEED_SIZE, ENTRIES, BATCH = 256, 1024, 1024
+SEED_SIZE, ENTRIES, BATCH = 256, 32, 1024
 
 
 class VectorGraph:
@@ -120,9 +126,10 @@ class VectorGraph:
             sims = np.einsum("bcd,bd->bc", self.x[np.maximum(wide, 0)], self.x[points])
             self.edges[points] = self._prune(points, wide, np.where(wide >= 0, sims, -np.inf))
 
-    def search(self, queries: np.ndarray, beam: int = BEAM, n: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, beam: int = BEAM, n: int | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, similarities) of the best vertices that beam searches for the queries come upon, best first.
 
+        Searches begin at the entry points and, where ``own`` names it, at the vertex that a query is itself (-1 for none).
         All queries advance together; each expands its best EXPAND unexpanded vertices until none of its beam is left.
         """
         n = n or self.n
@@ -134,9 +141,13 @@ class VectorGraph:
         ids = np.full((m, beam), -1, dtype=np.int32)
         sims = np.full((m, beam), -np.inf, dtype=np.float32)
         ids[:, :width], sims[:, :width] = entries[order], np.take_along_axis(first, order, axis=1)
-        expanded = ids < 0
         seen = np.zeros(m * n, dtype=bool)
         seen[(np.arange(m)[:, None] * n + entries[None, :]).ravel()] = True
+        if own is not None:
+            at = np.flatnonzero((own >= 0) & ~seen[np.arange(m) * n + np.maximum(own, 0)])
+            ids[at, -1], sims[at, -1] = own[at], np.einsum("ij,ij->i", self.x[own[at]], queries[at])
+            seen[at * n + own[at]] = True
+        expanded = ids < 0
         marks = np.zeros(m * n, dtype=np.int32)
         active = np.arange(m)
         while len(active):
@@ -207,15 +218,8 @@ def unit_vectors(chunks: DataFrame, width: int = WIDTH) -> DataFrame:
     return keep(latest(units, "id", ["updated_at", "version"], ["unit"]).where("unit IS NOT NULL"), "vectors")
 
 
-def fit_centres(units: DataFrame, n: int, shard: int = SHARD, seed: int = 0) -> np.ndarray:
-    """Centres of about ``n / shard`` shards, by spherical k-means over a sample of PER_CENTRE vectors a centre."""
-    count = int(min(max(1, round(n / shard)), CENTRES))
-    wanted = count * PER_CENTRE
-    sample = units.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(n, 1))) < 2 * wanted).orderBy(F.xxhash64("id"), "id").limit(wanted)
-    raw = [bytes(r.unit) for r in sample.select("unit").collect()]
-    if not raw:
-        return np.zeros((1, WIDTH), dtype=np.float32)
-    x = np.frombuffer(b"".join(raw), dtype=np.float32).reshape(len(raw), -1)
+def k_means(x: np.ndarray, count: int) -> np.ndarray:
+    """Centres of length 1, at most ``count``, by spherical k-means; equal ones are one."""
     centres = x[: min(count, len(x))].copy()
     for _ in range(ROUNDS):
         nearest = np.concatenate([(x[a : a + 4096] @ centres.T).argmax(axis=1) for a in range(0, len(x), 4096)])
@@ -223,74 +227,183 @@ def fit_centres(units: DataFrame, n: int, shard: int = SHARD, seed: int = 0) ->
         np.add.at(sums, nearest, x)
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
         centres = np.where(norms > 0, sums / np.maximum(norms, 1e-12), centres)
-    return centres.astype(np.float32)
+    return np.unique(centres.astype(np.float32), axis=0)
+
+
+def matrix(raw: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), dtype=np.float32).reshape(len(raw), -1)
+
+
+def first_centres(units: DataFrame, n: int, shard: int = SHARD, branch: int = BRANCH, seed: int = 0) -> np.ndarray:
+    """Centres of the first level, ``branch`` at most, from a sample of PER_CENTRE vectors each."""
+    count = int(min(max(1, round(n / shard)), branch))
+    wanted = count * PER_CENTRE
+    sample = units.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(n, 1))) < 2 * wanted).orderBy(F.xxhash64("id"), "id").limit(wanted)
+    raw = [bytes(r.unit) for r in sample.select("unit").collect()]
+    return k_means(matrix(raw), count) if raw else np.zeros((1, WIDTH), dtype=np.float32)
+
+
+def chosen_cells(x: np.ndarray, centres: np.ndarray, margin: float, probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, centre, whether it is the row's nearest) of the centres that each row queries."""
+    sims = x @ centres.T
+    nearest = sims.argmax(axis=1)
+    close = sims >= sims.max(axis=1, keepdims=True) - margin
+    if probes < sims.shape[1]:
+        bar = -np.partition(-sims, probes - 1, axis=1)[:, probes - 1 : probes]
+        close &= sims >= bar
+    row, centre = np.nonzero(close)
+    return row, centre, nearest[row] == centre
 
 
-def placements(units: DataFrame, centres: np.ndarray, margin: float = MARGIN) -> DataFrame:
-    """(id, unit, shard, home): each vector in the shards of all centres within the margin; ``home`` marks the nearest."""
+PLACED = "id string, unit binary, asking boolean, cell bigint, home boolean"
+
+
+def placements(units: DataFrame, centres: np.ndarray, margin: float = MARGIN, probes: int = PROBES) -> DataFrame:
+    """(id, unit, asking, cell, home): each asking vector in the cells that it queries, others in the nearest; ``home`` marks the nearest."""
     shared = units.sparkSession.sparkContext.broadcast(centres)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = shared.value
         for b in batches:
-            if not len(b):
-                continue
-            x = np.frombuffer(b"".join(b["unit"]), dtype=np.float32).reshape(len(b), -1)
-            ids, raw = b["id"].to_numpy(), b["unit"].to_numpy()
-            for a in range(0, len(x), 1024):
-                sims = x[a : a + 1024] @ c.T
-                nearest = sims.argmax(axis=1)
-                row, shard = np.nonzero(sims >= sims.max(axis=1, keepdims=True) - margin)
-                for i in range(0, len(row), 16_384):
-                    r, s = row[i : i + 16_384], shard[i : i + 16_384]
-                    yield pd.DataFrame({"id": ids[a + r], "unit": raw[a + r], "shard": s.astype(np.int32), "home": nearest[r] == s})
-
-    return units.mapInPandas(rows, "id string, unit binary, shard int, home boolean")
-
-
-def _answers(k: int, beam: int, shard: int):  # noqa: ANN202
+            ids, raw, asking = b["id"].to_numpy(), b["unit"].to_numpy(), b["asking"].to_numpy(dtype=bool)
+            for a in range(0, len(b), 1024):
+                row, cell, home = chosen_cells(matrix(raw[a : a + 1024]), c, margin, probes)
+                kept = home | asking[a + row]
+                row, cell, home = row[kept], cell[kept], home[kept]
+                yield pd.DataFrame({"id": ids[a + row], "unit": raw[a + row], "asking": asking[a + row], "cell": cell.astype(np.int64) + 1, "home": home})
+
+    return units.mapInPandas(rows, PLACED)
+
+
+def cell_sizes(placed: DataFrame) -> DataFrame:
+    """(cell, members, queries), one row a cell; stored."""
+    return keep(placed.groupBy("cell").agg(F.count_if("home").alias("members"), F.count_if("asking").alias("queries")), "cells")
+
+
+def children_of(placed: DataFrame, sizes: DataFrame, shard: int, branch: int) -> DataFrame:
+    """(cell, centres binary, salts): the centres of new cells inside the cells that are too large, if they can be told apart; stored.
+
+    They are fitted in one task a cell, on a sample of about 2 PER_CENTRE vectors a centre.
+    """
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        centres = k_means(matrix(pdf["unit"]), int(pdf["count"].iloc[0]))
+        rows = [(pdf["cell"].iloc[0], centres.tobytes(), pdf["salts"].iloc[0])] if len(centres) > 1 else []
+        return pd.DataFrame(rows, columns=["cell", "centres", "salts"])
+
+    count = F.least(F.lit(branch), F.ceil(F.col("members") / shard))
+    big = sizes.where(F.col("members") > HOT * shard).withColumn("count", count).withColumn("salts", F.ceil((F.col("members") + F.col("queries")) / 65_536))
+    sample = placed.where("home").join(broadcast_if_small(big), "cell")
+    share = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(1 << 30)) / F.lit(1 << 30)
+    sample = sample.where(share * F.col("members") < F.col("count") * 2 * PER_CENTRE)
+    return keep(sample.select("cell", "id", "unit", "count", "salts").groupBy("cell").applyInPandas(fit, "cell bigint, centres binary, salts bigint"), "centres")
+
+
+def refined(placed: DataFrame, children: DataFrame, margin: float) -> DataFrame:
+    """``placed`` with the rows of cut cells moved on to the cells inside; a cell's rows are salted, its centres go to every salt."""
+
+    def move(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"id": [], "unit": [], "asking": [], "cell": [], "home": []})
+        centres = np.frombuffer(right["centres"].iloc[0], dtype=np.float32).reshape(-1, len(left["unit"].iloc[0]) // 4)
+        first = int(right["cell"].iloc[0]) * (BRANCH + 1) + 1
+        out = []
+        for own, probes in ((True, PROBES), (False, SIDE_PROBES)):
+            rows = left[left["home"] == own]
+            for a in range(0, len(rows), 1024):
+                b = rows.iloc[a : a + 1024]
+                row, cell, nearest = chosen_cells(matrix(b["unit"]), centres, margin, probes)
+                kept = nearest | b["asking"].to_numpy(dtype=bool)[row]
+                moved = b.iloc[row[kept]]
+                out.append(moved.assign(cell=cell[kept].astype(np.int64) + first, home=nearest[kept] & own)[["id", "unit", "asking", "cell", "home"]])
+        return pd.concat(out)
+
+    marked = placed.join(broadcast_if_small(children.select("cell", "salts")), "cell", "left")
+    salted = marked.where("salts IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")))
+    copies = children.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))).select("cell", "salt", "centres")
+    names = ["id", "unit", "asking", "cell", "home"]
+    moved = salted.select(*names, "salt").groupBy("cell", "salt").cogroup(copies.groupBy("cell", "salt")).applyInPandas(move, PLACED)
+    return keep(marked.where("salts IS NULL").select(*names).unionByName(moved), "placed")
+
+
+def _answers(k: int, beam: int):  # noqa: ANN202
     def rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        home = pdf["home"].to_numpy(dtype=bool)
-        x = np.frombuffer(b"".join(pdf["unit"]), dtype=np.float32).reshape(len(pdf), -1)
-        order = np.argsort(pdf["id"].to_numpy()[home].astype(str), kind="stable")
-        members, names, asking = x[home][order], pdf["id"].to_numpy()[home][order], pdf["id"].to_numpy()
-        if not len(members):
-            return pd.DataFrame({"id": [], "found": []})
-        shuffled = np.random.default_rng(0).permutation(len(members))
-        found: list[list[dict]] = [[] for _ in range(len(x))]
-        for part in np.array_split(shuffled, -(-4 * len(members) // (5 * shard))):
-            graph, own = VectorGraph(np.ascontiguousarray(members[part])), names[part]
-            for a in range(0, len(x), BATCH):
-                ids, sims = graph.search(np.ascontiguousarray(x[a : a + BATCH]), beam)
-                for i, (row, values) in enumerate(zip(ids[:, : k + 1].tolist(), sims[:, : k + 1].tolist(), strict=True), a):
-                    found[i] += [{"far": -v, "other": own[j]} for j, v in zip(row, values, strict=True) if j >= 0 and own[j] != asking[i]]
-        best = [sorted(f, key=lambda n: (n["far"], n["other"]))[:k] for f in found]
-        return pd.DataFrame({"id": asking, "found": best})
+        names, x = pdf["id"].to_numpy(), matrix(pdf["unit"])
+        member, asks = np.flatnonzero(pdf["member"].to_numpy(dtype=bool)), np.flatnonzero(pdf["asks"].to_numpy(dtype=bool))
+        if not len(member) or not len(asks):
+            return pd.DataFrame({"id": [], "far": [], "other": []})
+        member = member[np.argsort(names[member].astype(str), kind="stable")]
+        member = member[np.random.default_rng(0).permutation(len(member))]
+        graph, own = VectorGraph(np.ascontiguousarray(x[member])), names[member]
+        vertex = np.full(len(x), -1)
+        vertex[member] = np.arange(len(member))
+        far, other = [], []
+        for a in range(0, len(asks), BATCH):
+            part = asks[a : a + BATCH]
+            ids, sims = graph.search(np.ascontiguousarray(x[part]), beam, own=vertex[part])
+            ids, sims = ids[:, : k + 1], sims[:, : k + 1]
+            used = (ids >= 0) & (member[np.maximum(ids, 0)] != part[:, None])
+            found = own[np.maximum(ids, 0)]
+            far += [v[u][:k] for v, u in zip(-sims, used, strict=True)]
+            other += [o[u][:k] for o, u in zip(found, used, strict=True)]
+        return pd.DataFrame({"id": names[asks], "far": far, "other": other})
 
     return rows
 
 
-def nearest_vectors(units: DataFrame, k: int = 5, shard: int = SHARD, margin: float = MARGIN, beam: int = BEAM) -> DataFrame:
+def shared_vectors(units: DataFrame, k: int) -> DataFrame:
+    """(v1, v2, firsts): the digests of vectors that more than ``k`` ids have, and the k + 1 smallest of these ids; stored."""
+    digests = units.select("id", *_digest())
+    hot = digests.groupBy("v1", "v2").count().where(F.col("count") > k).select("v1", "v2")
+    place = F.row_number().over(Window.partitionBy("v1", "v2").orderBy("id"))
+    firsts = digests.join(broadcast_if_small(keep(hot, "shared")), ["v1", "v2"]).withColumn("n", place).where(F.col("n") <= k + 1)
+    return keep(firsts.groupBy("v1", "v2").agg(F.sort_array(F.collect_list("id")).alias("firsts")), "shared")
+
+
+def _digest() -> list[Column]:
+    return [F.xxhash64("unit").alias("v1"), F.xxhash64(F.lit(1), "unit").alias("v2")]
+
+
+def nearest_vectors(units: DataFrame, k: int = 5, shard: int = SHARD, margin: float = MARGIN, beam: int = BEAM, branch: int = BRANCH) -> DataFrame:
     """(id, other, rank, similarity): the k most similar other vectors that the searches find for every vector.
 
-    ``units`` is a stored table of unit_vectors. One shuffle brings each shard together; inside its task a shard
-    of more than 5/4 of SHARD vectors becomes several graphs that are all queried. A shard of more than HOT times
-    SHARD, as a hot cluster makes it, is cut into random parts, which are tasks of their own and all queried. A
-    second shuffle, of k answers a shard and vector, keeps the best.
+    ``units`` is a stored table of unit_vectors. One shuffle brings each cell together; its members are one graph.
+    The queries of a cell are cut into slices of QUERIES, which are tasks with a copy of the members. A second
+    shuffle, of k answers a cell and vector, keeps the best. Each level of cells beyond the first, needed beyond
+    BRANCH * HOT * SHARD vectors or for cells of very unequal size, stores the placements once more.
     """
+    shared = shared_vectors(units, k)
+    same = None
+    asking = units.withColumn("asking", F.lit(True))
+    if shared.limit(1).count():
+        marked = units.select("*", *_digest()).join(broadcast_if_small(shared), ["v1", "v2"], "left")
+        others = F.slice(F.array_remove("firsts", F.col("id")), 1, k)
+        same = marked.where("firsts IS NOT NULL").select("id", F.transform(others, lambda o: F.struct(F.lit(-1.0).cast("float").alias("far"), o.alias("other"))).alias("best"))
+        stands = F.coalesce(F.array_contains(F.slice("firsts", 1, k), F.col("id")), F.lit(True))
+        asking = marked.where(stands).select("id", "unit", F.col("firsts").isNull().alias("asking"))
     n = units.count()
-    centres = fit_centres(units, n, shard)
-    placed = placements(units, centres, margin)
-    sizes = placements(units.select("id", "unit"), centres, 0.0).where("home").groupBy("shard").count()
-    parts = {r.shard: -(-r["count"] // (HOT * shard)) for r in sizes.collect()}  # one row a centre, CENTRES at most
-    cut = F.create_map(*[F.lit(v) for kv in parts.items() for v in kv]) if any(v > 1 for v in parts.values()) else None
-    count = F.coalesce(cut[F.col("shard")], F.lit(1)) if cut is not None else F.lit(1)
-    own = F.pmod(F.xxhash64("id"), count).cast("int")
-    placed = placed.withColumn("part", F.explode(F.sequence(F.lit(0), count.cast("int") - 1)))
-    placed = placed.withColumn("home", F.col("home") & (F.col("part") == own))
-    found = placed.groupBy("shard", "part").applyInPandas(_answers(k, beam, shard), "id string, found array<struct<far:float,other:string>>")
-    best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k)
-    answers = found.groupBy("id").agg(best.alias("best")).select("id", F.posexplode("best").alias("rank", "b"))
+    placed = placements(asking, first_centres(units, n, shard, branch), margin)
+    sizes = cell_sizes(placed)
+    for _ in range(LEVELS - 1):
+        if not sizes.where(F.col("members") > HOT * shard).limit(1).count():
+            break
+        children = children_of(placed, sizes, shard, branch)
+        if not children.limit(1).count():
+            break
+        placed = refined(placed, children, margin)
+        sizes = cell_sizes(placed)
+    cuts = sizes.select("cell", F.ceil(F.col("members") / (HOT * shard)).cast("int").alias("parts"), F.ceil(F.col("queries") / QUERIES).cast("int").alias("slices"))
+    rows = placed.join(broadcast_if_small(cuts.where("parts > 0 AND slices > 0")), "cell")
+    rows = rows.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("slice", F.explode(F.expr("sequence(0, slices - 1)")))
+    member = F.col("home") & (F.col("part") == F.pmod(F.xxhash64("id"), F.col("parts")))
+    asks = F.col("asking") & (F.col("slice") == F.pmod(F.xxhash64(F.lit(2), "id"), F.col("slices")))
+    rows = rows.withColumn("member", member).withColumn("asks", asks).where("member OR asks")
+    found = rows.select("cell", "part", "slice", "id", "unit", "member", "asks").groupBy("cell", "part", "slice").applyInPandas(_answers(k, beam), "id string, far array<float>, other array<string>")
+    best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("far", "other"))))), 1, k)
+    answers = found.groupBy("id").agg(best.alias("best"))
+    answers = answers.unionByName(same) if same is not None else answers
+    answers = answers.select("id", F.posexplode("best").alias("rank", "b"))
     return answers.select("id", F.col("b.other").alias("other"), (F.col("rank") + 1).alias("rank"), (-F.col("b.far")).cast("double").alias("similarity"))
 
 

@@ -106,6 +106,27 @@ def test_recall_where_clusters_are_spread_over_shards(spark: SparkSession) -> No
     assert np.mean([len({names[j] for j in np.argsort(-sims[i])[:5]} & found[n]) / 5 for i, n in enumerate(names)]) > 0.9
 
 
+def test_copies_and_cells_of_cells(spark: SparkSession) -> None:
+    """A vector that a third of all ids share costs no more than k vertices, and cells are cut level by level."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 128))
+    x = (centres[rng.integers(0, 60, 1200)] + 0.5 * rng.normal(size=(1200, 128))).astype(np.float32)
+    x[:400] = x[0]
+    names = np.array([f"n{i:04d}" for i in range(len(x))])
+    rows = chunks(spark, [(n, "x", T1, v.tolist()) for n, v in zip(names, x, strict=True)])
+    found: dict[str, list] = {}
+    for r in neighbours.nearest_vectors(neighbours.unit_vectors(rows), 5, shard=32, branch=4).collect():
+        found.setdefault(r.id, []).append((r["rank"], r.other, r.similarity))
+    assert len(found) == 1200 and all(sorted(k for k, _, _ in f) == [1, 2, 3, 4, 5] for f in found.values())
+    assert [o for _, o, _ in sorted(found["n0002"])] == ["n0000", "n0001", "n0003", "n0004", "n0005"] and found["n0399"][0][2] == 1.0
+    assert [o for _, o, _ in sorted(found["n0399"])] == ["n0000", "n0001", "n0002", "n0003", "n0004"]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -2)
+    least = -np.sort(-sims, axis=1)[:, 4]
+    assert np.mean([sum(s >= least[i] - 1e-5 for _, _, s in found[n]) / 5 for i, n in enumerate(names)]) > 0.9
+
+
 def test_graph_recall_in_a_large_shard() -> None:
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(40, 128))

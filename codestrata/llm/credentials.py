@@ -2,10 +2,13 @@
 
 A keyword automaton (Aho-Corasick) finds the texts and lines worth a look;
 issuer formats, structural rules (URLs with passwords, connection strings,
-headers, command lines, key blocks, split literals) and assignments to secret
-names are applied to those lines only; placeholders, references and values
-without the structure of a secret are dismissed; what remains is replaced by a
-placeholder of the same length and character classes.
+headers, command lines, key blocks, split literals), assignments to secret names
+and lines of configuration files are applied to those lines only. Issuers'
+checksums and the JSON head of web tokens are validated: a value that passes is
+proved; one that doesn't, or that has none, must have the structure of a secret.
+Placeholders, references and values without it are dismissed; what remains is
+replaced by a placeholder of the same length and character classes, which is
+drawn with a key of the run, so that no secret can be found by trying.
 
 Only the current row of an id counts (latest updated_at, nulls oldest, ties by
 content). A null content has no lines; a null id is dropped.
@@ -13,9 +16,13 @@ content). A null content has no lines; a null id is dropped.
 
 from __future__ import annotations
 
-import hashlib
+import base64
+import hmac
+import json
 import math
 import re
+import secrets
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -71,6 +78,8 @@ _ABOUT = {
 _ASSIGN = re.compile(
     r"""(?P<name>[A-Za-z_$][\w$\-]*)["'`]?\]?\)?\s*(?::\s*&?(?:'static\s+)?[A-Za-z_\[][\w<>\[\]]*\s*)?(?P<sign>:=|=>|=|:|,|\s)\s*(?P<paren>\(?)\s*(?P<quote>["'`])(?P<value>(?:\\.|(?!(?P=quote))[^\\\n])*)(?P=quote)(?P<rest>.*)"""
 )
+#: A line of a configuration file: a name and an unquoted value that is the rest of the line but for a remark.
+CONFIG = re.compile(r"^\s*(?:export\s+|set\s+|-\s+|ENV\s+)?(?P<name>[A-Za-z_][\w.\-]*)\s*(?:=|:\s)\s*(?P<value>[^\s'\"`;,(){}\[\]<>$|\\]{8,})\s*(?:#.*)?$")
 _STRING = re.compile(r"""(["'`])((?:\\.|(?!\1)[^\\\n])*)\1""")
 _PLACEHOLDER = re.compile(
     r"^(?:[x*.\-_#0?]+|change[-_ ]?(?:me|it|this)|dummy|example|sample|test|none|null|nil|true|false|redacted|removed|hidden|masked|todo|tbd|secret|password|passwd|token"
@@ -99,8 +108,31 @@ def entropy(text: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(text).values()) if n else 0.0
 
 
+_BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def proved(value: str) -> bool:
+    """Whether an issued value carries a checksum that is right, or decodes to what its issuer writes."""
+    m = re.fullmatch(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})", value)
+    if m:
+        crc, digits = zlib.crc32(m[1].encode()), ""
+        for _ in range(6):
+            crc, d = divmod(crc, 62)
+            digits = _BASE62[d] + digits
+        return digits == m[2]
+    if value.startswith("eyJ"):
+        head = value.split(".")[0]
+        try:
+            return "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
+        except (ValueError, TypeError):
+            return False
+    return False
+
+
 def sham(value: str) -> bool:
     """Whether a value has an issuer's format only: one that manuals show, or filled up with few letters."""
+    if proved(value):
+        return False
     body = _PREFIX.sub("", value)
     return bool(_FILLED.search(body) or _PLACEHOLDER.match(body)) or len(set(body)) < 6 or body[:12] in _SEQUENCE
 
@@ -125,6 +157,14 @@ def secret_value(value: str) -> bool:
     return bool(re.search(r"[a-z]", value) and re.search(r"[A-Z]", value)) and len(value) >= 12 and not re.fullmatch(r"[A-Za-z]?[a-z]+(?:[A-Z][a-z]+)*", value)
 
 
+def drawn(value: str) -> bool:
+    """Whether an unquoted value looks drawn: letters and digits of mixed case or with marks, no name, number or path."""
+    kinds = [bool(re.search(k, value)) for k in (r"[a-z]", r"[A-Z]", r"\d", r"[^\w.\-/:]")]
+    if not kinds[2] or sum(kinds) < 3 or re.fullmatch(r"[A-Za-z_][\w\-]*(?:[.:/]+[A-Za-z_][\w\-]*)+", value):
+        return False
+    return secret_value(value) and entropy(value) > 2.5
+
+
 def _in_literal(value: str) -> list[str]:
     """Secrets inside a string literal whose name says nothing: URLs, connection strings, headers and commands."""
     found = [m[0] for m in ISSUERS.finditer(value) if not placeholder(m[0])]
@@ -150,7 +190,7 @@ def credentials_of(text: str, candidate_lines: list[int]) -> list[tuple[int, str
         block = KEY_BLOCK.search(line)
         if block:
             inline = line[block.end() :].split("-----END")[0].strip(" \"'`;,")
-            body = inline if re.search(r"[A-Za-z0-9+/=]{24,}", inline) else _block_body(lines, n)
+            body = inline if re.search(r"[A-Za-z0-9+/=]{24,}", inline) else "\n".join(_block_body(lines, n))
             if body:
                 found.append((n + 1, body))
                 continue
@@ -169,6 +209,9 @@ def credentials_of(text: str, candidate_lines: list[int]) -> list[tuple[int, str
                     hits.append(value)
             elif (m["sign"].strip() or line.lstrip().startswith("#define")) and secret_value(HEADER.sub(r"\1", value)):
                 hits.append(HEADER.sub(r"\1", value))
+        config = CONFIG.match(line)
+        if config and secret_name(config["name"].split(".")[-1]) and drawn(config["value"]):
+            hits.append(config["value"])
         if re.match(r"\s*(?://|#|\*|/\*|--)", line):
             curl = COMMAND[2].search(line)
             if curl and not placeholder(curl[1]):
@@ -193,27 +236,37 @@ def _assignments(line: str) -> Iterator[re.Match[str]]:
         at = m.end("value")
 
 
-def _continued(lines: list[str], n: int) -> str:
-    """Values of the literals on the next lines that continue a split one."""
-    out = ""
-    for line in lines[n + 1 : n + 8]:
-        m = re.match(r"""\s*(["'`])((?:\\.|(?!\1)[^\\\n])*)\1\s*(\+|\.|\\|\)|;|,)?""", line)
+def _continuations(lines: list[str], n: int) -> Iterator[tuple[int, re.Match[str]]]:
+    """(index, match) of the literals on the next lines that continue a split one; group 2 is the value."""
+    for k in range(n + 1, len(lines)):
+        m = re.match(r"""\s*(["'`])((?:\\.|(?!\1)[^\\\n])*)\1\s*(\+|\.|\\|\)|;|,)?""", lines[k])
         if not m:
-            break
-        out += m[2]
+            return
+        yield k, m
         if m[3] not in ("+", ".", "\\"):
-            break
-    return out
+            return
 
 
-def _block_body(lines: list[str], n: int) -> str:
-    """The lines of a key block after its first, up to the line that ends it or stops looking like one."""
-    body = []
-    for line in lines[n + 1 :]:
-        if "-----END" in line or not re.fullmatch(r"[\s/#*\"'+]*[A-Za-z0-9+/=]{16,}[\s\"'+,;.\\n]*", line):
-            break
-        body.append(line)
-    return "\n".join(body)
+def _continued(lines: list[str], n: int) -> str:
+    return "".join(m[2] for _, m in _continuations(lines, n))
+
+
+#: A line of a key block: marks of comments and literals, then letters of base64, then marks; or a header, or nothing.
+_BODY = re.compile(r"""(?P<before>[\s#*"']*(?://+\s+)?[\s"']*(?:\+\s+["'])?)(?P<key>[A-Za-z0-9+/]+={0,2})(?P<after>(?:\\[nr])*[\s"'+,;.\\)]*)""")
+_BLOCK_HEADER = re.compile(r"""[\s/#*"'+]*(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset)\s*:.*|[\s/#*"'+,;.\\nr]*""")
+
+
+def _block_body(lines: list[str], n: int) -> list[str]:
+    """The lines of a key block after its first, up to the line that ends it or stops looking like one.
+
+    Lines of a few letters are part of it too, if the block is ended, or if they end in the padding of base64.
+    """
+    end = next((k for k in range(n + 1, len(lines)) if "-----END" in lines[k] or not (_BODY.fullmatch(lines[k]) or _BLOCK_HEADER.fullmatch(lines[k]))), len(lines))
+    body = lines[n + 1 : end]
+    if not (end < len(lines) and "-----END" in lines[end]):
+        long_ = lambda x: (m := _BODY.fullmatch(x)) is not None and (len(m["key"]) >= 16 or m["key"].endswith("="))
+        body = body[: next((k for k, x in enumerate(body) if not (long_(x) or _BLOCK_HEADER.fullmatch(x))), len(body))]
+    return body if any((m := _BODY.fullmatch(x)) is not None and len(m["key"]) >= 16 for x in body) else []
 
 
 class Finder:
@@ -250,17 +303,19 @@ class Finder:
         return credentials_of(text, lines) if lines else []
 
 
-def disguise(secret: str) -> str:
+def disguise(secret: str, key: bytes) -> str:
     """A placeholder of the same length whose letters, digits and marks stand where they stood.
 
-    It is drawn from the secret's digest, so equal secrets stay equal; prefixes that name an issuer stay readable.
+    It is drawn from the secret by a keyed hash, so equal secrets stay equal under one key; prefixes that name
+    an issuer stay readable, and escapes such as ``\\n`` stay as they are.
     """
-    seed = hashlib.sha256(secret.encode("utf-8", "surrogatepass")).digest()
-    keep = re.match(r"(?:AKIA|ASIA|gh[pousr]_|xox[a-z]-|sk_live_|sk-|eyJ)?", secret)
+    seed = hmac.digest(key, secret.encode("utf-8", "surrogatepass"), "sha256")
+    kept = re.match(r"(?:AKIA|ASIA|gh[pousr]_|xox[a-z]-|sk_live_|sk-|eyJ)?", secret)
+    still = set(range(kept.end() if kept else 0)) | {k for m in re.finditer(r"\\.", secret) for k in range(*m.span())}
     out = []
     for i, c in enumerate(secret):
         b = seed[i % 32] + i * 7
-        if keep and i < keep.end() or not c.isalnum():
+        if i in still or not c.isalnum():
             out.append(c)
         elif c.isdigit():
             out.append(chr(48 + b % 10))
@@ -269,48 +324,47 @@ def disguise(secret: str) -> str:
     return "".join(out)
 
 
-def redact(text: str, found: list[tuple[int, str]]) -> str:
+def redact(text: str, found: list[tuple[int, str]], key: bytes) -> str:
     """``text`` with every found secret disguised; lengths and line breaks stay."""
     lines = text.split("\n")
     for number, secret in found:
-        if "\n" in secret:
-            for k, part in enumerate(secret.split("\n")):
-                m = re.search(r"[A-Za-z0-9+/=]{8,}", part)
-                if m:
-                    lines[number + k] = lines[number + k].replace(m[0], disguise(m[0]))
+        block = KEY_BLOCK.search(lines[number - 1]) and "\n".join(_block_body(lines, number - 1)) == secret
+        if block:
+            for k in range(number, number + secret.count("\n") + 1):
+                m = _BODY.fullmatch(lines[k])
+                if m and not _BLOCK_HEADER.fullmatch(lines[k]):
+                    lines[k] = m["before"] + disguise(m["key"], key) + m["after"]
         else:
-            lines[number - 1] = lines[number - 1].replace(secret, disguise(secret))
-            part = secret
-            k = number
-            while re.match(r"^.*(?:\+|\.|\\)\s*$", lines[k - 1]) and k < len(lines) and part:
-                m = re.match(r"\s*([\"'`])((?:\\.|(?!\1)[^\\\n])*)\1", lines[k])
-                if not m:
-                    break
-                lines[k] = lines[k].replace(m[2], disguise(m[2])) if m[2] else lines[k]
-                k += 1
+            lines[number - 1] = lines[number - 1].replace(secret, disguise(secret, key))
+            if re.match(r"^.*(?:\+|\.|\\|\()\s*$", lines[number - 1]):
+                for k, m in list(_continuations(lines, number - 1)):
+                    lines[k] = lines[k][: m.start(2)] + disguise(m[2], key) + lines[k][m.end(2) :]
     return "\n".join(lines)
 
 
-def _scan(redacted: bool):  # noqa: ANN202
+def _scan(redacted: bool, key: bytes):  # noqa: ANN202
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find = Finder()
         for b in batches:
             found = [find(t) for t in b["content"]]
             out = {"id": b["id"], "updated_at": b["updated_at"], "digest": b["digest"], "lines": [sorted({n for n, _ in f}) for f in found]}
             if redacted:
-                out["redacted"] = [redact(t, f) if f else t for t, f in zip(b["content"], found, strict=True)]
+                out["redacted"] = [redact(t, f, key) if f else t for t, f in zip(b["content"], found, strict=True)]
+                out["n_proved"] = [sum(proved(x) for _, x in f) for f in found]
             yield pd.DataFrame(out)
 
     return rows
 
 
-def chunk_credentials(chunks: DataFrame, redacted: bool = False) -> DataFrame:
-    """(id, lines array<int>[, redacted]): the lines on which credentials begin, one row per current id.
+def chunk_credentials(chunks: DataFrame, redacted: bool = False, key: bytes | None = None) -> DataFrame:
+    """(id, lines array<int>[, redacted, n_proved]): the lines on which credentials begin, one row per current id.
 
+    ``n_proved`` counts those whose checksum or head was validated. Without a ``key`` one is drawn for this run.
     The scan is one pass of map tasks over the chunks; only (id, time, lines) is
     shuffled to choose the current row of an id, the text only if it is asked for.
     """
     rows = chunks.where("id IS NOT NULL").select("id", "updated_at", "content", F.xxhash64("content").alias("digest"))
-    schema = "id string, updated_at timestamp, digest bigint, lines array<int>" + ", redacted string" * redacted
-    columns = ["lines"] + ["redacted"] * redacted
-    return latest(rows.mapInPandas(_scan(redacted), schema), "id", ["updated_at", "digest"], columns)
+    schema = "id string, updated_at timestamp, digest bigint, lines array<int>" + ", redacted string, n_proved int" * redacted
+    columns = ["lines"] + ["redacted", "n_proved"] * redacted
+    scan = _scan(redacted, key or secrets.token_bytes(32))
+    return latest(rows.mapInPandas(scan, schema), "id", ["updated_at", "digest"], columns)

@@ -31,7 +31,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return credentials.chunk_credentials(table(spark, d, "chunks"), redacted=True).where("size(lines) > 0").select("id", "redacted")
+    return credentials.chunk_credentials(table(spark, d, "chunks"), redacted=True).where("size(lines) > 0").select("id", "redacted", "n_proved")
 
 
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:

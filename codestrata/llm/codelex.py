@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import cached_property
 
 _DOUBLE = r'"(?:\\.|[^"\\\n])*(?:"|(?=\n)|\Z)'
 _SINGLE = r"'(?:\\.|[^'\\\n])*(?:'|(?=\n)|\Z)"
@@ -58,6 +59,11 @@ def tokens(text: str, lexer: str) -> Iterator[tuple[str, int, int]]:
         yield m.lastgroup or "", m.start(), m.end()
 
 
+#: Comments that speak to tools.
+DIRECTIVE = re.compile(r"(?://+|#+|/\*+)\s*(?:nolint|noqa|pylint:|type:\s*ignore|eslint-|tslint:|@ts-|prettier-ignore|rubocop:|clang-format|phpcs:|go:|swiftlint:|istanbul|coverage:|fmt:|mypy:|NOSONAR)", re.I)
+_MARK = re.compile(r"//+!?|#+!?|/\*+|=begin|--+|")
+
+
 class Source:
     """A lexed file: its lines, comments and the braces that are neither comment nor string."""
 
@@ -75,6 +81,11 @@ class Source:
             else:
                 self.braces.append((a, 1 if kind == "open" else -1))
 
+    @cached_property
+    def ends(self) -> dict[int, tuple[int, int]]:
+        """The comments with nothing but space before them, by the line on which they end."""
+        return {self.line_of(max(a, b - 1)): (a, b) for a, b in self.comments if self._alone(a)}
+
     def line_of(self, offset: int) -> int:
         return bisect_right(self.starts, offset)
 
@@ -117,17 +128,26 @@ class Source:
         return last
 
     def comment_before(self, line: int) -> str | None:
-        """The comment that ends on the line before ``line``; attributes and decorators may stand between."""
-        ends = {self.line_of(max(a, b - 1)): (a, b) for a, b in self.comments if self._alone(a)}
+        """The comment that ends on the line before ``line``; attributes, decorators and directives to tools may stand between.
+
+        Line comments belong together while they have the same mark and stand in the same column; lines that
+        name the file's tool, package or licence at its head are no part of it.
+        """
+        ends = self.ends
         number = line - 1
-        while number > 0 and number not in ends and re.match(r"\s*(@|#\[|\[\w|#!\[)", self.line(number)):
+        while number > 0 and (re.match(r"\s*(@|#\[|\[\w|#!\[)", self.line(number)) if number not in ends else DIRECTIVE.match(self.text[slice(*ends[number])])):
             number -= 1
         parts: list[str] = []
+        look = None
         while number in ends:
             a, b = ends[number]
-            parts.append(self.text[a:b])
+            part, mark = self.text[a:b], (_MARK.match(self.text, a)[0], a - self.starts[self.line_of(a) - 1])  # type: ignore[index]
+            if (look is not None and mark != look) or DIRECTIVE.match(part):
+                break
+            parts.append(part)
+            look = mark
             number = self.line_of(a) - 1
-            if self.text[a:b].startswith("/*"):
+            if part.startswith("/*"):
                 break
         return "\n".join(reversed(parts)) if parts else None
 
@@ -138,10 +158,25 @@ class Source:
     def docstring_after(self, line: int) -> str | None:
         """The string that is the first statement of the block whose header starts on ``line``."""
         at = self.starts[line - 1]
-        for a, b in self.strings[bisect_right(self.strings, (at, 0)) :]:
-            if self._alone(a):
-                between = re.sub(r"#[^\n]*", "", self.text[at:a]).rstrip()
-                return self.text[a:b] if between.endswith(":") and re.match(r"\s*(async\s+def|def|class)\b", between) else None
-            if self.line_of(a) > line + 40:
-                return None
-        return None
+        header = re.compile(r"\s*(?:async\s+def|def|class)\b").match(self.text, at)
+        if not header:
+            return None
+        depth, strings = 0, self.strings[bisect_right(self.strings, (at, 0)) :]
+        first = iter(strings)
+        inside = next(first, None)
+        k = header.end()
+        while k < len(self.text):  # the colon that ends the header: outside of brackets, strings and comments
+            if inside is not None and k >= inside[0]:
+                k, inside = max(k, inside[1]), next(first, None)
+                continue
+            c = self.text[k]
+            if c == "#":
+                end = self.text.find("\n", k)
+                k = end if end >= 0 else len(self.text)
+                continue
+            depth += (c in "([{") - (c in ")]}")
+            k += 1
+            if c == ":" and depth == 0:
+                break
+        body = re.compile(r"(?:\s|#[^\n]*)*").match(self.text, k).end()  # type: ignore[union-attr]
+        return next((self.text[a:b] for a, b in strings if a == body), None)

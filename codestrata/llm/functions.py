@@ -3,8 +3,11 @@
 Files are lexed by a string- and comment-aware state machine; braces (or, in
 Python and Ruby, indentation and keywords) delimit the function that a symbol's
 first line opens; the comment directly before it, or the docstring at its head,
-is attached. Symbols give name, signature and place, the comment they carry is
-used where the file is missing. Functions without a description are dropped.
+is attached, without the lines that a file's head gives to its tool, package or
+licence. Symbols give name, signature and place. The attached comment decides;
+the one that a symbol carries is compared with it, and decides only where none
+can be attached: the file is missing, or another version than the symbol's.
+Functions without a description are dropped.
 
 Only the newest version of a file counts; repeated symbols are one. Symbols
 with a null path, name or line are dropped; a null or empty comment is no
@@ -21,10 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.llm.codelex import Source, family
+from codestrata.llm.origin import TOOL_HEADER, head_words
 from codestrata.shared import latest
 
 #: Words besides the name's that a description needs.
 NEW_WORDS = 3
+#: Lines at the beginning of a file that may belong to its head.
+HEAD_LINES = 12
 
 _OPENERS = re.compile(r"^\s*(?:[rRbBuU]{0,2}(?:\"\"\"|''')|/\*+!?|//+!?|#+!?|--+|=begin\b|\*(?!/))[ \t]?|\s*(?:\*+/|\"\"\"|'''|=end\b)\s*$")
 _TAG = re.compile(r"^\s*(?:@\w+|\\(?:param|return|brief)\b|:(?:param|type|returns?|rtype|raises)\b|(?:Args|Arguments|Parameters|Returns?|Raises|Throws|Yields|Params?)\s*:?\s*$)")
@@ -44,6 +50,7 @@ _EMPTY_WORDS = frozenset(
     "a an the this that these it its is are was be of for to in on at by with from and or function functions method methods func fn def class procedure routine helper"
     " description describes describe documentation docs doc comment name named implementation implements returns return does do given new object value values void self static public private".split()
 )
+_NOTICE = re.compile(r"(?:copyright\b|\(c\)|licen[cs]ed under\b|spdx-)", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 
@@ -61,6 +68,15 @@ def clean_comment(raw: str) -> str:
     return "\n".join(lines).strip()
 
 
+def without_head(raw: str) -> str:
+    """A comment without the lines that name the file's tool, package or licence."""
+    def head(line: str) -> bool:
+        bare = clean_comment(line)
+        return bool(TOOL_HEADER.match(bare) and not re.search(r"\bstub\b", bare, re.I) or head_words(bare) or _NOTICE.match(bare))
+
+    return "\n".join(x for x in raw.split("\n") if not head(x))
+
+
 def description(raw: str | None) -> str:
     """The prose of a comment: its lines before and between tags, without rules and tags."""
     if not raw:
@@ -117,8 +133,17 @@ def function_text(source: Source, start: int, end: int | None) -> tuple[str, int
     return source.text[begin:close].rstrip("\r\n"), stop
 
 
+def attached(source: Source, start: int) -> str | None:
+    """The documentation of the function that opens on a line: its docstring, else the comment before it."""
+    found = source.docstring_after(start) if source.lexer == "python" else None
+    before = None if found else source.comment_before(start)
+    if before and start - before.count("\n") - 1 <= HEAD_LINES:
+        before = without_head(before)
+    return found or before or None
+
+
 def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ("file_path", "start_line", "end_line", "kind", "name", "signature", "documentation", "code", "origin")
+    names = ("file_path", "start_line", "end_line", "kind", "name", "signature", "documentation", "code", "origin", "agrees")
     for b in batches:
         out: list[tuple] = []
         for path, content, language, symbols in zip(b["file_path"], b["content"], b["language"], b["symbols"], strict=True):
@@ -127,18 +152,19 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 start, code, end, lexed = s["start"], None, s["end"], None
                 if source is not None and 0 < start <= len(source.starts):
                     code, end = function_text(source, start, s["end"])
-                    lexed = (source.docstring_after(start) if source.lexer == "python" else None) or source.comment_before(start)
-                raw = s["doc_comment"] or lexed
-                text = description(raw)
+                    lexed = attached(source, start)
+                told = description(s["doc_comment"])
+                text = description(lexed) if lexed else told
                 if says_something(text, s["name"], s["signature"]):
-                    out.append((path, start, end, s["kind"], s["name"], s["signature"], text, code, "symbol" if s["doc_comment"] else "file"))
-        yield pd.DataFrame(out, columns=list(names))
+                    out.append((path, start, end, s["kind"], s["name"], s["signature"], text, code, "symbol" if s["doc_comment"] else "file", text == told if s["doc_comment"] else None))
+        yield pd.DataFrame(out, columns=list(names)).astype({"agrees": "boolean"})
 
 
 def documented_functions(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """One row per documented function: file_path, start_line, end_line, kind, name, signature, documentation, code, origin.
+    """One row per documented function: file_path, start_line, end_line, kind, name, signature, documentation, code, origin, agrees.
 
-    ``origin`` is ``symbol`` where the symbol carries the comment, ``file`` where only the lexed file has it.
+    ``origin`` is ``symbol`` where the symbol carries a comment too, ``file`` where only the lexed file has it;
+    ``agrees`` tells whether both say the same, null without the symbol's.
     Symbols and file versions are each brought together by path once; the join reuses that partitioning.
     """
     wanted = (
@@ -156,5 +182,5 @@ def documented_functions(symbols: DataFrame, files: DataFrame) -> DataFrame:
         files.where("relative_path IS NOT NULL").withColumnRenamed("relative_path", "file_path"), "file_path", ["mtime", "scanned_at"], ["content", "language"]
     )
     rows = wanted.join(newest, "file_path", "left").select("file_path", "content", "language", "symbols")
-    schema = "file_path string, start_line int, end_line int, kind string, name string, signature string, documentation string, code string, origin string"
+    schema = "file_path string, start_line int, end_line int, kind string, name string, signature string, documentation string, code string, origin string, agrees boolean"
     return rows.mapInPandas(_pairs, schema)

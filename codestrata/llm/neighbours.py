@@ -37,13 +37,13 @@ HOT = 2
 #: A vector queries the cells whose centre's cosine is at most MARGIN less than the nearest centre's, and PROBES at most:
 #: few where it lies deep in a cluster of its own, more where centres are sparse or a cluster is spread over many cells.
 #: Below the first level a vector goes on from a cell that isn't its nearest to SIDE_PROBES cells of it at most.
-MARGIN, PROBES, SIDE_PROBES = 0.25, 8, 4
+MARGIN, PROBES, SIDE_PROBES = 0.2, 8, 4
 #: Queries of a task: more of one cell are slices, each with a copy of the cell.
 QUERIES = 8192
 #: Edges of a vertex, width of the beam when building and searching, vertices expanded at once, relaxation of the pruning.
 DEGREE, BUILD_BEAM, BEAM, EXPAND, ALPHA = 32, 40, 64, 8, 1.02
-#: Vertices joined by brute force at first, entry points of a search, queries searched together.
-SEED_SIZE, ENTRIES, BATCH = 256, 32, 1024
+#: Vertices joined by brute force at first, entry points of a search, queries searched together, inner products made together.
+SEED_SIZE, ENTRIES, BATCH, PRODUCTS = 256, 32, 1024, 1024
 
 
 class VectorGraph:
@@ -51,7 +51,8 @@ class VectorGraph:
 
     def __init__(self, vectors: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA):
         self.x, self.n, self.degree, self.alpha = vectors, len(vectors), degree, alpha
-        self.edges = np.full((self.n, degree), -1, dtype=np.int32)
+        self.edges = np.full((self.n, degree), -1, dtype=np.intp)
+        self.buffers = np.empty((2, PRODUCTS, vectors.shape[1]), dtype=np.float32)
         first = min(self.n, SEED_SIZE)
         self.entries = np.arange(min(self.n, ENTRIES))
         self._connect(np.arange(first), *self._all_pairs(first, beam))
@@ -126,6 +127,16 @@ class VectorGraph:
             sims = np.einsum("bcd,bd->bc", self.x[np.maximum(wide, 0)], self.x[points])
             self.edges[points] = self._prune(points, wide, np.where(wide >= 0, sims, -np.inf))
 
+    def _products(self, vertex: np.ndarray, queries: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Inner products of vertices and queries, a cache's fill at a time, in buffers that are used again."""
+        out = np.empty(len(vertex), dtype=np.float32)
+        for a in range(0, len(vertex), PRODUCTS):
+            n = min(PRODUCTS, len(vertex) - a)
+            x = np.take(self.x, vertex[a : a + n], axis=0, out=self.buffers[0, :n], mode="clip")
+            y = np.take(queries, row[a : a + n], axis=0, out=self.buffers[1, :n], mode="clip")
+            np.einsum("ij,ij->i", x, y, out=out[a : a + n])
+        return out
+
     def search(self, queries: np.ndarray, beam: int = BEAM, n: int | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, similarities) of the best vertices that beam searches for the queries come upon, best first.
 
@@ -138,7 +149,7 @@ class VectorGraph:
         first = queries @ self.x[entries].T
         width = min(beam, len(entries))
         order = np.argpartition(-first, width - 1, axis=1)[:, :width]
-        ids = np.full((m, beam), -1, dtype=np.int32)
+        ids = np.full((m, beam), -1, dtype=np.intp)
         sims = np.full((m, beam), -np.inf, dtype=np.float32)
         ids[:, :width], sims[:, :width] = entries[order], np.take_along_axis(first, order, axis=1)
         seen = np.zeros(m * n, dtype=bool)
@@ -161,24 +172,28 @@ class VectorGraph:
                 if not len(active):
                     break
             np.put_along_axis(now_done, best, True, axis=1)
-            near = np.where(usable[:, :, None], self.edges[np.maximum(np.take_along_axis(now_ids, best, axis=1), 0)], -1).reshape(len(active), -1)
-            row, col = np.nonzero(near >= 0)
-            vertex = near[row, col]
+            near = self.edges[np.take_along_axis(now_ids, best, axis=1)]
+            near[~usable] = -1
+            near = near.reshape(len(active), -1)
+            flat = near.ravel()
+            at = np.flatnonzero(flat >= 0)
+            vertex, row = flat[at], at // near.shape[1]
             key = active[row] * n + vertex
             fresh = ~seen[key]
             row, vertex, key = row[fresh], vertex[fresh], key[fresh]
-            marks[key] = np.arange(len(key))
-            once = marks[key] == np.arange(len(key))
+            places = np.arange(len(key), dtype=np.int32)
+            marks[key] = places
+            once = marks[key] == places
             row, vertex, key = row[once], vertex[once], key[once]
             seen[key] = True
-            value = np.einsum("ij,ij->i", self.x[vertex], queries[active[row]])
+            value = self._products(vertex, queries, active[row])
             better = value > now_sims.min(axis=1)[row]
             row, vertex, value = row[better], vertex[better], value[better]
             counts = np.bincount(row, minlength=len(active))
             most = int(counts.max()) if len(row) else 0
             if most:
                 place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-                new_ids = np.full((len(active), most), -1, dtype=np.int32)
+                new_ids = np.full((len(active), most), -1, dtype=np.intp)
                 new_sims = np.full((len(active), most), -np.inf, dtype=np.float32)
                 new_ids[row, place], new_sims[row, place] = vertex, value
                 all_sims = np.concatenate([now_sims, new_sims], axis=1)
@@ -301,7 +316,10 @@ def children_of(placed: DataFrame, sizes: DataFrame, shard: int, branch: int) ->
 
 
 def refined(placed: DataFrame, children: DataFrame, margin: float) -> DataFrame:
-    """``placed`` with the rows of cut cells moved on to the cells inside; a cell's rows are salted, its centres go to every salt."""
+    """``placed`` with the rows of cut cells moved on to the cells inside, and these stored.
+
+    A cell's rows are salted, its centres go to every salt.
+    """
 
     def move(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -324,7 +342,7 @@ def refined(placed: DataFrame, children: DataFrame, margin: float) -> DataFrame:
     copies = children.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))).select("cell", "salt", "centres")
     names = ["id", "unit", "asking", "cell", "home"]
     moved = salted.select(*names, "salt").groupBy("cell", "salt").cogroup(copies.groupBy("cell", "salt")).applyInPandas(move, PLACED)
-    return keep(marked.where("salts IS NULL").select(*names).unionByName(moved), "placed")
+    return marked.where("salts IS NULL").select(*names).unionByName(keep(moved, "moved"))
 
 
 def _answers(k: int, beam: int):  # noqa: ANN202
@@ -371,7 +389,7 @@ def nearest_vectors(units: DataFrame, k: int = 5, shard: int = SHARD, margin: fl
     ``units`` is a stored table of unit_vectors. One shuffle brings each cell together; its members are one graph.
     The queries of a cell are cut into slices of QUERIES, which are tasks with a copy of the members. A second
     shuffle, of k answers a cell and vector, keeps the best. Each level of cells beyond the first, needed beyond
-    BRANCH * HOT * SHARD vectors or for cells of very unequal size, stores the placements once more.
+    BRANCH * HOT * SHARD vectors or for cells of very unequal size, stores what it moves.
     """
     shared = shared_vectors(units, k)
     same = None

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.llm.codelex import Source, family
+from codestrata.llm.located import beside_files
 from codestrata.llm.origin import TOOL_HEADER, head_words
-from codestrata.shared import latest
 
 #: Words besides the name's that a description needs.
 NEW_WORDS = 3
@@ -146,7 +146,7 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = ("file_path", "start_line", "end_line", "kind", "name", "signature", "documentation", "code", "origin", "agrees")
     for b in batches:
         out: list[tuple] = []
-        for path, content, language, symbols in zip(b["file_path"], b["content"], b["language"], b["symbols"], strict=True):
+        for path, content, language, symbols in zip(b["file_path"], b["content"], b["language"], b["items"], strict=True):
             source = Source(content, family(language, path)) if isinstance(content, str) else None
             for s in symbols:
                 start, code, end, lexed = s["start"], None, s["end"], None
@@ -165,22 +165,9 @@ def documented_functions(symbols: DataFrame, files: DataFrame) -> DataFrame:
 
     ``origin`` is ``symbol`` where the symbol carries a comment too, ``file`` where only the lexed file has it;
     ``agrees`` tells whether both say the same, null without the symbol's.
-    Symbols and file versions are each brought together by path once; the join reuses that partitioning.
     """
-    wanted = (
-        symbols.where("kind IN ('Function', 'Method') AND file_path IS NOT NULL AND name IS NOT NULL AND line_range.start IS NOT NULL")
-        .select(
-            "file_path",
-            F.struct(
-                F.col("line_range.start").alias("start"), F.col("line_range.end").alias("end"), "kind", "name", "signature", "doc_comment"
-            ).alias("s"),
-        )
-        .groupBy("file_path")
-        .agg(F.collect_set("s").alias("symbols"))
-    )
-    newest = latest(
-        files.where("relative_path IS NOT NULL").withColumnRenamed("relative_path", "file_path"), "file_path", ["mtime", "scanned_at"], ["content", "language"]
-    )
-    rows = wanted.join(newest, "file_path", "left").select("file_path", "content", "language", "symbols")
+    item = F.struct(F.col("line_range.start").alias("start"), F.col("line_range.end").alias("end"), "kind", "name", "signature", "doc_comment")
+    known = "kind IN ('Function', 'Method') AND file_path IS NOT NULL AND name IS NOT NULL AND line_range.start IS NOT NULL"
+    rows = beside_files(symbols.where(known).select("file_path", item.alias("item")), files)
     schema = "file_path string, start_line int, end_line int, kind string, name string, signature string, documentation string, code string, origin string, agrees boolean"
     return rows.mapInPandas(_pairs, schema)

@@ -1,8 +1,10 @@
 """Problem 4: natural language inside code, its language and its share of each file.
 
-Comments and strings come from the markers and symbols tables, or are lexed
-from whole files; code-like parts are removed; character n-gram naive Bayes
-identifies the language; bytes of prose are totalled per file and language.
+Comments and strings are lexed from files; markers and symbols point to theirs
+by line; code-like parts are removed; character n-gram naive Bayes identifies
+the language; the bytes that prose takes in the source are totalled per file and
+language. Where the newest version of a file doesn't hold what a marker or symbol
+says, or the file is missing, what the row itself says is taken.
 
 The classifier is fitted on a bounded sample of labelled documents
 (``PER_LANGUAGE`` of each language); everything else covers all rows. Null and
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +23,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.llm.codelex import family, tokens
-from codestrata.llm.functions import clean_comment, description
+from codestrata.llm.codelex import Source, family, tokens
+from codestrata.llm.functions import attached, clean_comment, description
+from codestrata.llm.located import beside_files
 from codestrata.shared import latest
 
 #: The languages that are told apart; the first is the default.
@@ -132,20 +136,45 @@ def commentary(markers: DataFrame, symbols: DataFrame) -> DataFrame:
     return from_markers.unionByName(from_symbols).where("text IS NOT NULL AND file_path IS NOT NULL AND line_number IS NOT NULL").distinct()
 
 
-def prose_languages(markers: DataFrame, symbols: DataFrame, model: LanguageModel) -> DataFrame:
-    """(origin, file_path, line_number, lang, n_bytes): every marker and doc comment that holds prose."""
+def lexed_at(source: Source, origin: str, line: int, text: str) -> str | None:
+    """The comment that a marker's line holds or that is attached to a symbol's, as it stands in the file, if it says ``text``."""
+    if not 0 < line <= len(source.starts):
+        return None
+    if origin == "symbol":
+        found = attached(source, line)
+        return found if found and description(found) == description(text) else None
+    at, end = source.starts[line - 1], source.starts[line] if line < len(source.starts) else len(source.text)
+    for a, b in source.comments[max(0, bisect_right(source.comments, (at, 0)) - 1) :]:
+        if a >= end:
+            break
+        if b > at and text in source.text[a:b]:
+            return text
+    return None
+
+
+def prose_languages(markers: DataFrame, symbols: DataFrame, files: DataFrame, model: LanguageModel) -> DataFrame:
+    """(origin, file_path, line_number, lang, n_bytes, lexed): every marker and doc comment that holds prose.
+
+    ``n_bytes`` is what the comment takes in the source; ``lexed`` tells whether the file's newest version holds it.
+    """
     shared = markers.sparkSession.sparkContext.broadcast(model.weights)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fitted = LanguageModel(shared.value)
         for b in batches:
-            texts = [description(t) if o == "symbol" else t for o, t in zip(b["origin"], b["text"], strict=True)]
-            proses = [bare_prose(t) for t in texts]
-            out = b[["origin", "file_path", "line_number"]].assign(lang=fitted.languages(proses), n_bytes=[len(p.encode("utf-8", "replace")) for p in proses])
+            found: list[tuple] = []
+            for path, content, language, items in zip(b["file_path"], b["content"], b["language"], b["items"], strict=True):
+                source = Source(content, family(language, path)) if isinstance(content, str) else None
+                for i in items:
+                    held = lexed_at(source, i["origin"], i["line_number"], i["text"]) if source is not None else None
+                    found.append((i["origin"], path, i["line_number"], held or i["text"], held is not None))
+            texts = [description(t) if o == "symbol" else t for o, _, _, t, _ in found]
+            out = pd.DataFrame([(o, p, n, len(t.encode("utf-8", "replace")), held) for o, p, n, t, held in found], columns=["origin", "file_path", "line_number", "n_bytes", "lexed"])
+            out["lang"] = fitted.languages([bare_prose(t) for t in texts]) if found else []
             yield out[out["lang"].notna()]
 
-    schema = "origin string, file_path string, line_number int, lang string, n_bytes bigint"
-    return commentary(markers, symbols).mapInPandas(rows, schema)
+    pointing = commentary(markers, symbols).select("file_path", F.struct("origin", "line_number", "text").alias("item"))
+    return beside_files(pointing, files).mapInPandas(rows, "origin string, file_path string, line_number int, lang string, n_bytes bigint, lexed boolean")
 
 
 def prose_shares(found: DataFrame, files: DataFrame) -> DataFrame:
@@ -161,7 +190,10 @@ def prose_shares(found: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def file_prose(files: DataFrame, model: LanguageModel) -> DataFrame:
-    """(relative_path, lang, n_parts, n_bytes, share): prose in the comments and strings of whole files, by language."""
+    """(relative_path, lang, n_parts, n_bytes, share): prose in the comments and strings of whole files, by language.
+
+    Bytes are those of the comments and strings as they stand in the file, marks included.
+    """
     shared = files.sparkSession.sparkContext.broadcast(model.weights)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,11 +205,11 @@ def file_prose(files: DataFrame, model: LanguageModel) -> DataFrame:
                 parts = [(k, text[x:y]) for k, x, y in tokens(text, family(language, path)) if k in ("comment", "string")]
                 proses = [bare_prose(description(p) if k == "comment" else clean_comment(p)) for k, p in parts]
                 totals: dict[str, list[int]] = {}
-                for prose, lang in zip(proses, fitted.languages(proses) if proses else [], strict=True):
+                for (_, part), lang in zip(parts, fitted.languages(proses) if proses else [], strict=True):
                     if lang:
                         t = totals.setdefault(lang, [0, 0])
                         t[0] += 1
-                        t[1] += len(prose.encode("utf-8", "replace"))
+                        t[1] += len(part.encode("utf-8", "replace"))
                 size = max(1, len(text.encode("utf-8", "replace")))
                 parts_out = [{"lang": k, "n_parts": n, "n_bytes": m, "share": round(m / size, 6)} for k, (n, m) in sorted(totals.items())]
                 out.append((path, mtime, scanned, parts_out))

@@ -44,7 +44,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _prose(spark: SparkSession, d: str) -> DataFrame:
     model = prose.fitted_model(table(spark, d, "documents"))
-    return prose.prose_languages(table(spark, d, "markers"), table(spark, d, "symbols"), model)
+    return prose.prose_languages(table(spark, d, "markers"), table(spark, d, "symbols"), table(spark, d, "files"), model)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import credentials, encodings, functions, leakage, mixing, neardup, neighbours, origin, prose, splitting
+from codestrata.llm import credentials, encodings, functions, leakage, located, mixing, neardup, neighbours, origin, prose, splitting
 from codestrata.llm.queries import oracle_sql, queries
 
 DATA = "/root/testdata/sf0.001"
@@ -182,10 +182,22 @@ def test_prose_of_tables(spark: SparkSession) -> None:
     model = prose.LanguageModel.fit([("en", "the queue reads the settings again before it starts"), ("de", "der parser prüft die größe der dateien und wartet")] * 5)
     markers = spark.createDataFrame([("m", "der parser prüft die größe der dateien", "a", 1), ("m", None, "a", 2), ("m", "x_y();", "a", 3), ("m", "der parser prüft die größe der dateien", "a", 1)], "kind string, content string, source_file string, line_number int")
     symbols = spark.createDataFrame([("a", (5, 6), "/// the queue reads the settings again\n/// @param x")], "file_path string, line_range struct<start:int,end:int>, doc_comment string")
-    found = prose.prose_languages(markers, symbols, model)
-    assert sorted((r.origin, r.file_path, r.line_number, r.lang) for r in found.collect()) == [("marker", "a", 1, "de"), ("symbol", "a", 5, "en")]
-    files = spark.createDataFrame([("a", 100, T1, T1)], "relative_path string, size_bytes bigint, mtime timestamp, scanned_at timestamp")
-    assert {r.lang: r.share for r in prose.prose_shares(found, files).collect()} == {"de": 0.41, "en": 0.34}
+    code = "// TODO der parser prüft die größe der dateien\n\n\n/// the queue reads the settings again\nfn f() {}\n"
+    schema = "relative_path string, language string, content string, size_bytes bigint, mtime timestamp, scanned_at timestamp"
+    for content, lexed in ((code, True), ("", False), (None, False)):
+        files = spark.createDataFrame([("a", "Rust", content, 100, T1, T1)], schema)
+        found = prose.prose_languages(markers, symbols, files, model)
+        assert sorted((r.origin, r.file_path, r.line_number, r.lang, r.lexed) for r in found.collect()) == [("marker", "a", 1, "de", lexed), ("symbol", "a", 5, "en", lexed)]
+        assert {r.lang: r.share for r in prose.prose_shares(found, files).collect()} == {"de": 0.41, "en": 0.38 if lexed else 0.51}
+    assert prose.prose_languages(markers, symbols, files.limit(0), model).count() == 2
+
+
+def test_a_hot_path_is_many_sets(spark: SparkSession) -> None:
+    rows = spark.range(300).select(F.when(F.col("id") < 250, "hot").otherwise(F.concat(F.lit("f"), "id")).alias("file_path"), F.struct("id").alias("item"))
+    files = spark.createDataFrame([("hot", "Go", "x", T1, T1), ("f260", "Go", "y", T1, T1)], "relative_path string, language string, content string, mtime timestamp, scanned_at timestamp")
+    got = located.beside_files(rows.unionByName(rows), files, 40).collect()
+    assert sum(len(r["items"]) for r in got) == 300 and max(len(r["items"]) for r in got) < 80
+    assert {r.content for r in got if r.file_path == "hot"} == {"x"} and {r.content for r in got if r.file_path == "f260"} == {"y"} and {r.content for r in got if r.file_path == "f261"} == {None}
 
 
 def test_splitting_of_table(spark: SparkSession) -> None:

@@ -15,6 +15,7 @@ from codestrata.operators.index import ChunkIndex
 from codestrata.operators.markers import extract_markers
 from codestrata.operators.symbols import extract_imports, extract_symbols
 from codestrata.plans import reports
+from codestrata.shared import keep
 from codestrata.sources import files as sources
 from codestrata.sources import git, state
 
@@ -37,26 +38,30 @@ class Engine:
         return git.diff_files(self.spark, self.root, self.diff_base) if self.diff_base else None
 
     @cached_property
-    def files(self) -> DataFrame:
-        self.spark.catalog.refreshByPath(self.root)  # an earlier analysis may have cached the same tree
+    def texts(self) -> DataFrame:
+        """The files with their contents, which are read again by each analysis of them and stored by none."""
         found = sources.scan_directory(self.spark, self.root, self.threshold, self.respect_gitignore, self.max_depth, self.languages, self.ignore)
-        return (git.restrict_to(found, self.diff) if self.diff is not None else found).persist()
+        return git.restrict_to(found, self.diff) if self.diff is not None else found
+
+    @cached_property
+    def files(self) -> DataFrame:
+        return keep(self.texts.drop("content"), "files")
 
     @cached_property
     def symbols(self) -> DataFrame:
-        return extract_symbols(self.files)
+        return keep(extract_symbols(self.texts), "symbols")
 
     @cached_property
     def markers(self) -> DataFrame:
-        return extract_markers(self.files)
+        return keep(extract_markers(self.texts), "markers")
 
     @cached_property
     def edges(self) -> DataFrame:
-        return graph.import_edges(extract_imports(self.files))
+        return keep(graph.import_edges(extract_imports(self.texts)), "edges")
 
     @cached_property
     def modules(self) -> DataFrame:
-        return modules.detect_modules(self.files).persist()
+        return keep(modules.detect_modules(self.files), "modules")
 
     @cached_property
     def owners(self) -> DataFrame:
@@ -94,7 +99,7 @@ class Engine:
 
     def index(self, folder: str, embedder: Embedder | None = None, sizes: ChunkSizes | None = None, force: bool = False, prune: bool = False) -> dict[str, int]:
         store = ChunkIndex(self.spark, folder)
-        done = store.update(self.files, self.symbols, embedder or HashingEmbedder(), sizes or ChunkSizes(), force)
+        done = store.update(self.texts, self.symbols, embedder or HashingEmbedder(), sizes or ChunkSizes(), force)
         if prune:
             done["pruned"] = store.prune(self.files)
         return done

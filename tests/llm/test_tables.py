@@ -255,3 +255,15 @@ def test_query(spark: SparkSession, name: str) -> None:
             con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
         want = con.execute(oracle_sql()[name]).to_arrow_table()
         assert rows == sorted(tuple(str(r[c]) for c in sorted(got.columns)) for r in want.to_pylist())
+
+
+def test_items_in_parts(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Item sets over the bound are indexed in parts, with the same result."""
+    texts = [" ".join(f"w{k}x{i}" for i in range(20)) for k in range(30)]
+    items = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(7, texts[8]), (90, None), (None, "x")], "item_id bigint, text string")
+    documents = spark.createDataFrame([(k, f"before {texts[k]} after") for k in range(0, 30, 3)] + [(100, ""), (101, None), (None, texts[0])], "doc_id bigint, text string")
+    want = {tuple(r) for r in leakage.leaked_items(documents, items).collect()}
+    assert {(k, k, 20) for k in range(0, 30, 3)} <= want
+    monkeypatch.setattr(leakage, "ITEMS", 7)
+    assert {tuple(r) for r in leakage.leaked_items(documents, items).collect()} == want
+    assert leakage.leaked_items(documents, items.limit(0)).count() == 0

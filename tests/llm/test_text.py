@@ -238,7 +238,7 @@ def test_leaks_equal_brute_force() -> None:
             n, at = rng.choice([11, 12, 13, 25]), rng.randrange(10)
             words[5:5] = source[at : at + n]
         text = " ,_\n".join(words).upper()
-        found = {index.items[k][0] for k in index.leaks(text)}
+        found = {index.ids[k] for k in index.leaks(text)}
         hits += len(found)
         assert found == brute(items, text)
     assert hits > 20 and index.leaks(None) == {} and leakage.ItemIndex([]).leaks("a b") == {}

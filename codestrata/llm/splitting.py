@@ -1,14 +1,17 @@
 """Problem 6: cutting oversized chunks at natural boundaries, with overlap.
 
 Balanced targets: the least number of pieces that can hold the text is
-computed, equally spaced cut targets are placed, each is snapped to the
-strongest boundary near it, and one piece is added whenever a piece would break
-the limit. Each piece after the first begins with the end of the one before it,
-``overlap`` bytes or fewer, from a line start where there is one.
+computed, equally spaced cut targets are placed, and each is snapped to the
+strongest boundary near it that keeps its piece within the limit. What a snap
+gave away or took is shared out equally among the targets after it, and a piece
+is added whenever those left can't hold the rest, so one pass cuts any text.
+Each piece after the first begins with the end of the one before it, ``overlap``
+bytes, or fewer, but at least half, where that lets it begin at the start of a line.
 
 Only the current row of an id is cut. A null content has no pieces; a text
 within the limit is one piece; a line longer than the limit is cut inside,
-never inside a character; an overlap of half the limit or more is halved.
+never inside a character. Limits under 8 bytes are 8; an overlap that would
+leave a piece less than 8 bytes of its own is cut to what leaves them.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from codestrata.shared import broadcast_if_small, latest
 
 #: Bytes that count as one token; the share of a piece's length within which a boundary may be sought.
 BYTES_PER_TOKEN, REACH = 4, 0.25
+#: Bytes that a piece has of its own at least: room for a character wherever it begins.
+LEAST = 8
 #: What a boundary is worth: blank line before a declaration, blank line, end of a block, line end, space, none.
 _DECLARATION = re.compile(r"\s{0,4}(?:pub |export |public |private |protected |static |async |final |func |fn |def |class |struct |function |@|///|/\*\*|//|#)")
 
@@ -45,26 +50,35 @@ def boundaries(raw: bytes) -> tuple[list[int], list[int]]:
     return offsets, strengths
 
 
-def whole_character(raw: bytes, at: int) -> int:
-    while 0 < at < len(raw) and raw[at] & 0xC0 == 0x80:
-        at -= 1
+def whole_character(raw: bytes, at: int, low: int) -> int:
+    """The last place up to ``at`` that is not inside a character, or the first after it where that isn't over ``low``."""
+    back = at
+    while 0 < back < len(raw) and raw[back] & 0xC0 == 0x80:
+        back -= 1
+    if back > low:
+        return back
+    while at < len(raw) and raw[at] & 0xC0 == 0x80:
+        at += 1
     return at
 
 
 def snap(raw: bytes, offsets: list[int], strengths: list[int], target: int, low: int, high: int) -> int:
-    """The strongest boundary between ``low`` and ``high``, the nearest to ``target`` among equals; else a space; else the target."""
+    """The strongest boundary after ``low`` up to ``high``, the nearest to ``target`` among equals; else a space; else the target."""
     a, b = bisect_right(offsets, low), bisect_right(offsets, high)
     if a < b:
         return offsets[max(range(a, b), key=lambda i: (strengths[i], -abs(offsets[i] - target)))]
     space = raw.rfind(b" ", low + 1, min(high, target) + 1)
-    return space + 1 if space > low else max(whole_character(raw, min(target, high)), low + 1)
+    return space + 1 if space >= 0 and space + 1 <= high else whole_character(raw, min(target, high), low)
 
 
 def overlap_start(raw: bytes, offsets: list[int], cut: int, overlap: int, floor: int) -> int:
-    """Where the piece that follows ``cut`` begins: the earliest line start, or character, within ``overlap`` bytes before it."""
+    """Where the piece that follows ``cut`` begins: the earliest line start, or else character, within ``overlap`` bytes before it.
+
+    A line start that would leave less than half of the overlap isn't taken.
+    """
     least = max(cut - overlap, floor)
     i = bisect_left(offsets, least)
-    if i < len(offsets) and offsets[i] < cut:
+    if i < len(offsets) and offsets[i] <= cut - overlap // 2 and offsets[i] < cut:
         return offsets[i]
     at = least
     while at < cut and raw[at] & 0xC0 == 0x80:
@@ -74,47 +88,20 @@ def overlap_start(raw: bytes, offsets: list[int], cut: int, overlap: int, floor:
 
 def split_spans(raw: bytes, limit: int, overlap: int = 0) -> list[tuple[int, int]]:
     """Byte spans of the pieces of ``raw``, each within ``limit`` bytes and sharing at most ``overlap`` with the one before."""
-    limit = max(limit, 8)
-    overlap = max(0, min(overlap, limit // 2))
-    if len(raw) <= limit:
-        return [(0, len(raw))]
-    offsets, strengths = boundaries(raw)
-    pieces = max(2, -(-(len(raw) - overlap) // (limit - overlap)))
-    while True:
-        size = len(raw) / pieces
-        reach = int(size * REACH)
-        cuts, starts, fits = [], [0], True
-        for k in range(1, pieces):
-            target = round(k * size)
-            low, high = max(target - reach, (cuts[-1] if cuts else 0) + 1), min(target + reach, starts[-1] + limit)
-            if high <= low:
-                fits = high > (cuts[-1] if cuts else 0) + 1
-                low = (cuts[-1] if cuts else 0) + 1
-            cut = snap(raw, offsets, strengths, min(target, high), low, max(high, low + 1))
-            cuts.append(cut)
-            starts.append(overlap_start(raw, offsets, cut, overlap, starts[-1] + 1))
-        spans = list(zip(starts, [*cuts, len(raw)], strict=True))
-        if fits and all(0 < b - a <= limit for a, b in spans):
-            return spans
-        pieces += 1
-        if pieces > 4 * len(raw) // max(1, limit - overlap) + 8:
-            return greedy_spans(raw, limit, overlap)
-
-
-def greedy_spans(raw: bytes, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """Cuts without regard for balance, for texts whose boundaries leave no balanced division."""
-    spans, start = [], 0
-    while True:
-        end = min(start + limit, len(raw))
-        if end < len(raw):
-            end = max(whole_character(raw, end), start + 1)
-        spans.append((start, end))
-        if end == len(raw):
-            return spans
-        following = max(end - overlap, start + 1)
-        while following < end and raw[following] & 0xC0 == 0x80:
-            following += 1
-        start = following
+    limit = max(limit, LEAST)
+    overlap = max(0, min(overlap, limit - LEAST))
+    offsets, strengths = boundaries(raw) if len(raw) > limit else ([], [])
+    spans, start, left = [], 0, -(-(len(raw) - overlap) // (limit - overlap))
+    while len(raw) - start > limit:
+        left = max(left, -(-(len(raw) - start - overlap) // (limit - overlap)))
+        size = (len(raw) - start + (left - 1) * overlap) / left
+        low = max(round(start + size * (1 - REACH)), start + overlap + 1)
+        high = min(round(start + size * (1 + REACH)), start + limit)
+        cut = snap(raw, offsets, strengths, min(round(start + size), high), min(low, high) - 1, high)
+        spans.append((start, cut))
+        start = overlap_start(raw, offsets, cut, overlap, start + 1)
+        left -= 1
+    return [*spans, (start, len(raw))]
 
 
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,11 +120,6 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=list(names))
 
 
-def current_chunks(chunks: DataFrame, *columns: str) -> DataFrame:
-    """The current row of each id: latest updated_at, nulls oldest, ties settled by content."""
-    return latest(chunks.where("id IS NOT NULL"), "id", ["updated_at"], list(columns))
-
-
 def code_of(content: str = "content"):  # noqa: ANN201
     """The code of a chunk: all that follows the first empty line; null without one."""
     at = F.expr(f"locate('\\n\\n', {content})")

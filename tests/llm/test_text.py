@@ -262,6 +262,17 @@ def mend() -> encodings.Repairer:
     return encodings.Repairer(encodings.train_dictionaries(samples), encodings.common_letters(samples))
 
 
+def test_a_specified_overlap_is_kept() -> None:
+    rng = random.Random(3)
+    raw = "\n".join("x" * rng.randrange(300) for _ in range(4000)).encode()
+    for limit, overlap in ((2048, 200), (2048, 1500), (2048, 2040), (4096, 0)):
+        spans = splitting.split_spans(raw, limit, overlap)
+        assert all(0 < b - a <= limit for a, b in spans)
+        shared = [x[1] - y[0] for x, y in zip(spans, spans[1:], strict=False)]
+        assert max(shared, default=0) <= overlap and min(shared) >= overlap // 2
+        assert len(spans) <= 1.06 * -(-(len(raw) - overlap) // (limit - overlap))
+
+
 @pytest.mark.parametrize("text", TEXTS)
 @pytest.mark.parametrize("wrong", ["latin-1", "sloppy", "twice", "mac_roman"])
 def test_wrong_decodings_are_undone(mend: encodings.Repairer, text: str, wrong: str) -> None:

@@ -33,6 +33,10 @@ class Engine:
     ignore: list[str] = field(default_factory=list)
     diff_base: str | None = None
 
+    @property
+    def name(self) -> str:
+        return self.root.rstrip("/").rpartition("/")[2] or "Project"
+
     @cached_property
     def diff(self) -> DataFrame | None:
         return git.diff_files(self.spark, self.root, self.diff_base) if self.diff_base else None
@@ -80,7 +84,8 @@ class Engine:
         parts = reduce(DataFrame.unionByName, [reports.outlines(self.symbols, self.owners, large), reports.module_memories(self.markers, self.owners), reports.module_imports(self.edges, self.owners)])
         complex_ = sources.complex_files(self.files, self.symbols).select("relative_path")
         every = [
-            reports.index_document(self.files, self.markers, self.modules, self.edges, hubs), reports.agent_document(self.files, self.markers, self.modules),
+            reports.index_document(self.files, self.markers, self.modules, self.edges, hubs, self.name),
+            reports.agent_document(self.files, self.markers, self.modules, self.name, git.head(self.root)),
             reports.module_documents(self.modules, self.files, parts),
             reports.file_documents(self.files.join(complex_, "relative_path", "left_semi"), self.symbols, self.markers),
         ]
@@ -93,6 +98,14 @@ class Engine:
             self.states.coalesce(1).write.mode("overwrite").json(f"{output}/manifest")
         return n
 
+    def dry_run(self) -> DataFrame:
+        """(path, n_bytes) of what ``write`` would write."""
+        return reports.dry_run(self.documents())
+
+    def outline(self, path: str) -> str:
+        """The symbols of one file as a table."""
+        return reports.symbol_outline(self.symbols, path).first().content
+
     def check(self, output: str) -> DataFrame:
         """What of the documents is stale, new or removed."""
         return incremental.check_result(state.load_manifest(self.spark, f"{output}/manifest"), self.states)

@@ -591,7 +591,7 @@ def _parts(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def module_documents(spark: SparkSession, d: str) -> DataFrame:
-    return reports.module_documents(table(spark, d, "modules"), newest_files(spark, d, "line_count", "language"), _parts(spark, d))
+    return reports.module_documents(table(spark, d, "modules"), newest_files(spark, d, "line_count", "is_large"), _parts(spark, d))
 
 
 @query()
@@ -602,7 +602,14 @@ def index_document(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def file_documents(spark: SparkSession, d: str) -> DataFrame:
-    return reports.file_documents(newest_files(spark, d, "language", "line_count"), distinct_symbols(spark, d), distinct_markers(spark, d))
+    f = newest_files(spark, d, "language", "line_count")
+    complex_ = sources.complex_files(f, distinct_symbols(spark, d), 300, 10).select("relative_path")
+    return reports.file_documents(f.join(complex_, "relative_path", "left_semi"), distinct_symbols(spark, d), distinct_markers(spark, d))
+
+
+@query()
+def agent_document(spark: SparkSession, d: str) -> DataFrame:
+    return reports.agent_document(newest_files(spark, d, "is_large"), distinct_markers(spark, d), table(spark, d, "modules"), "tables", "0000000", "2024-01-01T00:00:00Z")
 
 
 @query()

@@ -5,14 +5,18 @@ Every document is one row (path, content), made by aggregation; writers run wher
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata import schemas
 from codestrata.functions import text as T
 from codestrata.operators import graph, markers as marks, modules as mods, rollups
+from codestrata.shared import keep
+from codestrata.sources.files import open_root
 
 NEWLINE = "\n"
 
@@ -32,43 +36,88 @@ def outlines(symbols: DataFrame, owners: DataFrame, large: DataFrame) -> DataFra
     return placed.groupBy("slug").agg(_table(F.col("file_path"), F.concat("text", F.lit(NEWLINE))).alias("content")).select("slug", F.lit("outline").alias("part"), "content")
 
 
+#: Signs of priorities, headings and navigation of the documents.
+PRIORITY_SIGNS = {"High": "🔴", "Medium": "🟡", "Low": "🟢"}
+TO_INDEX, TO_MODULE = "[← Back to INDEX](../../INDEX.md)\n\n", "[← Back to MODULE](MODULE.md) | [← Back to INDEX](../../INDEX.md)\n\n"
+
+
+def _part(slug_text: DataFrame, part: str) -> DataFrame:
+    return slug_text.select("slug", F.lit(part).alias("part"), "content")
+
+
 def module_memories(markers: DataFrame, owners: DataFrame) -> DataFrame:
-    """(slug, part, content): each module's markers by priority, with their numbers."""
+    """(slug, part, content): each module's markers in a section for each priority, with their numbers; modules without markers have none."""
     placed = markers.join(owners.withColumnRenamed("relative_path", "source_file"), "source_file")
-    row = F.format_string("- %s `%s` (%s:%d): %s", T.marker_dimension("kind", "sign"), F.upper("kind"), "source_file", "line_number", F.coalesce("content", F.lit("")))
-    order = F.struct(T.rank_of("priority", tuple(schemas.PRIORITY_RANK)).alias("p"), F.col("source_file"), F.col("line_number"), F.coalesce("content", F.lit("")).alias("c"))
-    counts = [F.count_if(F.col("priority") == p) for p in schemas.PRIORITY_RANK]
-    head = F.format_string("| High | Medium | Low |\n| --- | --- | --- |\n| %d | %d | %d |\n", *counts)
-    return placed.groupBy("slug").agg(F.concat(head, F.lit(NEWLINE), _table(order, row)).alias("content")).select("slug", F.lit("memory").alias("part"), "content")
+    entry = F.format_string("### `%s` (%s:%d)\n\n> %s\n", "kind", "source_file", "line_number", F.coalesce("content", F.lit("")))
+    order = F.struct("source_file", "line_number", F.coalesce("content", F.lit("")).alias("c"), "kind")
+    found = [F.sort_array(F.collect_list(F.when(F.col("priority") == p, F.struct(order.alias("o"), entry.alias("l"))))).alias(p) for p in PRIORITY_SIGNS]
+    grouped = placed.groupBy("slug").agg(*found)
+    sections = [
+        F.when(F.size(p) > 0, F.concat(F.lit(f"## {sign} {p} Priority\n\n"), F.array_join(F.transform(p, lambda x: x["l"]), NEWLINE), F.lit(NEWLINE))).otherwise("")
+        for p, sign in PRIORITY_SIGNS.items()
+    ]
+    names = " | ".join(f"{p} {sign}" for p, sign in PRIORITY_SIGNS.items())
+    counts = F.format_string(f"## Summary\n\n| {names} |\n| %d | %d | %d |\n\n", *(F.size(p) for p in PRIORITY_SIGNS))
+    return _part(grouped.select("slug", F.concat(F.lit(f"# Memory\n\n{TO_MODULE}"), counts, *sections).alias("content")), "memory")
 
 
 def module_imports(edges: DataFrame, owners: DataFrame) -> DataFrame:
-    """(slug, part, content): imports inside and outside of each module, and the files that use it."""
-    scopes = graph.import_scopes(edges, owners).select("slug", F.when(F.col("internal"), "1 internal").otherwise("2 external").alias("kind"), F.col("target").alias("name"))
-    used = graph.consumers(edges, owners).select("slug", F.lit("3 used by").alias("kind"), F.col("importer").alias("name"))
+    """(slug, part, content): imports inside and outside of each module and the files that use it, in lists and as a graph."""
+    scopes = graph.import_scopes(edges, owners).select("slug", F.when(F.col("internal"), "internal").otherwise("external").alias("kind"), F.col("target").alias("name"))
+    used = graph.consumers(edges, owners).select("slug", F.lit("consumers").alias("kind"), F.col("importer").alias("name"))
     rows = scopes.unionByName(used)
-    line = F.concat(F.lit("- "), F.substring("kind", 3, 20), F.lit(": `"), F.col("name"), F.lit("`"))
-    found = rows.groupBy("slug").agg(_table(F.struct("kind", "name"), line).alias("content"))
-    every = owners.select("slug").distinct().join(found, "slug", "left")
-    return every.select("slug", F.lit("imports").alias("part"), F.coalesce("content", F.lit("No imports were found.")).alias("content"))
+    lists = rows.groupBy("slug").agg(*(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.col("name")))).alias(k) for k in ("internal", "external", "consumers")))
+    every = owners.select("slug").distinct().join(lists, "slug", "left")
+
+    def node(text: Column) -> Column:
+        return F.concat(T.mermaid_id(text), F.lit("["), text, F.lit("]"))
+
+    def drawn(column: str, line: Callable[[Column], Column]) -> Column:
+        return F.array_join(F.transform(F.array_distinct(F.transform(column, T.module_label)), line), "")
+
+    own = node(F.col("slug"))
+    arrows = F.concat(
+        drawn("external", lambda x: F.concat(F.lit("    "), own, F.lit(" --> "), node(x), F.lit(NEWLINE))),
+        drawn("consumers", lambda x: F.concat(F.lit("    "), node(x), F.lit(" --> "), own, F.lit(NEWLINE))),
+    )
+    diagram = F.when(F.size("external") + F.size("consumers") > 0, F.concat(F.lit("## Dependency Graph\n\n```mermaid\ngraph TD\n"), arrows, F.lit("```\n\n"))).otherwise("")
+
+    def section(column: str, title: str, told: str) -> Column:
+        items = F.array_join(F.transform(column, lambda x: F.concat(F.lit("- `"), x, F.lit("`\n"))), "")
+        return F.when(F.size(column) > 0, F.concat(F.lit(f"## {title}\n\n{told}:\n\n"), items, F.lit(NEWLINE))).otherwise("")
+
+    body = F.concat(
+        diagram, section("internal", "Internal Dependencies", "Imports that stay inside this module"), section("external", "External Dependencies", "Imports that leave this module"),
+        section("consumers", "Consumers", "Files elsewhere that import from this module"),
+    )
+    text = F.coalesce(F.when(F.length(body) > 0, body), F.lit("_No import relationships detected._\n"))
+    return _part(every.select("slug", F.concat(F.lit(f"# Imports\n\n{TO_MODULE}"), text).alias("content")), "imports")
+
+
+#: The parts of a module's document, in order, and what each is about.
+PARTS = {"outline": "symbols of large files", "memory": "warnings and open tasks", "imports": "dependencies"}
 
 
 def module_documents(modules: DataFrame, files: DataFrame, parts: DataFrame) -> DataFrame:
     """(path, content): each module's document, its short parts inside it, its long parts beside it."""
-    listed = graph.module_files(modules).join(files.select("relative_path", "line_count", "language"), "relative_path")
-    row = F.format_string("| %s | %s | %d |", "relative_path", F.coalesce("language", F.lit("Unknown")), F.coalesce("line_count", F.lit(0)))
+    listed = graph.module_files(modules).join(files.select("relative_path", "line_count", "is_large"), "relative_path")
+    row = F.format_string("| `%s` | %d | %s |", "relative_path", F.coalesce("line_count", F.lit(0)), F.when(F.col("is_large"), "📊").otherwise(""))
     tables = listed.groupBy("slug").agg(_table(F.col("relative_path"), row).alias("files_table"))
-    inline = T.is_inline("content")
-    section = F.when(inline, F.concat(F.lit("## "), F.initcap("part"), F.lit("\n\n"), F.col("content"), F.lit(NEWLINE)))
-    link = F.when(~inline & (F.length("content") > 0), F.concat(F.lit("- ["), F.col("part"), F.lit("]("), F.col("part"), F.lit(".md)")))
-    sections = parts.groupBy("slug").agg(_table(F.col("part"), F.coalesce(link, section, F.lit(""))).alias("sections"))
-    kids = F.when(F.size("children") > 0, F.concat(F.lit("\n## Children\n\n"), F.array_join(F.transform("children", lambda c: F.concat(F.lit("- "), c)), NEWLINE), F.lit(NEWLINE))).otherwise("")
-    head = F.concat(F.lit("# "), F.when(F.col("path") == "", "root").otherwise(F.col("path")), F.lit("\n\n"), T.module_description("path"), F.lit(" ("), F.col("boundary_type"), F.lit(")\n\n| File | Language | Lines |\n| --- | --- | --- |\n"))
-    joined = modules.join(tables, "slug", "left").join(sections, "slug", "left")
-    empty = F.lit("")
-    main = joined.select(F.concat(F.lit("modules/"), "slug", F.lit("/MODULE.md")).alias("path"), F.concat(head, F.coalesce("files_table", empty), F.lit(NEWLINE), kids, F.lit(NEWLINE), F.coalesce("sections", empty)).alias("content"))
-    beside = parts.where(~inline & (F.length("content") > 0)).select(F.concat(F.lit("modules/"), "slug", F.lit("/"), "part", F.lit(".md")).alias("path"), "content")
-    return main.unionByName(beside)
+    held = parts.where(F.length("content") > 0).withColumn("inside", T.is_inline("content"))
+    by_part = {p: F.max(F.when(F.col("part") == p, F.struct("inside", "content"))).alias(p) for p in PARTS}
+    joined = modules.join(tables, "slug", "left").join(held.groupBy("slug").agg(*by_part.values()), "slug", "left")
+    title = F.when((F.col("path") == "") | (F.col("slug") == "root"), "Root Module").otherwise(F.concat(F.lit("Module: "), "path"))
+    head = F.concat(F.lit("# "), title, F.lit(f"\n\n{TO_INDEX}"), F.format_string("**Type:** %s | **Files:** %d\n\n", "boundary_type", F.size("files")))
+    entry = F.when(F.col("entry_point").isNotNull(), F.concat(F.lit("**Entry point:** `"), "entry_point", F.lit("`\n\n"))).otherwise("")
+    table = F.when(F.col("files_table").isNotNull(), F.concat(F.lit("## Files\n\n| File | Lines | Large |\n| ---- | ----- | ----- |\n"), "files_table", F.lit("\n\n"))).otherwise("")
+    kids = F.array_join(F.transform("children", lambda c: F.concat(F.lit("- ["), c, F.lit("](../"), c, F.lit("/MODULE.md)\n"))), "")
+    children = F.when(F.size("children") > 0, F.concat(F.lit("## Child Modules\n\n"), kids, F.lit(NEWLINE))).otherwise("")
+    links = F.concat(*(F.when(~F.col(p)["inside"], f"- [{p}.md]({p}.md) - {told}\n").otherwise("") for p, told in PARTS.items()))
+    beside = F.when(F.length(links) > 0, F.concat(F.lit("## Documentation\n\n"), links, F.lit(NEWLINE))).otherwise("")
+    inside = [F.when(F.col(p)["inside"], F.concat(F.lit("---\n\n"), T.strip_navigation(F.col(p)["content"]))).otherwise("") for p in PARTS]
+    main = joined.select(F.concat(F.lit("modules/"), "slug", F.lit("/MODULE.md")).alias("path"), F.concat(head, entry, table, children, beside, *inside).alias("content"))
+    apart = held.where("NOT inside").select(F.concat(F.lit("modules/"), "slug", F.lit("/"), "part", F.lit(".md")).alias("path"), "content")
+    return main.unionByName(apart)
 
 
 def file_documents(files: DataFrame, symbols: DataFrame, markers: DataFrame) -> DataFrame:
@@ -85,34 +134,73 @@ def file_documents(files: DataFrame, symbols: DataFrame, markers: DataFrame) ->
     return joined.select(F.concat(F.lit("files/"), T.file_slug("relative_path"), F.lit(".md")).alias("path"), text.alias("content"))
 
 
-def index_document(files: DataFrame, markers: DataFrame, modules: DataFrame, edges: DataFrame, hubs: DataFrame) -> DataFrame:
-    """(path, content): the index: first entry points, alerts, modules with hubs starred, dependencies as a graph."""
+def index_document(files: DataFrame, markers: DataFrame, modules: DataFrame, edges: DataFrame, hubs: DataFrame, name: str = "Project") -> DataFrame:
+    """(path, content): the index: how to read on, first entry points, alerts, modules with hubs starred, dependencies as a graph."""
     owners = graph.module_files(modules)
-    entries = mods.entry_points(files).limit(5).agg(F.coalesce(_table(F.col("relative_path"), F.concat(F.lit("- `"), "relative_path", F.lit("`"))), F.lit("")).alias("entries"))
+    entries = mods.entry_points(files).limit(5).agg(_table(F.col("relative_path"), F.concat(F.lit("- `"), "relative_path", F.lit("`"))).alias("entries"))
     high = markers.agg(F.count_if(F.col("priority") == "High").alias("high"))
     warned = rollups.warned_modules(owners, markers)
-    star = owners.join(hubs.select(F.col("dst").alias("relative_path")).distinct(), "relative_path", "left_semi").select("slug").distinct().withColumn("star", F.lit(" ★"))
+    star = owners.join(hubs.select(F.col("dst").alias("relative_path")).distinct(), "relative_path", "left_semi").select("slug").distinct().withColumn("star", F.lit("★"))
     listed = modules.join(warned, "slug", "left").join(star, "slug", "left")
-    row = F.format_string("| %s%s | %s | %d | %d |", "slug", F.coalesce("star", F.lit("")), T.module_description("path"), F.size("files"), F.coalesce("n", F.lit(0)))
-    table = listed.agg(F.coalesce(_table(F.col("path"), row), F.lit("")).alias("table"), F.count("n").alias("warned"))
+    link = F.format_string("[%s](modules/%s/MODULE.md)", F.when(F.col("slug") == "root", "root").otherwise(F.col("path")), "slug")
+    row = F.concat(
+        F.lit("| "), link, F.lit(" | "), F.col("boundary_type"), F.lit(" | "), F.size("files"), F.lit(" | "), F.coalesce(F.col("n").cast("string"), F.lit("-")), F.lit(" | "),
+        F.coalesce("star", F.lit("")), F.lit(" |"),
+    )
+    table = listed.agg(_table(F.struct("path", "slug"), row).alias("table"), F.count("n").alias("warned"))
     deps = graph.module_dependencies(edges, owners)
-    arrow = F.concat(F.lit("  "), T.mermaid_id("src_module"), F.lit(" --> "), T.mermaid_id("dst_module"))
-    graph_text = deps.agg(F.coalesce(_table(F.struct("src_module", "dst_module"), arrow), F.lit("")).alias("deps"))
+    arrow = F.format_string("    %s[%s] --> %s[%s]", T.mermaid_id("src_module"), "src_module", T.mermaid_id("dst_module"), "dst_module")
+    graph_text = deps.agg(_table(F.struct("src_module", "dst_module"), arrow).alias("deps"))
+
+    def section(title: str, column: str, before: str = "", after: str = "\n\n") -> Column:
+        return F.when(F.length(column) > 0, F.concat(F.lit(f"## {title}\n\n{before}"), F.col(column), F.lit(after))).otherwise("")
+
+    alerts = F.when(F.col("high") > 0, F.format_string("## ⚠️ Critical Alerts\n\n**%d** high-priority warnings across %d modules. Each module's `memory.md` lists its own.\n\n", "high", "warned")).otherwise("")
+    header = "| Module | Type | Files | Warnings | Hub |\n| ------ | ---- | ----- | -------- | --- |\n"
+    none = F.when(F.length("table") == 0, "## Modules\n\n_No modules detected._\n\n").otherwise("")
     text = F.concat(
-        F.lit("# Index\n\n## Entry points\n\n"), "entries", F.lit("\n\n## Alerts\n\n"), F.col("high"), F.lit(" high-priority markers in "), F.col("warned"),
-        F.lit(" modules\n\n## Modules\n\n| Module | Description | Files | Warnings |\n| --- | --- | --- | --- |\n"), "table",
-        F.lit("\n\n## Dependencies\n\n```mermaid\ngraph LR\n"), "deps", F.lit("\n```\n"),
+        F.lit(f"# {name}\n\n## Reading Protocol\n\n" + "\n".join(f"{n}. {x}" for n, x in enumerate(PROTOCOL[:4], 1)) + "\n\n"),
+        section("Entry Points", "entries"), alerts, none, section("Modules", "table", header), section("Module Dependencies", "deps", "```mermaid\ngraph TD\n", "\n```\n\n"), F.lit("---\n"),
     )
     return entries.join(high).join(table).join(graph_text).select(F.lit("INDEX.md").alias("path"), text.alias("content"))
 
 
-def agent_document(files: DataFrame, markers: DataFrame, modules: DataFrame) -> DataFrame:
-    """(path, content): what a reader of the documents should do, by the project's size."""
-    totals = rollups.project_rollup(files, markers, modules)
-    size = T.project_size("total_files")
-    advice = F.when(size == "Small", "Read the index, then the files.").when(size == "Medium", "Read the index, then the modules that matter.").otherwise("Read the index, then one module at a time.")
-    text = F.concat(F.lit("# Guide\n\nSize: "), size, F.lit("\n\n"), advice, F.lit("\n\n| Files | Modules | Warnings |\n| --- | --- | --- |\n"), F.format_string("| %d | %d | %d |\n", "total_files", "total_modules", "high_markers"))
-    return totals.select(F.lit("AGENT.md").alias("path"), text.alias("content"))
+#: How to read the documents; the last two are told for large projects only.
+PROTOCOL = (
+    "Begin with this index: it names every module", "Open `modules/{name}/MODULE.md` of the part you work on", "Look for warnings in its `memory.md` before you edit",
+    "Find symbols of large files in its `outline.md`", "See who depends on it in its `imports.md`", "Read `files/*.md` about files of high complexity",
+)
+#: Where the documents are.
+STRUCTURE = (
+    "INDEX.md", "AGENT.md", "modules/{module-slug}/MODULE.md", "modules/{module-slug}/outline.md", "modules/{module-slug}/memory.md", "modules/{module-slug}/imports.md", "files/{file-slug}.md",
+)
+
+
+def agent_document(files: DataFrame, markers: DataFrame, modules: DataFrame, name: str | None = None, head: str | None = None, generated: str | None = None) -> DataFrame:
+    """(path, content): how a reader should use the documents, by the project's size: protocol, freshness, modules, what to do if they are stale.
+
+    Small projects get a list of modules, larger ones a table, large ones more steps and a summary.
+    """
+    totals = rollups.project_rollup(files, markers, modules).withColumn("size", T.project_size("total_files"))
+    listed = modules.agg(
+        _table(F.struct("path", "slug"), F.format_string("- **%s** (%d files)", "path", F.size("files"))).alias("short"),
+        _table(F.struct("path", "slug"), F.format_string("| `%s` | %d | %s | %s |", "path", F.size("files"), "boundary_type", T.module_description("path"))).alias("long"),
+    )
+    large = F.col("size") == "Large"
+    steps = "\n".join(f"{n}. {x}" for n, x in enumerate(PROTOCOL[:4], 1))
+    more = "\n".join(f"{n}. {x}" for n, x in enumerate(PROTOCOL[4:], 5))
+    when = generated or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    table = F.concat(F.lit("| Module | Files | Type | Description |\n| ------ | ----- | ---- | ----------- |\n"), F.col("long"))
+    text = F.concat(
+        F.lit("# AI Agent Instructions\n\n" + (f"How to work with **{name}**.\n\n" if name else "") + f"## Reading Protocol\n\n{steps}\n"), F.when(large, more + "\n").otherwise(""),
+        F.lit("\n### Documentation Structure\n\n```\n" + "\n".join(STRUCTURE) + "\n```\n\n## Freshness Check\n\n" + f"**Generated:** {when}\n" + (f"**Git HEAD:** `{head}`\n" if head else "")),
+        F.lit("\nThe documents may be outdated if `git rev-parse --short HEAD` tells another revision, or if files were changed after the time above.\n\n"),
+        F.when(F.col("total_modules") > 0, F.concat(F.lit("## Available Modules\n\n"), F.when(F.col("size") == "Small", F.col("short")).otherwise(table), F.lit("\n\n"))).otherwise(""),
+        F.lit("## When Docs Seem Stale\n\n1. `Engine.check` tells which modules are stale\n2. `Engine.write` writes all documents anew\n3. An engine with `diff_base` writes those of changed files only\n\n"),
+        F.when(large, F.format_string("## Quick Reference\n\n| Metric | Value |\n| ------ | ----- |\n| Total files | %d |\n| Modules | %d |\n| Warnings | %d |\n\n", "total_files", "total_modules", "high_markers")).otherwise(""),
+        F.lit("---\n"),
+    )
+    return totals.join(listed).select(F.lit("AGENT.md").alias("path"), text.alias("content"))
 
 
 def project_json(files: DataFrame, markers: DataFrame, symbols: DataFrame, modules: DataFrame, edges: DataFrame, diff: DataFrame | None = None) -> DataFrame:
@@ -159,35 +247,38 @@ def dry_run(documents: DataFrame) -> DataFrame:
 
 
 def write_documents(documents: DataFrame, root: str) -> int:
-    """Writes documents (path, content) below a folder that all executors share, and deletes the ones of earlier runs; their number.
+    """Writes documents (path, content) below a folder that all executors reach, and deletes what an earlier run wrote there and this one didn't; their number.
 
-    Each task writes its own files, under a temporary name first, so a task that is repeated does no harm.
+    Each task writes its own files through the file system of the root's scheme, under a temporary name first, so a
+    task that is repeated does no harm. The paths written are kept in ``.written``; nothing else is ever deleted.
     """
     spark = documents.sparkSession
-    jvm = spark._jvm
-    base = jvm.org.apache.hadoop.fs.Path(root)
-    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    local = root.removeprefix("file://")
-
-    def write(batches: Iterator) -> Iterator:  # noqa: ANN001
-        import os
-
-        import pandas as pd
 
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = open_root(root)
         for b in batches:
             for path, content in zip(b["path"], b["content"], strict=True):
-                target = os.path.join(local, path)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
-                with open(f"{target}.tmp", "w", encoding="utf-8") as out:
-                    out.write(content)
-                os.replace(f"{target}.tmp", target)
+                target = f"{base}/{path}"
+                system.create_dir(target.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(f"{target}.tmp") as out:
+                    out.write(content.encode("utf-8", "surrogatepass"))
+                system.move(f"{target}.tmp", target)
+            yield pd.DataFrame({"path": b["path"]})
+
+    def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = open_root(root)
+        for b in batches:
+            for path in b["path"]:
+                if system.get_file_info(f"{base}/{path}").is_file:
+                    system.delete_file(f"{base}/{path}")
             yield pd.DataFrame({"path": b["path"]})
 
-    written = {r.path for r in documents.where("content <> ''").mapInPandas(write, "path string").collect()}
-    files = fs.listFiles(base, True) if fs.exists(base) else None
-    while files is not None and files.hasNext():
-        status = files.next()
-        name = status.getPath().toString().split(local.rstrip("/") + "/", 1)[-1]
-        if name.endswith(".md") and name not in written:
-            fs.delete(status.getPath(), False)
-    return len(written)
+    listing = f"{root.rstrip('/')}/.written"
+    system, base = open_root(root)
+    system.create_dir(base, recursive=True)
+    written = keep(documents.where("content <> ''").mapInPandas(write, "path string"), "written")
+    if system.get_file_info(f"{base}/.written").type.name == "Directory":
+        earlier = spark.read.schema("path string").parquet(listing)
+        earlier.join(written, "path", "left_anti").mapInPandas(remove, "path string").count()
+    written.write.mode("overwrite").parquet(listing)
+    return written.count()

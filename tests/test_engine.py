@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 import __spark_entry__ as entry
+from codestrata.operators import graph
 from codestrata.plans import reports
 from codestrata.plans.engine import Engine
 from codestrata.plans.queries import oracle_sql, queries
@@ -68,17 +69,74 @@ def test_engine(spark: SparkSession, tree: Path, tmp_path: Path) -> None:
     e, out = Engine(spark, str(tree)), str(tmp_path / "out")
     document = json.loads(e.to_json())
     assert document["project"]["total_files"] == 3 and {m["path"] for m in document["modules"]} == {"src", "src/a", ""} and "diff" not in document
-    assert e.write(out) >= 4 and (tmp_path / "out/INDEX.md").read_text().count("| src") == 2
+    assert e.write(out) >= 4 and (tmp_path / "out/INDEX.md").read_text().count("| [src") == 2
     assert not e.check(out).first().is_stale
     (tree / "src/b.rs").write_text("fn b() {}\n")
     later = Engine(spark, str(tree))
     assert later.check(out).first().stale == ["src"]
     assert later.index(f"file://{out}/index")["processed"] == 4
     assert later.search(f"file://{out}/index", "struct A", 2).count() == 2
-    (tmp_path / "out/modules/gone").mkdir()
-    (tmp_path / "out/modules/gone/MODULE.md").write_text("old")
-    reports.write_documents(later.documents(), out)
-    assert not (tmp_path / "out/modules/gone/MODULE.md").exists()
+    assert later.outline("src/lib.rs").count("\n") == 2 and later.dry_run().where("n_bytes > 0").count() >= 4
+    (tmp_path / "out/own.md").write_text("a reader's own")
+    for path in (tree / "src/a").iterdir():
+        path.unlink()
+    last = Engine(spark, str(tree))
+    assert (tmp_path / "out/modules/src-a/MODULE.md").exists() and last.write(out)
+    assert not (tmp_path / "out/modules/src-a/MODULE.md").exists() and (tmp_path / "out/own.md").exists()
+    assert not list((tmp_path / "out").rglob("*.tmp"))
+
+
+def sample_project(spark: SparkSession):
+    modules = spark.createDataFrame(
+        [("src", "src", ["src/a.rs", "src/lib.rs"], "src/lib.rs", "RustModule", None, ["src-b"]), ("src-b", "src/b", ["src/b/mod.rs"], "src/b/mod.rs", "RustModule", "src", [])],
+        "slug string, path string, files array<string>, entry_point string, boundary_type string, parent string, children array<string>",
+    )
+    tree = spark.createDataFrame([("src/a.rs", 900, True), ("src/lib.rs", 4, False), ("src/b/mod.rs", 7, False)], "relative_path string, line_count bigint, is_large boolean")
+    marks = spark.createDataFrame(
+        [("Warning", "careful", "src/a.rs", 3, "High"), ("Todo", "later", "src/a.rs", 9, "Medium"), ("Safety", "held", "src/lib.rs", 1, "High")],
+        "kind string, content string, source_file string, line_number int, priority string",
+    )
+    edges = spark.createDataFrame([("src/a.rs", "src/b/mod.rs"), ("src/a.rs", "lib"), ("src/lib.rs", "src/b/mod.rs"), ("x.rs", "src/b/mod.rs")], "src string, dst string")
+    return modules, tree, marks, edges
+
+
+def test_index_document(spark: SparkSession) -> None:
+    modules, tree, marks, edges = sample_project(spark)
+    hubs = spark.createDataFrame([("src/b/mod.rs", 3)], "dst string, importers bigint")
+    text = reports.index_document(tree, marks, modules, edges, hubs, "demo").first().content
+    assert text.startswith("# demo\n\n## Reading Protocol\n\n1. ") and "## Entry Points\n\n- `src/lib.rs`\n" in text and "**2** high-priority warnings across 1 modules." in text
+    assert "| [src](modules/src/MODULE.md) | RustModule | 2 | 2 |  |\n| [src/b](modules/src-b/MODULE.md) | RustModule | 1 | - | ★ |\n" in text
+    assert "## Module Dependencies\n\n```mermaid\ngraph TD\n    src[src] --> src_b[src-b]\n```\n" in text
+    empty = reports.index_document(tree.limit(0), marks.limit(0), modules.limit(0), edges.limit(0), hubs.limit(0)).first().content
+    assert "_No modules detected._" in empty and "Alerts" not in empty and "Entry Points" not in empty and "Dependencies" not in empty
+
+
+def test_module_documents(spark: SparkSession) -> None:
+    modules, tree, marks, edges = sample_project(spark)
+    owners = graph.module_files(modules)
+    memory = {r.slug: r.content for r in reports.module_memories(marks, owners).collect()}
+    assert set(memory) == {"src"} and "| High 🔴 | Medium 🟡 | Low 🟢 |\n| 2 | 1 | 0 |\n" in memory["src"] and "🟢 Low Priority" not in memory["src"]
+    assert "## 🔴 High Priority\n\n### `Warning` (src/a.rs:3)\n\n> careful\n\n### `Safety` (src/lib.rs:1)\n\n> held\n" in memory["src"]
+    imports = {r.slug: r.content for r in reports.module_imports(edges, owners).collect()}
+    assert "## Internal Dependencies\n\nImports that stay inside this module:\n\n- `lib`\n" in imports["src"] and "## External Dependencies" in imports["src"]
+    assert "graph TD\n    src[src] --> b[b]\n```" in imports["src"] and "- `src/a.rs`\n- `src/lib.rs`\n- `x.rs`\n" in imports["src-b"]
+    parts = reports.module_memories(marks, owners).unionByName(spark.createDataFrame([("src", "outline", "x" * 600), ("src-b", "outline", "")], "slug string, part string, content string"))
+    got = {r.path: r.content for r in reports.module_documents(modules, tree, parts).collect()}
+    assert set(got) == {"modules/src/MODULE.md", "modules/src-b/MODULE.md", "modules/src/outline.md"}
+    main = got["modules/src/MODULE.md"]
+    assert main.startswith("# Module: src\n\n[← Back to INDEX](../../INDEX.md)\n\n**Type:** RustModule | **Files:** 2\n\n**Entry point:** `src/lib.rs`\n")
+    assert "| `src/a.rs` | 900 | 📊 |\n| `src/lib.rs` | 4 |  |\n" in main and "- [src-b](../src-b/MODULE.md)\n" in main and "- [outline.md](outline.md) - " in main
+    assert main.split("---\n\n")[-1].startswith("| High 🔴") and "xxx" not in main and "Documentation" not in got["modules/src-b/MODULE.md"]
+
+
+@pytest.mark.parametrize(("n_files", "size"), [(3, "Small"), (20, "Medium"), (101, "Large")])
+def test_agent_document(spark: SparkSession, n_files: int, size: str) -> None:
+    modules, _, marks, _ = sample_project(spark)
+    tree = spark.range(n_files).selectExpr("concat('f', id) AS relative_path", "false AS is_large")
+    text = reports.agent_document(tree, marks, modules, "demo", "abc1234", "2024-01-01T00:00:00Z").first().content
+    assert "**demo**" in text and "**Git HEAD:** `abc1234`" in text and "**Generated:** 2024-01-01T00:00:00Z" in text
+    assert ("- **src** (2 files)" in text) == (size == "Small") and ("| `src` | 2 | RustModule | Source root |" in text) == (size != "Small")
+    assert ("| Total files | 101 |" in text) == ("5. " in text) == (size == "Large")
 
 
 def test_git(spark: SparkSession, tmp_path: Path) -> None:

@@ -73,18 +73,36 @@ class HttpEmbedder:
             raise RuntimeError(f"the service has no model {self.model}")
 
 
-def embed(rows: DataFrame, embedder: Embedder, text: str = "content", vector: str = "vector") -> DataFrame:
-    """``rows`` with a vector of each text; null texts have null vectors."""
+def embed_or_error(rows: DataFrame, embedder: Embedder, text: str = "content") -> DataFrame:
+    """``rows`` with ``vector`` and ``error``: texts that a provider fails on, alone as well as in their batch, have the message of the failure."""
 
-    @F.pandas_udf("array<float>")
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<vector:array<float>,error:string>")
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list = [None] * len(batch)
+            errors: list = [None] * len(batch)
             held = [i for i, t in enumerate(batch) if t is not None]
             for a in range(0, len(held), BATCH):
                 part = held[a : a + BATCH]
-                for i, v in zip(part, embedder.embed_batch([batch.iloc[i] for i in part]), strict=True):
-                    out[i] = v
-            yield pd.Series(out)
+                try:
+                    found = embedder.embed_batch([batch.iloc[i] for i in part])
+                    if len(found) != len(part):
+                        raise ValueError(f"{len(found)} vectors of {len(part)} texts")
+                    for i, v in zip(part, found, strict=True):
+                        out[i] = v
+                except Exception:  # noqa: BLE001 - whatever a provider raises concerns its texts, not the run
+                    for i in part:
+                        try:
+                            out[i] = embedder.embed_batch([batch.iloc[i]])[0]
+                        except Exception as e:  # noqa: BLE001
+                            errors[i] = f"{type(e).__name__}: {e}"
+            yield pd.DataFrame({"vector": out, "error": errors})
+
+    return rows.withColumn("_embedded", vectors(F.col(text))).select(*rows.columns, "_embedded.vector", "_embedded.error")
+
 
-    return rows.withColumn(vector, vectors(F.col(text)))
+def embed(rows: DataFrame, embedder: Embedder, text: str = "content", vector: str = "vector") -> DataFrame:
+    """``rows`` with a vector of each text; null texts have null vectors; a text that the provider fails on fails the run."""
+    found = embed_or_error(rows, embedder, text)
+    checked = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("array<float>")).otherwise(F.col("vector"))
+    return found.select(*rows.columns, checked.alias(vector))

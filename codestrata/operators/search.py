@@ -40,21 +40,21 @@ def ranked(results: DataFrame, key: str = "id") -> DataFrame:
     return results.select(key, (F.row_number().over(Window.orderBy(F.desc("score"), key)) - 1).alias("rank"))
 
 
-def reciprocal_rank_fusion(lists: list[DataFrame], limit: int, k: int = schemas.RRF_K, key: str = "id") -> DataFrame:
+def reciprocal_rank_fusion(lists: list[DataFrame], limit: int, k: float = schemas.RRF_K, key: str = "id") -> DataFrame:
     """(key, score): keys of all lists by the sum of 1 / (k + rank + 1), the best ``limit``; ties by key."""
     every = reduce(DataFrame.unionByName, [ranked(r, key) for r in lists])
     fused = every.groupBy(key).agg(F.sum(F.lit(1.0) / (F.lit(float(k)) + F.col("rank") + 1)).alias("score"))
     return fused.orderBy(F.desc("score"), key).limit(limit)
 
 
-def hybrid_search(chunks: DataFrame, query: str, vector: list[float], limit: int, k: int = schemas.RRF_K, key: str = "id") -> DataFrame:
+def hybrid_search(chunks: DataFrame, query: str, vector: list[float], limit: int, k: float = schemas.RRF_K, key: str = "id") -> DataFrame:
     """The fused best of the vector and the text search, each asked for twice the limit."""
     lists = [vector_search(chunks, vector, 2 * limit, key), text_search(chunks, query, 2 * limit, key)]
     return reciprocal_rank_fusion(lists, limit, k, key)
 
 
-def smart_search(chunks: DataFrame, query: str, vector: list[float], limit: int, hybrid: bool = True, key: str = "id") -> DataFrame:
+def smart_search(chunks: DataFrame, query: str, vector: list[float], limit: int, hybrid: bool = True, key: str = "id", k: float = schemas.RRF_K) -> DataFrame:
     """(key, score) of the fused search, or of the vector search alone."""
     if hybrid:
-        return hybrid_search(chunks, query, vector, limit, key=key)
+        return hybrid_search(chunks, query, vector, limit, k, key)
     return vector_search(chunks, vector, limit, key).select(key, "score")

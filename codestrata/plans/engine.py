@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from codestrata import schemas
 from codestrata.operators import graph, incremental, modules, search
 from codestrata.operators.chunking import ChunkSizes
-from codestrata.operators.embedding import Embedder, HashingEmbedder
+from codestrata.operators.embedding import Embedder, HashingEmbedder, HttpEmbedder
 from codestrata.operators.index import ChunkIndex
 from codestrata.operators.markers import extract_markers
 from codestrata.operators.symbols import extract_imports, extract_symbols
@@ -18,6 +19,7 @@ from codestrata.plans import reports
 from codestrata.shared import keep
 from codestrata.sources import files as sources
 from codestrata.sources import git, state
+from codestrata.streaming import watch
 
 
 @dataclass
@@ -32,6 +34,12 @@ class Engine:
     languages: list[str] = field(default_factory=list)
     ignore: list[str] = field(default_factory=list)
     diff_base: str | None = None
+    sizes: ChunkSizes = field(default_factory=ChunkSizes)
+    embedder: Embedder = field(default_factory=HashingEmbedder)
+    hybrid: bool = True
+    rrf_k: float = schemas.RRF_K
+    limit: int = 10
+    debounce_ms: int = 300
 
     @property
     def name(self) -> str:
@@ -111,13 +119,50 @@ class Engine:
         return incremental.check_result(state.load_manifest(self.spark, f"{output}/manifest"), self.states)
 
     def index(self, folder: str, embedder: Embedder | None = None, sizes: ChunkSizes | None = None, force: bool = False, prune: bool = False) -> dict[str, int]:
-        store = ChunkIndex(self.spark, folder)
-        done = store.update(self.texts, self.symbols, embedder or HashingEmbedder(), sizes or ChunkSizes(), force)
+        """Brings an index up to date: processed, created, skipped, errors and, if asked for, pruned, as counted. An absent provider is told first."""
+        chosen, store = embedder or self.embedder, ChunkIndex(self.spark, folder)
+        chosen.health_check()
+        done = store.update(self.texts, self.symbols, chosen, sizes or self.sizes, force)
         if prune:
             done["pruned"] = store.prune(self.files)
         return done
 
-    def search(self, folder: str, query: str, limit: int = 10, hybrid: bool = True, embedder: Embedder | None = None) -> DataFrame:
-        vector = (embedder or HashingEmbedder()).embed_batch([query])[0]
+    def search(self, folder: str, query: str, limit: int | None = None, hybrid: bool | None = None, embedder: Embedder | None = None) -> DataFrame:
+        """(id, score, file_path, start_line, end_line, content, chunk_type) of the best chunks."""
+        vector = (embedder or self.embedder).embed_batch([query])[0]
         chunks = ChunkIndex(self.spark, folder).chunks()
-        return search.smart_search(chunks, query, vector, limit, hybrid).join(chunks.select("id", "file_path", "start_line", "end_line", "content"), "id")
+        found = search.smart_search(chunks, query, vector, limit or self.limit, self.hybrid if hybrid is None else hybrid, k=self.rrf_k)
+        return found.join(chunks.select("id", "file_path", "start_line", "end_line", "content", "chunk_type"), "id")
+
+    def refresh(self) -> Engine:
+        """The same analysis of the tree as it is now."""
+        return replace(self)
+
+    def watching(self, output: str, checkpoint: str, index: str | None = None, once: bool = False) -> StreamingQuery:
+        """Follows the tree: each debounced batch of changed files writes the documents anew where modules are stale, and updates the index."""
+
+        def handle(batch: DataFrame, number: int) -> None:
+            if not batch.limit(1).count():
+                return
+            now = self.refresh()
+            if now.check(output).first().is_stale:
+                now.write(output)
+            if index is not None:
+                now.index(index, prune=True)
+
+        return watch.watch(watch.file_events(self.spark, self.root, output), handle, checkpoint, once, f"{self.debounce_ms} milliseconds")
+
+    @classmethod
+    def configured(cls, spark: SparkSession, root: str, name: str, **options) -> Engine:  # noqa: ANN003
+        """An engine with what the nearest configuration file of a name says; options given here count more."""
+        found = state.load_config(root, name)
+        part = found.get("search", {})
+        chunking, searching, provider = (part.get(k, {}) for k in ("chunking", "search", "embedder"))
+        default = ChunkSizes()
+        told: dict = {"sizes": ChunkSizes.from_tokens(chunking.get("max_tokens", default.max_bytes // 4), chunking.get("overlap_tokens", default.overlap_bytes // 4))}
+        for key, value in (("threshold", found.get("threshold")), ("ignore", found.get("ignore")), ("hybrid", searching.get("hybrid_enabled")), ("rrf_k", searching.get("hybrid_k")), ("limit", searching.get("default_limit")), ("debounce_ms", found.get("watch", {}).get("debounce_ms"))):
+            if value is not None:
+                told[key] = value
+        if provider:
+            told["embedder"] = HttpEmbedder(provider.get("endpoint") or HttpEmbedder().url, provider.get("model", HttpEmbedder().model), provider.get("dimensions", HttpEmbedder().width))
+        return cls(spark, root, **{**told, **options})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from codestrata.functions import text as T
 from codestrata.operators import chunking, graph, incremental, markers, modules, rollups, search
 from codestrata.operators.embedding import HashingEmbedder, embed
-from codestrata.operators.index import changed_files, deleted_documents, index_stats
+from codestrata.operators.index import ChunkIndex, changed_files, deleted_documents, index_stats
 from codestrata.operators.symbols import import_rows, symbol_rows
 from codestrata.plans import reports
 from codestrata.shared import latest, shared_dir, table
@@ -623,8 +624,6 @@ def _event_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _checkpoint(spark: SparkSession, name: str) -> str:
-    import uuid
-
     return f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
 
 
@@ -632,14 +631,37 @@ def _checkpoint(spark: SparkSession, name: str) -> str:
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     events = _event_stream(spark, d)
     told = events.select(F.col("ts").cast("timestamp").alias("timestamp"), F.col("user_id").cast("string").alias("session_id"), F.col("event_type").alias("tool_name"), F.floor("value").cast("bigint").alias("tokens_out"))
-    return watch.collected(watch.session_totals(told), "stream_sessions", _checkpoint(spark, "sessions"))
+    return watch.collected(watch.session_totals(told), _checkpoint(spark, "sessions"), ["session_id", "tool_name"])
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     events = _event_stream(spark, d)
     counts = watch.windowed_counts(events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type"), "ts", "event_type", "1 hour")
-    return watch.collected(counts, "stream_windows", _checkpoint(spark, "windows")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return watch.collected(counts, _checkpoint(spark, "windows"), ["start", "event_type"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""WITH g AS (SELECT event_type, ts, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 2 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s
+  FROM (SELECT event_type, ts, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS before FROM events))
+SELECT event_type, min(ts) AS start, max(ts) + INTERVAL 2 MINUTE AS "end", count(*) AS n FROM g GROUP BY event_type, s""")
+def event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    rows = watch.session_windows(events, "ts", "event_type", "2 minutes")
+    return rows.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query(f"""WITH {_NEWEST}, oldest AS (SELECT relative_path, arg_min(content, mtime) AS content FROM files WHERE relative_path IS NOT NULL GROUP BY 1),
+c AS (SELECT n.relative_path FROM newest n JOIN oldest o USING (relative_path) WHERE n.content IS DISTINCT FROM o.content)
+SELECT (SELECT count(*) FROM c) AS processed, (SELECT count(*) FROM newest) - (SELECT count(*) FROM c) AS skipped, CAST(0 AS BIGINT) AS errors, (SELECT count(*) FROM newest) AS documents""")
+def index_run(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "files").where("relative_path IS NOT NULL")
+    old = f.groupBy("relative_path").agg(F.min_by(F.struct("content", "mtime"), "mtime").alias("r")).select("relative_path", "r.content", "r.mtime")
+    store = ChunkIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    symbols = distinct_symbols(spark, d).limit(0)
+    store.update(old, symbols, HashingEmbedder())
+    done = store.update(newest_files(spark, d, "content", "mtime"), symbols, HashingEmbedder())
+    numbers = spark.createDataFrame([(done["processed"], done["skipped"], done["errors"])], "processed bigint, skipped bigint, errors bigint")
+    return numbers.join(store.documents().agg(F.count("*").alias("documents")))
 
 
 @query(f"WITH {_NEWEST}, {_OWNERS} SELECT slug, relative_path, line_count, language FROM newest JOIN owners USING (relative_path)")

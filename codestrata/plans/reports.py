@@ -234,6 +234,16 @@ def search_json(results: DataFrame) -> DataFrame:
     return results.select(F.to_json(F.struct(F.format_number("score", 3).alias("score"), *(c for c in results.columns if c != "score"))).alias("document"))
 
 
+def search_text(results: DataFrame, query: str) -> DataFrame:
+    """(document): the results (rank, score, file_path, start_line, end_line, chunk_type, content) as lines for a terminal, best first."""
+    shown = T.cli_preview("content")
+    preview = F.when(F.length(shown) > 0, F.concat(F.lit("   "), F.replace(shown, F.lit(NEWLINE), F.lit("\n   ")), F.lit(NEWLINE))).otherwise("")
+    entry = F.concat(F.format_string("%d. %s (L%d-%d)\n   Score: %.3f | Type: %s\n", "rank", "file_path", "start_line", "end_line", "score", "chunk_type"), preview)
+    found = results.agg(F.count("*").alias("n"), _table(F.col("rank"), entry).alias("lines"))
+    none = F.lit(f"No results found for: {query}")
+    return found.select(F.when(F.col("n") == 0, none).otherwise(F.concat(F.lit("Found "), F.col("n"), F.lit(f" results for: {query}\n\n"), F.col("lines"))).alias("document"))
+
+
 def symbol_outline(symbols: DataFrame, path: str) -> DataFrame:
     """(content): the symbols of one file as a table."""
     row = F.format_string("| %s | %s | %d | %s |", "kind", "name", F.col("line_range.start"), F.coalesce(T.short_signature("signature"), F.lit("")))

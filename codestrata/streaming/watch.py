@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,15 +18,16 @@ DEBOUNCE = "300 milliseconds"
 
 def watched(path: Column, output: str) -> Column:
     """Whether an event's path is outside the output folder and has no hidden part."""
-    return ~path.startswith(output.rstrip("/") + "/") & (path != output) & ~path.rlike(r"(?:^|/)\.[^/]+")
+    bare, own = F.regexp_replace(path, r"^[a-z0-9]+:/+", "/"), re.sub(r"^[a-z0-9]+:/+", "/", output).rstrip("/")
+    return ~bare.startswith(own + "/") & (bare != own) & ~bare.rlike(r"(?:^|/)\.[^/]+")
 
 
 def file_events(spark: SparkSession, root: str, output: str) -> DataFrame:
-    """A stream of (path, content, mtime) of the source files that appear below a folder."""
+    """A stream of (path, content, mtime) of the source files that appear below a folder; content is null where it isn't UTF-8."""
     glob = "*.{" + ",".join(sorted(schemas.LANGUAGE_BY_EXTENSION)) + "}"
     read = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True)
     events = read.schema("path string, modificationTime timestamp, length bigint, content binary").load(root)
-    return events.where(watched(F.col("path"), output)).select("path", F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("mtime"))
+    return events.where(watched(F.col("path"), output)).select("path", F.when(F.expr("is_valid_utf8(content)"), F.decode("content", "UTF-8")).alias("content"), F.col("modificationTime").alias("mtime"))
 
 
 def newest_of_batch(batch: DataFrame) -> DataFrame:
@@ -34,7 +36,7 @@ def newest_of_batch(batch: DataFrame) -> DataFrame:
     return batch.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def watch(events: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False) -> StreamingQuery:
+def watch(events: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False, debounce: str = DEBOUNCE) -> StreamingQuery:
     """Runs ``handle`` on each debounced batch of changed files; ``once`` handles what is there and ends.
 
     A batch that fails is tried again from the checkpoint when the query is started anew.
@@ -44,7 +46,7 @@ def watch(events: DataFrame, handle: Callable[[DataFrame, int], None], checkpoin
         handle(newest_of_batch(df), number)
 
     writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=DEBOUNCE)).start()
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=debounce)).start()
 
 
 def telemetry_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,8 +65,24 @@ def windowed_counts(events: DataFrame, time: str, key: str, length: str, late: s
     return grouped.agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
 
 
-def collected(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """What a stream's available input comes to, as a table in memory (small results, tests)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def session_windows(events: DataFrame, time: str, key: str, gap: str, late: str = "10 minutes") -> DataFrame:
+    """(start, end, key, n): events of a key with no pause of ``gap`` between them; state is dropped once the watermark has passed a session."""
+    grouped = events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), key)
+    return grouped.agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
+
+
+def collected(stream: DataFrame, checkpoint: str, keys: list[str]) -> DataFrame:
+    """What a stream's available input comes to: the last row of each key, from a table in the shared folder.
+
+    Each micro-batch appends its updated rows with its number, so the driver holds none of them and a batch that is repeated does no harm.
+    """
+    target = f"{checkpoint}/rows"
+
+    def append(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    stream.writeStream.foreachBatch(append).outputMode("update").option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start().awaitTermination()
+    columns = [c for c in stream.columns if c not in keys]
+    rows = stream.sparkSession.read.option("basePath", target).schema(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields) + ", batch bigint").parquet(target)
+    last = F.max_by(F.struct(*columns), "batch").alias("_last")
+    return rows.groupBy(*keys).agg(last).select(*keys, *(F.col(f"_last.{c}").alias(c) for c in columns))

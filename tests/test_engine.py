@@ -86,6 +86,25 @@ def test_engine(spark: SparkSession, tree: Path, tmp_path: Path) -> None:
     assert not list((tmp_path / "out").rglob("*.tmp"))
 
 
+def test_configuration_and_watching(spark: SparkSession, tree: Path, tmp_path: Path) -> None:
+    (tree / "engine.toml").write_text('threshold = 2\n[search.chunking]\nmax_tokens = 100\noverlap_tokens = 10\n[search.search]\nhybrid_enabled = false\nhybrid_k = 10.0\ndefault_limit = 1\n[watch]\ndebounce_ms = 50\n')
+    e, out = Engine.configured(spark, str(tree), "engine.toml"), str(tmp_path / "out")
+    assert (e.threshold, e.sizes.max_bytes, e.sizes.overlap_bytes, e.hybrid, e.rrf_k, e.limit, e.debounce_ms) == (2, 400, 40, False, 10.0, 1, 50)
+    assert Engine.configured(spark, str(tree), "engine.toml", limit=3).limit == 3 and Engine.configured(spark, str(tree), "none.toml").sizes.max_bytes == 2048
+    index = f"file://{tmp_path}/index"
+    e.watching(out, str(tmp_path / "cp"), index, once=True).awaitTermination()
+    assert (tmp_path / "out/INDEX.md").exists() and e.search(index, "struct A").count() == 1
+    (tree / "src/new.rs").write_text("pub struct Fresh;\n")
+    (tree / "src/a/mod.rs").unlink()
+    e.watching(out, str(tmp_path / "cp"), index, once=True).awaitTermination()
+    assert not e.refresh().check(out).first().is_stale and "src/new.rs" in (tmp_path / "out/modules/src/MODULE.md").read_text()
+    found = e.search(index, "pub struct Fresh;").first()
+    assert found.file_path == "src/new.rs" and e.search(index, "struct A", 50).where("file_path = 'src/a/mod.rs'").count() == 0
+    text = reports.search_text(e.search(index, "Fresh").selectExpr("*", "1 AS rank"), "Fresh").first().document
+    assert text.startswith("Found 1 results for: Fresh\n\n1. src/new.rs (L1-1)\n   Score: ") and "pub struct Fresh;" in text
+    assert reports.search_text(e.search(index, "x").where("false").selectExpr("*", "1 AS rank"), "x").first().document == "No results found for: x"
+
+
 def sample_project(spark: SparkSession):
     modules = spark.createDataFrame(
         [("src", "src", ["src/a.rs", "src/lib.rs"], "src/lib.rs", "RustModule", None, ["src-b"]), ("src-b", "src/b", ["src/b/mod.rs"], "src/b/mod.rs", "RustModule", "src", [])],

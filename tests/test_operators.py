@@ -160,8 +160,8 @@ def test_index_is_incremental(spark: SparkSession, tmp_path: Path) -> None:
     store, schema = ChunkIndex(spark, f"file://{tmp_path}/index"), "relative_path string, content string, mtime timestamp"
     symbols = spark.createDataFrame([], "file_path string, kind string, name string, line_range struct<start:int,end:int>")
     first = spark.createDataFrame([("a", "one", NOW), ("b", "two", NOW), ("c", "", NOW)], schema)
-    assert store.update(first, symbols, HashingEmbedder()) == {"processed": 3, "created": 2, "skipped": 0}
-    assert store.update(first, symbols, HashingEmbedder()) == {"processed": 0, "created": 0, "skipped": 3}
+    assert store.update(first, symbols, HashingEmbedder()) == {"processed": 3, "created": 2, "skipped": 0, "errors": 0}
+    assert store.update(first, symbols, HashingEmbedder()) == {"processed": 0, "created": 0, "skipped": 3, "errors": 0}
     second = spark.createDataFrame([("a", "one", NOW), ("b", "2", NOW)], schema)
     assert store.update(second, symbols, HashingEmbedder())["processed"] == 1
     assert store.prune(second) == 1
@@ -169,6 +169,30 @@ def test_index_is_incremental(spark: SparkSession, tmp_path: Path) -> None:
     assert {r.path for r in store.documents().collect()} == {"a", "b"}
 
 
+def test_index_goes_on_after_errors(spark: SparkSession, tmp_path: Path) -> None:
+    class FailingEmbedder(HashingEmbedder):
+        def embed_batch(self, texts: list[str]) -> list[list[float]]:
+            if any("bad" in t for t in texts):
+                raise ValueError("no vector")
+            return [self.embed(t) for t in texts]
+
+    store, schema = ChunkIndex(spark, f"file://{tmp_path}/index"), "relative_path string, content string, mtime timestamp"
+    symbols = spark.createDataFrame([], "file_path string, kind string, name string, line_range struct<start:int,end:int>")
+    texts = [(f"f{i}", f"text {i}", NOW) for i in range(40)]
+    assert store.update(spark.createDataFrame(texts, schema), symbols, FailingEmbedder())["errors"] == 0
+    changed = [("f1", "bad now", NOW), ("f2", "good now", NOW), *texts[3:]]
+    done = store.update(spark.createDataFrame(changed, schema), symbols, FailingEmbedder())
+    assert (done["processed"], done["errors"], done["skipped"]) == (1, 1, 37)
+    assert [r.message for r in store.errors.collect()] == ["f1: ValueError: no vector"]
+    held = {r.file_path: r.content for r in store.chunks().collect()}
+    assert "text 1" in held["f1"] and "good now" in held["f2"] and len(held) == 40
+    assert store.update(spark.createDataFrame(changed, schema), symbols, HashingEmbedder())["processed"] == 1  # it is tried again
+    number, _ = store._current()
+    assert len(list((tmp_path / "index/current").glob("0*"))) == 2 and len([p for p in (tmp_path / "index").iterdir() if p.name != "current"]) == 2
+    with pytest.raises(RuntimeError, match="another run"):
+        store.persist(store.chunks(), store.documents(), number - 1)
+
+
 def test_rollups(spark: SparkSession) -> None:
     events = spark.createDataFrame([("s", "a", 1, 10, 5), ("s", "a", 1, 20, 5), ("s", "b", 1, 1, 1), ("t", "b", 0, 5, 2)], "session_id string, tool_name string, tokens_in bigint, tokens_out bigint, bytes_out bigint")
     s = {r.session_id: r for r in rollups.session_summaries(events).collect()}

@@ -1,4 +1,4 @@
-"""Exact token counts by a public byte-pair vocabulary; the estimate by bytes needs none."""
+"""Exact token counts by a public byte-pair vocabulary; ``token_estimate`` needs none."""
 
 from __future__ import annotations
 
@@ -11,8 +11,6 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from codestrata.functions.text import token_estimate
-
 #: A file of ranks, and how texts are cut before merging (letters, numbers, other marks, white space).
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -28,9 +26,7 @@ def encoding(path: str):  # noqa: ANN201
 
 
 def token_count(text: Column, path: str = VOCABULARY) -> Column:
-    """Tokens of each text, null for null; the estimate where the vocabulary isn't there."""
-    if not Path(path).is_file():
-        return token_estimate(text)
+    """Tokens of each text, null for null. Every executor needs the vocabulary; where it is absent the task fails."""
 
     @F.pandas_udf("bigint")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -36,15 +36,22 @@ def warned_modules(owners: DataFrame, markers: DataFrame, prefix: bool = False)
     """(slug, n): high-priority markers in each module's files.
 
     With ``prefix`` a marker also counts where its path only begins with a module's file, as ``a.cpp`` does with
-    ``a.c``: the prefixes of marker paths that could be files are enumerated, which keeps the join an equality.
+    ``a.c``. Of each part of a marker's path only the beginnings are looked up that are as long as some file name
+    of the same folder, so the join is an equality and a path has few rows.
     """
     high = markers.where("priority = 'High' AND source_file IS NOT NULL").select(F.monotonically_increasing_id().alias("m"), "source_file")
-    if prefix:
-        cuts = F.transform(F.sequence(F.lit(1), F.length("source_file")), lambda n: F.substring("source_file", F.lit(1), n))
-        files = high.select("m", F.explode(cuts).alias("relative_path"))
-    else:
-        files = high.select("m", F.col("source_file").alias("relative_path"))
-    return files.join(owners, "relative_path").select("slug", "m").distinct().groupBy("slug").agg(F.count("*").alias("n"))
+    if not prefix:
+        found = high.withColumnRenamed("source_file", "relative_path").join(owners, "relative_path")
+        return found.select("slug", "m").distinct().groupBy("slug").agg(F.count("*").alias("n"))
+    parts = F.split("source_file", "/")
+    levels = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, 1, n - 1), "/").alias("dir"), F.element_at(parts, n).alias("piece")))
+    files = owners.select("slug", "relative_path", T.parent_dir("relative_path").alias("dir"))
+    lengths = files.groupBy("dir").agg(F.collect_set(F.length(T.file_name("relative_path"))).alias("lengths"))
+    near = high.select("m", F.explode(levels).alias("l")).select("m", "l.dir", "l.piece").join(lengths, "dir")
+    cut = near.select("m", "dir", "piece", F.explode("lengths").alias("n")).where(F.col("n") <= F.length("piece"))
+    begin = F.substring("piece", F.lit(1), F.col("n"))
+    cut = cut.select("m", F.when(F.col("dir") == "", begin).otherwise(F.concat("dir", F.lit("/"), begin)).alias("relative_path"))
+    return cut.join(files.select("slug", "relative_path"), "relative_path").select("slug", "m").distinct().groupBy("slug").agg(F.count("*").alias("n"))
 
 
 def project_rollup(files: DataFrame, markers: DataFrame, modules: DataFrame) -> DataFrame:

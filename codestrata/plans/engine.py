@@ -16,7 +16,7 @@ from codestrata.operators.index import ChunkIndex
 from codestrata.operators.markers import extract_markers
 from codestrata.operators.symbols import extract_imports, extract_symbols
 from codestrata.plans import reports
-from codestrata.shared import keep
+from codestrata.shared import keep, shared_dir
 from codestrata.sources import files as sources
 from codestrata.sources import git, state
 from codestrata.streaming import watch
@@ -41,6 +41,14 @@ class Engine:
     limit: int = 10
     debounce_ms: int = 300
 
+    @classmethod
+    def cloned(cls, spark: SparkSession, url: str, parent: str | None = None, **options) -> Engine:  # noqa: ANN003
+        """An engine over a shallow clone of a remote repository, made below ``parent`` or else the shared folder."""
+        where = parent or shared_dir(spark).removeprefix("file://")
+        if "://" in where:
+            raise ValueError("name a mounted folder that all executors share as parent of the clone")
+        return cls(spark, git.clone(url, where), **options)
+
     @property
     def name(self) -> str:
         return self.root.rstrip("/").rpartition("/")[2] or "Project"

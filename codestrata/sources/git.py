@@ -77,9 +77,9 @@ def normalize_url(text: str) -> str:
     return url if url.endswith(".git") else f"{url.rstrip('/')}.git"
 
 
-def clone(url: str) -> str:
-    """A shallow clone in a new temporary folder; its path."""
-    folder = tempfile.mkdtemp(prefix="clone-")
+def clone(url: str, parent: str | None = None) -> str:
+    """A shallow clone in a new folder below ``parent``, which on a cluster is one that all executors share; its path."""
+    folder = tempfile.mkdtemp(prefix="clone-", dir=parent)
     done = subprocess.run(["git", "clone", "--depth", "1", normalize_url(url), folder], capture_output=True, text=True, check=False)
     if done.returncode:
         remove_clone(folder)

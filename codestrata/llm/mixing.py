@@ -13,17 +13,17 @@ one text, counted for the source of its smallest doc_id.
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codestrata.functions.tokens import VOCABULARY, encoding
 from codestrata.shared import broadcast_if_small, keep
 
-#: Public vocabulary that sizes are counted in; the ranges of keys that a source is sorted in.
-VOCABULARY, PATTERN_MODULE, RANGES = "byte_bpe_50k.tiktoken", "public_tokenizers", 1024
+#: Rows that a range of keys holds about: the largest source decides how many ranges there are.
+RANGE_ROWS = 4096
 NOWHERE = "(none)"
 
 
@@ -32,23 +32,13 @@ def canonical_source(column: str = "source"):  # noqa: ANN201
     return F.when(name == "", None).otherwise(name)
 
 
-def load_encoding(path: str):  # noqa: ANN201
-    """The tokenizer of a ``.tiktoken`` file of ranks."""
-    import public_tokenizers
-    import tiktoken
-
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-    return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
-def token_counts(texts: DataFrame, vocabulary: str = f"/opt/tokenizers/{VOCABULARY}") -> DataFrame:
+def token_counts(texts: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Every row of (doc_id, source, text) as (doc_id, source, digest, n_tokens); the text stays in its task."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoding = load_encoding(vocabulary)
+        own = encoding(vocabulary)
         for b in batches:
-            sizes = [len(encoding.encode_ordinary(t)) for t in b["text"]]
+            sizes = [len(own.encode_ordinary(t)) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "digest": b["digest"], "n_tokens": sizes})
 
     return texts.select("doc_id", "source", "text", "digest").mapInPandas(rows, "doc_id bigint, source string, digest string, n_tokens bigint")
@@ -86,14 +76,16 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     chosen: (doc_id, source, n_tokens, copies) of every text that is used; copies is at most the source's max_repeats.
     report: (source, target_share, max_repeats, available, budget, used_tokens, n_texts, actual_share) of every source.
 
-    The keys are uniform, so ranges of the key are of equal size whatever the skew of sources; only
-    (source, range) totals, RANGES rows a source, are brought together for the prefix sums.
+    The keys are uniform, so ranges of the key are of equal size whatever the skew of sources: as many as give
+    the largest source about RANGE_ROWS rows in each. Only (source, range) totals are brought together for the prefix sums.
     """
     sized = keep(sized_texts(documents, **options), "sized")
     plan = keep(budgets(sized, targets, total_tokens), "budgets")
     key = F.xxhash64(F.lit(seed), "doc_id")
     rows = sized.join(broadcast_if_small(plan.select("source", "available", "budget", "max_repeats")), "source").withColumn("key", key)
-    rows = rows.withColumn("range", F.shiftright("key", 54).cast("int"))
+    largest = sized.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+    bits = max(0, (largest // RANGE_ROWS).bit_length())
+    rows = rows.withColumn("range", F.shiftright("key", 64 - bits).cast("int") if bits else F.lit(0))
     totals = rows.groupBy("source", "range").agg(F.sum("n_tokens").alias("range_tokens"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("source", "range", F.coalesce(F.sum("range_tokens").over(before), F.lit(0)).alias("offset"))

@@ -278,12 +278,18 @@ def near_duplicates(chunks: DataFrame, threshold: float = 0.8, size: int = 5) ->
 
 
 def duplicate_groups(chunks: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
-    """(id, class, group_id, group_size): one row per record; its group is connected by links, named by its smallest id."""
+    """(id, class, n_links, group_id, group_size): one row per record; its group is connected by links, named by its smallest id.
+
+    ``n_links`` counts the other classes that the record's class is similar to.
+    """
     members, links = near_duplicates(chunks, threshold, size)
-    roots = components(keep(links, "links"))
+    links = keep(links, "links")
+    degrees = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_links"))
+    roots = components(links)
     placed = members.join(roots, "class", "left").withColumn("root", F.coalesce("component", "class"))
     groups = placed.groupBy("root").agg(F.min("id").alias("group_id"), F.count("*").alias("group_size"))
-    return placed.join(groups, "root").select("id", "class", "group_id", "group_size")
+    found = placed.join(groups, "root").join(degrees, "class", "left")
+    return found.select("id", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"), "group_id", "group_size")
 
 
 def member_pairs(members: DataFrame, links: DataFrame) -> DataFrame:

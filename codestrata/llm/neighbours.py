@@ -40,8 +40,8 @@ HOT = 2
 MARGIN, PROBES, SIDE_PROBES = 0.2, 8, 4
 #: Queries of a task: more of one cell are slices, each with a copy of the cell.
 QUERIES = 8192
-#: Edges of a vertex, width of the beam when building and searching, vertices expanded at once, relaxation of the pruning.
-DEGREE, BUILD_BEAM, BEAM, EXPAND, ALPHA = 32, 40, 64, 8, 1.02
+#: Edges of a vertex, width of the beam when building and searching (half of it away from a vector's own cell), vertices expanded at once, relaxation of the pruning.
+DEGREE, BUILD_BEAM, BEAM, EXPAND, ALPHA = 32, 48, 72, 8, 1.02
 #: Vertices joined by brute force at first, entry points of a search, queries searched together, inner products made together.
 SEED_SIZE, ENTRIES, BATCH, PRODUCTS = 256, 32, 1024, 1024
 
@@ -357,9 +357,11 @@ def _answers(k: int, beam: int):  # noqa: ANN202
         vertex = np.full(len(x), -1)
         vertex[member] = np.arange(len(member))
         far, other = [], []
-        for a in range(0, len(asks), BATCH):
-            part = asks[a : a + BATCH]
-            ids, sims = graph.search(np.ascontiguousarray(x[part]), beam, own=vertex[part])
+        asks = asks[np.argsort(vertex[asks] < 0, kind="stable")]  # those at home first
+        home = int((vertex[asks] >= 0).sum())
+        for a, z in [(a, min(a + BATCH, e)) for b, e in ((0, home), (home, len(asks))) for a in range(b, e, BATCH)]:
+            part = asks[a:z]
+            ids, sims = graph.search(np.ascontiguousarray(x[part]), beam if a < home else max(k + 1, beam // 2), own=vertex[part])
             ids, sims = ids[:, : k + 1], sims[:, : k + 1]
             used = (ids >= 0) & (member[np.maximum(ids, 0)] != part[:, None])
             found = own[np.maximum(ids, 0)]

@@ -133,7 +133,7 @@ def project_size(n_files: Column | str) -> Column:
 def module_description(path: Column | str) -> Column:
     """What a module holds, by its last folder's name, else by parts of its path."""
     p = F.lower(_col(path))
-    named = lookup({name: text for text, names in schemas.DESCRIPTIONS.items() for name in names}, F.substring_index(p, "/", -1))
+    named = lookup(schemas.DESCRIPTIONS, F.substring_index(p, "/", -1))
     guessed = F.when(p.contains("test"), "Test files").when(p.contains("mock"), "Mock/fixture data").when(p.contains("error"), "Error handling")
     return F.coalesce(named, guessed.otherwise("Module"))
 

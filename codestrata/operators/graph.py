@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,9 +54,17 @@ def consumers(edges: DataFrame, owners: DataFrame) -> DataFrame:
 def import_scopes(edges: DataFrame, owners: DataFrame) -> DataFrame:
     """(slug, target, internal): distinct targets that a module's files import, and whether some file of the module contains the text.
 
-    The containment test is a join within a module only: a module's files meet its own targets, never all files.
+    Targets that are a file of the module are found by equality. The rest meet the distinct names of the module's path
+    parts, if they lie within one, or its paths, if they span several: never the files of other modules.
     """
     targets = edges.where("dst IS NOT NULL").join(owners.toDF("slug", "src"), "src").select("slug", F.col("dst").alias("target")).distinct()
-    own = owners.withColumnRenamed("relative_path", "file")
-    inside = targets.join(own, (targets["slug"] == own["slug"]) & own["file"].contains(targets["target"]), "left_semi")
-    return targets.join(inside.withColumn("internal", F.lit(True)), ["slug", "target"], "left").fillna(False, ["internal"])
+    own = owners.select("slug", F.col("relative_path").alias("file")).distinct()
+    equal = targets.join(own.withColumnRenamed("file", "target"), ["slug", "target"], "left_semi")
+    rest = targets.join(equal, ["slug", "target"], "left_anti")
+    parts = own.select("slug", F.explode(F.split("file", "/")).alias("file")).distinct()
+    within = [
+        rest.where(chosen).join(held.withColumnRenamed("slug", "s"), (F.col("slug") == F.col("s")) & F.contains("file", "target"), "left_semi")
+        for chosen, held in ((~F.col("target").contains("/"), parts), (F.col("target").contains("/"), own))
+    ]
+    inside = reduce(DataFrame.unionByName, within, equal).withColumn("internal", F.lit(True))
+    return targets.join(inside, ["slug", "target"], "left").fillna(False, ["internal"])

@@ -211,14 +211,6 @@ def skips(group: int | None, words: set[str], names: frozenset[str] = CONTROL) -
     return lambda m, name: name in names or group is not None and (m[group] or "").strip() in words
 
 
-_PUB = r"^[ \t]*(pub(?:\([^)]+\))?\s+)?"
-_JS = r"^[ \t]*(export\s+)?"
-_SW = r"(public\s+|internal\s+|fileprivate\s+|private\s+"
-_SW_TYPE = r"\s+(\w+)(?:\s*:\s*[^{]+)?\s*\{"
-_ACCESS = r"^\s*(public|private|protected)?\s*"
-_ACCESS4 = r"^\s*(public|private|protected|internal)?\s*"
-_CPP_HEAD = r"(virtual\s+|static\s+|inline\s+|constexpr\s+|explicit\s+)*(\w+(?:\s*[*&])?(?:\s*<[^>]+>)?)\s+"
-_CPP_TAIL = r"\s*\([^)]*\)(?:\s*(?:const|override|noexcept|final))*\s*"
 _JAVA_KIND = by_word(3, "Class", interface="Interface", enum="Enum")
 _CS_KIND = by_word(3, "Class", interface="Interface", enum="Enum", struct="Struct", record="Struct")
 
@@ -228,22 +220,22 @@ def _php_signature(m: Match, name: str, text: Text, line: int) -> str | None:
 
 
 _SCRIPT = (
-    rule(_JS + r"(async\s+)?function\s+(\w+)", "Function", 3, visibility=marked(1), signature=source_line, end=naive),
-    rule(_JS + r"(default\s+)?class\s+(\w+)", "Class", 3, visibility=marked(1), end=naive),
-    rule(_JS + r"(const|let|var)\s+(\w+)\s*=\s*(async\s*)?\([^)]*\)\s*=>", "Function", 3, visibility=marked(1), signature=source_line, end=naive),
-    rule(_JS + r"(const|let|var)\s+(\w+)\s*=\s*(async\s*)?\w+\s*=>", "Function", 3, visibility=marked(1)),
-    rule(_JS + r"interface\s+(\w+)", "Interface", 2, visibility=marked(1), end=naive),
-    rule(_JS + r"type\s+(\w+)\s*=", "Type", 2, visibility=marked(1)),
+    rule(r"^[ \t]*(export\s+)?(async\s+)?function\s+(\w+)", "Function", 3, visibility=marked(1), signature=source_line, end=naive),
+    rule(r"^[ \t]*(export\s+)?(default\s+)?class\s+(\w+)", "Class", 3, visibility=marked(1), end=naive),
+    rule(r"^[ \t]*(export\s+)?(const|let|var)\s+(\w+)\s*=\s*(async\s*)?\([^)]*\)\s*=>", "Function", 3, visibility=marked(1), signature=source_line, end=naive),
+    rule(r"^[ \t]*(export\s+)?(const|let|var)\s+(\w+)\s*=\s*(async\s*)?\w+\s*=>", "Function", 3, visibility=marked(1)),
+    rule(r"^[ \t]*(export\s+)?interface\s+(\w+)", "Interface", 2, visibility=marked(1), end=naive),
+    rule(r"^[ \t]*(export\s+)?type\s+(\w+)\s*=", "Type", 2, visibility=marked(1)),
 )
 #: The patterns decide what a declaration is, so they are stated as they are.
 RULES: dict[str, tuple[Rule, ...]] = {
     "Rust": (
-        rule(_PUB + r"(?:async\s+)?fn\s+(\w+)", "Function", 2, visibility=marked(1), signature=source_line, end=naive),
-        rule(_PUB + r"struct\s+(\w+)", "Struct", 2, visibility=marked(1), end=naive),
-        rule(_PUB + r"enum\s+(\w+)", "Enum", 2, visibility=marked(1), end=naive),
-        rule(_PUB + r"trait\s+(\w+)", "Trait", 2, visibility=marked(1), end=naive),
-        rule(_PUB + r"const\s+(\w+)\s*:", "Const", 2, visibility=marked(1)),
-        rule(_PUB + r"type\s+(\w+)", "Type", 2, visibility=marked(1)),
+        rule(r"^[ \t]*(pub(?:\([^)]+\))?\s+)?(?:async\s+)?fn\s+(\w+)", "Function", 2, visibility=marked(1), signature=source_line, end=naive),
+        rule(r"^[ \t]*(pub(?:\([^)]+\))?\s+)?struct\s+(\w+)", "Struct", 2, visibility=marked(1), end=naive),
+        rule(r"^[ \t]*(pub(?:\([^)]+\))?\s+)?enum\s+(\w+)", "Enum", 2, visibility=marked(1), end=naive),
+        rule(r"^[ \t]*(pub(?:\([^)]+\))?\s+)?trait\s+(\w+)", "Trait", 2, visibility=marked(1), end=naive),
+        rule(r"^[ \t]*(pub(?:\([^)]+\))?\s+)?const\s+(\w+)\s*:", "Const", 2, visibility=marked(1)),
+        rule(r"^[ \t]*(pub(?:\([^)]+\))?\s+)?type\s+(\w+)", "Type", 2, visibility=marked(1)),
     ),
     "Python": (
         rule(r"^([ \t]*)(async\s+)?def\s+(\w+)\s*\(", "Function", 3, visibility=python_def, signature=source_line, end=indented),
@@ -258,21 +250,21 @@ RULES: dict[str, tuple[Rule, ...]] = {
         rule(r"^const\s+(\w+)\s*=", "Const", visibility=capital),
     ),
     "Java": (
-        rule(_ACCESS + r"(abstract|final)?\s*(class|interface|enum)\s+(\w+)", _JAVA_KIND, 4, visibility=keyword(1, "Internal"), signature=whole, end=after),
+        rule(r"^\s*(public|private|protected)?\s*(abstract|final)?\s*(class|interface|enum)\s+(\w+)", _JAVA_KIND, 4, visibility=keyword(1, "Internal"), signature=whole, end=after),
         rule(
-            _ACCESS + r"(static)?\s*(final)?\s*(abstract)?\s*(\w+(?:<[^>]+>)?)\s+(\w+)\s*\(", "Method", 6, visibility=keyword(1, "Internal"),
+            r"^\s*(public|private|protected)?\s*(static)?\s*(final)?\s*(abstract)?\s*(\w+(?:<[^>]+>)?)\s+(\w+)\s*\(", "Method", 6, visibility=keyword(1, "Internal"),
             signature=calling, end=after, skip=skips(5, {"class", "interface", "enum", "new"}),
         ),
         rule(r"^\s*@interface\s+(\w+)", "Interface"),
     ),
     "CSharp": (
         rule(r"^\s*namespace\s+([\w.]+)", "Module", signature=named("namespace {name}"), end=after),
-        rule(_ACCESS4 + r"(abstract|sealed|static|partial)?\s*(class|interface|enum|struct|record)\s+(\w+)", _CS_KIND, 4, visibility=keyword(1, "Internal"), signature=whole, end=after),
+        rule(r"^\s*(public|private|protected|internal)?\s*(abstract|sealed|static|partial)?\s*(class|interface|enum|struct|record)\s+(\w+)", _CS_KIND, 4, visibility=keyword(1, "Internal"), signature=whole, end=after),
         rule(
-            _ACCESS4 + r"(static|virtual|override|abstract|async)?\s*([\w<>\[\],\s]+?)\s+(\w+)\s*\(", "Method", 4, visibility=keyword(1, "Private"), signature=calling,
+            r"^\s*(public|private|protected|internal)?\s*(static|virtual|override|abstract|async)?\s*([\w<>\[\],\s]+?)\s+(\w+)\s*\(", "Method", 4, visibility=keyword(1, "Private"), signature=calling,
             end=after, skip=skips(3, {"class", "interface", "enum", "struct", "new", "namespace"}, CONTROL | {"foreach"}),
         ),
-        rule(_ACCESS4 + r"(static|virtual|override)?\s*([\w<>\[\]?]+)\s+(\w+)\s*\{\s*(get|set)", "Const", 4, visibility=keyword(1, "Private")),
+        rule(r"^\s*(public|private|protected|internal)?\s*(static|virtual|override)?\s*([\w<>\[\]?]+)\s+(\w+)\s*\{\s*(get|set)", "Const", 4, visibility=keyword(1, "Private")),
     ),
     "Php": (
         rule(r"^\s*(abstract\s+)?(final\s+)?class\s+(\w+)", "Class", 3, signature=_php_signature, end=after),
@@ -282,7 +274,7 @@ RULES: dict[str, tuple[Rule, ...]] = {
             r"^\s*(public|private|protected|static|\s)*\s*function\s+(\w+)\s*\(", "Function", 2,
             visibility=containing(1, ("private", "Private"), ("protected", "Protected"), none="Public"), signature=calling, end=after,
         ),
-        rule(_ACCESS + r"const\s+(\w+)\s*=", "Const", 2, visibility=keyword(1, "Public")),
+        rule(r"^\s*(public|private|protected)?\s*const\s+(\w+)\s*=", "Const", 2, visibility=keyword(1, "Public")),
     ),
     "C": (
         rule(
@@ -302,11 +294,11 @@ RULES: dict[str, tuple[Rule, ...]] = {
         rule(r"^namespace\s+(\w+)\s*\{", "Module", signature=named("namespace {name}"), end=at_brace),
         rule(r"^enum(?:\s+class)?\s+(\w+)\s*\{", "Enum", signature=named("enum {name}"), end=at_brace),
         rule(
-            "^" + _CPP_HEAD + r"(\w+(?:::\w+)?)" + _CPP_TAIL + r"\{", lambda m, name: "Method" if "::" in name else "Function", 3,
+            r"^(virtual\s+|static\s+|inline\s+|constexpr\s+|explicit\s+)*(\w+(?:\s*[*&])?(?:\s*<[^>]+>)?)\s+(\w+(?:::\w+)?)\s*\([^)]*\)(?:\s*(?:const|override|noexcept|final))*\s*\{", lambda m, name: "Method" if "::" in name else "Function", 3,
             visibility=containing(1, ("static", "Private"), none="Public"), signature=without("{"), end=at_brace, skip=skips(None, set()),
         ),
         rule(
-            r"^\s*" + _CPP_HEAD + r"(\w+)" + _CPP_TAIL + ";", "Method", 3, visibility=containing(1, ("virtual", "Public"), none="Internal"),
+            r"^\s*(virtual\s+|static\s+|inline\s+|constexpr\s+|explicit\s+)*(\w+(?:\s*[*&])?(?:\s*<[^>]+>)?)\s+(\w+)\s*\([^)]*\)(?:\s*(?:const|override|noexcept|final))*\s*;", "Method", 3, visibility=containing(1, ("virtual", "Public"), none="Internal"),
             signature=without(";"), skip=skips(None, set(), CONTROL | {"return"}),
         ),
     ),
@@ -333,18 +325,17 @@ RULES: dict[str, tuple[Rule, ...]] = {
         rule(r"^\s*set\s+(\w+)\s*\([^)]*\)\s*\{", "Method", visibility=underscore, end=at_brace, form="set {}"),
     ),
     "Swift": (
-        rule(r"^(?:@\w+\s+)*" + _SW + r"|open\s+)?(?:final\s+)?class" + _SW_TYPE, "Class", 2, visibility=swift_visibility(1), signature=named("class {name}"), end=at_brace_double),
-        rule(r"^(?:@\w+\s+)*" + _SW + r")?struct" + _SW_TYPE, "Struct", 2, visibility=swift_visibility(1), signature=named("struct {name}"), end=at_brace_double),
-        rule(r"^(?:@\w+\s+)*" + _SW + r")?enum" + _SW_TYPE, "Enum", 2, visibility=swift_visibility(1), signature=named("enum {name}"), end=at_brace_double),
-        rule(r"^(?:@\w+\s+)*" + _SW + r")?protocol" + _SW_TYPE, "Trait", 2, visibility=swift_visibility(1), signature=named("protocol {name}"), end=at_brace_double),
-        rule(r"^(?:@\w+\s+)*" + _SW + r")?extension" + _SW_TYPE, "Module", 2, visibility=swift_visibility(1), end=at_brace_double, form="extension {}"),
-        rule(r"^(?:@\w+\s+)*" + _SW + r")?actor" + _SW_TYPE, "Class", 2, visibility=swift_visibility(1), signature=named("actor {name}"), end=at_brace_double),
+        rule(r"^(?:@\w+\s+)*(public\s+|internal\s+|fileprivate\s+|private\s+|open\s+)?(?:final\s+)?class\s+(\w+)(?:\s*:\s*[^{]+)?\s*\{", "Class", 2, visibility=swift_visibility(1), signature=named("class {name}"), end=at_brace_double),
+        rule(r"^(?:@\w+\s+)*(public\s+|internal\s+|fileprivate\s+|private\s+)?struct\s+(\w+)(?:\s*:\s*[^{]+)?\s*\{", "Struct", 2, visibility=swift_visibility(1), signature=named("struct {name}"), end=at_brace_double),
+        rule(r"^(?:@\w+\s+)*(public\s+|internal\s+|fileprivate\s+|private\s+)?enum\s+(\w+)(?:\s*:\s*[^{]+)?\s*\{", "Enum", 2, visibility=swift_visibility(1), signature=named("enum {name}"), end=at_brace_double),
+        rule(r"^(?:@\w+\s+)*(public\s+|internal\s+|fileprivate\s+|private\s+)?protocol\s+(\w+)(?:\s*:\s*[^{]+)?\s*\{", "Trait", 2, visibility=swift_visibility(1), signature=named("protocol {name}"), end=at_brace_double),
+        rule(r"^(?:@\w+\s+)*(public\s+|internal\s+|fileprivate\s+|private\s+)?extension\s+(\w+)(?:\s*:\s*[^{]+)?\s*\{", "Module", 2, visibility=swift_visibility(1), end=at_brace_double, form="extension {}"),
+        rule(r"^(?:@\w+\s+)*(public\s+|internal\s+|fileprivate\s+|private\s+)?actor\s+(\w+)(?:\s*:\s*[^{]+)?\s*\{", "Class", 2, visibility=swift_visibility(1), signature=named("actor {name}"), end=at_brace_double),
         rule(
-            r"^(?:\s*)(?:@\w+\s+)*" + _SW + r"|open\s+)?(?:static\s+|class\s+)?(?:override\s+)?func\s+(\w+)\s*\([^)]*\)"
-            r"(?:\s*(?:async\s+)?(?:throws\s+)?(?:->\s*[^{]+)?)?\s*\{", "Function", 2, visibility=swift_visibility(1), signature=without("{"), end=at_brace_double,
+            r"^(?:\s*)(?:@\w+\s+)*(public\s+|internal\s+|fileprivate\s+|private\s+|open\s+)?(?:static\s+|class\s+)?(?:override\s+)?func\s+(\w+)\s*\([^)]*\)(?:\s*(?:async\s+)?(?:throws\s+)?(?:->\s*[^{]+)?)?\s*\{", "Function", 2, visibility=swift_visibility(1), signature=without("{"), end=at_brace_double,
         ),
         rule(
-            r"^(?:\s*)(?:@\w+\s+)*" + _SW + r")?(?:convenience\s+|required\s+)?init\??\s*\([^)]*\)(?:\s*throws)?\s*\{", "Method", 0,
+            r"^(?:\s*)(?:@\w+\s+)*(public\s+|internal\s+|fileprivate\s+|private\s+)?(?:convenience\s+|required\s+)?init\??\s*\([^)]*\)(?:\s*throws)?\s*\{", "Method", 0,
             visibility=swift_visibility(1), signature=without("{"), end=at_brace_double, form="init",
         ),
     ),

@@ -432,7 +432,7 @@ def folder_counts(spark: SparkSession, d: str) -> DataFrame:
     return rollups.folder_counts(newest_files(spark, d))
 
 
-_STATES = """SELECT slug, max(epoch(mtime))::BIGINT AS latest_mtime, count(*) AS file_count, md5(string_agg(relative_path, chr(10) ORDER BY relative_path)) AS files_hash FROM {0} f JOIN owners USING (relative_path) GROUP BY slug"""
+_STATES = """SELECT slug, max(epoch(mtime))::BIGINT AS latest_mtime, count(*) AS file_count, CAST(sum(CAST('0x' || substr(md5(relative_path), 1, 15) AS BIGINT)) AS VARCHAR) AS files_hash FROM {0} f JOIN owners USING (relative_path) GROUP BY slug"""
 _OLDEST = "oldest AS (SELECT relative_path, min(mtime) AS mtime FROM files WHERE relative_path IS NOT NULL GROUP BY 1 HAVING min(mtime) < TIMESTAMP '2025-01-01')"
 
 

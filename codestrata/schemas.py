@@ -36,33 +36,33 @@ CATEGORY_ORDER = ("Warnings", "Business Rules", "Technical Debt", "Notes")
 
 #: What a folder of a name holds.
 DESCRIPTIONS = {
-    "Source root": ("src", "lib"),
-    "Command-line interface": ("cli", "cmd"),
-    "API endpoints": ("api",),
-    "Authentication logic": ("auth", "authentication"),
-    "Database layer": ("db", "database"),
-    "Data models": ("models", "entities"),
-    "Utility functions": ("utils", "helpers", "common"),
-    "Configuration": ("config", "settings"),
-    "Test files": ("tests", "test", "__tests__"),
-    "Type definitions": ("types",),
-    "Request handlers": ("handlers", "controllers"),
-    "Business logic services": ("services",),
-    "Middleware functions": ("middleware",),
-    "Route definitions": ("routes", "router"),
-    "UI components": ("components",),
-    "React hooks": ("hooks",),
-    "Page/view components": ("pages", "views"),
-    "State management": ("store", "state"),
-    "Styling": ("styles", "css"),
-    "Static assets": ("assets", "public", "static"),
-    "Build/utility scripts": ("scripts",),
-    "Documentation": ("docs", "documentation"),
-    "Analysis/parsing logic": ("analyze", "analysis"),
-    "Generation logic": ("generate", "generator"),
-    "Output/emission logic": ("emit", "output"),
-    "File scanning": ("scan", "scanner"),
-    "Language-specific handlers": ("lang",),
+    "src": "Source root", "lib": "Source root",
+    "cli": "Command-line interface", "cmd": "Command-line interface",
+    "api": "API endpoints",
+    "auth": "Authentication logic", "authentication": "Authentication logic",
+    "db": "Database layer", "database": "Database layer",
+    "models": "Data models", "entities": "Data models",
+    "utils": "Utility functions", "helpers": "Utility functions", "common": "Utility functions",
+    "config": "Configuration", "settings": "Configuration",
+    "tests": "Test files", "test": "Test files", "__tests__": "Test files",
+    "types": "Type definitions",
+    "handlers": "Request handlers", "controllers": "Request handlers",
+    "services": "Business logic services",
+    "middleware": "Middleware functions",
+    "routes": "Route definitions", "router": "Route definitions",
+    "components": "UI components",
+    "hooks": "React hooks",
+    "pages": "Page/view components", "views": "Page/view components",
+    "store": "State management", "state": "State management",
+    "styles": "Styling", "css": "Styling",
+    "assets": "Static assets", "public": "Static assets", "static": "Static assets",
+    "scripts": "Build/utility scripts",
+    "docs": "Documentation", "documentation": "Documentation",
+    "analyze": "Analysis/parsing logic", "analysis": "Analysis/parsing logic",
+    "generate": "Generation logic", "generator": "Generation logic",
+    "emit": "Output/emission logic", "output": "Output/emission logic",
+    "scan": "File scanning", "scanner": "File scanning",
+    "lang": "Language-specific handlers",
 }
 
 #: Names of files that programs start from.

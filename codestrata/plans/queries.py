@@ -218,7 +218,20 @@ def window_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_by_window(texts).select("id", "start_line", "end_line", "hash")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_NEWEST}, f AS (SELECT relative_path AS p, list_transform(CASE WHEN content LIKE '%' || chr(10) THEN string_split(content, chr(10))[1:-2] ELSE string_split(content, chr(10)) END,
+  lambda x: regexp_replace(x, '\\r$', '')) AS ls FROM newest WHERE content IS NOT NULL AND content <> ''),
+s AS (SELECT DISTINCT file_path AS p, line_range.start AS a, line_range."end" AS z, kind, name FROM symbols WHERE kind IN ('Function', 'Method', 'Class', 'Struct') AND line_range.start IS NOT NULL AND line_range."end" IS NOT NULL),
+b AS (SELECT p, greatest(a, 1) AS a, least(z, len(ls)) AS z, kind, name, ls[greatest(a, 1):least(z, len(ls))] AS part FROM s JOIN f USING (p)),
+c AS (SELECT *, array_to_string(part, chr(10)) AS body FROM b WHERE regexp_matches(array_to_string(part, chr(10)), '\\S')),
+seg AS (SELECT row_number() OVER () AS g, * FROM (SELECT p, 'split' AS tag, a AS first, kind, part AS ls FROM c WHERE strlen(body) > 2048 UNION ALL SELECT p, 'block', 1, 'Block', ls FROM f WHERE p NOT IN (SELECT p FROM c))),
+n AS (SELECT *, len(ls) AS n, list_transform(range(0, len(ls) + 1), lambda k: coalesce(list_sum(list_transform(ls[1:k], lambda x: strlen(x) + 1)), 0)) AS sums FROM seg),
+r AS (SELECT g, 0::BIGINT AS a, len(list_filter(range(0, n), lambda k: sums[k + 1] < 2048))::BIGINT AS b FROM n
+  UNION ALL
+  SELECT r.g, greatest(r.b - 2, r.a + 1), greatest(r.b - 2, r.a + 1) + len(list_filter(range(greatest(r.b - 2, r.a + 1), n.n), lambda k: n.sums[k + 1] - n.sums[greatest(r.b - 2, r.a + 1) + 1] < 2048))
+  FROM r JOIN n ON n.g = r.g WHERE r.b < n.n)
+SELECT p || ':' || name || ':' || a AS id, p AS file_path, CAST(a AS INTEGER) AS start_line, CAST(z AS INTEGER) AS end_line, substr(sha256(body), 1, 16) AS hash, kind AS chunk_type FROM c WHERE strlen(body) <= 2048
+UNION ALL SELECT p || ':' || tag || ':' || (first + a), p, CAST(first + a AS INTEGER), CAST(first + b - 1 AS INTEGER), substr(sha256(array_to_string(ls[a + 1:b], chr(10))), 1, 16), kind FROM r JOIN n ON n.g = r.g
+WHERE regexp_matches(array_to_string(ls[a + 1:b], chr(10)), '\\S')""")
 def symbol_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_by_symbols(newest_files(spark, d, "content"), distinct_symbols(spark, d)).select("id", "file_path", "start_line", "end_line", "hash", "chunk_type")
 

@@ -41,9 +41,9 @@ MARGIN, PROBES, SIDE_PROBES = 0.2, 8, 4
 #: Queries of a task: more of one cell are slices, each with a copy of the cell.
 QUERIES = 8192
 #: Edges of a vertex, width of the beam when building and searching (half of it away from a vector's own cell), vertices expanded at once, relaxation of the pruning.
-DEGREE, BUILD_BEAM, BEAM, EXPAND, ALPHA = 32, 48, 72, 8, 1.02
-#: Vertices joined by brute force at first, entry points of a search, queries searched together, inner products made together.
-SEED_SIZE, ENTRIES, BATCH, PRODUCTS = 256, 32, 1024, 1024
+DEGREE, BUILD_BEAM, BEAM, EXPAND, ALPHA = 32, 48, 64, 8, 1.02
+#: Vertices joined by brute force at first, entry points of a search; queries searched, inner products made and points pruned together.
+SEED_SIZE, ENTRIES, BATCH, PRODUCTS, PRUNED = 256, 32, 256, 1024, 128
 
 
 class VectorGraph:
@@ -74,23 +74,29 @@ class VectorGraph:
         return ids, np.take_along_axis(sims, ids, axis=1)
 
     def _prune(self, points: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> np.ndarray:
-        """The diverse candidates of each point: one is dropped if a kept one is closer to it, by the factor alpha, than the point is."""
-        points_sims = np.where(ids >= 0, sims, -np.inf)
-        c = self.x[np.maximum(ids, 0)]
-        among = np.matmul(c, c.transpose(0, 2, 1))
-        far, between = 2 - 2 * points_sims, 2 - 2 * among
-        left = np.isfinite(points_sims) & (ids != points[:, None])
-        out = np.full((len(points), self.degree), -1, dtype=np.int32)
-        rows = np.arange(len(points))
-        for k in range(self.degree):
-            score = np.where(left, points_sims, -np.inf)
-            best = score.argmax(axis=1)
-            alive = left[rows, best]
-            if not alive.any():
-                break
-            out[alive, k] = ids[rows, best][alive]
-            left &= ~((self.alpha * self.alpha * between[rows, best] <= far) & alive[:, None])
-            left[rows, best] = False
+        """The diverse candidates of each point: one is dropped if a kept one is closer to it, by the factor alpha, than the point is.
+
+        Candidates are ranked first; in each step all points at once keep their best one left. Blocks of points fit the cache.
+        """
+        out = np.full((len(points), self.degree), -1, dtype=np.intp)
+        order = np.argsort(-np.where((ids >= 0) & (ids != points[:, None]), sims, -np.inf), axis=1)
+        ids, sims = np.take_along_axis(ids, order, axis=1), np.take_along_axis(sims, order, axis=1)
+        limits = 1 - (1 - sims) / np.float32(self.alpha * self.alpha)  # a similarity above it to a kept one drops a candidate
+        for a in range(0, len(points), PRUNED):
+            block, bar = ids[a : a + PRUNED], limits[a : a + PRUNED]
+            left = (block >= 0) & (block != points[a : a + PRUNED, None])
+            c = self.x[np.maximum(block, 0)]
+            drops = np.matmul(c, c.transpose(0, 2, 1)) >= bar[:, None, :]
+            rows = np.arange(len(block))
+            for k in range(self.degree):
+                best = left.argmax(axis=1)
+                alive = left[rows, best]
+                if not alive.any():
+                    break
+                at, kept = rows[alive], best[alive]
+                out[a + at, k] = block[at, kept]
+                left[at] &= ~drops[at, kept]
+                left[at, kept] = False
         return out
 
     def _connect(self, points: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> None:

@@ -124,7 +124,13 @@ def error_report(errors: DataFrame, limit: int = 10) -> DataFrame:
     return first.unionByName(rest)
 
 
-def output_files(parts: DataFrame) -> DataFrame:
-    """(n_files): one index, one file a module, and one for each part of (slug, part, content) that is not inline or empty."""
+def output_files(parts: DataFrame, complex_files: DataFrame | None = None, agent: bool = False) -> DataFrame:
+    """(n_files): one index, one file a module, one for each part of (slug, part, content) that is not inline or empty, the guide and one a complex file."""
     separate = (F.octet_length("content") >= schemas.INLINE_BYTES).cast("int")
-    return parts.agg((F.lit(1) + F.countDistinct("slug") + F.coalesce(F.sum(separate), F.lit(0))).alias("n_files"))
+    found = parts.agg((F.lit(1 + agent) + F.countDistinct("slug") + F.coalesce(F.sum(separate), F.lit(0))).alias("n_files"))
+    return found if complex_files is None else found.join(complex_files.agg(F.count("*").alias("n"))).select((F.col("n_files") + F.col("n")).alias("n_files"))
+
+
+def largest_modules(report: DataFrame) -> DataFrame:
+    """(slug, tokens, n_bytes): the modules of a token report by tokens, most first, ties by slug."""
+    return report.where("name IS NULL AND slug IS NOT NULL").select("slug", "tokens", "n_bytes").orderBy(F.desc("tokens"), "slug")

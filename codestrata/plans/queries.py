@@ -735,7 +735,20 @@ def scan_filters(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def output_file_count(spark: SparkSession, d: str) -> DataFrame:
-    return rollups.output_files(_parts(spark, d))
+    return rollups.output_files(_parts(spark, d), sources.complex_files(newest_files(spark, d, "line_count"), distinct_symbols(spark, d), 300, 10), True)
+
+
+@query(f"WITH {_TOKENS} SELECT slug, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(n_bytes) AS BIGINT) AS n_bytes FROM tk GROUP BY slug")
+def largest_modules(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.largest_modules(rollups.token_report(source_documents(spark, d)))
+
+
+@query("""WITH s AS (SELECT DISTINCT file_path, kind, name, signature, line_range, visibility, doc_comment FROM symbols WHERE file_path IS NOT NULL),
+r AS (SELECT file_path, line_range.start AS a, name, kind, CASE visibility WHEN 'Public' THEN 'pub' WHEN 'Private' THEN '(private)' WHEN 'Protected' THEN '(protected)' WHEN 'Internal' THEN '(internal)' ELSE '' END AS v FROM s)
+SELECT file_path, '# ' || file_path || chr(10) || chr(10) || '| Line | Kind | Name | Visibility |' || chr(10) || '| ---- | ---- | ---- | ---------- |' || chr(10)
+  || string_agg('| ' || a || ' | ' || kind || ' | ' || name || ' | ' || v || ' |', chr(10) ORDER BY a, name, kind, v) || chr(10) AS content FROM r GROUP BY file_path""")
+def symbol_outlines(spark: SparkSession, d: str) -> DataFrame:
+    return reports.symbol_outlines(distinct_symbols(spark, d))
 
 
 @query()

@@ -244,11 +244,35 @@ def search_text(results: DataFrame, query: str) -> DataFrame:
     return found.select(F.when(F.col("n") == 0, none).otherwise(F.concat(F.lit("Found "), F.col("n"), F.lit(f" results for: {query}\n\n"), F.col("lines"))).alias("document"))
 
 
+def search_response(results: DataFrame, query: str) -> DataFrame:
+    """(document): one JSON text with the query, the number of results and each of (rank, score, file_path, start_line, end_line, chunk_type, content)."""
+    item = F.struct(
+        F.col("rank"), F.col("file_path").alias("file"), F.format_string("%.3f", "score").alias("score"), F.format_string("%d-%d", "start_line", "end_line").alias("lines"),
+        F.col("chunk_type").alias("type"), T.preview("content").alias("content_preview"),
+    )
+    found = results.agg(F.sort_array(F.collect_list(item)).alias("r"))
+    listed = F.transform("r", lambda x: F.struct(*(x[c].alias(c) for c in ("file", "score", "lines", "type", "content_preview"))))
+    answer = F.to_json(F.struct(F.lit(query).alias("query"), F.size("r").alias("result_count"), listed.alias("results")))
+    return found.select(F.when(F.size("r") == 0, "No results found. Is there an index?").otherwise(answer).alias("document"))
+
+
+#: How visibilities are shown.
+VISIBILITIES = {"Public": "pub", "Private": "(private)", "Protected": "(protected)", "Internal": "(internal)"}
+
+
+def symbol_outlines(symbols: DataFrame) -> DataFrame:
+    """(file_path, content): the symbols of each file as a table, by line and name."""
+    shown = F.coalesce(T.lookup(VISIBILITIES, F.col("visibility")), F.lit(""))
+    row = F.format_string("| %d | %s | %s | %s |", F.col("line_range.start"), "kind", "name", shown)
+    order = F.struct(F.col("line_range.start").alias("s"), F.col("name"), F.col("kind"), shown.alias("v"))
+    head = F.concat(F.lit("# "), F.first("file_path"), F.lit("\n\n| Line | Kind | Name | Visibility |\n| ---- | ---- | ---- | ---------- |\n"))
+    return symbols.where("file_path IS NOT NULL").groupBy("file_path").agg(F.concat(head, _table(order, row), F.lit(NEWLINE)).alias("content"))
+
+
 def symbol_outline(symbols: DataFrame, path: str) -> DataFrame:
-    """(content): the symbols of one file as a table."""
-    row = F.format_string("| %s | %s | %d | %s |", "kind", "name", F.col("line_range.start"), F.coalesce(T.short_signature("signature"), F.lit("")))
-    body = _table(F.struct(F.col("line_range.start"), F.col("name")), row)
-    return symbols.where(F.col("file_path") == path).agg(F.concat(F.lit("| Kind | Name | Line | Signature |\n| --- | --- | --- | --- |\n"), F.coalesce(body, F.lit(""))).alias("content"))
+    """(content): the outline of one file."""
+    found = symbol_outlines(symbols.where(F.col("file_path") == path))
+    return found.agg(F.coalesce(F.max("content"), F.lit(f"# {path}\n\nNo symbols found.")).alias("content"))
 
 
 def dry_run(documents: DataFrame) -> DataFrame:

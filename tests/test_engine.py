@@ -76,7 +76,9 @@ def test_engine(spark: SparkSession, tree: Path, tmp_path: Path) -> None:
     assert later.check(out).first().stale == ["src"]
     assert later.index(f"file://{out}/index")["processed"] == 4
     assert later.search(f"file://{out}/index", "struct A", 2).count() == 2
-    assert later.outline("src/lib.rs").count("\n") == 2 and later.dry_run().where("n_bytes > 0").count() >= 4
+    assert later.outline("src/lib.rs") == "# src/lib.rs\n\n| Line | Kind | Name | Visibility |\n| ---- | ---- | ---- | ---------- |\n| 3 | Function | run | pub |\n"
+    assert later.outline("none.rs") == "# none.rs\n\nNo symbols found."
+    assert later.dry_run().where("n_bytes > 0").count() >= 4
     (tmp_path / "out/own.md").write_text("a reader's own")
     for path in (tree / "src/a").iterdir():
         path.unlink()
@@ -102,6 +104,9 @@ def test_configuration_and_watching(spark: SparkSession, tree: Path, tmp_path: P
     assert found.file_path == "src/new.rs" and e.search(index, "struct A", 50).where("file_path = 'src/a/mod.rs'").count() == 0
     text = reports.search_text(e.search(index, "Fresh").selectExpr("*", "1 AS rank"), "Fresh").first().document
     assert text.startswith("Found 1 results for: Fresh\n\n1. src/new.rs (L1-1)\n   Score: ") and "pub struct Fresh;" in text
+    answer = json.loads(reports.search_response(e.search(index, "Fresh").selectExpr("*", "1 AS rank"), "Fresh").first().document)
+    assert answer["query"] == "Fresh" and answer["result_count"] == 1 and answer["results"][0]["file"] == "src/new.rs" and answer["results"][0]["lines"] == "1-1"
+    assert reports.search_response(e.search(index, "x").where("false").selectExpr("*", "1 AS rank"), "x").first().document.startswith("No results found")
     assert reports.search_text(e.search(index, "x").where("false").selectExpr("*", "1 AS rank"), "x").first().document == "No results found for: x"
 
 

@@ -572,6 +572,41 @@ def extracted_symbols(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file_path", "kind", "name", "signature", F.col("line_range.start").alias("start_line"), F.col("line_range.end").alias("end_line"), "visibility", "ord")
 
 
+#: Declarations as their definition words them: (languages, order, kind, pattern with a marker or indent as group 1 and the name as group 2, visibility, signature, end of the block).
+_DECLARED_SQL = f"""WITH {_NEWEST}, f AS (SELECT relative_path AS p, content AS c, {_LANGUAGE_SQL} AS lang, string_split(content, chr(10)) AS raw FROM newest WHERE content IS NOT NULL AND content <> ''),
+l AS (SELECT p, c, CASE WHEN lang = 'TypeScript' THEN 'JavaScript' ELSE lang END AS lang, list_transform(CASE WHEN raw[-1] = '' THEN raw[1:-2] ELSE raw END, lambda x: regexp_replace(x, '\\r$', '')) AS ls FROM f),
+t(lang, o, kind, pattern, vis, sig, fin) AS (VALUES
+  ('Rust', 1, 'Function', '(?m)^[ \\t]*(pub(?:\\([^)]+\\))?\\s+)?(?:async\\s+)?fn\\s+(\\w+)', 'marked', 'line', 'naive'), ('Rust', 2, 'Struct', '(?m)^[ \\t]*(pub(?:\\([^)]+\\))?\\s+)?struct\\s+(\\w+)', 'marked', '', 'naive'),
+  ('Rust', 3, 'Enum', '(?m)^[ \\t]*(pub(?:\\([^)]+\\))?\\s+)?enum\\s+(\\w+)', 'marked', '', 'naive'), ('Rust', 4, 'Trait', '(?m)^[ \\t]*(pub(?:\\([^)]+\\))?\\s+)?trait\\s+(\\w+)', 'marked', '', 'naive'),
+  ('Rust', 5, 'Const', '(?m)^[ \\t]*(pub(?:\\([^)]+\\))?\\s+)?const\\s+(\\w+)\\s*:', 'marked', '', ''), ('Rust', 6, 'Type', '(?m)^[ \\t]*(pub(?:\\([^)]+\\))?\\s+)?type\\s+(\\w+)', 'marked', '', ''),
+  ('Python', 1, 'Function', '(?m)^([ \\t]*)(?:async\\s+)?def\\s+(\\w+)\\s*\\(', 'dunder', 'line', 'indent'), ('Python', 2, 'Class', '(?m)^([ \\t]*)class\\s+(\\w+)', 'underscore', 'line', 'indent'),
+  ('JavaScript', 1, 'Function', '(?m)^[ \\t]*(export\\s+)?(?:async\\s+)?function\\s+(\\w+)', 'marked', 'line', 'naive'), ('JavaScript', 2, 'Class', '(?m)^[ \\t]*(export\\s+)?(?:default\\s+)?class\\s+(\\w+)', 'marked', '', 'naive'),
+  ('JavaScript', 3, 'Function', '(?m)^[ \\t]*(export\\s+)?(?:const|let|var)\\s+(\\w+)\\s*=\\s*(?:async\\s*)?\\([^)]*\\)\\s*=>', 'marked', 'line', 'naive'),
+  ('JavaScript', 4, 'Function', '(?m)^[ \\t]*(export\\s+)?(?:const|let|var)\\s+(\\w+)\\s*=\\s*(?:async\\s*)?\\w+\\s*=>', 'marked', '', ''),
+  ('JavaScript', 5, 'Interface', '(?m)^[ \\t]*(export\\s+)?interface\\s+(\\w+)', 'marked', '', 'naive'), ('JavaScript', 6, 'Type', '(?m)^[ \\t]*(export\\s+)?type\\s+(\\w+)\\s*=', 'marked', '', ''),
+  ('Go', 1, 'Function', '(?m)^(f)unc\\s+(?:\\([^)]+\\)\\s+)?(\\w+)\\s*\\(', 'capital', 'line', 'naive'), ('Go', 2, 'Struct', '(?m)^(t)ype\\s+(\\w+)\\s+struct\\b', 'capital', '', 'naive'),
+  ('Go', 3, 'Interface', '(?m)^(t)ype\\s+(\\w+)\\s+interface\\b', 'capital', '', 'naive'), ('Go', 4, 'Const', '(?m)^(c)onst\\s+(\\w+)\\s*=', 'capital', '', '')),
+m AS (SELECT p, c, ls, kind, vis, sig, fin, regexp_extract_all(c, pattern, 0) AS a, regexp_extract_all(c, pattern, 1) AS v, regexp_extract_all(c, pattern, 2) AS n, string_split_regex(c, pattern) AS s FROM l JOIN t ON t.lang = l.lang),
+e AS (SELECT p, c, ls, kind, vis, sig, fin, v[i] AS v, n[i] AS name, 1 + length(regexp_replace(array_to_string(s[1:i], '') || array_to_string(a[1:i - 1], ''), '[^\\n]', '', 'g')) AS line,
+  length(regexp_replace(a[i], '[^\\n]', '', 'g')) AS inside, length(array_to_string(s[1:i], '')) + length(array_to_string(a[1:i], '')) AS past FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM m)),
+b AS (SELECT *, CASE WHEN fin = 'naive' THEN regexp_extract_all(substr(c, past + 1), '[{{}}]') ELSE [] END AS br, CASE WHEN fin = 'naive' THEN string_split_regex(substr(c, past + 1), '[{{}}]') ELSE [] END AS pc FROM e),
+k AS (SELECT *, list_filter(range(1, len(br) + 1), lambda x: br[x] = '}}' AND len(list_filter(br[1:x], lambda y: y = '{{')) * 2 = x)[1] AS shut,
+  list_filter(range(line + 1, len(ls) + 1), lambda x: fin = 'indent' AND trim(ls[x]) <> '' AND NOT starts_with(ltrim(ls[x]), '#')) AS full_lines FROM b),
+d AS (SELECT *, coalesce(list_filter(full_lines, lambda x: length(ls[x]) - length(ltrim(ls[x], ' ' || chr(9))) <= length(v))[1], 1000000000) AS out FROM k)
+SELECT p AS file_path, kind, name, CASE WHEN sig = 'line' THEN trim(ls[line], ' ' || chr(9)) END AS signature, CAST(line AS INTEGER) AS start_line,
+  CAST(CASE WHEN fin = 'naive' AND shut IS NOT NULL THEN line + inside + length(regexp_replace(array_to_string(pc[1:shut], ''), '[^\\n]', '', 'g')) WHEN fin = 'indent' THEN coalesce(list_max(list_filter(full_lines, lambda x: x < out)), line) ELSE line END AS INTEGER) AS end_line,
+  CASE vis WHEN 'marked' THEN CASE WHEN v <> '' THEN 'Public' ELSE 'Private' END WHEN 'capital' THEN CASE WHEN regexp_matches(name, '^\\p{{Lu}}') THEN 'Public' ELSE 'Private' END
+  WHEN 'dunder' THEN CASE WHEN starts_with(name, '_') AND NOT starts_with(name, '__') THEN 'Private' ELSE 'Public' END ELSE CASE WHEN starts_with(name, '_') THEN 'Private' ELSE 'Public' END END AS visibility FROM d"""
+
+
+@query(_DECLARED_SQL)
+def declared_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """The symbols of the languages whose declarations SQL can state: Rust, Python, JavaScript, TypeScript and Go."""
+    files = _spoken(spark, d).where(F.col("language").isin("Rust", "Python", "JavaScript", "TypeScript", "Go"))
+    rows = latest(symbol_rows(files, "mtime", "scanned_at"), "file_path", ["mtime", "scanned_at"], ["symbols"]).select("file_path", F.inline("symbols"))
+    return rows.select("file_path", "kind", "name", "signature", F.col("line_range.start").alias("start_line"), F.col("line_range.end").alias("end_line"), "visibility")
+
+
 _IMPORTS_SQL = f"""WITH {_NEWEST},
 f AS (SELECT relative_path AS p, content AS c, lower(nullif(regexp_extract(relative_path, '[^/]\\.([^./]+)$', 1), '')) AS x FROM newest WHERE content IS NOT NULL),
 t(ext, ord, pattern) AS (VALUES

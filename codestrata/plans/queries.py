@@ -607,6 +607,41 @@ def declared_symbols(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file_path", "kind", "name", "signature", F.col("line_range.start").alias("start_line"), F.col("line_range.end").alias("end_line"), "visibility")
 
 
+#: The same for languages whose blocks end by braces outside of quoted strings; group 1 is a marker, group 2 a type or nothing, group 3 the name.
+_BRACED_SQL = f"""WITH {_NEWEST}, f AS (SELECT relative_path AS p, content AS c, {_LANGUAGE_SQL} AS lang FROM newest WHERE content IS NOT NULL AND content <> ''),
+t(lang, o, kind, pattern, vis, sig, back) AS (VALUES
+  ('Java', 1, 'Class', '(?m)^\\s*(public|private|protected)?\\s*(?:abstract|final)?\\s*()class\\s+(\\w+)', 'Internal', 'whole', 0), ('Java', 2, 'Interface', '(?m)^\\s*(public|private|protected)?\\s*(?:abstract|final)?\\s*()interface\\s+(\\w+)', 'Internal', 'whole', 0),
+  ('Java', 3, 'Enum', '(?m)^\\s*(public|private|protected)?\\s*(?:abstract|final)?\\s*()enum\\s+(\\w+)', 'Internal', 'whole', 0), ('Java', 5, 'Interface', '(?m)^\\s*@()()interface\\s+(\\w+)', 'Public', '', NULL),
+  ('Java', 4, 'Method', '(?m)^\\s*(public|private|protected)?\\s*(?:static)?\\s*(?:final)?\\s*(?:abstract)?\\s*(\\w+(?:<[^>]+>)?)\\s+(\\w+)\\s*\\(', 'Internal', 'calling', 0),
+  ('Php', 1, 'Class', '(?m)^\\s*(abstract\\s+)?(?:final\\s+)?()class\\s+(\\w+)', 'Public', 'php', 0), ('Php', 2, 'Interface', '(?m)^\\s*()()interface\\s+(\\w+)', 'Public', 'interface ', 0),
+  ('Php', 3, 'Trait', '(?m)^\\s*()()trait\\s+(\\w+)', 'Public', 'trait ', 0), ('Php', 4, 'Function', '(?m)^\\s*(public|private|protected|static|\\s)*\\s*()function\\s+(\\w+)\\s*\\(', 'Public', 'calling', 0),
+  ('Php', 5, 'Const', '(?m)^\\s*(public|private|protected)?\\s*()const\\s+(\\w+)\\s*=', 'Public', '', NULL),
+  ('C', 1, 'Function', '(?m)^(static\\s+)?(?:inline\\s+)?(?:const\\s+)?(\\w+(?:\\s*\\*)*)\\s+(\\w+)\\s*\\([^)]*\\)\\s*\\{{', 'static', '{{', 1),
+  ('C', 2, 'Function', '(?m)^(?:extern\\s+)?(static\\s+)?(\\w+(?:\\s*\\*)*)\\s+(\\w+)\\s*\\([^)]*\\)\\s*;', 'static', ';', NULL),
+  ('C', 3, 'Struct', '(?m)^()()(?:typedef\\s+)?struct\\s+(\\w+)?\\s*\\{{', 'Public', 'struct ', 1), ('C', 4, 'Enum', '(?m)^()()(?:typedef\\s+)?enum\\s+(\\w+)?\\s*\\{{', 'Public', 'enum ', 1), ('C', 5, 'Type', '(?m)^()()typedef\\s+.+?\\s+(\\w+)\\s*;', 'Public', '', NULL)),
+m AS (SELECT p, c, f.lang, o, kind, vis, sig, back, regexp_extract_all(c, pattern, 0) AS a, regexp_extract_all(c, pattern, 1) AS v, regexp_extract_all(c, pattern, 2) AS x, regexp_extract_all(c, pattern, 3) AS n, string_split_regex(c, pattern) AS s FROM f JOIN t ON t.lang = f.lang),
+e AS (SELECT p, c, lang, o, kind, vis, sig, back, regexp_replace(a[i], '^\\s+|\\s+$', '', 'g') AS head, trim(v[i], ' ' || chr(9) || chr(10) || chr(13)) AS v, x[i] AS x, coalesce(nullif(n[i], ''), 'anonymous') AS name,
+  1 + length(regexp_replace(array_to_string(s[1:i], '') || array_to_string(a[1:i - 1], ''), '[^\\n]', '', 'g')) AS line, length(regexp_replace(substr(a[i], 1, length(a[i]) - coalesce(back, 0)), '[^\\n]', '', 'g')) AS inside,
+  length(array_to_string(s[1:i], '')) + length(array_to_string(a[1:i], '')) - coalesce(back, 0) AS past FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM m)),
+w AS (SELECT * FROM e WHERE NOT (lang = 'Java' AND o = 4 AND (x IN ('class', 'interface', 'enum', 'new') OR name IN ('if', 'for', 'while', 'switch', 'catch'))) AND NOT (lang = 'C' AND o = 1 AND name IN ('if', 'for', 'while', 'switch'))
+  QUALIFY lang <> 'C' OR row_number() OVER (PARTITION BY p, name, line ORDER BY o) = 1),
+q AS (SELECT *, '(?s)[{{}}]|"(?:[^"\\\\]|\\\\+[^\\\\])*(?:"|\\\\*\\z)|''(?:[^''\\\\]|\\\\+[^\\\\])*(?:''|\\\\*\\z)' AS quoted FROM w),
+b AS (SELECT *, CASE WHEN back IS NULL THEN [] ELSE regexp_extract_all(substr(c, past + 1), quoted) END AS br, CASE WHEN back IS NULL THEN [] ELSE string_split_regex(substr(c, past + 1), quoted) END AS pc FROM q),
+k AS (SELECT *, list_filter(range(1, len(br) + 1), lambda y: br[y] = '}}' AND len(list_filter(br[1:y], lambda z: z = '{{')) = len(list_filter(br[1:y], lambda z: z = '}}')))[1] AS shut FROM b)
+SELECT p AS file_path, kind, name, CASE sig WHEN '' THEN NULL WHEN 'whole' THEN head WHEN 'calling' THEN rtrim(head, '(') || '(...)' WHEN 'php' THEN CASE WHEN v <> '' THEN 'abstract class ' || name ELSE head END
+  WHEN '{{' THEN regexp_replace(rtrim(head, '{{'), '\\s+$', '') WHEN ';' THEN regexp_replace(rtrim(head, ';'), '\\s+$', '') ELSE sig || name END AS signature, CAST(line AS INTEGER) AS start_line,
+  CAST(CASE WHEN shut IS NULL THEN line ELSE line + inside + length(regexp_replace(array_to_string(pc[1:shut], '') || array_to_string(br[1:shut - 1], ''), '[^\\n]', '', 'g')) END AS INTEGER) AS end_line,
+  CASE WHEN vis = 'static' THEN CASE WHEN v <> '' THEN 'Private' ELSE 'Public' END WHEN v = 'public' THEN 'Public' WHEN v = 'private' THEN 'Private' WHEN v = 'protected' THEN 'Protected' ELSE vis END AS visibility FROM k"""
+
+
+@query(_BRACED_SQL)
+def braced_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """The symbols of the languages whose blocks end by braces outside of strings, as SQL can state them: Java, PHP and C."""
+    files = _spoken(spark, d).where(F.col("language").isin("Java", "Php", "C"))
+    rows = latest(symbol_rows(files, "mtime", "scanned_at"), "file_path", ["mtime", "scanned_at"], ["symbols"]).select("file_path", F.inline("symbols"))
+    return rows.select("file_path", "kind", "name", "signature", F.col("line_range.start").alias("start_line"), F.col("line_range.end").alias("end_line"), "visibility")
+
+
 _IMPORTS_SQL = f"""WITH {_NEWEST},
 f AS (SELECT relative_path AS p, content AS c, lower(nullif(regexp_extract(relative_path, '[^/]\\.([^./]+)$', 1), '')) AS x FROM newest WHERE content IS NOT NULL),
 t(ext, ord, pattern) AS (VALUES

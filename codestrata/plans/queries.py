@@ -642,6 +642,29 @@ def braced_symbols(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file_path", "kind", "name", "signature", F.col("line_range.start").alias("start_line"), F.col("line_range.end").alias("end_line"), "visibility")
 
 
+_RUBY_SQL = f"""WITH {_NEWEST}, f AS (SELECT relative_path AS p, content AS c, string_split(content, chr(10)) AS raw FROM newest WHERE content IS NOT NULL AND content <> '' AND {_LANGUAGE_SQL} = 'Ruby'),
+l AS (SELECT p, c, list_transform(CASE WHEN raw[-1] = '' THEN raw[1:-2] ELSE raw END, lambda x: trim(x, ' ' || chr(9) || chr(13))) AS ls FROM f),
+t(o, kind, pattern, scoped, sig) AS (VALUES (1, 'Class', '(?m)^class\\s+([A-Z]\\w*)(?:\\s*<\\s*\\w+)?', false, 'class '), (2, 'Module', '(?m)^module\\s+([A-Z]\\w*)', false, 'module '),
+  (3, 'Function', '(?m)^\\s*def\\s+(self\\.\\w+[?!=]?)(?:\\s*\\(|$|\\s)', true, 'def '), (4, 'Method', '(?m)^\\s*def\\s+(\\w+[?!=]?)(?:\\s*\\(|$|\\s)', true, 'def '), (5, 'Const', '(?m)^\\s*attr_(?:reader|writer|accessor)\\s+(.+)', false, NULL)),
+m AS (SELECT p, ls, o, kind, scoped, sig, regexp_extract_all(c, pattern, 0) AS a, regexp_extract_all(c, pattern, 1) AS n, string_split_regex(c, pattern) AS s FROM l, t),
+e AS (SELECT p, ls, o, kind, scoped, sig, n[i] AS raw, 1 + length(regexp_replace(array_to_string(s[1:i], '') || array_to_string(a[1:i - 1], ''), '[^\\n]', '', 'g')) AS line FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM m)),
+u AS (SELECT p, ls, o, kind, scoped, sig, line, unnest(CASE WHEN o = 5 THEN list_transform(string_split(raw, ','), lambda x: trim(ltrim(trim(x), ':'))) ELSE [raw] END) AS name FROM e),
+w AS (SELECT * FROM u WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY p, name, line ORDER BY o) = 1),
+d AS (SELECT *, list_filter(range(line, len(ls) + 1), lambda y: o < 5 AND regexp_matches(ls[y], '^end(?:$| |#)') AND len(list_filter(ls[line:y], lambda z: regexp_matches(z, '^(?:class |module |def |do|if |unless |case |begin)')))
+    = len(list_filter(ls[line:y], lambda z: regexp_matches(z, '^end(?:$| |#)'))))[1] AS shut,
+  ls[list_filter(range(1, line), lambda y: scoped AND regexp_matches(ls[y], '^(?:(?:private|protected|public)(?:$| )|class |module )'))[-1]] AS scope FROM w)
+SELECT p AS file_path, kind, name, sig || name AS signature, CAST(line AS INTEGER) AS start_line, CAST(coalesce(shut, line) AS INTEGER) AS end_line,
+  CASE WHEN starts_with(scope, 'private') THEN 'Private' WHEN starts_with(scope, 'protected') THEN 'Internal' ELSE 'Public' END AS visibility FROM d"""
+
+
+@query(_RUBY_SQL)
+def ruby_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """The symbols of Ruby, whose blocks end by a keyword and whose visibility is set by the lines above."""
+    files = _spoken(spark, d).where("language = 'Ruby'")
+    rows = latest(symbol_rows(files, "mtime", "scanned_at"), "file_path", ["mtime", "scanned_at"], ["symbols"]).select("file_path", F.inline("symbols"))
+    return rows.select("file_path", "kind", "name", "signature", F.col("line_range.start").alias("start_line"), F.col("line_range.end").alias("end_line"), "visibility")
+
+
 _IMPORTS_SQL = f"""WITH {_NEWEST},
 f AS (SELECT relative_path AS p, content AS c, lower(nullif(regexp_extract(relative_path, '[^/]\\.([^./]+)$', 1), '')) AS x FROM newest WHERE content IS NOT NULL),
 t(ext, ord, pattern) AS (VALUES
@@ -821,7 +844,11 @@ def symbol_outlines(spark: SparkSession, d: str) -> DataFrame:
     return reports.symbol_outlines(distinct_symbols(spark, d))
 
 
-@query()
+_LINES = "list_transform(CASE WHEN text LIKE '%' || chr(10) THEN string_split(text, chr(10))[1:-2] ELSE string_split(text, chr(10)) END, lambda x: regexp_replace(x, '\\\\r$', ''))"
+
+
+@query(f"""SELECT to_json({{'score': printf('%.3f', score), 'id': id, 'preview': substr(array_to_string(({_LINES})[4:8], chr(10)), 1, 200)}}) AS document
+FROM (SELECT id, score FROM {_TEXT_SCORE} WHERE n > 0 ORDER BY score DESC, id LIMIT 20) JOIN documents ON doc_id = id""")
 def search_documents(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     return reports.search_json(search.text_search(rows, WORDS, 20).select("id", "score", T.cli_preview("content").alias("preview")))

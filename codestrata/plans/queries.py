@@ -701,10 +701,39 @@ def module_documents(spark: SparkSession, d: str) -> DataFrame:
     return reports.module_documents(table(spark, d, "modules"), newest_files(spark, d, "line_count", "is_large"), _parts(spark, d))
 
 
-@query()
+#: How the documents tell to read on, and where they are.
+_STEPS = """'1. Begin with this index: it names every module' || chr(10) || '2. Open `modules/{name}/MODULE.md` of the part you work on' || chr(10) || '3. Look for warnings in its `memory.md` before you edit' || chr(10)
+  || '4. Find symbols of large files in its `outline.md`' || chr(10)"""
+_INDEX_SQL = f"""WITH {_LAYOUT}, {_OWNERS}, {_MARKS}, ep AS (SELECT DISTINCT relative_path FROM newest WHERE len(list_filter(['main.rs', 'lib.rs', 'mod.rs', 'index.js', 'index.ts', 'index.tsx', 'main.py', '__init__.py', 'app.py',
+  'main.go', 'cmd/main.go'], lambda e: ends_with(relative_path, e))) > 0),
+en AS (SELECT string_agg('- `' || relative_path || '`', chr(10) ORDER BY relative_path) AS t FROM (SELECT * FROM ep WHERE NOT (SELECT bool_or(relative_path LIKE '%lib.rs') FROM ep) OR relative_path NOT LIKE '%mod.rs' ORDER BY 1 LIMIT 5)),
+wn AS (SELECT slug, count(*) AS n FROM marks JOIN owners ON relative_path = source_file WHERE priority = 'High' GROUP BY 1),
+hub AS (SELECT DISTINCT slug FROM owners JOIN (SELECT dst FROM edges WHERE dst IS NOT NULL GROUP BY dst HAVING count(*) >= 3) ON relative_path = dst),
+mt AS (SELECT string_agg('| [' || CASE WHEN m.slug = 'root' THEN 'root' ELSE path END || '](modules/' || m.slug || '/MODULE.md) | ' || coalesce(boundary_type, '') || ' | ' || len(files) || ' | ' || coalesce(CAST(n AS VARCHAR), '-') || ' | '
+  || CASE WHEN hub.slug IS NULL THEN '' ELSE '★' END || ' |', chr(10) ORDER BY path, m.slug) AS t FROM modules m LEFT JOIN wn ON wn.slug = m.slug LEFT JOIN hub ON hub.slug = m.slug),
+dp AS (SELECT string_agg('    ' || regexp_replace(a, '[^\\p{{L}}\\p{{N}}]', '_', 'g') || '[' || a || '] --> ' || regexp_replace(b, '[^\\p{{L}}\\p{{N}}]', '_', 'g') || '[' || b || ']', chr(10) ORDER BY a, b) AS t FROM (
+  SELECT DISTINCT x.slug AS a, y.slug AS b FROM edges e JOIN owners x ON x.relative_path = e.src JOIN owners y ON y.relative_path = e.dst WHERE x.slug <> y.slug))
+SELECT 'INDEX.md' AS path, '# Project' || chr(10) || chr(10) || '## Reading Protocol' || chr(10) || chr(10) || """ + _STEPS + """ || chr(10) || coalesce('## Entry Points' || chr(10) || chr(10) || (SELECT t FROM en) || chr(10) || chr(10), '')
+  || '## ⚠️ Critical Alerts' || chr(10) || chr(10) || '**' || (SELECT count(*) FROM marks WHERE priority = 'High') || '** high-priority warnings across ' || (SELECT count(*) FROM wn WHERE slug IN (SELECT slug FROM modules))
+  || ' modules. Each module''s `memory.md` lists its own.' || chr(10) || chr(10) || '## Modules' || chr(10) || chr(10) || '| Module | Type | Files | Warnings | Hub |' || chr(10) || '| ------ | ---- | ----- | -------- | --- |' || chr(10)
+  || (SELECT t FROM mt) || chr(10) || chr(10) || coalesce('## Module Dependencies' || chr(10) || chr(10) || '```mermaid' || chr(10) || 'graph TD' || chr(10) || (SELECT t FROM dp) || chr(10) || '```' || chr(10) || chr(10), '') || '---' || chr(10) AS content"""
+
+
+@query(_INDEX_SQL)
 def index_document(spark: SparkSession, d: str) -> DataFrame:
     edges = table(spark, d, "edges")
-    return reports.index_document(newest_files(spark, d), distinct_markers(spark, d), table(spark, d, "modules"), edges, graph.hub_files(edges))
+    return reports.index_document(layout(spark, d), distinct_markers(spark, d), table(spark, d, "modules"), edges, graph.hub_files(edges))
+
+
+@query(f"""WITH {_OWNERS}, {_MARKS}, k AS (SELECT slug, priority, source_file, line_number, coalesce(content, '') AS c, kind FROM marks JOIN owners ON relative_path = source_file),
+s AS (SELECT slug, priority, string_agg('### `' || kind || '` (' || source_file || ':' || line_number || ')' || chr(10) || chr(10) || '> ' || c || chr(10), chr(10) ORDER BY source_file, line_number, c, kind) AS t FROM k GROUP BY 1, 2)
+SELECT slug, 'memory' AS part, '# Memory' || chr(10) || chr(10) || '[← Back to MODULE](MODULE.md) | [← Back to INDEX](../../INDEX.md)' || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10) || '| High 🔴 | Medium 🟡 | Low 🟢 |' || chr(10)
+  || '| ' || count(*) FILTER (priority = 'High') || ' | ' || count(*) FILTER (priority = 'Medium') || ' | ' || count(*) FILTER (priority = 'Low') || ' |' || chr(10) || chr(10)
+  || coalesce('## 🔴 High Priority' || chr(10) || chr(10) || (SELECT t FROM s WHERE s.slug = k.slug AND s.priority = 'High') || chr(10), '')
+  || coalesce('## 🟡 Medium Priority' || chr(10) || chr(10) || (SELECT t FROM s WHERE s.slug = k.slug AND s.priority = 'Medium') || chr(10), '')
+  || coalesce('## 🟢 Low Priority' || chr(10) || chr(10) || (SELECT t FROM s WHERE s.slug = k.slug AND s.priority = 'Low') || chr(10), '') AS content FROM k GROUP BY slug""")
+def module_memories(spark: SparkSession, d: str) -> DataFrame:
+    return reports.module_memories(distinct_markers(spark, d), module_owners(spark, d))
 
 
 @query()

@@ -107,10 +107,10 @@ def module_documents(modules: DataFrame, files: DataFrame, parts: DataFrame) ->
     by_part = {p: F.max(F.when(F.col("part") == p, F.struct("inside", "content"))).alias(p) for p in PARTS}
     joined = modules.join(tables, "slug", "left").join(held.groupBy("slug").agg(*by_part.values()), "slug", "left")
     title = F.when((F.col("path") == "") | (F.col("slug") == "root"), "Root Module").otherwise(F.concat(F.lit("Module: "), "path"))
-    head = F.concat(F.lit("# "), title, F.lit(f"\n\n{TO_INDEX}"), F.format_string("**Type:** %s | **Files:** %d\n\n", "boundary_type", F.size("files")))
+    head = F.concat(F.lit("# "), title, F.lit(f"\n\n{TO_INDEX}"), F.format_string("**Type:** %s | **Files:** %d\n\n", F.coalesce("boundary_type", F.lit("")), F.size("files")))
     entry = F.when(F.col("entry_point").isNotNull(), F.concat(F.lit("**Entry point:** `"), "entry_point", F.lit("`\n\n"))).otherwise("")
     table = F.when(F.col("files_table").isNotNull(), F.concat(F.lit("## Files\n\n| File | Lines | Large |\n| ---- | ----- | ----- |\n"), "files_table", F.lit("\n\n"))).otherwise("")
-    kids = F.array_join(F.transform("children", lambda c: F.concat(F.lit("- ["), c, F.lit("](../"), c, F.lit("/MODULE.md)\n"))), "")
+    kids = F.array_join(F.transform(F.coalesce("children", F.array().cast("array<string>")), lambda c: F.concat(F.lit("- ["), c, F.lit("](../"), c, F.lit("/MODULE.md)\n"))), "")
     children = F.when(F.size("children") > 0, F.concat(F.lit("## Child Modules\n\n"), kids, F.lit(NEWLINE))).otherwise("")
     links = F.concat(*(F.when(~F.col(p)["inside"], f"- [{p}.md]({p}.md) - {told}\n").otherwise("") for p, told in PARTS.items()))
     beside = F.when(F.length(links) > 0, F.concat(F.lit("## Documentation\n\n"), links, F.lit(NEWLINE))).otherwise("")
@@ -144,7 +144,7 @@ def index_document(files: DataFrame, markers: DataFrame, modules: DataFrame, edg
     listed = modules.join(warned, "slug", "left").join(star, "slug", "left")
     link = F.format_string("[%s](modules/%s/MODULE.md)", F.when(F.col("slug") == "root", "root").otherwise(F.col("path")), "slug")
     row = F.concat(
-        F.lit("| "), link, F.lit(" | "), F.col("boundary_type"), F.lit(" | "), F.size("files"), F.lit(" | "), F.coalesce(F.col("n").cast("string"), F.lit("-")), F.lit(" | "),
+        F.lit("| "), link, F.lit(" | "), F.coalesce("boundary_type", F.lit("")), F.lit(" | "), F.size("files"), F.lit(" | "), F.coalesce(F.col("n").cast("string"), F.lit("-")), F.lit(" | "),
         F.coalesce("star", F.lit("")), F.lit(" |"),
     )
     table = listed.agg(_table(F.struct("path", "slug"), row).alias("table"), F.count("n").alias("warned"))
@@ -184,7 +184,7 @@ def agent_document(files: DataFrame, markers: DataFrame, modules: DataFrame, nam
     totals = rollups.project_rollup(files, markers, modules).withColumn("size", T.project_size("total_files"))
     listed = modules.agg(
         _table(F.struct("path", "slug"), F.format_string("- **%s** (%d files)", "path", F.size("files"))).alias("short"),
-        _table(F.struct("path", "slug"), F.format_string("| `%s` | %d | %s | %s |", "path", F.size("files"), "boundary_type", T.module_description("path"))).alias("long"),
+        _table(F.struct("path", "slug"), F.format_string("| `%s` | %d | %s | %s |", "path", F.size("files"), F.coalesce("boundary_type", F.lit("")), T.module_description("path"))).alias("long"),
     )
     large = F.col("size") == "Large"
     steps = "\n".join(f"{n}. {x}" for n, x in enumerate(PROTOCOL[:4], 1))

@@ -736,6 +736,22 @@ def module_memories(spark: SparkSession, d: str) -> DataFrame:
     return reports.module_memories(distinct_markers(spark, d), module_owners(spark, d))
 
 
+@query(f"""WITH {_OWNERS}, t AS (SELECT DISTINCT slug, dst AS name FROM edges e JOIN owners o ON o.relative_path = e.src WHERE dst IS NOT NULL),
+r AS (SELECT slug, CASE WHEN EXISTS (SELECT 1 FROM owners x WHERE x.slug = t.slug AND contains(x.relative_path, t.name)) THEN 'internal' ELSE 'external' END AS kind, name FROM t
+  UNION ALL SELECT DISTINCT o.slug, 'consumers', e.src FROM edges e JOIN owners o ON o.relative_path = e.dst WHERE e.src IS NOT NULL AND NOT EXISTS (SELECT 1 FROM owners x WHERE x.slug = o.slug AND x.relative_path = e.src)),
+n AS (SELECT slug, kind, name, CASE WHEN contains(name, '/') THEN string_split(name, '/')[-2] ELSE name END AS label FROM r),
+a AS (SELECT slug, string_agg(CASE WHEN kind = 'external' THEN '    ' || own || ' --> ' || node ELSE '    ' || node || ' --> ' || own END || chr(10), '' ORDER BY kind DESC, first) AS t FROM (
+  SELECT slug, kind, min(name) AS first, regexp_replace(slug, '[^\\p{{L}}\\p{{N}}]', '_', 'g') || '[' || slug || ']' AS own, regexp_replace(label, '[^\\p{{L}}\\p{{N}}]', '_', 'g') || '[' || label || ']' AS node FROM n WHERE kind <> 'internal' GROUP BY slug, kind, label) GROUP BY slug),
+l AS (SELECT slug, kind, string_agg('- `' || name || '`' || chr(10), '' ORDER BY name) || chr(10) AS t FROM n GROUP BY 1, 2), m AS (SELECT DISTINCT slug FROM owners),
+b AS (SELECT m.slug, coalesce('## Dependency Graph' || chr(10) || chr(10) || '```mermaid' || chr(10) || 'graph TD' || chr(10) || (SELECT t FROM a WHERE a.slug = m.slug) || '```' || chr(10) || chr(10), '')
+  || coalesce('## Internal Dependencies' || chr(10) || chr(10) || 'Imports that stay inside this module:' || chr(10) || chr(10) || (SELECT t FROM l WHERE l.slug = m.slug AND kind = 'internal'), '')
+  || coalesce('## External Dependencies' || chr(10) || chr(10) || 'Imports that leave this module:' || chr(10) || chr(10) || (SELECT t FROM l WHERE l.slug = m.slug AND kind = 'external'), '')
+  || coalesce('## Consumers' || chr(10) || chr(10) || 'Files elsewhere that import from this module:' || chr(10) || chr(10) || (SELECT t FROM l WHERE l.slug = m.slug AND kind = 'consumers'), '') AS t FROM m)
+SELECT slug, 'imports' AS part, '# Imports' || chr(10) || chr(10) || '[← Back to MODULE](MODULE.md) | [← Back to INDEX](../../INDEX.md)' || chr(10) || chr(10) || CASE WHEN t = '' THEN '_No import relationships detected._' || chr(10) ELSE t END AS content FROM b""")
+def module_imports(spark: SparkSession, d: str) -> DataFrame:
+    return reports.module_imports(table(spark, d, "edges"), module_owners(spark, d))
+
+
 @query()
 def file_documents(spark: SparkSession, d: str) -> DataFrame:
     f = newest_files(spark, d, "language", "line_count")

@@ -36,10 +36,9 @@ BRANCH, LEVELS = 256, 8
 HOT = 2
 #: A vector queries the cells whose centre's cosine is at most MARGIN less than the nearest centre's, and PROBES at most:
 #: few where it lies deep in a cluster of its own, more where centres are sparse or a cluster is spread over many cells.
-#: Below the first level a vector goes on from a cell that isn't its nearest to SIDE_PROBES cells of it at most.
-MARGIN, PROBES, SIDE_PROBES = 0.2, 8, 4
-#: Queries of a task: more of one cell are slices, each with a copy of the cell.
-QUERIES = 8192
+MARGIN, PROBES = 0.2, 8
+#: Queries of a task: more of one cell are slices, each with a copy of the cell. Rows a vector, queries and members, that are shuffled at once.
+QUERIES, WAVE = 8192, 3
 #: Edges of a vertex, width of the beam when building and searching (half of it away from a vector's own cell), vertices expanded at once, relaxation of the pruning.
 DEGREE, BUILD_BEAM, BEAM, EXPAND, ALPHA = 32, 48, 64, 8, 1.02
 #: Vertices joined by brute force at first, entry points of a search; queries searched, inner products made and points pruned together.
@@ -236,7 +235,7 @@ def unit_vectors(chunks: DataFrame, width: int = WIDTH) -> DataFrame:
     """(id, unit binary): the usable vectors of current rows, of length 1, as float32 bytes; stored."""
     rows = chunks.where("id IS NOT NULL").select("id", "updated_at", "vector", F.xxhash64("vector").alias("version"))
     units = rows.mapInPandas(_unit(width), "id string, updated_at timestamp, version bigint, unit binary")
-    return keep(latest(units, "id", ["updated_at", "version"], ["unit"]).where("unit IS NOT NULL"), "vectors")
+    return keep(latest(units, "id", ["updated_at", "version"], ["unit"]).where("unit IS NOT NULL"), "vectors", tidy=True)
 
 
 def k_means(x: np.ndarray, count: int) -> np.ndarray:
@@ -264,91 +263,136 @@ def first_centres(units: DataFrame, n: int, shard: int = SHARD, branch: int = BR
     return k_means(matrix(raw), count) if raw else np.zeros((1, WIDTH), dtype=np.float32)
 
 
-def chosen_cells(x: np.ndarray, centres: np.ndarray, margin: float, probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, centre, whether it is the row's nearest) of the centres that each row queries."""
-    sims = x @ centres.T
-    nearest = sims.argmax(axis=1)
-    close = sims >= sims.max(axis=1, keepdims=True) - margin
-    if probes < sims.shape[1]:
-        bar = -np.partition(-sims, probes - 1, axis=1)[:, probes - 1 : probes]
-        close &= sims >= bar
-    row, centre = np.nonzero(close)
-    return row, centre, nearest[row] == centre
+def closest(row: np.ndarray, cell: np.ndarray, sims: np.ndarray, n: int, margin: float, probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, whether it is the row's nearest) of those within the margin of each row's nearest, ``probes`` a row at most; each of ``n`` rows has some."""
+    order = np.lexsort((cell, -sims, row))
+    row, cell, sims = row[order], cell[order], sims[order]
+    start = np.searchsorted(row, np.arange(n))
+    rank = np.arange(len(row)) - start[row]
+    kept = (rank < probes) & (sims >= sims[start][row] - margin)
+    return row[kept], cell[kept], rank[kept] == 0
 
 
+class Cells:
+    """A tree of cells, numbered as they are made: ``inner`` has the first child and the children's centres of each that was cut."""
+
+    def __init__(self, centres: np.ndarray):
+        self.inner: dict[int, tuple[int, np.ndarray]] = {}
+        self.count = 1
+        self.cut(0, centres)
+
+    def cut(self, cell: int, centres: np.ndarray) -> None:
+        self.inner[cell] = self.count, centres
+        self.count += len(centres)
+
+    def chosen(self, x: np.ndarray, margin: float, probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, leaf, whether it is the row's nearest) of the leaves that each row queries, ``probes`` at most over the whole tree.
+
+        All levels go down together: what is near enough among the cells reached, leaves or not, is kept and cut cells are entered.
+        """
+        row, cell, sims = np.arange(len(x)), np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=np.float32)
+        cut = np.array(sorted(self.inner))
+        nearest = np.ones(len(x), dtype=bool)
+        while len(x) and (entered := np.isin(cell, cut)).any():
+            parts = [(row[~entered], cell[~entered], sims[~entered])]
+            at = np.flatnonzero(entered)
+            at = at[np.argsort(cell[at], kind="stable")]
+            for group in np.split(at, np.flatnonzero(np.diff(cell[at])) + 1):
+                first, centres = self.inner[int(cell[group[0]])]
+                near = x[row[group]] @ centres.T
+                r, c = np.nonzero(near >= near.max(axis=1, keepdims=True) - margin)
+                parts.append((row[group][r], first + c, near[r, c]))
+            row, cell, sims = (np.concatenate(v) for v in zip(*parts, strict=True))
+            order = np.lexsort((cell, row))
+            row, cell, sims = row[order], cell[order], sims[order]
+            kept_row, kept_cell, nearest = closest(row, cell, sims, len(x), margin, probes)
+            sims = sims[np.searchsorted(row * self.count + cell, kept_row * self.count + kept_cell)]
+            row, cell = kept_row, kept_cell
+        return row, cell, nearest
+
+
+ANSWERS = "id string, far array<float>, other array<string>"
 PLACED = "id string, unit binary, asking boolean, cell bigint, home boolean"
+#: Vectors that are placed together.
+BLOCK = 4096
+
 
+def placements(units: DataFrame, cells: Cells, margin: float = MARGIN, probes: int = PROBES, wave: int = 0, waves: int = 1) -> DataFrame:
+    """(id, unit, asking, cell, home): each asking vector in the cells that it queries, others in the nearest; ``home`` marks the nearest.
 
-def placements(units: DataFrame, centres: np.ndarray, margin: float = MARGIN, probes: int = PROBES) -> DataFrame:
-    """(id, unit, asking, cell, home): each asking vector in the cells that it queries, others in the nearest; ``home`` marks the nearest."""
-    shared = units.sparkSession.sparkContext.broadcast(centres)
+    Only the cells of one wave of ``waves``.
+    """
+    shared = units.sparkSession.sparkContext.broadcast(cells)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = shared.value
+        tree = shared.value
         for b in batches:
             ids, raw, asking = b["id"].to_numpy(), b["unit"].to_numpy(), b["asking"].to_numpy(dtype=bool)
-            for a in range(0, len(b), 1024):
-                row, cell, home = chosen_cells(matrix(raw[a : a + 1024]), c, margin, probes)
-                kept = home | asking[a + row]
+            for a in range(0, len(b), BLOCK):
+                row, cell, home = tree.chosen(matrix(raw[a : a + BLOCK]), margin, probes)
+                kept = (home | asking[a + row]) & (cell % waves == wave)
                 row, cell, home = row[kept], cell[kept], home[kept]
-                yield pd.DataFrame({"id": ids[a + row], "unit": raw[a + row], "asking": asking[a + row], "cell": cell.astype(np.int64) + 1, "home": home})
+                yield pd.DataFrame({"id": ids[a + row], "unit": raw[a + row], "asking": asking[a + row], "cell": cell, "home": home})
 
-    return units.mapInPandas(rows, PLACED)
+    return units.select("id", "unit", "asking").mapInPandas(rows, PLACED)
 
 
-def cell_sizes(placed: DataFrame) -> DataFrame:
+def cell_sizes(units: DataFrame, cells: Cells, margin: float = MARGIN, probes: int = PROBES) -> DataFrame:
     """(cell, members, queries), one row a cell; stored."""
-    return keep(placed.groupBy("cell").agg(F.count_if("home").alias("members"), F.count_if("asking").alias("queries")), "cells")
+    shared = units.sparkSession.sparkContext.broadcast(cells)
 
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree = shared.value
+        members, queries = np.zeros(tree.count, dtype=np.int64), np.zeros(tree.count, dtype=np.int64)
+        for b in batches:
+            raw, asking = b["unit"].to_numpy(), b["asking"].to_numpy(dtype=bool)
+            for a in range(0, len(b), BLOCK):
+                row, cell, home = tree.chosen(matrix(raw[a : a + BLOCK]), margin, probes)
+                members += np.bincount(cell[home], minlength=tree.count)
+                queries += np.bincount(cell[asking[a + row]], minlength=tree.count)
+        at = np.flatnonzero(members + queries)
+        yield pd.DataFrame({"cell": at, "members": members[at], "queries": queries[at]})
+
+    counts = units.select("unit", "asking").mapInPandas(rows, "cell bigint, members bigint, queries bigint")
+    return keep(counts.groupBy("cell").agg(F.sum("members").alias("members"), F.sum("queries").alias("queries")), "cells", tidy=True)
 
-def children_of(placed: DataFrame, sizes: DataFrame, shard: int, branch: int) -> DataFrame:
-    """(cell, centres binary, salts): the centres of new cells inside the cells that are too large, if they can be told apart; stored.
 
-    They are fitted in one task a cell, on a sample of about 2 PER_CENTRE vectors a centre.
+def cut_large(units: DataFrame, cells: Cells, sizes: DataFrame, shard: int, branch: int) -> bool:
+    """Cuts the cells that are too large, if what is in them can be told apart; whether any was.
+
+    Their centres are fitted in one task a cell, on a sample of about 2 PER_CENTRE vectors a centre.
     """
+    large = sizes.where(F.col("members") > HOT * shard).collect()
+    counts = {r.cell: min(branch, -(-r.members // shard)) for r in large if r.cell not in cells.inner}
+    shares = {r.cell: counts[r.cell] * 2 * PER_CENTRE / r.members for r in large if r.cell in counts}
+    if not counts:
+        return False
+    shared = units.sparkSession.sparkContext.broadcast((cells, shares))
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree, wanted = shared.value
+        for b in batches:
+            if not len(b):
+                continue
+            _, cell, _ = tree.chosen(matrix(b["unit"]), 0.0, 1)
+            yield b.assign(cell=cell)[b["share"].to_numpy() < np.array([wanted.get(c, 0.0) for c in cell.tolist()])][["cell", "id", "unit"]]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        centres = k_means(matrix(pdf["unit"]), int(pdf["count"].iloc[0]))
-        rows = [(pdf["cell"].iloc[0], centres.tobytes(), pdf["salts"].iloc[0])] if len(centres) > 1 else []
-        return pd.DataFrame(rows, columns=["cell", "centres", "salts"])
+        x = matrix(pdf["unit"])[np.random.default_rng(0).permutation(len(pdf))]
+        cell = int(pdf["cell"].iloc[0])
+        return pd.DataFrame([(cell, k_means(x, counts[cell]).tobytes())], columns=["cell", "centres"])
 
-    count = F.least(F.lit(branch), F.ceil(F.col("members") / shard))
-    big = sizes.where(F.col("members") > HOT * shard).withColumn("count", count).withColumn("salts", F.ceil((F.col("members") + F.col("queries")) / 65_536))
-    sample = placed.where("home").join(broadcast_if_small(big), "cell")
     share = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(1 << 30)) / F.lit(1 << 30)
-    sample = sample.where(share * F.col("members") < F.col("count") * 2 * PER_CENTRE)
-    return keep(sample.select("cell", "id", "unit", "count", "salts").groupBy("cell").applyInPandas(fit, "cell bigint, centres binary, salts bigint"), "centres")
-
-
-def refined(placed: DataFrame, children: DataFrame, margin: float) -> DataFrame:
-    """``placed`` with the rows of cut cells moved on to the cells inside, and these stored.
-
-    A cell's rows are salted, its centres go to every salt.
-    """
-
-    def move(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"id": [], "unit": [], "asking": [], "cell": [], "home": []})
-        centres = np.frombuffer(right["centres"].iloc[0], dtype=np.float32).reshape(-1, len(left["unit"].iloc[0]) // 4)
-        first = int(right["cell"].iloc[0]) * (BRANCH + 1) + 1
-        out = []
-        for own, probes in ((True, PROBES), (False, SIDE_PROBES)):
-            rows = left[left["home"] == own]
-            for a in range(0, len(rows), 1024):
-                b = rows.iloc[a : a + 1024]
-                row, cell, nearest = chosen_cells(matrix(b["unit"]), centres, margin, probes)
-                kept = nearest | b["asking"].to_numpy(dtype=bool)[row]
-                moved = b.iloc[row[kept]]
-                out.append(moved.assign(cell=cell[kept].astype(np.int64) + first, home=nearest[kept] & own)[["id", "unit", "asking", "cell", "home"]])
-        return pd.concat(out)
-
-    marked = placed.join(broadcast_if_small(children.select("cell", "salts")), "cell", "left")
-    salted = marked.where("salts IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")))
-    copies = children.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))).select("cell", "salt", "centres")
-    names = ["id", "unit", "asking", "cell", "home"]
-    moved = salted.select(*names, "salt").groupBy("cell", "salt").cogroup(copies.groupBy("cell", "salt")).applyInPandas(move, PLACED)
-    return marked.where("salts IS NULL").select(*names).unionByName(keep(moved, "moved"))
+    sample = units.select("id", "unit", share.alias("share")).where(F.col("share") < max(shares.values()))
+    fitted = sample.mapInPandas(rows, "cell bigint, id string, unit binary").groupBy("cell").applyInPandas(fit, "cell bigint, centres binary")
+    done = False
+    for r in sorted(fitted.collect()):
+        centres = np.frombuffer(bytes(r.centres), dtype=np.float32).reshape(-1, WIDTH)
+        if len(centres) > 1:
+            cells.cut(r.cell, centres)
+            done = True
+    return done
 
 
 def _answers(k: int, beam: int):  # noqa: ANN202
@@ -383,51 +427,66 @@ def shared_vectors(units: DataFrame, k: int) -> DataFrame:
     digests = units.select("id", *_digest())
     hot = digests.groupBy("v1", "v2").count().where(F.col("count") > k).select("v1", "v2")
     place = F.row_number().over(Window.partitionBy("v1", "v2").orderBy("id"))
-    firsts = digests.join(broadcast_if_small(keep(hot, "shared")), ["v1", "v2"]).withColumn("n", place).where(F.col("n") <= k + 1)
-    return keep(firsts.groupBy("v1", "v2").agg(F.sort_array(F.collect_list("id")).alias("firsts")), "shared")
+    firsts = digests.join(broadcast_if_small(keep(hot, "shared", tidy=True)), ["v1", "v2"]).withColumn("n", place).where(F.col("n") <= k + 1)
+    return keep(firsts.groupBy("v1", "v2").agg(F.sort_array(F.collect_list("id")).alias("firsts")), "shared", tidy=True)
 
 
 def _digest() -> list[Column]:
     return [F.xxhash64("unit").alias("v1"), F.xxhash64(F.lit(1), "unit").alias("v2")]
 
 
+def without_copies(units: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]:
+    """(id, unit, asking) of the vectors that take part in searches, and (id, best) of the copies that answer each other, if there are any.
+
+    Either is stored once, so no later pass joins the vectors with their digests again.
+    """
+    shared = shared_vectors(units, k)
+    if not shared.limit(1).count():
+        return units.withColumn("asking", F.lit(True)), None
+    shared = broadcast_if_small(shared)
+    others = F.slice(F.array_remove("firsts", F.col("id")), 1, k)
+    copies = units.select("id", *_digest()).join(shared, ["v1", "v2"])
+    same = copies.select("id", F.transform(others, lambda o: F.struct(F.lit(-1.0).cast("float").alias("far"), o.alias("other"))).alias("best"))
+    marked = units.select("*", *_digest()).join(shared, ["v1", "v2"], "left")
+    stands = F.coalesce(F.array_contains(F.slice("firsts", 1, k), F.col("id")), F.lit(True))
+    asking = marked.where(stands).select("id", "unit", F.col("firsts").isNull().alias("asking"))
+    return keep(asking, "asking", tidy=True), keep(same, "same", tidy=True)
+
+
 def nearest_vectors(units: DataFrame, k: int = 5, shard: int = SHARD, margin: float = MARGIN, beam: int = BEAM, branch: int = BRANCH) -> DataFrame:
     """(id, other, rank, similarity): the k most similar other vectors that the searches find for every vector.
 
-    ``units`` is a stored table of unit_vectors. One shuffle brings each cell together; its members are one graph.
-    The queries of a cell are cut into slices of QUERIES, which are tasks with a copy of the members. A second
-    shuffle, of k answers a cell and vector, keeps the best. Each level of cells beyond the first, needed beyond
-    BRANCH * HOT * SHARD vectors or for cells of very unequal size, stores what it moves.
+    ``units`` is a stored table of unit_vectors. A shuffle brings each cell together; its members are one graph.
+    The queries of a cell are cut into slices of QUERIES, which are tasks with a copy of the members. The cells are
+    searched in waves of about WAVE rows a vector, whose answers are stored, so what is shuffled at once doesn't
+    grow with the cells that a vector queries. A last shuffle, of k answers a cell and vector, keeps the best. Each level of
+    cells beyond the first, needed beyond BRANCH * HOT * SHARD vectors or for cells of very unequal size, is two
+    more passes over the vectors, which aren't stored again.
     """
-    shared = shared_vectors(units, k)
-    same = None
-    asking = units.withColumn("asking", F.lit(True))
-    if shared.limit(1).count():
-        marked = units.select("*", *_digest()).join(broadcast_if_small(shared), ["v1", "v2"], "left")
-        others = F.slice(F.array_remove("firsts", F.col("id")), 1, k)
-        same = marked.where("firsts IS NOT NULL").select("id", F.transform(others, lambda o: F.struct(F.lit(-1.0).cast("float").alias("far"), o.alias("other"))).alias("best"))
-        stands = F.coalesce(F.array_contains(F.slice("firsts", 1, k), F.col("id")), F.lit(True))
-        asking = marked.where(stands).select("id", "unit", F.col("firsts").isNull().alias("asking"))
-    n = units.count()
-    placed = placements(asking, first_centres(units, n, shard, branch), margin)
-    sizes = cell_sizes(placed)
+    asking, same = without_copies(units, k)
+    n = asking.count()
+    cells = Cells(first_centres(asking, n, shard, branch))
+    sizes = cell_sizes(asking, cells, margin)
     for _ in range(LEVELS - 1):
-        if not sizes.where(F.col("members") > HOT * shard).limit(1).count():
-            break
-        children = children_of(placed, sizes, shard, branch)
-        if not children.limit(1).count():
+        if not cut_large(asking, cells, sizes, shard, branch):
             break
-        placed = refined(placed, children, margin)
-        sizes = cell_sizes(placed)
-    cuts = sizes.select("cell", F.ceil(F.col("members") / (HOT * shard)).cast("int").alias("parts"), F.ceil(F.col("queries") / QUERIES).cast("int").alias("slices"))
-    rows = placed.join(broadcast_if_small(cuts.where("parts > 0 AND slices > 0")), "cell")
-    rows = rows.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("slice", F.explode(F.expr("sequence(0, slices - 1)")))
-    member = F.col("home") & (F.col("part") == F.pmod(F.xxhash64("id"), F.col("parts")))
-    asks = F.col("asking") & (F.col("slice") == F.pmod(F.xxhash64(F.lit(2), "id"), F.col("slices")))
-    rows = rows.withColumn("member", member).withColumn("asks", asks).where("member OR asks")
-    found = rows.select("cell", "part", "slice", "id", "unit", "member", "asks").groupBy("cell", "part", "slice").applyInPandas(_answers(k, beam), "id string, far array<float>, other array<string>")
+        sizes = cell_sizes(asking, cells, margin)
+    cuts = sizes.select("cell", "queries", "members", F.ceil(F.col("members") / (HOT * shard)).cast("int").alias("parts"), F.ceil(F.col("queries") / QUERIES).cast("int").alias("slices"))
+    cuts = cuts.where("parts > 0 AND slices > 0")
+    total = cuts.agg(F.sum(F.col("queries") * F.col("parts") + F.col("members") * F.col("slices"))).first()[0] or 0
+    waves = max(1, -(-total // max(1, WAVE * n)))
+    answers = None
+    for wave in range(waves):
+        rows = placements(asking, cells, margin, wave=wave, waves=waves).join(broadcast_if_small(cuts.select("cell", "parts", "slices")), "cell")
+        rows = rows.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("slice", F.explode(F.expr("sequence(0, slices - 1)")))
+        member = F.col("home") & (F.col("part") == F.pmod(F.xxhash64("id"), F.col("parts")))
+        asks = F.col("asking") & (F.col("slice") == F.pmod(F.xxhash64(F.lit(2), "id"), F.col("slices")))
+        rows = rows.withColumn("member", member).withColumn("asks", asks).where("member OR asks")
+        found = rows.select("cell", "part", "slice", "id", "unit", "member", "asks").groupBy("cell", "part", "slice").applyInPandas(_answers(k, beam), ANSWERS)
+        stored = keep(found, "answers", tidy=True)
+        answers = answers.unionByName(stored) if answers is not None else stored
     best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("far", "other"))))), 1, k)
-    answers = found.groupBy("id").agg(best.alias("best"))
+    answers = answers.groupBy("id").agg(best.alias("best"))
     answers = answers.unionByName(same) if same is not None else answers
     answers = answers.select("id", F.posexplode("best").alias("rank", "b"))
     return answers.select("id", F.col("b.other").alias("other"), (F.col("rank") + 1).alias("rank"), (-F.col("b.far")).cast("double").alias("similarity"))

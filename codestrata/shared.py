@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Largest number of bytes that a plan of this package broadcasts on its own decision.
 BROADCAST_LIMIT = 8 * 1024 * 1024
+#: Spark's setting by which the shuffle files of a query are deleted at its end.
+FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,11 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder once and returns the stored table."""
+def keep(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """Writes ``df`` to the shared folder once and returns the stored table.
+
+    With ``tidy`` the shuffle files of the write are deleted at its end, not when the driver next collects its garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(FILE_CLEANUP, None)
+    try:
+        if tidy:
+            spark.conf.set(FILE_CLEANUP, "true")
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if tidy:
+            spark.conf.unset(FILE_CLEANUP) if before is None else spark.conf.set(FILE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

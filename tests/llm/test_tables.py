@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import time
 from datetime import datetime
 from pathlib import Path
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from codestrata.llm import credentials, encodings, functions, leakage, located, mixing, neardup, neighbours, origin, prose, splitting
 from codestrata.llm.queries import oracle_sql, queries
+from codestrata.shared import keep, shared_dir
 
 DATA = "/root/testdata/sf0.001"
 T1, T2 = datetime(2024, 1, 1), datetime(2024, 1, 2)
@@ -127,6 +129,32 @@ def test_copies_and_cells_of_cells(spark: SparkSession) -> None:
     assert np.mean([sum(s >= least[i] - 1e-5 for _, _, s in found[n]) / 5 for i, n in enumerate(names)]) > 0.9
 
 
+def test_cells_of_cells_leave_little_on_disk(spark: SparkSession) -> None:
+    """Vectors are stored once however many levels of cells there are, and a search leaves no shuffle files behind."""
+    x = np.random.default_rng(7).normal(size=(1500, 128))
+    units = neighbours.unit_vectors(chunks(spark, [(f"n{i:04d}", "x", T1, v.tolist()) for i, v in enumerate(x)]))
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+
+    def stored() -> int:
+        return sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+
+    def shuffled() -> set[str]:
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle")}
+
+    held = stored()
+    neighbours.nearest_vectors(units, 5, shard=32, branch=4)
+    assert stored() - held < 1500 * 512
+    files = shuffled()
+    counts = keep(units.groupBy(F.substring("id", 1, 4)).count(), "counts", tidy=True)
+    for _ in range(50):  # they are deleted in the background
+        if not shuffled() - files:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - files
+    assert counts.count() == 150
+
+
 def test_graph_recall_in_a_large_shard() -> None:
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(40, 128))

@@ -12,7 +12,9 @@ encodings is sought on maximal stretches that the wrong encoding can hold.
 Where bytes were lost, no chain is exact. Such a word or run is marked ``lost``
 if a filled-in letter, or what can still be decoded, has a shorter description.
 
-Dictionaries are trained on a bounded sample of labelled documents. Null and
+Dictionaries are trained on all labelled documents: each task condenses what it
+has of a language to the stretches that recur most, and these are condensed
+together until they fit the driver. Letters are counted in all of them. Null and
 empty texts are never affected; every other row comes out, repaired or not.
 """
 
@@ -28,7 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.llm.prose import LANGUAGES, labelled_sample
+from codestrata.llm.prose import LANGUAGES
+from codestrata.shared import keep
 
 #: Encodings that texts are taken for by mistake; ``sloppy-1252`` passes undefined bytes through.
 WRONG = ("sloppy-1252", "latin-1", "cp1250", "cp1251", "cp437", "mac_roman")
@@ -46,7 +49,14 @@ LEGACY_RUN, LEGACY_GAIN = 6, 4
 #: Rounds in which garbled documents are looked for in the sample, each with dictionaries of what the last one left; a second one changes nothing here.
 CLEANINGS = 1
 
+#: Bytes that more text of a language is condensed to; bytes of text that a task gathers before it condenses them; condensed blocks that are condensed together.
+CONDENSED, GATHERED, FAN_IN = 524_288, 16 << 20, 16
+#: Bytes at the beginning of a trained dictionary that can be tables of codes.
+TABLES = 512
+
 _RUN = re.compile(r"[^\x00-\x7f]+")
+_CLAUSE = re.compile(r"[^.!?。\n]+[.!?。]?")
+_SENTENCE = re.compile(r"(?<=[.!?。])\s*|\n+")
 _LOST = re.compile(r"(?<=\w)�+(?=\w)|(?<=\w)�+|�+(?=\w)")
 #: Frequent letters outside ASCII, which are filled in where a byte was lost.
 _FILL = "éèàçãõáíóúñöüäßêâôîд的のệ"
@@ -182,6 +192,32 @@ class Lengths:
         return min(lengths) if lengths else min((len(c.compress(raw)) for c in self.compressors.values()), default=len(raw))
 
 
+def sentences(text: str) -> list[str]:
+    return [p for p in _SENTENCE.split(text) if len(p) > 8]
+
+
+def condensed(texts: list[str], size: int = CONDENSED) -> list[str]:
+    """The texts, or, where they take more than ``size`` bytes, the stretches of all of them that recur most.
+
+    Half of the size is for sentences with letters outside ASCII, which are few in English.
+    """
+    import zstandard
+
+    if sum(map(len, texts)) <= size and sum(len(t.encode("utf-8", "replace")) for t in texts) <= size:
+        return texts
+    out = []
+    parts = [p for t in texts for p in _CLAUSE.findall(t) if len(p) > 8]
+    for part in ([p for p in parts if p.isascii()], [p for p in parts if not p.isascii()]):
+        raw = [f"{p.strip()}\n".encode("utf-8", "replace") for p in part]
+        if sum(map(len, raw)) > size // 2:
+            try:
+                raw = [zstandard.train_dictionary(size // 2, raw, k=200, d=8).as_bytes()[TABLES:]]
+            except zstandard.ZstdError:  # too few sentences to find what recurs
+                pass
+        out += sentences(b"".join(raw).decode("utf-8", "ignore"))
+    return out
+
+
 def train_dictionaries(samples: list[tuple[str, str]], size: int = DICTIONARY) -> dict[str, bytes]:
     """A zstandard dictionary for each language of the sample; raw text stands in where there is too little to train on."""
     import zstandard
@@ -189,7 +225,7 @@ def train_dictionaries(samples: list[tuple[str, str]], size: int = DICTIONARY) -
     out = {}
     for lang in LANGUAGES:
         texts = [t for x, t in samples if x == lang and t and not _BROKEN.search(t) and "�" not in t]
-        parts = [p.encode() for t in texts for p in re.split(r"(?<=[.!?。])\s*|\n+", t) if len(p) > 8]
+        parts = [p.encode("utf-8", "replace") for t in texts for p in sentences(t)]
         if not parts:
             continue
         try:
@@ -335,20 +371,69 @@ class Repairer:
         return best
 
 
+def frequent(counts: Counter[str], texts: int) -> set[str]:
+    """Letters outside ASCII that at least one in fifty of the texts holds."""
+    return {c for c, n in counts.items() if c > "\x7f" and n * 50 >= texts}
+
+
 def common_letters(samples: list[tuple[str, str]]) -> frozenset[str]:
     """Letters outside ASCII that at least one in fifty texts of some language holds."""
     out: set[str] = set()
     for lang in LANGUAGES:
         texts = [set(t) for x, t in samples if x == lang and t]
-        counts = Counter(c for t in texts for c in t if c > "\x7f")
-        out |= {c for c, n in counts.items() if n * 50 >= len(texts)}
+        out |= frequent(Counter(c for t in texts for c in t), len(texts))
     return frozenset(out)
 
 
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What a task has of each language: its texts, condensed, and how many of them hold each letter ('' counts the texts)."""
+    from pyspark import TaskContext
+
+    texts: dict[str, list[str]] = {}
+    held: dict[str, int] = Counter()
+    letters: dict[str, Counter[str]] = {}
+    for b in batches:
+        for lang, text in zip(b["lang"], b["text"], strict=True):
+            count = letters.setdefault(lang, Counter())
+            count[""] += 1
+            if not text.isascii():
+                count.update(c for c in set(text) if c > "\x7f")
+                if "�" in text or _BROKEN.search(text):
+                    continue
+            texts.setdefault(lang, []).append(text)
+            held[lang] += len(text)
+            if held[lang] > GATHERED:
+                texts[lang] = condensed(texts[lang])
+                held[lang] = sum(map(len, texts[lang]))
+    block = TaskContext.get().partitionId()
+    rows = [(x, block, condensed(texts.get(x, [])), [{"letter": c, "n": n} for c, n in sorted(counts.items())]) for x, counts in letters.items()]
+    yield pd.DataFrame(rows, columns=["lang", "block", "texts", "letters"])
+
+
+def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("block")
+    texts = condensed([t for block in pdf["texts"] for t in block])
+    return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "block": [int(pdf["block"].iloc[0]) // FAN_IN], "texts": [texts]})
+
+
 def fitted(documents: DataFrame) -> tuple[dict[str, bytes], frozenset[str]]:
-    """Dictionaries and common letters from a bounded sample of labelled documents."""
-    samples = labelled_sample(documents)
-    return train_dictionaries(without_garbled(samples)), common_letters(samples)
+    """Dictionaries and common letters of all labelled documents.
+
+    The driver gets one condensed block of each language, and its letters.
+    """
+    labelled = documents.where(F.col("lang").isin(*LANGUAGES) & F.col("text").isNotNull() & (F.col("text") != "")).select("lang", "text")
+    gathered = keep(labelled.mapInPandas(_gathered, "lang string, block bigint, texts array<string>, letters array<struct<letter:string,n:bigint>>"), "texts", tidy=True)
+    counts: dict[str, Counter[str]] = {}
+    for r in gathered.select("lang", F.inline("letters")).groupBy("lang", "letter").agg(F.sum("n").alias("n")).collect():
+        counts.setdefault(r.lang, Counter())[r.letter] = r.n
+    common = frozenset(c for count in counts.values() for c in frequent(count, count[""]))
+    blocks = gathered.select("lang", "block", "texts")
+    last = blocks.agg(F.max("block")).first()[0] or 0
+    while last > 0:
+        blocks = blocks.groupBy("lang", F.floor(F.col("block") / FAN_IN).alias("of")).applyInPandas(_joined, "lang string, block bigint, texts array<string>")
+        last //= FAN_IN
+    samples = [(r.lang, t) for r in sorted(blocks.collect(), key=lambda r: (r.lang, r.block)) for t in r.texts]
+    return train_dictionaries(without_garbled(samples)), common
 
 
 def repaired_texts(documents: DataFrame, model: tuple[dict[str, bytes], frozenset[str]]) -> DataFrame:

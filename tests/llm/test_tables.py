@@ -248,6 +248,16 @@ def test_garbled_documents_of_the_sample(spark: SparkSession) -> None:
     assert got == {114 + i: (t, ["sloppy-1252:cp1251"]) for i, t in enumerate(right[:6])}
 
 
+def test_all_labelled_documents_count(spark: SparkSession) -> None:
+    """Dictionaries and common letters come from long documents too, and from all of them, in whatever tasks they are."""
+    rows = [("de", f"Der Parser {i} prüft die Größe des Puffers. " * 900) for i in range(30)] + [("fr", f"La file {i} attend la réponse" + (" à Noël." if i < 20 else ".")) for i in range(1000)]
+    documents = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, lang string, text string").repartition(20)
+    dictionaries, common = encodings.fitted(documents)
+    assert set(dictionaries) == {"de", "fr"} and common == set("üößéàë")
+    assert "prüft die Größe des Puffers".encode() in dictionaries["de"] and "attend la réponse".encode() in dictionaries["fr"]
+    assert len("".join(encodings.condensed([f"Der Parser {i} prüft die Größe. " * 50 for i in range(900)]))) <= encodings.CONDENSED
+
+
 def test_mixture(spark: SparkSession) -> None:
     docs = [(i, "big", f"text number {i} of the large source") for i in range(200)] + [(1000 + i, " Small ", f"small text {i}") for i in range(10)] + [(2000, None, "nowhere"), (2001, "odd", "unlisted"), (2002, "big", None), (2003, "big", ""), (2004, "small", "small text 0")]
     documents = spark.createDataFrame(docs, "doc_id bigint, source string, text string")

@@ -9,8 +9,9 @@ groups them.
 
 Equal shingle sets are one class before anything else, so a group of copies
 costs one representative however large it is. Classes that meet in a band are
-compared within the bucket only by signature, in blocks, and only pairs whose
-signatures agree enough leave it.
+compared within the bucket by one bit of each position of their signatures, which
+travel with the bands, and only pairs whose bits agree enough leave it: classes
+that meet by chance grow with the square of the table and are never stored.
 
 Null and empty texts, and texts of fewer words than a shingle, have no
 shingles: equal ones among the short ones are one class by their words, empty
@@ -21,10 +22,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from codestrata.llm.splitting import code_of
@@ -35,6 +38,8 @@ ROWS, BANDS = 3, 42
 POSITIONS = ROWS * BANDS
 #: Classes of a bucket that are compared with each other in one task.
 BUCKET_BLOCK = 128
+#: Parts of the bands that are compared one after the other: the shuffle files of one are deleted before the next.
+WAVES = 3
 _WORD = re.compile(r"[a-z0-9_]+")
 _ONE, _GOLDEN = np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
 
@@ -122,9 +127,12 @@ def _sets(size: int):  # noqa: ANN202
 
 
 def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(class, signature binary): two bytes of the hash of each position's value."""
+    """(class, signature, more, x, y): a byte of the hash of each position's value, a second one, and the lowest bits of all positions.
+
+    Proposed pairs are compared by the first byte; both bytes make the bands, the bits travel with them.
+    """
     for b in batches:
-        out = []
+        out, more, bit = [], [], []
         for a in range(0, len(b), 256):
             sets = [unpacked(s) for s in b["shingles"].iloc[a : a + 256]]
             signature = np.full((len(sets), POSITIONS), np.float32(POSITIONS), dtype=np.float32)
@@ -136,15 +144,18 @@ def _signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 slice_signature = superminhash(flat[c : c + 65_536], part_owner, int(last - first) + 1)
                 signature[first : last + 1] = np.minimum(signature[first : last + 1], slice_signature)
             bits = mix(signature.view(np.uint32).astype(np.uint64) + _GOLDEN)
-            out += [s.tobytes() for s in (bits & np.uint64(65_535)).astype("<u2")]
-        yield pd.DataFrame({"class": b["class"], "signature": out})
+            out += [s.tobytes() for s in (bits & np.uint64(255)).astype(np.uint8)]
+            more += [s.tobytes() for s in (bits >> np.uint64(8) & np.uint64(255)).astype(np.uint8)]
+            bit += [s.tobytes().ljust(16, b"\0") for s in np.packbits((bits & _ONE).astype(np.uint8), axis=1)]
+        x, y = np.frombuffer(b"".join(bit), dtype="<i8").reshape(-1, 2).T
+        yield pd.DataFrame({"class": b["class"], "signature": out, "more": more, "x": x, "y": y})
 
 
-def bands(signed: DataFrame) -> DataFrame:
-    """(class, band): the bands of each signature; a band is its number and the bytes of its rows."""
-    number = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("n")
-    rows = F.substring("signature", F.col("n") * (2 * ROWS) + 1, F.lit(2 * ROWS))
-    return signed.select("class", "signature", number).select("class", F.xxhash64("n", rows).alias("band"))
+def bands(signed: DataFrame, numbers: range) -> DataFrame:
+    """(class, x, y, band): those bands of each signature, with its bits; a band is its number and both bytes of its rows."""
+    number = F.explode(F.sequence(F.lit(numbers.start), F.lit(numbers.stop - 1))).alias("n")
+    rows = [F.substring(c, F.col("n") * ROWS + 1, F.lit(ROWS)) for c in ("signature", "more")]
+    return signed.select("*", number).select("class", "x", "y", F.xxhash64("n", *rows).alias("band"))
 
 
 def shingle_classes(chunks: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
@@ -155,28 +166,53 @@ def shingle_classes(chunks: DataFrame, size: int) -> tuple[DataFrame, DataFrame]
     """
     rows = chunks.where("id IS NOT NULL").select("id", "updated_at", code_of().alias("code"))
     rows = rows.select("id", "updated_at", "code", F.xxhash64("code").alias("version"))
-    sets = keep(rows.mapInPandas(_sets(size), "id string, updated_at timestamp, version bigint, class bigint, shingles binary"), "sets")
+    sets = keep(rows.mapInPandas(_sets(size), "id string, updated_at timestamp, version bigint, class bigint, shingles binary"), "sets", tidy=True)
     current = latest(sets.drop("shingles"), "id", ["updated_at", "version"], ["class"]).where("class IS NOT NULL")
-    return keep(current, "members"), sets.where("class IS NOT NULL AND octet_length(shingles) > 0").select("class", "shingles")
+    return keep(current, "members", tidy=True), sets.where("class IS NOT NULL AND octet_length(shingles) > 0").select("class", "shingles")
 
 
-def _agreeing(threshold: float):  # noqa: ANN202
-    """Pairs of a bucket's blocks whose signatures agree in enough positions, four standard deviations below the threshold."""
-    least = threshold - 4 * (threshold * (1 - threshold) / POSITIONS) ** 0.5
+def _most(threshold: float) -> float:
+    """Bits that may differ: five standard deviations above the mean at the threshold. Half of the bits of differing positions are alike."""
+    p = (1 - threshold) / 2
+    return POSITIONS * p + 5 * (POSITIONS * p * (1 - p)) ** 0.5
 
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            left, right = [], []
-            for xs, xsig, ys, ysig in zip(b["left"], b["left_signatures"], b["right"], b["right_signatures"], strict=True):
-                x = np.frombuffer(b"".join(xsig), dtype="<u2").reshape(len(xs), POSITIONS)
-                y = np.frombuffer(b"".join(ysig), dtype="<u2").reshape(len(ys), POSITIONS)
-                xs, ys = np.asarray(xs), np.asarray(ys)
-                for i in range(len(xs)):
-                    for j in np.flatnonzero((y == x[i]).mean(axis=1) >= least):
-                        if xs[i] != ys[j]:
-                            left.append(min(xs[i], ys[j]))
-                            right.append(max(xs[i], ys[j]))
-            yield pd.DataFrame({"a": np.array(left, dtype=np.int64), "b": np.array(right, dtype=np.int64)}).drop_duplicates()
+
+def _ordered(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def _within(threshold: float):  # noqa: ANN202
+    """Pairs of each bucket whose bits agree: members so many places apart are compared in all buckets of a batch at once."""
+    most = _most(threshold)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes, x, y = (batch.column(c).flatten().to_numpy() for c in ("classes", "xs", "ys"))
+            n = batch.column("classes").value_lengths().to_numpy()
+            ends, left, apart = np.repeat(np.cumsum(n), n), np.arange(len(classes)), 1
+            found = [left[:0]], [left[:0]]
+            while len(left := left[left + apart < ends[left]]):
+                right = left + apart
+                near = np.bitwise_count((x[left] ^ x[right]).view(np.uint64)) + np.bitwise_count((y[left] ^ y[right]).view(np.uint64)) <= most
+                found[0].append(classes[left[near]])
+                found[1].append(classes[right[near]])
+                apart += 1
+            yield _ordered(*(np.concatenate(f) for f in found))
+
+    return pairs
+
+
+def _between(threshold: float):  # noqa: ANN202
+    """Pairs of two blocks of a bucket, or of one with itself, whose bits agree."""
+    most = _most(threshold)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                (a, ax, ay), (b, bx, by) = ([batch.column(side + c)[i].values.to_numpy() for c in ("classes", "xs", "ys")] for side in ("left_", "right_"))
+                differing = np.bitwise_count((ax[:, None] ^ bx).view(np.uint64)) + np.bitwise_count((ay[:, None] ^ by).view(np.uint64))
+                left, right = np.nonzero((differing <= most) & (a[:, None] != b))
+                yield _ordered(a[left], b[right])
 
     return pairs
 
@@ -189,42 +225,49 @@ def one_of_each(sets: DataFrame) -> DataFrame:
 def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b, similarity): every pair of classes, a < b, whose shingle sets have at least the similarity.
 
-    Buckets of at most BUCKET_BLOCK classes are compared as they are: their signatures are looked up once,
-    after the (class, class) proposals are made distinct. Larger buckets are cut into blocks, and pairs of
-    blocks are compared by signature in their own tasks, so no task sees more than two blocks and only
-    agreeing pairs leave it. Signatures never travel with the bands.
+    Buckets of at most BUCKET_BLOCK classes are compared as they are. Larger buckets are cut into blocks, and
+    pairs of blocks are compared in their own tasks, so no task sees more than two blocks. Bands are shuffled
+    once, with 126 bits of each signature, and the shuffle files of a step are deleted before the next.
+    Only pairs whose bits agree leave a bucket; their signatures are looked up once, after they are made distinct.
     """
-    signed = keep(one_of_each(sets).mapInPandas(_signatures, "class bigint, signature binary"), "signatures")
-    banded = bands(signed)
-    sizes = banded.groupBy("band").count().where("count > 1")
-    meeting = keep(banded.join(sizes, "band"), "bands")
-    small = meeting.where(F.col("count") <= BUCKET_BLOCK).groupBy("band").agg(F.sort_array(F.collect_list("class")).alias("members"))
-    members = small.select(F.explode(F.expr("transform(members, (x, i) -> struct(x AS a, slice(members, i + 2, size(members)) AS others))")).alias("m"))
-    proposed = members.select("m.a", F.explode("m.others").alias("b")).distinct()
-    proposed = proposed.unionByName(_large_buckets(meeting.where(F.col("count") > BUCKET_BLOCK), signed, threshold)).distinct()
-    return verified(proposed, sets, signed, threshold)
-
-
-def _large_buckets(meeting: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    signed = keep(one_of_each(sets).mapInPandas(_signatures, "class bigint, signature binary, more binary, x bigint, y bigint"), "signatures", tidy=True)
+    found = []
+    for wave in range(WAVES):
+        banded = bands(signed, range(wave * BANDS // WAVES, (wave + 1) * BANDS // WAVES))
+        meeting = banded.withColumn("count", F.count("*").over(Window.partitionBy("band"))).where("count > 1")
+        small = _collected(meeting.where(F.col("count") <= BUCKET_BLOCK).groupBy("band")).drop("band").mapInArrow(_within(threshold), "a bigint, b bigint")
+        large = _large_buckets(meeting.where(F.col("count") > BUCKET_BLOCK), threshold)
+        found.append(keep(small.unionByName(large).distinct(), "proposed", tidy=True))
+    return verified(reduce(DataFrame.unionByName, found).distinct(), sets, signed, threshold)
+
+
+def _collected(grouped: GroupedData) -> DataFrame:
+    return grouped.agg(*(F.collect_list(c).alias(f"{c}es" if c == "class" else f"{c}s") for c in ("class", "x", "y")))
+
+
+def _large_buckets(meeting: DataFrame, threshold: float) -> DataFrame:
     """Agreeing pairs of the buckets that are cut into blocks."""
     n_blocks = F.ceil(F.col("count") / BUCKET_BLOCK).cast("int")
     placed = meeting.withColumn("n", n_blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("n")).cast("int"))
-    blocks = placed.join(signed.select("class", "signature"), "class").groupBy("band", "n", "block")
-    blocks = blocks.agg(F.collect_list("class").alias("members"), F.collect_list("signature").alias("signatures"))
-    left = blocks.select("band", F.explode(F.expr("sequence(block, n - 1)")).alias("other"), F.col("members").alias("left"), F.col("signatures").alias("left_signatures"))
-    right = blocks.select("band", F.col("block").alias("other"), F.col("members").alias("right"), F.col("signatures").alias("right_signatures"))
-    return left.join(right, ["band", "other"]).drop("band", "other").mapInPandas(_agreeing(threshold), "a bigint, b bigint")
+    blocks = _collected(placed.groupBy("band", "n", "block"))
+    lists = ("classes", "xs", "ys")
+    left = blocks.select("band", F.explode(F.expr("sequence(block, n - 1)")).alias("other"), *(F.col(c).alias(f"left_{c}") for c in lists))
+    right = blocks.select("band", F.col("block").alias("other"), *(F.col(c).alias(f"right_{c}") for c in lists))
+    return left.join(right, ["band", "other"]).drop("band", "other").mapInArrow(_between(threshold), "a bigint, b bigint")
 
 
 def verified(proposed: DataFrame, sets: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    """Proposed pairs of classes whose signatures agree roughly and whose shingle sets have the similarity exactly."""
+    """Proposed pairs of classes whose signatures agree roughly and whose shingle sets have the similarity exactly.
+
+    Bytes that are alike by chance (1 in 256) only let more pairs through to the exact comparison.
+    """
     least = threshold - 4 * (threshold * (1 - threshold) / POSITIONS) ** 0.5
 
     def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                x = np.frombuffer(b"".join(b["sa"]), dtype="<u2").reshape(len(b), POSITIONS)
-                y = np.frombuffer(b"".join(b["sb"]), dtype="<u2").reshape(len(b), POSITIONS)
+                x = np.frombuffer(b"".join(b["sa"]), dtype=np.uint8).reshape(len(b), POSITIONS)
+                y = np.frombuffer(b"".join(b["sb"]), dtype=np.uint8).reshape(len(b), POSITIONS)
                 yield b.loc[(x == y).mean(axis=1) >= least, ["a", "b"]]
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -238,7 +281,7 @@ def verified(proposed: DataFrame, sets: DataFrame, signed: DataFrame, threshold:
 
     signatures = signed.select("class", "signature")
     signs = proposed.join(signatures.toDF("a", "sa"), "a").join(signatures.toDF("b", "sb"), "b")
-    near = keep(signs.mapInPandas(agree, "a bigint, b bigint"), "near")
+    near = keep(signs.mapInPandas(agree, "a bigint, b bigint"), "near", tidy=True)
     wanted = near.select(F.col("a").alias("class")).unionByName(near.select(F.col("b").alias("class"))).distinct()
     held = one_of_each(sets.join(wanted, "class", "left_semi"))
     both = near.join(held.toDF("a", "xa"), "a").join(held.toDF("b", "xb"), "b")
@@ -251,15 +294,15 @@ def components(pairs: DataFrame) -> DataFrame:
     Every round hooks each class to the least root among its neighbours and then halves the paths, so the
     rounds grow with the logarithm of a component's diameter; a round's labels are stored, which cuts the lineage.
     """
-    edges = keep(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = keep(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).toDF("class", "root"), "labels")
+    edges = keep(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", tidy=True)
+    labels = keep(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).toDF("class", "root"), "labels", tidy=True)
     while True:
         neighbour = edges.join(labels.toDF("b", "root"), "b").groupBy("a").agg(F.min("root").alias("least"))
         hooked = labels.join(neighbour.withColumnRenamed("a", "class"), "class", "left").select("class", "root", F.least("root", "least").alias("next"))
         proposals = hooked.select(F.col("root").alias("class"), "next").groupBy("class").agg(F.min("next").alias("pulled"))
         stepped = hooked.join(proposals, "class", "left").select("class", "root", F.least("next", F.coalesce("pulled", "next")).alias("next"))
         jumps = stepped.select(F.col("class").alias("next"), F.col("next").alias("jump"))
-        stepped = keep(stepped.join(jumps, "next", "left").select("class", "root", F.least("next", F.coalesce("jump", "next")).alias("next")), "labels")
+        stepped = keep(stepped.join(jumps, "next", "left").select("class", "root", F.least("next", F.coalesce("jump", "next")).alias("next")), "labels", tidy=True)
         changed = stepped.where("next <> root").limit(1).count()
         labels = stepped.select("class", F.col("next").alias("root"))
         if not changed:
@@ -283,7 +326,7 @@ def duplicate_groups(chunks: DataFrame, threshold: float = 0.8, size: int = 5) -
     ``n_links`` counts the other classes that the record's class is similar to.
     """
     members, links = near_duplicates(chunks, threshold, size)
-    links = keep(links, "links")
+    links = keep(links, "links", tidy=True)
     degrees = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("n_links"))
     roots = components(links)
     placed = members.join(roots, "class", "left").withColumn("root", F.coalesce("component", "class"))

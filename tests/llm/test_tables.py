@@ -6,6 +6,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,43 @@ def test_hot_buckets_are_cut(spark: SparkSession, monkeypatch: pytest.MonkeyPatc
     assert neardup.member_pairs(members, links).count() == 36
 
 
+def test_near_duplicates_leave_no_shuffle_files(spark: SparkSession) -> None:
+    """Each stored step deletes its shuffle files, whenever the driver collects its garbage."""
+
+    def shuffled() -> set[str]:
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle")}
+
+    rng = np.random.default_rng(8)
+    texts = [[f"w{i}" for i in rng.integers(0, 5000, 60)] for _ in range(200)]
+    rows = [(f"i{k:03}{e}", " ".join([*t[:30], e, *t[30:]]), T1) for k, t in enumerate(texts) for e in ("x", "y")]
+    files = shuffled()
+    members, links = neardup.near_duplicates(chunks(spark, rows), 0.6, 3)
+    for _ in range(50):  # they are deleted in the background
+        if not shuffled() - files:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - files
+    assert {tuple(r) for r in neardup.member_pairs(members, links).collect()} == {(f"i{k:03}x", f"i{k:03}y") for k in range(200)}
+
+
+def test_chance_meetings_stay_in_their_bucket() -> None:
+    """Of classes that meet in a band, only those whose bits agree leave the bucket, whatever buckets share a batch."""
+    rng = np.random.default_rng(2)
+    bits = rng.integers(-(1 << 63), 1 << 63, (60, 2))
+    bits[30:40] = bits[20:30] ^ rng.choice([0, 1 << 7, 5 << 20], (10, 2))
+    sizes, most = [1, 50, 0, 3, 6], neardup._most(0.6)
+    bucket = np.repeat(range(5), sizes)
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if bucket[a] == bucket[b] and sum(int(v).bit_count() for v in (bits[a] ^ bits[b]).view(np.uint64)) <= most}
+    assert {(k, k + 10) for k in range(20, 30)} <= want and len(want) < 30
+    lists = {c: pa.array([v.tolist() for v in np.split(x, np.cumsum(sizes)[:-1])], pa.list_(pa.int64())) for c, x in (("classes", np.arange(60)), ("xs", bits[:, 0]), ("ys", bits[:, 1]))}
+    batch = pa.RecordBatch.from_pydict(lists)
+    got = [{(r["a"], r["b"]) for r in b.to_pylist()} for b in neardup._within(0.6)([batch, batch[1:2], batch[2:], batch[:0]])]
+    assert got == [want, {w for w in want if bucket[w[0]] == 1}, {w for w in want if bucket[w[0]] > 1}, set()]
+    blocks = pa.RecordBatch.from_pydict({f"{side}_{c}": [lists[c][1].as_py()] for side in ("left", "right") for c in lists})
+    assert {(r["a"], r["b"]) for b in neardup._between(0.6)([blocks]) for r in b.to_pylist()} == got[1]
+
+
 def test_superminhash_estimates_similarity() -> None:
     rng = np.random.default_rng(5)
     errors = []

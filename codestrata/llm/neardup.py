@@ -259,9 +259,10 @@ def _large_buckets(meeting: DataFrame, threshold: float) -> DataFrame:
 def verified(proposed: DataFrame, sets: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
     """Proposed pairs of classes whose signatures agree roughly and whose shingle sets have the similarity exactly.
 
-    Bytes that are alike by chance (1 in 256) only let more pairs through to the exact comparison.
+    Signatures may agree five standard deviations less than the threshold; bytes that are alike by chance (1 in 256)
+    only let more pairs through to the exact comparison.
     """
-    least = threshold - 4 * (threshold * (1 - threshold) / POSITIONS) ** 0.5
+    least = threshold - 5 * (threshold * (1 - threshold) / POSITIONS) ** 0.5
 
     def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
